@@ -132,3 +132,32 @@ def management_emails(t: Tables) -> DataFrame:
     from ..operators.aggregate import joined_distinct
     return (management_latest(t).groupBy("entity_id")
             .agg(joined_distinct("management_email").alias("management_email")))
+
+
+def submissions(t: Tables) -> dict[str, DataFrame]:
+    """Tables written by one submission share (entity, timestamp): order
+    headers and line totals per (customer, order date), plus the fan-out
+    table of returned lines. Used by the exact-timestamp join (J11)."""
+    o = t.orders
+    header = (o.groupBy(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts"))
+               .agg(F.count(F.lit(1)).alias("n_orders"),
+                    F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price")))
+    lines = t.lineitem.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"),
+                            "l_orderkey")
+    line_tot = (lines.groupBy(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts"))
+                .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
+                     F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("extended_price"),
+                     F.try_divide(F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double"),
+                                  F.count("l_discount").cast("double")).alias("discount")))
+    returned = (lines.filter(F.col("l_returnflag") == "R")
+                .select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts")))
+    return {"header": header, "lines": line_tot, "returned": returned}
+
+
+def exact_ts_join(t: Tables) -> DataFrame:
+    """Inner joins on (entity, exact timestamp); the fan-out table only
+    restricts (left_semi), it does not multiply rows."""
+    s = submissions(t)
+    j = s["header"].join(s["lines"], ["entity_id", "ts"], "inner")
+    j = j.join(s["returned"], ["entity_id", "ts"], "left_semi")
+    return j.withColumn("year", F.year("ts").cast("int"))

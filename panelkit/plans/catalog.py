@@ -225,3 +225,131 @@ def report_all_entities(spark, d):
 @query
 def report_multi_metric(spark, d):
     return R.report_multi_metric(B.panel(T(spark, d)), MULTI_CFG, B.AGG_FULL)
+
+
+@query
+def report_single_metric(spark, d):
+    cfg = {"type": "single_metric", "group_col": "region", "metric": "quantity",
+           "years": [1998, 1999, 2000], "filter_values": ["ASIA", "AMERICA", "EUROPE"]}
+    return R.report_single_metric(B.panel(T(spark, d)), cfg, B.AGG_FULL)
+
+
+@query
+def report_entity(spark, d):
+    cfg = {"type": "entity", "group_col": "county", "entity": "NATION_5", "years": [1995, 1997, 2000]}
+    return R.report_entity(B.panel(T(spark, d)), cfg, B.AGG_SMALL)
+
+
+@query
+def report_totals_plain(spark, d):
+    return R.report_totals_plain(B.panel(T(spark, d)), {"years": [1995, 1996]}, B.AGG_FULL)
+
+
+@query
+def report_totals_change(spark, d):
+    return R.report_totals_change(B.panel(T(spark, d)), {"years": [1998, 1999, 2000, 2001]}, B.AGG_SMALL)
+
+
+@query
+def yoy_pct(spark, d):
+    """W2/W3 in long form: pivot gives the dense (region x year) grid filled
+    with 0, unpivot brings it back long, ``lag`` per region does the rest."""
+    from ..operators.change import yoy_long
+    from ..operators.pivot import pivot_labels
+    years = [1995, 1996, 1997, 1998, 1999]
+    p = R.apply_filters(B.panel(T(spark, d)), years)
+    cells = group_agg(p, ["region", "year"], {"total_price": "sum"}).select(
+        "region", F.concat(F.lit("y"), F.col("year").cast("string")).alias("label"),
+        F.col("total_price").alias("value"))
+    wide = pivot_labels(cells, ["region"], "label", [f"y{y}" for y in years], fill=0.0)
+    long = wide.unpivot(["region"], [f"y{y}" for y in years], "label", "value") \
+        .withColumn("year", F.substring("label", 2, 4).cast("int")).drop("label")
+    out = yoy_long(long, ["region"])
+    return out.select("region", "year", round_even("value", 2).alias("value"),
+                      round_even("diff", 2).alias("diff"), round_even("pct", 2).alias("pct"))
+
+
+def _yearly_rows(t):
+    j = B.exact_ts_join(t)
+    return latest_by(j, ["year", "entity_id"], [F.col("ts").desc()])
+
+
+@query
+def exact_ts_join(spark, d):
+    return B.exact_ts_join(T(spark, d))
+
+
+def _summary(t):
+    s = R.yearly_summary(_yearly_rows(t), ["total_price", "quantity", "extended_price"], ["discount"])
+    return s.withColumn("avg_discount", round_even("avg_discount", 6))
+
+
+@query
+def yearly_summary(spark, d):
+    return _summary(T(spark, d))
+
+
+@query
+def compare_years(spark, d):
+    return R.compare_years(_summary(T(spark, d)), 1997, 1998,
+                           ["n_entities", "sum_total_price", "sum_quantity", "sum_extended_price",
+                            "avg_discount"])
+
+
+@query
+def year_pair_diff(spark, d):
+    from ..operators.change import pair_diff
+    g = group_agg(B.panel(T(spark, d)), ["year"], B.AGG_SMALL, "entity_id")
+    return pair_diff(g, "year", 1999, 2000, ["total_price", "quantity", "discount", "n_entities"])
+
+
+# ===================================================== step 7: contacts
+def _contacts(spark, d):
+    t = T(spark, d)
+    return R.report_emails(B.panel(t), EMAIL_CFG, B.management_latest(t), B.management_emails(t))
+
+
+@query
+def contact_list(spark, d):
+    return _contacts(spark, d)["email_list"]
+
+
+@query
+def contact_details(spark, d):
+    return _contacts(spark, d)["details"]
+
+
+@query
+def contacts_all(spark, d):
+    """Every registered entity (not only active) with its contacts."""
+    t = T(spark, d)
+    return R.contact_lists(B.base(t), B.management_latest(t), B.management_emails(t))["details"]
+
+
+@query
+def missing_panel(spark, d):
+    t = T(spark, d)
+    return R.report_missing(B.panel(t), MISSING_CFG, B.management_emails(t))
+
+
+def _missing_sub(t):
+    return R.missing_submissions(B.registry(t), B.orders_versions(t), 1998, B.management_emails(t))
+
+
+@query
+def missing_submission(spark, d):
+    return _missing_sub(T(spark, d))
+
+
+@query
+def missing_semi(spark, d):
+    """Contact rows of the entities that did not submit (semi-join)."""
+    t = T(spark, d)
+    miss = _missing_sub(t).select("entity_id")
+    return (B.management_latest(t).join(miss, "entity_id", "left_semi")
+            .select("entity_id", "event_type", "management_email").dropna(subset=["management_email"]))
+
+
+@query
+def joined_strings(spark, d):
+    return B.management_emails(T(spark, d))

@@ -360,3 +360,162 @@ def _totals():
 
 
 ORACLE["report_totals"] = _totals()
+
+
+
+
+
+def _single_cfg(cfg, where):
+    ys, g, m = sorted(cfg["years"]), cfg["group_col"], cfg["metric"]
+    w = ", ".join(f"coalesce(max(CASE WHEN year = {y} THEN v END), 0) AS y{y}" for y in ys)
+    cols = [f"{re2(f'y{y}')} AS y{y}" for y in ys]
+    for py, y in zip(ys, ys[1:]):
+        cols += [f"{re2(f'y{y} - y{py}')} AS diff_{y}", f"{re2(sql_pct(f'y{y} - y{py}', f'y{py}'))} AS pct_{y}"]
+    f_, l_ = ys[0], ys[-1]
+    cols += [f"{re2(f'y{l_} - y{f_}')} AS total_diff", f"{re2(sql_pct(f'y{l_} - y{f_}', f'y{f_}'))} AS total_pct"]
+    return f"""WITH {CTE_PANEL},
+cells AS (SELECT {g}, year, {sql_metric('v', B.AGG_FULL[m], m)} FROM panel
+          WHERE year IN ({yin(ys)}) AND {g} IS NOT NULL {where} GROUP BY {g}, year),
+w AS (SELECT {g}, {w} FROM cells GROUP BY {g})
+SELECT {g}, {', '.join(cols)} FROM w"""
+
+
+ORACLE["report_single_metric"] = _single_cfg(
+    {"group_col": "region", "metric": "quantity", "years": [1998, 1999, 2000]},
+    "AND region IN ('ASIA', 'AMERICA', 'EUROPE')")
+
+ORACLE["report_entity"] = _entity_sql(
+    {"group_col": "county", "entity": "NATION_5", "years": [1995, 1997, 2000]}, B.AGG_SMALL, fill=False)
+
+
+def _plain(ys, spec):
+    cols = ", ".join(
+        f"{re2(f'max(CASE WHEN year = {y} THEN value END)')} AS y{y}_total, "
+        f"{re2(f'max(CASE WHEN year = {y} THEN pe END)')} AS y{y}_per_entity" for y in ys)
+    return _year_totals_sql(ys, spec) + f"\nSELECT metric, {cols} FROM long GROUP BY metric"
+
+
+ORACLE["report_totals_plain"] = _plain([1995, 1996], B.AGG_FULL)
+
+
+def _totals_change_cfg(ys, spec):
+    w = ", ".join(f"max(CASE WHEN year = {y} THEN value END) AS t{y}, "
+                  f"max(CASE WHEN year = {y} THEN pe END) AS p{y}" for y in ys)
+    cols = [f"{rk(f't{y}')} AS y{y}_total, {rk(f'p{y}')} AS y{y}_per_entity" for y in ys]
+    cols += [f"{rk(sql_pct(f'p{y} - p{py}', f'p{py}'))} AS y{y}_pct" for py, y in zip(ys, ys[1:])]
+    f_, l_ = ys[0], ys[-1]
+    cols += [f"{rk(f'p{l_} - p{f_}')} AS period_diff",
+             f"{rk(sql_pct(f'p{l_} - p{f_}', f'p{f_}'))} AS period_pct"]
+    return (_year_totals_sql(ys, spec)
+            + f",\nw AS (SELECT metric, kind, {w} FROM long GROUP BY metric, kind)\n"
+            + f"SELECT metric, {', '.join(cols)} FROM w")
+
+
+ORACLE["report_totals_change"] = _totals_change_cfg([1998, 1999, 2000, 2001], B.AGG_SMALL)
+
+
+def _yoy_pct():
+    ys = [1995, 1996, 1997, 1998, 1999]
+    return f"""WITH {CTE_PANEL},
+cells AS (SELECT region, year, {sql_sum('total_price')} AS v FROM panel
+          WHERE year IN ({yin(ys)}) AND region IS NOT NULL GROUP BY region, year),
+grid AS (SELECT r.region, y.year FROM (SELECT DISTINCT region FROM cells) r,
+         (SELECT unnest([{yin(ys)}]) AS year) y),
+dense AS (SELECT g.region, g.year, coalesce(c.v, 0) AS value FROM grid g
+          LEFT JOIN cells c ON g.region = c.region AND g.year = c.year),
+l AS (SELECT *, lag(value) OVER (PARTITION BY region ORDER BY year) AS prev FROM dense)
+SELECT region, CAST(year AS INTEGER) AS year, {re2('value')} AS value, {re2('value - prev')} AS diff,
+       CASE WHEN prev IS NOT NULL THEN {re2(sql_pct('value - prev', 'prev'))} END AS pct
+FROM l"""
+
+
+ORACLE["yoy_pct"] = _yoy_pct()
+
+CTE_SUB = """header AS (SELECT o_custkey AS entity_id, o_orderdate AS ts, count(*) AS n_orders,
+                  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price
+           FROM orders GROUP BY o_custkey, o_orderdate),
+lines AS (SELECT l.*, o.o_custkey, o.o_orderdate FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+line_tot AS (SELECT o_custkey AS entity_id, o_orderdate AS ts,
+                    CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
+                    CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS extended_price,
+                    CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(l_discount) AS discount
+             FROM lines GROUP BY o_custkey, o_orderdate),
+j AS (SELECT h.entity_id, h.ts, h.n_orders, h.total_price, t.quantity, t.extended_price, t.discount,
+             CAST(year(h.ts) AS INTEGER) AS year
+      FROM header h JOIN line_tot t ON h.entity_id = t.entity_id AND h.ts = t.ts
+      WHERE EXISTS (SELECT 1 FROM lines x WHERE x.l_returnflag = 'R'
+                    AND x.o_custkey = h.entity_id AND x.o_orderdate = h.ts)),
+yr AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY year, entity_id ORDER BY ts DESC) = 1),
+summary AS (SELECT year, count(entity_id) AS n_entities,
+                   CAST(sum(CAST(total_price AS DECIMAL(18,2))) AS DOUBLE) AS sum_total_price,
+                   CAST(sum(CAST(quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_quantity,
+                   CAST(sum(CAST(extended_price AS DECIMAL(18,2))) AS DOUBLE) AS sum_extended_price,
+                   round_even(avg(discount), 6) + 0.0 AS avg_discount
+            FROM yr GROUP BY year)"""
+
+ORACLE["exact_ts_join"] = f"WITH {CTE_SUB} SELECT * FROM j"
+ORACLE["yearly_summary"] = f"WITH {CTE_SUB} SELECT * FROM summary"
+
+_CMP = ["n_entities", "sum_total_price", "sum_quantity", "sum_extended_price", "avg_discount"]
+ORACLE["compare_years"] = f"""WITH {CTE_SUB},
+two AS (SELECT * FROM summary WHERE year IN (1997, 1998))
+SELECT * FROM (
+  SELECT CAST(year AS VARCHAR) AS label, {', '.join(_CMP)} FROM two
+  UNION ALL
+  SELECT 'difference' AS label, {', '.join(f'max(CASE WHEN year = 1998 THEN {c} END) - max(CASE WHEN year = 1997 THEN {c} END) AS {c}' for c in _CMP)} FROM two)
+WHERE (SELECT count(*) FROM two) = 2"""
+
+_PD = ["total_price", "quantity", "discount", "n_entities"]
+ORACLE["year_pair_diff"] = f"""WITH {CTE_PANEL},
+g AS (SELECT year, {metrics_sql(B.AGG_SMALL)}, count(DISTINCT entity_id) AS n_entities
+      FROM panel WHERE year IS NOT NULL GROUP BY year),
+two AS (SELECT * FROM g WHERE year IN (1999, 2000))
+SELECT CAST(year AS VARCHAR) AS label, {', '.join(_PD)} FROM two
+UNION ALL
+SELECT 'difference', {', '.join(f'max(CASE WHEN year = 2000 THEN {c} END) - max(CASE WHEN year = 1999 THEN {c} END) AS {c}' for c in _PD)} FROM two"""
+
+# ======================================================= step 7: contacts
+_ENTS = f"""{CTE_PANEL},
+{CTE_MGMT},
+ents AS (SELECT DISTINCT entity_id, entity_name, email FROM panel WHERE active = 1 AND region IN ('AFRICA'))"""
+
+ORACLE["contact_list"] = f"""WITH {_ENTS}
+SELECT DISTINCT email FROM (
+  SELECT email FROM ents
+  UNION ALL
+  SELECT m.management_email AS email FROM mgmt m WHERE m.entity_id IN (SELECT entity_id FROM ents))
+WHERE email IS NOT NULL"""
+
+ORACLE["contact_details"] = f"""WITH {_ENTS}
+SELECT e.entity_id, e.entity_name, e.email, j.management_email
+FROM ents e LEFT JOIN mgmt_joined j ON e.entity_id = j.entity_id"""
+
+ORACLE["contacts_all"] = f"""WITH {CTE_REG}, {CTE_ORD}, {CTE_BASE}, {CTE_MGMT},
+ents AS (SELECT DISTINCT entity_id, entity_name, email FROM base)
+SELECT e.entity_id, e.entity_name, e.email, j.management_email
+FROM ents e LEFT JOIN mgmt_joined j ON e.entity_id = j.entity_id"""
+
+ORACLE["missing_panel"] = f"""WITH {CTE_PANEL}, {CTE_MGMT},
+f AS (SELECT * FROM panel WHERE active = 1 AND region IN ('AFRICA', 'EUROPE')),
+miss AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f h WHERE h.year = 1998 AND h.entity_id = f.entity_id))
+SELECT m.entity_id, m.entity_name,
+       arg_min(m.email, coalesce(m.year, -1)) FILTER (WHERE m.email IS NOT NULL) AS email,
+       coalesce(string_agg(DISTINCT j.management_email, '; ' ORDER BY j.management_email), '') AS management_email
+FROM miss m LEFT JOIN mgmt_joined j ON m.entity_id = j.entity_id
+WHERE m.entity_id IS NOT NULL AND m.entity_name IS NOT NULL
+GROUP BY m.entity_id, m.entity_name"""
+
+_MISS_SUB = f"""{CTE_REG}, {CTE_MGMT},
+miss AS (SELECT r.entity_id, r.entity_name, r.email FROM reg r
+         WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = r.entity_id
+                           AND year(o.o_orderdate) = 1998))"""
+
+ORACLE["missing_submission"] = f"""WITH {_MISS_SUB}
+SELECT m.entity_id, m.entity_name, m.email, j.management_email
+FROM miss m LEFT JOIN mgmt_joined j ON m.entity_id = j.entity_id"""
+
+ORACLE["missing_semi"] = f"""WITH {_MISS_SUB}
+SELECT g.entity_id, g.event_type, g.management_email FROM mgmt g
+WHERE g.management_email IS NOT NULL AND g.entity_id IN (SELECT entity_id FROM miss)"""
+
+ORACLE["joined_strings"] = f"WITH {CTE_MGMT} SELECT * FROM mgmt_joined"

@@ -269,7 +269,8 @@ def report_missing(panel: DataFrame, cfg: Mapping, joined: DataFrame) -> DataFra
     miss = df.join(have, ENTITY, "left_anti").dropna(subset=[ENTITY, "entity_name"])
     out = (miss.join(joined, ENTITY, "left")
                .groupBy(ENTITY, "entity_name")
-               .agg(F.expr("min_by(email, year) FILTER (WHERE email IS NOT NULL)").alias("email"),
+               .agg(F.expr("min_by(email, coalesce(year, -1)) FILTER (WHERE email IS NOT NULL)")
+                    .alias("email"),
                     joined_distinct("management_email").alias("management_email")))
     return out
 
