@@ -34,9 +34,14 @@ def round_by_kind(value: str | Column, kind: str | Column) -> Column:
     return F.when(k == "sum", F.bround(v, 0)).otherwise(F.bround(v, 2))
 
 
+# Fixed value: the characters Python's str.strip() removes (Unicode White_Space
+# plus the four ASCII information separators).
+WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+
+
 def strip_ws(c: str | Column) -> Column:
     """Remove every kind of leading/trailing white space (Python str.strip)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
 def to_number(c: str | Column) -> Column:

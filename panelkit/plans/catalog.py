@@ -353,3 +353,162 @@ def missing_semi(spark, d):
 @query
 def joined_strings(spark, d):
     return B.management_emails(T(spark, d))
+
+
+# ===================================================== step 8: quality rules
+from ..operators import quality as Q  # noqa: E402
+from . import sheets as S  # noqa: E402
+
+IDS = ["submission_id", "row_id"]
+SEGMENTS4 = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"]
+
+
+def _v(df, rules, sheet):
+    return Q.violations(df, rules, IDS, sheet)
+
+
+CUSTOMER_RULES = [Q.pattern(["email"], Q.EMAIL_PATTERN, "email"),
+                  Q.pattern(["phone"], Q.PHONE_PATTERN, "phone"),
+                  Q.nonneg_real(["balance"]), Q.nonneg_int(["balance"]),
+                  Q.one_of(["segment"], SEGMENTS4, name="one_of"),
+                  Q.one_of(["segment_ci"], SEGMENTS4, normalize=True, name="one_of_ci"),
+                  Q.max_length(["name"], 255)]
+ORDER_RULES = [Q.not_date(["order_date"]),
+               Q.year_range(["report_year"], S.FIRST_YEAR, S.AS_OF_YEAR),
+               Q.year_not_before(["planned_year"], S.AS_OF_YEAR),
+               Q.yes_no(["flag"])]
+LINE_RULES = [Q.percent(["discount_pct", "tax_pct"]),
+              Q.sum_equals(["discount", "tax"], 0.1),
+              Q.sum_at_most(["discount_pct", "tax_pct"], 100.0),
+              Q.at_most("discount", "tax")]
+
+
+@query
+def rule_text_length(spark, d):
+    return _v(S.documents(T(spark, d)), [Q.max_length(["text"], 255), Q.max_length(["text"], 500)],
+              "documents")
+
+
+@query
+def rule_date(spark, d):
+    return _v(S.orders(T(spark, d)), [Q.not_date(["order_date"])], "orders")
+
+
+@query
+def rule_year_range(spark, d):
+    return _v(S.orders(T(spark, d)), [Q.year_range(["report_year"], S.FIRST_YEAR, S.AS_OF_YEAR)], "orders")
+
+
+@query
+def rule_year_min(spark, d):
+    return _v(S.orders(T(spark, d)), [Q.year_not_before(["planned_year"], S.AS_OF_YEAR)], "orders")
+
+
+@query
+def rule_email(spark, d):
+    return _v(S.customers(T(spark, d)), [Q.pattern(["email"], Q.EMAIL_PATTERN, "email")], "customers")
+
+
+@query
+def rule_percent(spark, d):
+    return _v(S.lines(T(spark, d)), [Q.percent(["discount_pct", "tax_pct"])], "lines")
+
+
+@query
+def rule_nonneg_real(spark, d):
+    return _v(S.customers(T(spark, d)), [Q.nonneg_real(["balance"])], "customers")
+
+
+@query
+def rule_nonneg_int(spark, d):
+    t = T(spark, d)
+    return _v(S.parts(t), [Q.nonneg_int(["size"])], "parts").unionByName(
+        _v(S.customers(t), [Q.nonneg_int(["balance"])], "customers"))
+
+
+@query
+def rule_yes_no(spark, d):
+    return _v(S.orders(T(spark, d)), [Q.yes_no(["flag"])], "orders")
+
+
+@query
+def rule_enum(spark, d):
+    return _v(S.customers(T(spark, d)), [Q.one_of(["segment"], SEGMENTS4)], "customers")
+
+
+@query
+def rule_enum_ci(spark, d):
+    return _v(S.customers(T(spark, d)),
+              [Q.one_of(["segment_ci"], SEGMENTS4, normalize=True, name="one_of_ci")], "customers")
+
+
+@query
+def rule_phone(spark, d):
+    return _v(S.customers(T(spark, d)), [Q.pattern(["phone"], Q.PHONE_PATTERN, "phone")], "customers")
+
+
+@query
+def rule_sum_equals(spark, d):
+    return _v(S.lines(T(spark, d)), [Q.sum_equals(["discount", "tax"], 0.1)], "lines")
+
+
+@query
+def rule_sum_at_most(spark, d):
+    return _v(S.lines(T(spark, d)), [Q.sum_at_most(["discount_pct", "tax_pct"], 100.0)], "lines")
+
+
+@query
+def rule_le(spark, d):
+    return _v(S.lines(T(spark, d)), [Q.at_most("discount", "tax")], "lines")
+
+
+@query
+def violations_all(spark, d):
+    t = T(spark, d)
+    return (_v(S.customers(t), CUSTOMER_RULES, "customers")
+            .unionByName(_v(S.orders(t), ORDER_RULES, "orders"))
+            .unionByName(_v(S.lines(t), LINE_RULES, "lines")))
+
+
+@query
+def gate_clean_rows(spark, d):
+    """C22 per submission: an order whose lines break any rule is held back
+    whole; lines of the other orders go on."""
+    t = T(spark, d)
+    bad = _v(S.lines(t), [Q.percent(["tax_pct"]), Q.sum_at_most(["discount_pct", "tax_pct"], 100.0)], "lines")
+    li = t.lineitem.select(F.col("l_orderkey").alias("submission_id"), "l_linenumber", "l_partkey",
+                           "l_quantity", "l_extendedprice")
+    return Q.gate(li, bad, ["submission_id"])
+
+
+@query
+def audit_pk(spark, d):
+    return Q.audit_pk(T(spark, d).lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query
+def audit_fk(spark, d):
+    t = T(spark, d)
+    pairs = [(t.lineitem, "l_orderkey", t.orders, "o_orderkey", "lineitem.l_orderkey"),
+             (t.lineitem, "l_partkey", t.part, "p_partkey", "lineitem.l_partkey"),
+             (t.lineitem, "l_suppkey", t.supplier, "s_suppkey", "lineitem.l_suppkey"),
+             (t.orders, "o_custkey", t.customer, "c_custkey", "orders.o_custkey"),
+             (t.labels, "doc_id", t.documents, "doc_id", "labels.doc_id"),
+             (t.events, "user_id", t.customer, "c_custkey", "events.user_id")]
+    out = None
+    for c, ck, p, pk, name in pairs:
+        a = Q.audit_fk(c, ck, p, pk, name).withColumn("key", F.col("key").cast("long"))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query
+def audit_not_null(spark, d):
+    return Q.audit_not_null(B.panel(T(spark, d)),
+                            ["year", "total_price", "priority", "quantity", "tax", "status_priority"])
+
+
+@query
+def drop_missing_subset(spark, d):
+    return B.panel(T(spark, d)).dropna("any", subset=["tax", "priority"]).select(
+        "entity_id", "year", "tax", "priority")

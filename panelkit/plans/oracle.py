@@ -102,7 +102,7 @@ CTE_PANEL = f"""{CTE_REG},
 {CTE_BASE},
 {CTE_LINES},
 {CTE_STATUS},
-panel AS (
+panel AS MATERIALIZED (
   SELECT b.*, f.total_price, f.priority, li.quantity, li.extended_price, li.discount, li.tax,
          s.status_price, s.status_priority
   FROM base b
@@ -519,3 +519,123 @@ SELECT g.entity_id, g.event_type, g.management_email FROM mgmt g
 WHERE g.management_email IS NOT NULL AND g.entity_id IN (SELECT entity_id FROM miss)"""
 
 ORACLE["joined_strings"] = f"WITH {CTE_MGMT} SELECT * FROM mgmt_joined"
+
+
+# ======================================================= step 8: rules
+_EMAIL_NC = EMAIL.replace("c.", "")
+CTE_SHEETS = f"""cs AS (SELECT c_custkey AS submission_id, c_custkey AS row_id, c_name AS name, {_EMAIL_NC} AS email,
+              concat('+36 ', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 13 = 0 THEN 'x' ELSE '' END) AS phone,
+              CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance, c_mktsegment AS segment,
+              concat(' ', lower(c_mktsegment)) AS segment_ci FROM customer),
+os AS (SELECT o_orderkey AS submission_id, o_orderkey AS row_id,
+              concat(CAST(year(o_orderdate) AS VARCHAR), '-', lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0'), '-',
+                     lpad(CAST(day(o_orderdate) + 10 * (o_orderkey % 3) AS VARCHAR), 2, '0')) AS order_date,
+              CAST(year(o_orderdate) - 20 + o_custkey % 50 AS VARCHAR) AS report_year,
+              CAST(year(o_orderdate) + 25 + o_custkey % 5 AS VARCHAR) AS planned_year,
+              CASE o_orderstatus WHEN 'F' THEN 'igen' WHEN 'O' THEN 'NEM' ELSE 'talan' END AS flag,
+              o_orderpriority AS priority FROM orders),
+ls AS (SELECT l_orderkey AS submission_id, CAST(l_linenumber AS BIGINT) AS row_id,
+              CAST(CAST(l_discount * 100 AS DECIMAL(18,2)) AS VARCHAR) AS discount_pct,
+              CAST(CAST(l_tax * 1500 AS DECIMAL(18,2)) AS VARCHAR) AS tax_pct,
+              CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) AS discount,
+              CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS tax FROM lineitem),
+ps AS (SELECT p_partkey AS submission_id, p_partkey AS row_id, CAST(p_size AS VARCHAR) AS size FROM part),
+ds AS (SELECT doc_id AS submission_id, doc_id AS row_id, text FROM documents)"""
+
+WS_RE2 = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+
+
+def _d(x):
+    return f"TRY_CAST({x} AS DOUBLE)"
+
+
+RULE_PRED = {
+    "max_length_255": lambda x: f"length({x}) > 255",
+    "max_length_500": lambda x: f"length({x}) > 500",
+    "not_date": lambda x: f"try_strptime({x}, '%Y-%m-%d') IS NULL",
+    "year_range": lambda x: (f"{_d(x)} IS NULL OR {_d(x)} <> floor({_d(x)}) OR {_d(x)} < 1980 "
+                             f"OR {_d(x)} > 2024"),
+    "year_not_before": lambda x: f"{_d(x)} IS NULL OR {_d(x)} <> floor({_d(x)}) OR {_d(x)} < 2024",
+    "email": lambda x: f"NOT regexp_full_match({x}, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$')",
+    "phone": lambda x: f"NOT regexp_full_match({x}, '^\\+?[\\d\\s\\-\\(\\)/]+$')",
+    "percent": lambda x: f"{_d(x)} IS NULL OR {_d(x)} < 0 OR {_d(x)} > 100",
+    "nonneg_real": lambda x: f"{_d(x)} IS NULL OR {_d(x)} < 0",
+    "nonneg_int": lambda x: f"{_d(x)} IS NULL OR {_d(x)} < 0 OR {_d(x)} <> floor({_d(x)})",
+    "yes_no": lambda x: f"lower({x}) NOT IN ('igen', 'nem')",
+    "one_of": lambda x: f"{x} NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')",
+    "one_of_ci": lambda x: (f"lower(regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')) "
+                            f"NOT IN ('automobile', 'building', 'furniture', 'machinery')"),
+}
+
+MULTI_PRED = {
+    "sum_equals": (["discount", "tax"], f"abs({_d('discount')} + {_d('tax')} - 0.1) > 1e-6"),
+    "sum_at_most": (["discount_pct", "tax_pct"], f"{_d('discount_pct')} + {_d('tax_pct')} > 100.0 + 1e-6"),
+    "at_most": (["discount", "tax"], f"{_d('discount')} > {_d('tax')}"),
+}
+
+
+def vsql(cte, sheet, field, rule):
+    if rule in MULTI_PRED:
+        cols, pred = MULTI_PRED[rule]
+        return (f"SELECT '{sheet}' AS sheet, submission_id, row_id, '{'+'.join(cols)}' AS field, "
+                f"'{rule}' AS rule, concat_ws(';', {', '.join(cols)}) AS value FROM {cte} WHERE ({pred})")
+    return (f"SELECT '{sheet}' AS sheet, submission_id, row_id, '{field}' AS field, '{rule}' AS rule, "
+            f"CAST({field} AS VARCHAR) AS value FROM {cte} WHERE {field} IS NOT NULL AND ({RULE_PRED[rule](field)})")
+
+
+def rules_sql(*items):
+    return f"WITH {CTE_SHEETS}\n" + "\nUNION ALL ".join(vsql(*i) for i in items)
+
+
+ORACLE["rule_text_length"] = rules_sql(("ds", "documents", "text", "max_length_255"),
+                                       ("ds", "documents", "text", "max_length_500"))
+ORACLE["rule_date"] = rules_sql(("os", "orders", "order_date", "not_date"))
+ORACLE["rule_year_range"] = rules_sql(("os", "orders", "report_year", "year_range"))
+ORACLE["rule_year_min"] = rules_sql(("os", "orders", "planned_year", "year_not_before"))
+ORACLE["rule_email"] = rules_sql(("cs", "customers", "email", "email"))
+ORACLE["rule_percent"] = rules_sql(("ls", "lines", "discount_pct", "percent"), ("ls", "lines", "tax_pct", "percent"))
+ORACLE["rule_nonneg_real"] = rules_sql(("cs", "customers", "balance", "nonneg_real"))
+ORACLE["rule_nonneg_int"] = rules_sql(("ps", "parts", "size", "nonneg_int"),
+                                      ("cs", "customers", "balance", "nonneg_int"))
+ORACLE["rule_yes_no"] = rules_sql(("os", "orders", "flag", "yes_no"))
+ORACLE["rule_enum"] = rules_sql(("cs", "customers", "segment", "one_of"))
+ORACLE["rule_enum_ci"] = rules_sql(("cs", "customers", "segment_ci", "one_of_ci"))
+ORACLE["rule_phone"] = rules_sql(("cs", "customers", "phone", "phone"))
+ORACLE["rule_sum_equals"] = rules_sql(("ls", "lines", None, "sum_equals"))
+ORACLE["rule_sum_at_most"] = rules_sql(("ls", "lines", None, "sum_at_most"))
+ORACLE["rule_le"] = rules_sql(("ls", "lines", None, "at_most"))
+ORACLE["violations_all"] = rules_sql(
+    ("cs", "customers", "email", "email"), ("cs", "customers", "phone", "phone"),
+    ("cs", "customers", "balance", "nonneg_real"), ("cs", "customers", "balance", "nonneg_int"),
+    ("cs", "customers", "segment", "one_of"), ("cs", "customers", "segment_ci", "one_of_ci"),
+    ("cs", "customers", "name", "max_length_255"),
+    ("os", "orders", "order_date", "not_date"), ("os", "orders", "report_year", "year_range"),
+    ("os", "orders", "planned_year", "year_not_before"), ("os", "orders", "flag", "yes_no"),
+    ("ls", "lines", "discount_pct", "percent"), ("ls", "lines", "tax_pct", "percent"),
+    ("ls", "lines", None, "sum_equals"), ("ls", "lines", None, "sum_at_most"), ("ls", "lines", None, "at_most"))
+
+ORACLE["gate_clean_rows"] = f"""WITH {CTE_SHEETS},
+bad AS (SELECT submission_id FROM ls WHERE (tax_pct IS NOT NULL AND ({RULE_PRED['percent']('tax_pct')}))
+        OR ({MULTI_PRED['sum_at_most'][1]}))
+SELECT l_orderkey AS submission_id, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.submission_id = l.l_orderkey)"""
+
+ORACLE["audit_pk"] = """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+
+_FK = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+       ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+       ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+ORACLE["audit_fk"] = "\nUNION ALL ".join(
+    f"SELECT '{c}.{ck}' AS fk, CAST(x.{ck} AS BIGINT) AS key FROM {c} x WHERE x.{ck} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})" for c, ck, p, pk in _FK)
+
+_NN = ["year", "total_price", "priority", "quantity", "tax", "status_priority"]
+ORACLE["audit_not_null"] = f"""WITH {CTE_PANEL},
+c AS (SELECT {', '.join(f'count(*) FILTER (WHERE {x} IS NULL) AS {x}' for x in _NN)} FROM panel)
+SELECT * FROM ({' UNION ALL '.join(f"SELECT '{x}' AS field, {x} AS n_null FROM c" for x in _NN)})
+WHERE n_null > 0"""
+
+ORACLE["drop_missing_subset"] = f"""WITH {CTE_PANEL}
+SELECT entity_id, year, tax, priority FROM panel
+WHERE (CASE WHEN tax IS NULL OR priority IS NULL THEN 0 ELSE 1 END) = 1"""
