@@ -39,6 +39,14 @@ def apply_filters(df: DataFrame, years: Sequence[int] | None = None,
     return df
 
 
+def _years(df: DataFrame, cfg: Mapping) -> list[int]:
+    """The requested years when given (no extra job; a requested year
+    without data gives an empty/0 column), else the years present."""
+    if cfg.get("years"):
+        return sorted(int(y) for y in cfg["years"])
+    return present_years(df)
+
+
 def _numeric_round(df: DataFrame, keep: Sequence[str], scale: int = 2) -> DataFrame:
     """half-even rounding of every numeric column except ``keep``."""
     num = {"double", "float", "decimal"}
@@ -64,7 +72,7 @@ def report_regional_growth(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str
     spec = choose_metrics(agg, cfg.get("metric"), cfg.get("metrics"))
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull() & F.col(g).isNotNull())
-    years = present_years(df)
+    years = _years(df, cfg)
     cells = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
     counts = df.groupBy(g).agg(F.count_distinct(ENTITY).alias("_n"))
     per = F.when(F.col("kind") == "sum", safe_ratio("value", "_n")).otherwise(F.col("value"))
@@ -94,7 +102,7 @@ def report_totals(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> Dat
     spec = dict(agg)
     df = apply_filters(panel, cfg.get("years"), cfg.get("filter_col"), cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
-    years = present_years(df)
+    years = _years(df, cfg)
     long = to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec)
     avg = F.when(F.col("kind") == "sum", safe_ratio("value", "n_entities")).otherwise(F.col("value"))
     stacked = long.select("metric", F.explode(F.array(
@@ -117,7 +125,7 @@ def report_single_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
     spec = choose_metrics(agg, metric=m)
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
-    years = present_years(df)
+    years = _years(df, cfg)
     cells = group_agg(df, [g, YEAR], spec).select(
         g, F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"), F.col(m).alias("v"))
     wide = pivot_labels(cells, [g], "label", [f"y{y}" for y in years], "v", fill=0.0)
@@ -132,7 +140,7 @@ def report_multi_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
     """Every configured metric by group, columns ``<m>_<y>`` (fill 0)."""
     g, spec = cfg["group_col"], dict(agg)
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull())
-    years = present_years(df)
+    years = _years(df, cfg)
     long = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
     long = long.select(g, F.concat_ws("_", "metric", F.col(YEAR).cast("string")).alias("label"), "value")
     labels = [f"{m}_{y}" for m in sorted(spec) for y in years]
@@ -194,7 +202,7 @@ def report_all_entities(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
 # ------------------------------------------------------------------ R9 / R10
 def _year_totals(panel: DataFrame, cfg: Mapping, spec: Mapping[str, str]):
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull())
-    years = present_years(df)
+    years = _years(df, cfg)
     long = to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec)
     long = long.withColumn("per_entity", F.try_divide(F.col("value"), F.col("n_entities")))
     return long, years

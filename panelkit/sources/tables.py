@@ -18,15 +18,33 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+_SCANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return f"{id(spark)}:{spark.sparkContext.applicationId}"
+    except Exception:  # noqa: BLE001 - e.g. a remote session without a context
+        return str(id(spark))
+
+
 class Tables:
-    """Lazy, named access to one folder of Parquet tables."""
+    """Lazy, named access to one folder of Parquet tables.
+
+    The scan DataFrame of each table is built once per session and folder and
+    reused (a DataFrame is immutable), so composing a plan does not re-list
+    files and identical scans stay identical for exchange reuse."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
-            return read_table(self.spark, self.root, name)
+            key = (_session_key(self.spark), self.root, name)
+            df = _SCANS.get(key)
+            if df is None:
+                df = _SCANS[key] = read_table(self.spark, self.root, name)
+            return df
         raise AttributeError(name)
 
     @cached_property
