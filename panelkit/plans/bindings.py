@@ -161,3 +161,39 @@ def exact_ts_join(t: Tables) -> DataFrame:
     j = s["header"].join(s["lines"], ["entity_id", "ts"], "inner")
     j = j.join(s["returned"], ["entity_id", "ts"], "left_semi")
     return j.withColumn("year", F.year("ts").cast("int"))
+
+
+# Query names for the fuzzy matcher: the part name with its tokens swapped and
+# the first one upper-cased, a comma added, the last character dropped, or all
+# of these, chosen by part key.
+PERTURB_SQL = """CASE p_partkey % 4
+  WHEN 0 THEN concat(upper(substr(p_name, length(split_part(p_name, ' ', 1)) + 2)), ' ', split_part(p_name, ' ', 1))
+  WHEN 1 THEN concat(split_part(p_name, ' ', 1), ', ', substr(p_name, length(split_part(p_name, ' ', 1)) + 2))
+  WHEN 2 THEN substr(p_name, 1, length(p_name) - 1)
+  ELSE substr(concat(upper(substr(p_name, length(split_part(p_name, ' ', 1)) + 2)), ', ', split_part(p_name, ' ', 1)),
+              1, length(p_name) + 1)
+END"""
+
+
+def name_registry(t: Tables) -> DataFrame:
+    """Registry for name resolution: one id (smallest part key) per part name."""
+    return t.part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
+
+
+def name_queries(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("query_id"), F.expr(PERTURB_SQL).alias("name"))
+
+
+DICT_KEYS = ["p_type", "p_brand", "p_size"]
+
+
+def known_dictionary(t: Tables) -> DataFrame:
+    """Dictionary built by earlier batches: the (type, brand, size) of parts
+    shipped before 1995-04-01, numbered in key order."""
+    from ..operators.resolve import dense_ids
+    early = (t.lineitem.filter(F.col("l_shipdate") < F.lit("1995-04-01").cast("timestamp_ntz"))
+             .select(F.col("l_partkey").alias("p_partkey")).distinct())
+    keys = t.part.join(early, "p_partkey", "left_semi").select(*DICT_KEYS).distinct()
+    keys = keys.withColumn("_k", F.concat_ws("\u0001", "p_type", "p_brand",
+                                             F.lpad(F.col("p_size").cast("string"), 10, "0")))
+    return dense_ids(keys, "_k", 0, "dict_id").drop("_k")

@@ -512,3 +512,49 @@ def audit_not_null(spark, d):
 def drop_missing_subset(spark, d):
     return B.panel(T(spark, d)).dropna("any", subset=["tax", "priority"]).select(
         "entity_id", "year", "tax", "priority")
+
+
+# ===================================================== step 9-10: resolve, dictionaries
+from ..operators import resolve as RS  # noqa: E402
+
+
+@query
+def fuzzy_best(spark, d):
+    t = T(spark, d)
+    return RS.best_match(B.name_queries(t), B.name_registry(t), threshold=85)
+
+
+@query
+def fuzzy_topk_review(spark, d):
+    t = T(spark, d)
+    out = RS.top_k_review(B.name_queries(t), B.name_registry(t), threshold=70, k=3)
+    return out.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query
+def resolve_or_register(spark, d):
+    t = T(spark, d)
+    res, _new = RS.resolve_or_register(B.name_queries(t), B.name_registry(t), threshold=90)
+    return res
+
+
+@query
+def new_dictionary_rows(spark, d):
+    t = T(spark, d)
+    known = B.known_dictionary(t)
+    batch = t.part.select(*B.DICT_KEYS)
+    fresh = batch.dropna().distinct().join(known.select(*B.DICT_KEYS), B.DICT_KEYS, "left_anti")
+    max_id = known.agg(F.coalesce(F.max("dict_id"), F.lit(0)).alias("m")).first()["m"]
+    fresh = fresh.withColumn("_k", F.concat_ws("\u0001", "p_type", "p_brand",
+                                               F.lpad(F.col("p_size").cast("string"), 10, "0")))
+    return RS.dense_ids(fresh, "_k", int(max_id), "dict_id").drop("_k")
+
+
+@query
+def dictionary_lookup(spark, d):
+    """Detail rows keyed by the natural key get the dictionary id; rows
+    without a dictionary entry are dropped (inner join + dropna)."""
+    t = T(spark, d)
+    known = B.known_dictionary(t)
+    return (t.part.select("p_partkey", *B.DICT_KEYS).join(known, B.DICT_KEYS, "inner")
+            .dropna(subset=["dict_id"]).select("p_partkey", "dict_id"))

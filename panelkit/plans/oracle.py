@@ -639,3 +639,78 @@ WHERE n_null > 0"""
 ORACLE["drop_missing_subset"] = f"""WITH {CTE_PANEL}
 SELECT entity_id, year, tax, priority FROM panel
 WHERE (CASE WHEN tax IS NULL OR priority IS NULL THEN 0 ELSE 1 END) = 1"""
+
+
+# ======================================================= step 9-10: names
+def clean_sql(x):
+    return ("array_to_string(list_sort(list_filter(string_split(trim(lower(regexp_replace("
+            f"{x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), ' '), lambda t: t <> '')), ' ')")
+
+
+def _mask(ch):
+    return ("CAST(list_sum(list_transform(range(length(a)), lambda i: CASE WHEN substr(a, i + 1, 1) = "
+            f"{ch} THEN (1::BIGINT << i) ELSE 0::BIGINT END)) AS BIGINT)")
+
+
+LCS_SQL = ("bit_count(((1::BIGINT << length(a)) - 1) & ~list_reduce(list_prepend((1::BIGINT << length(a)) - 1, "
+           f"list_transform(string_split(b, ''), lambda ch: {_mask('ch')})), "
+           "lambda v, m: ((v + (v & m)) | (v & ~m)) & ((1::BIGINT << length(a)) - 1)))")
+
+CTE_NAMES = f"""reg AS (SELECT min(p_partkey) AS entity_id, p_name AS entity_name FROM part GROUP BY p_name),
+q AS (SELECT p_partkey AS query_id, {B.PERTURB_SQL} AS name FROM part),
+qc AS (SELECT query_id, name AS query_name, {clean_sql('name')} AS qs FROM q),
+rc AS (SELECT entity_id AS candidate_id, entity_name AS candidate_name, {clean_sql('entity_name')} AS rs FROM reg),
+uq AS (SELECT DISTINCT qs FROM qc WHERE length(qs) > 0),
+ur AS (SELECT DISTINCT rs FROM rc WHERE length(rs) > 0),
+pairs AS (SELECT qs, rs, CASE WHEN length(qs) <= length(rs) THEN qs ELSE rs END AS a,
+                 CASE WHEN length(qs) <= length(rs) THEN rs ELSE qs END AS b FROM uq, ur),
+lcs AS (SELECT qs, rs, CAST(length(qs) + length(rs) AS DOUBLE) AS lsum, CAST({LCS_SQL} AS DOUBLE) AS l FROM pairs),
+sc AS (SELECT qs, rs, CAST(round_even((1.0::DOUBLE - (lsum - 2.0::DOUBLE * l) / lsum) * 100.0::DOUBLE, 0) AS INTEGER)
+              AS score FROM lcs),
+first_id AS (SELECT rs, min(candidate_id) AS candidate_id FROM rc GROUP BY rs)"""
+
+
+def _best(t):
+    return f"""best AS (SELECT sc.qs, f.candidate_id, sc.score FROM sc JOIN first_id f ON sc.rs = f.rs
+          WHERE sc.score >= {t}
+          QUALIFY row_number() OVER (PARTITION BY sc.qs ORDER BY sc.score DESC, f.candidate_id) = 1)"""
+
+
+ORACLE["fuzzy_best"] = f"""WITH {CTE_NAMES}, {_best(85)}
+SELECT qc.query_id, qc.query_name, b.candidate_id AS matched_id, b.score FROM qc LEFT JOIN best b ON qc.qs = b.qs"""
+
+ORACLE["fuzzy_topk_review"] = f"""WITH {CTE_NAMES},
+rk_ids AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY rs ORDER BY candidate_id) <= 3),
+top AS (SELECT sc.qs, r.candidate_id, r.candidate_name, sc.score,
+               CAST(row_number() OVER (PARTITION BY sc.qs ORDER BY sc.score DESC, r.candidate_id) AS INTEGER) AS rank
+        FROM sc JOIN rk_ids r ON sc.rs = r.rs WHERE sc.score >= 70 QUALIFY rank <= 3),
+top2 AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY qs) = 100 THEN 'exact' ELSE 'review' END AS decision FROM top)
+SELECT qc.query_id, qc.query_name, t.candidate_id, t.candidate_name, t.score, t.rank,
+       coalesce(t.decision, 'new') AS decision
+FROM qc LEFT JOIN top2 t ON qc.qs = t.qs"""
+
+ORACLE["resolve_or_register"] = f"""WITH {CTE_NAMES}, {_best(90)},
+res AS (SELECT qc.query_id, qc.query_name, b.candidate_id AS matched_id FROM qc LEFT JOIN best b ON qc.qs = b.qs),
+newn AS (SELECT DISTINCT query_name FROM res WHERE matched_id IS NULL AND query_name IS NOT NULL),
+newids AS (SELECT query_name, (SELECT coalesce(max(entity_id), 0) FROM reg) + row_number() OVER (ORDER BY query_name) AS new_id
+           FROM newn)
+SELECT r.query_id, r.query_name, coalesce(r.matched_id, n.new_id) AS resolved_id, r.matched_id IS NULL AS is_new
+FROM res r LEFT JOIN newids n ON r.query_name = n.query_name"""
+
+CTE_DICT = """early AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-04-01'),
+known AS (SELECT p_type, p_brand, p_size,
+                 row_number() OVER (ORDER BY p_type, p_brand, p_size) AS dict_id
+          FROM (SELECT DISTINCT p_type, p_brand, p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM early)))"""
+
+ORACLE["new_dictionary_rows"] = f"""WITH {CTE_DICT},
+fresh AS (SELECT DISTINCT p_type, p_brand, p_size FROM part p
+          WHERE p_type IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM known k WHERE k.p_type = p.p_type AND k.p_brand = p.p_brand
+                            AND k.p_size = p.p_size))
+SELECT p_type, p_brand, p_size,
+       (SELECT coalesce(max(dict_id), 0) FROM known) + row_number() OVER (ORDER BY p_type, p_brand, p_size) AS dict_id
+FROM fresh"""
+
+ORACLE["dictionary_lookup"] = f"""WITH {CTE_DICT}
+SELECT p.p_partkey, k.dict_id FROM part p JOIN known k
+  ON p.p_type = k.p_type AND p.p_brand = k.p_brand AND p.p_size = k.p_size"""
