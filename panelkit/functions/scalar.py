@@ -41,7 +41,7 @@ WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 
 def strip_ws(c: str | Column) -> Column:
     """Remove every kind of leading/trailing white space (Python str.strip)."""
-    return F.regexp_replace(col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.regexp_replace(col(c), f"\\A{WS_CLASS}+|{WS_CLASS}+\\z", "")
 
 
 def to_number(c: str | Column) -> Column:

@@ -558,3 +558,46 @@ def dictionary_lookup(spark, d):
     known = B.known_dictionary(t)
     return (t.part.select("p_partkey", *B.DICT_KEYS).join(known, B.DICT_KEYS, "inner")
             .dropna(subset=["dict_id"]).select("p_partkey", "dict_id"))
+
+
+# ===================================================== step 9: reshape
+from ..operators import reshape as RP  # noqa: E402
+
+# Header map and table split of the bound order sheet.
+ORDER_HEADERS = {"o_orderkey": "submission_id", "o_custkey": "entity_id", "o_orderdate": "datum",
+                 "o_totalprice": "total_price", "o_orderstatus": "status",
+                 "o_orderpriority": "priority", "o_missing_header": "ignored"}
+ORDER_TABLES = {"header": ["entity_id", "datum"], "money": ["total_price"],
+                "flags": ["status", "priority"]}
+PRIORITY_MAP = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium"}
+
+
+@query
+def rename_split(spark, d):
+    wide = RP.rename(T(spark, d).orders, ORDER_HEADERS)
+    return RP.split(wide, ORDER_TABLES, keep=["submission_id"])["flags"]
+
+
+@query
+def recode_yes_no(spark, d):
+    o = S.orders(T(spark, d))
+    return o.select("submission_id", "flag", RP.recode_yes_no("flag").alias("flag_code"))
+
+
+@query
+def recode_map(spark, d):
+    o = T(spark, d).orders
+    return o.select("o_orderkey", RP.recode_map("o_orderpriority", PRIORITY_MAP).alias("priority_code"))
+
+
+@query
+def explode_list(spark, d):
+    return RP.explode_list(T(spark, d).documents, "text", ["doc_id"])
+
+
+@query
+def defaults(spark, d):
+    o = S.orders(T(spark, d)).select("submission_id", "flag")
+    return RP.with_defaults(o, {"year": F.lit(S.AS_OF_YEAR - 1),
+                                "datum": F.lit("2024-06-30 00:00:00").cast("timestamp_ntz"),
+                                "active": F.lit(1), "flag": F.lit("ignored")})

@@ -563,7 +563,7 @@ RULE_PRED = {
     "nonneg_int": lambda x: f"{_d(x)} IS NULL OR {_d(x)} < 0 OR {_d(x)} <> floor({_d(x)})",
     "yes_no": lambda x: f"lower({x}) NOT IN ('igen', 'nem')",
     "one_of": lambda x: f"{x} NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')",
-    "one_of_ci": lambda x: (f"lower(regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')) "
+    "one_of_ci": lambda x: (f"lower(regexp_replace({x}, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) "
                             f"NOT IN ('automobile', 'building', 'furniture', 'machinery')"),
 }
 
@@ -714,3 +714,24 @@ FROM fresh"""
 ORACLE["dictionary_lookup"] = f"""WITH {CTE_DICT}
 SELECT p.p_partkey, k.dict_id FROM part p JOIN known k
   ON p.p_type = k.p_type AND p.p_brand = k.p_brand AND p.p_size = k.p_size"""
+
+
+# ======================================================= step 9: reshape
+ORACLE["rename_split"] = "SELECT o_orderkey AS submission_id, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
+
+ORACLE["recode_yes_no"] = f"""WITH {CTE_SHEETS}
+SELECT submission_id, flag,
+       CASE WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'igen' THEN 1
+            WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'nem' THEN 0 END AS flag_code
+FROM os"""
+
+ORACLE["recode_map"] = """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high'
+       WHEN '3-MEDIUM' THEN 'medium' END AS priority_code FROM orders"""
+
+ORACLE["explode_list"] = f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+       regexp_replace(raw, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g') AS item
+FROM (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw
+      FROM (SELECT doc_id, string_split(text, ',') AS parts FROM documents WHERE text IS NOT NULL))"""
+
+ORACLE["defaults"] = f"""WITH {CTE_SHEETS}
+SELECT submission_id, flag, 2023 AS year, TIMESTAMP '2024-06-30 00:00:00' AS datum, 1 AS active FROM os"""
