@@ -601,3 +601,43 @@ def defaults(spark, d):
     return RP.with_defaults(o, {"year": F.lit(S.AS_OF_YEAR - 1),
                                 "datum": F.lit("2024-06-30 00:00:00").cast("timestamp_ntz"),
                                 "active": F.lit(1), "flag": F.lit("ignored")})
+
+
+# ===================================================== step 11: ingest, runner
+LINE_TABLES = {"lines": {"line_money": ["quantity", "discount"], "line_rates": ["tax"]}}
+LINE_TYPES = {"quantity": "double", "discount": "double", "tax": "double"}
+LINE_WHITELIST = {"line_money": ["submission_id", "row_id", "quantity", "discount"],
+                  "line_rates": ["submission_id", "row_id", "tax"]}
+
+
+@query
+def ingest_append_roundtrip(spark, d):
+    """R17 + S6: validate the staged lines, hold back offending orders, cast,
+    split and append to a fresh folder under the shared checkpoint folder;
+    the result is the appended table read back."""
+    import uuid
+
+    from ..session import shared_path
+    from .ingest import ingest
+    t = T(spark, d)
+    root = shared_path(spark, "ingest", uuid.uuid4().hex)
+    out = ingest({"lines": S.lines(t)}, {"lines": [Q.percent(["tax_pct"])]}, LINE_TABLES, LINE_TYPES,
+                 root, LINE_WHITELIST)
+    return spark.read.parquet(out["written"]["line_money"])
+
+
+BATCH = [dict(TOTALS_CFG, name="totals", agg="full"), dict(GROWTH_CFG, name="growth", agg="small"),
+         dict(EMAIL_CFG, name="emails"), dict(MISSING_CFG, name="missing"),
+         {"type": "no_such_report", "name": "broken"}]
+
+
+@query
+def run_batch(spark, d):
+    """One persisted panel, several reports, failures isolated; the
+    result lists the row count of every report section."""
+    from .runner import Context, run_batch as _run
+    t = T(spark, d)
+    ctx = Context(B.AGG, B.management_latest(t), B.management_emails(t))
+    counts, failures = _run(B.panel(t), BATCH, ctx)
+    rows = counts + [(name, "failed", -1) for name, _ in failures]
+    return spark.createDataFrame(rows, "report string, section string, n_rows long")

@@ -538,7 +538,8 @@ ls AS (SELECT l_orderkey AS submission_id, CAST(l_linenumber AS BIGINT) AS row_i
               CAST(CAST(l_discount * 100 AS DECIMAL(18,2)) AS VARCHAR) AS discount_pct,
               CAST(CAST(l_tax * 1500 AS DECIMAL(18,2)) AS VARCHAR) AS tax_pct,
               CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) AS discount,
-              CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS tax FROM lineitem),
+              CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS tax,
+              CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS quantity FROM lineitem),
 ps AS (SELECT p_partkey AS submission_id, p_partkey AS row_id, CAST(p_size AS VARCHAR) AS size FROM part),
 ds AS (SELECT doc_id AS submission_id, doc_id AS row_id, text FROM documents)"""
 
@@ -735,3 +736,21 @@ FROM (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw
 
 ORACLE["defaults"] = f"""WITH {CTE_SHEETS}
 SELECT submission_id, flag, 2023 AS year, TIMESTAMP '2024-06-30 00:00:00' AS datum, 1 AS active FROM os"""
+
+
+# ======================================================= step 11
+ORACLE["ingest_append_roundtrip"] = f"""WITH {CTE_SHEETS},
+bad AS (SELECT DISTINCT submission_id FROM ls WHERE tax_pct IS NOT NULL AND ({RULE_PRED['percent']('tax_pct')}))
+SELECT submission_id, row_id, TRY_CAST(quantity AS DOUBLE) AS quantity, TRY_CAST(discount AS DOUBLE) AS discount
+FROM ls l WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.submission_id = l.submission_id)"""
+
+
+def _count(report, section, key):
+    return f"SELECT '{report}' AS report, '{section}' AS section, CAST(count(*) AS BIGINT) AS n_rows FROM ({ORACLE[key]})"
+
+
+ORACLE["run_batch"] = "\nUNION ALL ".join([
+    _count("totals", "main", "report_totals"), _count("growth", "main", "report_regional_growth"),
+    _count("emails", "email_list", "contact_list"), _count("emails", "details", "contact_details"),
+    _count("missing", "missing", "missing_panel"),
+    "SELECT 'broken' AS report, 'failed' AS section, CAST(-1 AS BIGINT) AS n_rows"])
