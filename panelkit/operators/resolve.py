@@ -52,14 +52,13 @@ def with_lcs_native(df: DataFrame, a: str, b: str, out: str = "_lcs") -> DataFra
 
     The per-character masks of ``a`` and the bit mask are materialised as
     columns first, so the fold over ``b`` only reads them."""
-    ca = F.split(F.col(a), "")
-    m = F.length(a)
+    df = df.withColumn("_ca", F.split(F.col(a), ""))
+    ca, m = F.col("_ca"), F.length(a)
     distinct = F.array_distinct(ca)
     masks = F.map_from_arrays(distinct, F.transform(distinct, lambda ch: F.aggregate(
-        F.sequence(F.lit(0), m - 1), F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseOR(F.when(F.element_at(ca, i + 1) == ch, _shl1(i))
-                                     .otherwise(F.lit(0).cast("long"))))))
-    df = df.withColumns({"_masks": masks, "_full": _shl1(m) - 1})
+        F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.element_at(ca, i + 1) == ch),
+        F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(_shl1(i)))))
+    df = df.withColumns({"_masks": masks, "_full": _shl1(m) - 1}).drop("_ca")
     full, mks = F.col("_full"), F.col("_masks")
 
     def step(v, ch):
@@ -88,8 +87,8 @@ def _lcs_py(a: str, b: str) -> int:
 
 
 @F.pandas_udf(T.IntegerType())
-def lcs_long(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Fallback for pairs where both names exceed 62 characters."""
+def lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """LCS length of each pair in an Arrow batch (any length)."""
     return pd.Series([_lcs_py(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
@@ -99,16 +98,23 @@ def score_expr(la: Column, lb: Column, lcs: Column) -> Column:
     return F.when(lsum > 0, F.bround(raw, 0)).otherwise(F.lit(0.0)).cast("int")
 
 
-def score_pairs(pairs: DataFrame, a: str = "qs", b: str = "rs") -> DataFrame:
-    """Add ``score`` to a frame of cleaned name pairs (shorter one is the
-    bit-parallel pattern; both longer than 62 -> pandas UDF)."""
-    la, lb = F.length(a), F.length(b)
-    pairs = pairs.withColumns({"_s": F.when(la <= lb, F.col(a)).otherwise(F.col(b)),
-                               "_l": F.when(la <= lb, F.col(b)).otherwise(F.col(a))})
-    fits = F.length("_s") <= NATIVE_MAX
-    native = with_lcs_native(pairs.filter(fits), "_s", "_l")
-    slow = pairs.filter(~fits).withColumn("_lcs", lcs_long(F.col(a), F.col(b)))
-    both = native.unionByName(slow).drop("_s", "_l")
+def score_pairs(pairs: DataFrame, a: str = "qs", b: str = "rs", native: bool = False) -> DataFrame:
+    """Add ``score`` to a frame of cleaned name pairs.
+
+    Default: the LCS comes from the Arrow-batched ``lcs_batch`` UDF (a short
+    loop per pair on Python integers). ``native=True`` uses the pure-SQL
+    bit-parallel form instead (no Python workers, but Spark interprets
+    higher-order functions row by row: measured ~40x slower per pair)."""
+    if native:
+        la, lb = F.length(a), F.length(b)
+        pairs = pairs.withColumns({"_s": F.when(la <= lb, F.col(a)).otherwise(F.col(b)),
+                                   "_l": F.when(la <= lb, F.col(b)).otherwise(F.col(a))})
+        fits = F.length("_s") <= NATIVE_MAX
+        nat = with_lcs_native(pairs.filter(fits), "_s", "_l")
+        slow = pairs.filter(~fits).withColumn("_lcs", lcs_batch(F.col(a), F.col(b)))
+        both = nat.unionByName(slow).drop("_s", "_l")
+    else:
+        both = pairs.withColumn("_lcs", lcs_batch(F.col(a), F.col(b)))
     return both.withColumn("score", score_expr(F.length(a), F.length(b), F.col("_lcs"))).drop("_lcs")
 
 
@@ -128,12 +134,14 @@ def _prefix_len(length: Column, t: float) -> Column:
 
 
 def _keys(names: DataFrame, col: str) -> DataFrame:
-    """Multiset character keys: (name, char + occurrence number)."""
-    chars = F.split(F.col(col), "")
+    """Multiset character keys: (name, char + occurrence number). In the
+    sorted character array the occurrence number is the distance to the
+    first position of the same character."""
+    arr = names.select(F.col(col).alias("s"), F.array_sort(F.split(F.col(col), "")).alias("_c"))
+    chars = F.col("_c")
     keyed = F.transform(chars, lambda ch, i: F.concat(
-        ch, F.lit("\u0001"),
-        F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch)).cast("string")))
-    return names.select(F.col(col).alias("s"), F.explode(keyed).alias("key"))
+        ch, F.lit("\u0001"), (i - F.array_position(chars, ch) + 2).cast("string")))
+    return arr.select("s", F.explode(keyed).alias("key"))
 
 
 def candidates(q: DataFrame, r: DataFrame, threshold: float) -> DataFrame:
