@@ -134,8 +134,10 @@ def management_latest(t: Tables) -> DataFrame:
 def management_emails(t: Tables) -> DataFrame:
     """One row per entity, its contact e-mails sorted and '; '-joined."""
     from ..operators.aggregate import joined_distinct
-    return (management_latest(t).groupBy("entity_id")
-            .agg(joined_distinct("management_email").alias("management_email")))
+    # distinct (entity, address) first: duplicates are removed across tasks,
+    # so a hot entity only brings its distinct addresses to its group
+    pairs = management_latest(t).select("entity_id", "management_email").distinct()
+    return pairs.groupBy("entity_id").agg(joined_distinct("management_email").alias("management_email"))
 
 
 def submissions(t: Tables) -> dict[str, DataFrame]:

@@ -754,3 +754,6 @@ ORACLE["run_batch"] = "\nUNION ALL ".join([
     _count("emails", "email_list", "contact_list"), _count("emails", "details", "contact_details"),
     _count("missing", "missing", "missing_panel"),
     "SELECT 'broken' AS report, 'failed' AS section, CAST(-1 AS BIGINT) AS n_rows"])
+
+ORACLE["safe_pct"] = ORACLE["safe_pct_query"]
+ORACLE["round_by_kind"] = ORACLE["round_by_kind_query"]
