@@ -592,7 +592,8 @@ def recode_map(spark, d):
 
 @query
 def explode_list(spark, d):
-    return RP.explode_list(T(spark, d).documents, "text", ["doc_id"])
+    from ..sources.tables import spread
+    return RP.explode_list(spread(T(spark, d).documents), "text", ["doc_id"])
 
 
 @query

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from .bindings import EMAIL_SQL, PHONE_SQL
 
 # The reference-year bounds of the rule bindings (as_of is a
@@ -25,7 +25,7 @@ def dec_text(expr: str, scale: int = 2) -> F.Column:
 
 
 def customers(t: Tables) -> DataFrame:
-    return t.customer.select(
+    return spread(t.customer).select(
         F.col("c_custkey").alias("submission_id"), F.col("c_custkey").alias("row_id"),
         F.col("c_name").alias("name"), F.expr(EMAIL_SQL).alias("email"),
         F.expr(PHONE_SQL).alias("phone"), dec_text("c_acctbal").alias("balance"),
@@ -34,7 +34,7 @@ def customers(t: Tables) -> DataFrame:
 
 
 def orders(t: Tables) -> DataFrame:
-    return t.orders.select(
+    return spread(t.orders).select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_orderkey").alias("row_id"),
         F.expr("concat(CAST(year(o_orderdate) AS STRING), '-', "
                "lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', "
@@ -46,7 +46,7 @@ def orders(t: Tables) -> DataFrame:
 
 
 def lines(t: Tables) -> DataFrame:
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").cast("long").alias("row_id"),
         dec_text("l_discount * 100").alias("discount_pct"), dec_text("l_tax * 1500").alias("tax_pct"),
         dec_text("l_discount").alias("discount"), dec_text("l_tax").alias("tax"),
@@ -54,10 +54,10 @@ def lines(t: Tables) -> DataFrame:
 
 
 def parts(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"),
+    return spread(t.part).select(F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"),
                          F.col("p_size").cast("string").alias("size"), "p_name", "p_type", "p_brand")
 
 
 def documents(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("submission_id"), F.col("doc_id").alias("row_id"),
+    return spread(t.documents).select(F.col("doc_id").alias("submission_id"), F.col("doc_id").alias("row_id"),
                               "text")

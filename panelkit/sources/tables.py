@@ -55,3 +55,14 @@ class Tables:
         """Expose every table as a temp view for ``spark.sql`` users."""
         for n in DRIVER_TABLES:
             read_table(self.spark, self.root, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer partitions than there are cores
+    (small files with one row group) before CPU-heavy row-wise work. On large
+    inputs the scan already has at least that many splits and nothing is
+    added, so this never costs a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
