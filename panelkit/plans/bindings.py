@@ -80,9 +80,12 @@ def orders_versions(t: Tables) -> DataFrame:
 
 @memo
 def orders_latest(t: Tables) -> DataFrame:
-    """W1 on the yearly master data: newest order per (customer, year)."""
+    """W1 on the yearly master data: newest order per (customer, year).
+    Hashed on the entity alone, which the (entity, year) window accepts and
+    the registry join on the entity then reuses (one exchange less)."""
     return latest_by(orders_versions(t), ["entity_id", "year"],
-                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()],
+                     pre_partition=["entity_id"])
 
 
 @memo
