@@ -31,7 +31,8 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     ``order`` must end in a unique column (the ingest sequence or primary
     key), otherwise ties make the pick arbitrary. ``pre_partition`` hashes on
     a subset of the keys first so that a later join on that subset reuses the
-    partitioning (used for the three-key fact joined on two keys)."""
+    partitioning; it ships raw rows (the partial WindowGroupLimit then runs
+    after the shuffle), so use it only where keys cannot be hot."""
     if not order:
         raise ValueError("latest_by needs an explicit order ending in a unique column")
     if pre_partition:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.latest import latest_by
 from ..operators.panel import assemble_panel, entity_base, reduce_fact
-from ..sources.tables import Tables, _session_key
+from ..sources.tables import Tables, _session_key, spread
 
 _PLANS: dict[tuple, DataFrame] = {}
 
@@ -71,7 +71,7 @@ def registry(t: Tables) -> DataFrame:
 
 @memo
 def orders_versions(t: Tables) -> DataFrame:
-    o = t.orders
+    o = spread(t.orders)
     return o.select(F.col("o_custkey").alias("entity_id"),
                     F.year("o_orderdate").cast("int").alias("year"),
                     "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice",
@@ -81,11 +81,11 @@ def orders_versions(t: Tables) -> DataFrame:
 @memo
 def orders_latest(t: Tables) -> DataFrame:
     """W1 on the yearly master data: newest order per (customer, year).
-    Hashed on the entity alone, which the (entity, year) window accepts and
-    the registry join on the entity then reuses (one exchange less)."""
+    No pre-partitioning: the partial WindowGroupLimit before the shuffle keeps
+    one row per key and map task, so a hot customer never ships its raw rows
+    to a single task."""
     return latest_by(orders_versions(t), ["entity_id", "year"],
-                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()],
-                     pre_partition=["entity_id"])
+                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
 @memo
@@ -104,11 +104,12 @@ def fact_orders(t: Tables) -> DataFrame:
 @memo
 def fact_lines(t: Tables) -> DataFrame:
     """Newest line per (customer, ship year). Lines are first reduced to the
-    newest per (order, ship year) on the order-key partitioning the join to
-    orders needs anyway, so only those rows cross the join."""
-    li = t.lineitem.withColumn("year", F.year("l_shipdate").cast("int"))
+    newest per (order, ship year) -- map-side, by the partial WindowGroupLimit
+    -- so only those rows cross the join with orders; a hot order key is cut
+    to one row per map task before any shuffle."""
+    li = spread(t.lineitem).withColumn("year", F.year("l_shipdate").cast("int"))
     order = [F.col(c).desc() for c in LINE_ORDER]
-    per_order = latest_by(li, ["l_orderkey", "year"], order, pre_partition=["l_orderkey"])
+    per_order = latest_by(li, ["l_orderkey", "year"], order)
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"),
                         F.col("o_custkey").alias("entity_id"))
     joined = per_order.join(o, "l_orderkey")
@@ -122,11 +123,10 @@ def fact_lines(t: Tables) -> DataFrame:
 
 @memo
 def status_latest(t: Tables) -> DataFrame:
-    """W1 with a three-column key; hashed on (entity, year) first so the
-    reduction and the panel join below need no further exchange."""
+    """W1 with a three-column key (map-side partial limit, then the
+    first-non-null reduction to (entity, year) with partial aggregation)."""
     return latest_by(orders_versions(t), ["entity_id", "year", "o_orderstatus"],
-                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()],
-                     pre_partition=["entity_id", "year"])
+                     [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
 @memo
