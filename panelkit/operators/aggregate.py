@@ -103,8 +103,16 @@ def distinct_list(df: DataFrame, c: str) -> DataFrame:
 
 def present_years(df: DataFrame, year_col: str = "year",
                   candidates: Sequence[int] | None = None) -> list[int]:
-    """The sorted set of years present. A handful of values: collected."""
+    """The sorted set of years present. These become pivot columns, so
+    the collect is bounded like Spark's own pivot-value discovery: more than
+    ``spark.sql.pivotMaxValues`` distinct years is an error, not a larger
+    driver result."""
     if candidates is not None:
         df = df.filter(F.col(year_col).isin(list(candidates)))
-    rows = df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct().collect()
+    cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    rows = (df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct()
+              .limit(cap + 1).collect())
+    if len(rows) > cap:
+        raise ValueError(f"more than {cap} distinct values in {year_col!r} (spark.sql.pivotMaxValues); "
+                         "pass the years explicitly")
     return sorted(r.y for r in rows)

@@ -79,3 +79,17 @@ def test_missing_report(panel, spark):
     out = {r.entity_id: r for r in R.report_missing(panel, {"year": 2022}, joined).collect()}
     # entity 4 has no year at all, entity 2 is inactive, 1 and 3 reported 2022
     assert set(out) == {4} and out[4].email == "d@x.hu" and out[4].management_email == ""
+
+
+def test_present_years_is_bounded_by_pivot_max_values(spark):
+    from panelkit.operators.aggregate import present_years
+    df = spark.range(0, 40).select((F.col("id") % 12 + 2000).cast("int").alias("year"))
+    assert present_years(df) == list(range(2000, 2012))
+    old = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        with pytest.raises(ValueError, match="pivotMaxValues"):
+            present_years(df)
+        assert present_years(df, candidates=[2000, 2003, 2030]) == [2000, 2003]
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", old)
