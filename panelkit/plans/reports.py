@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_by_kind, round_even, safe_pct, safe_ratio
@@ -302,12 +302,21 @@ def yearly_summary(latest_rows: DataFrame, sums: Sequence[str], means: Sequence[
 
 def compare_years(summary: DataFrame, y1: int, y2: int, value_cols: Sequence[str]) -> DataFrame:
     """The two yearly rows and their difference row (W6, U2); fewer than
-    two rows -> no result (empty frame with the same columns)."""
-    from pyspark.sql import Window
+    two rows -> no result (empty frame with the same columns).
 
-    from ..operators.change import pair_diff
+    One global aggregate over the per-year summary (partial, then one row)
+    picks both rows' values and counts the years found; ``inline`` turns that
+    row into the year rows and the difference row -- no window over the whole
+    frame and no join."""
     both = summary.filter(F.col(YEAR).isin([y1, y2]))
-    out = pair_diff(both, YEAR, y1, y2, value_cols, label_col="label", label="difference")
-    # at most three rows reach this window, so one partition is fine
-    n_years = F.sum(F.when(F.col("label") != "difference", 1).otherwise(0)).over(Window.partitionBy())
-    return out.withColumn("_n", n_years).filter(F.col("_n") == 2).drop("_n")
+    pick = [F.max(F.when(F.col(YEAR) == y, F.col(c))).alias(f"_{i}_{c}")
+            for i, y in enumerate((y1, y2)) for c in value_cols]
+    one = both.agg(F.count_distinct(YEAR).alias("_n"), *pick)
+
+    def row(label: str, vals) -> Column:
+        return F.struct(F.lit(label).alias("label"), *[v.alias(c) for c, v in zip(value_cols, vals)])
+
+    a = [F.col(f"_0_{c}") for c in value_cols]
+    b = [F.col(f"_1_{c}") for c in value_cols]
+    rows = F.array(row(str(y1), a), row(str(y2), b), row("difference", [x - y for x, y in zip(b, a)]))
+    return one.filter(F.col("_n") == 2).select(F.inline(rows))

@@ -5,6 +5,8 @@ from panelkit.functions.scalar import round_even, safe_pct
 from panelkit.operators.aggregate import group_agg, joined_distinct
 from panelkit.plans import reports as R
 
+from conftest import rows
+
 AGG = {"s": "sum", "m": "mean"}
 
 
@@ -93,3 +95,14 @@ def test_present_years_is_bounded_by_pivot_max_values(spark):
         assert present_years(df, candidates=[2000, 2003, 2030]) == [2000, 2003]
     finally:
         spark.conf.set("spark.sql.pivotMaxValues", old)
+
+
+def test_compare_years_difference_row_and_missing_year(spark):
+    summary = spark.createDataFrame([(2020, 3, 10.0), (2021, 5, None), (2022, 4, 7.5)],
+                                    "year int, n int, s double")
+    got = rows(R.compare_years(summary, 2020, 2022, ["n", "s"]), "label", "n", "s")
+    assert got == [("2020", 3, 10.0), ("2022", 4, 7.5), ("difference", 1, -2.5)]
+    nulls = rows(R.compare_years(summary, 2021, 2022, ["n", "s"]), "label", "n", "s")
+    assert ("difference", -1, None) in nulls and len(nulls) == 3
+    assert R.compare_years(summary, 2020, 2030, ["n", "s"]).count() == 0
+    assert R.compare_years(summary, 2020, 2020, ["n", "s"]).count() == 0
