@@ -177,15 +177,23 @@ def submissions(t: Tables) -> dict[str, DataFrame]:
     header = (o.groupBy(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts"))
                .agg(F.count(F.lit(1)).alias("n_orders"),
                     F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price")))
-    lines = t.lineitem.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"),
-                            "l_orderkey")
-    line_tot = (lines.groupBy(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts"))
-                .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
-                     F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("extended_price"),
-                     F.try_divide(F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double"),
-                                  F.count("l_discount").cast("double")).alias("discount")))
-    returned = (lines.filter(F.col("l_returnflag") == "R")
-                .select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts")))
+    # Lines are summed per order first (exact decimal sums; partial
+    # aggregation cuts a hot order to one row per map task), so the join with
+    # orders is one-to-one and raw lines never cross it.
+    per_order = (t.lineitem.groupBy("l_orderkey")
+                 .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"),
+                      F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("x"),
+                      F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("d"),
+                      F.count("l_discount").alias("nd"),
+                      F.max(F.col("l_returnflag") == "R").alias("has_return")))
+    lines = per_order.join(o.select(F.col("o_orderkey").alias("l_orderkey"),
+                                    F.col("o_custkey").alias("entity_id"),
+                                    F.col("o_orderdate").alias("ts")), "l_orderkey")
+    line_tot = (lines.groupBy("entity_id", "ts")
+                .agg(F.sum("q").cast("double").alias("quantity"),
+                     F.sum("x").cast("double").alias("extended_price"),
+                     F.try_divide(F.sum("d").cast("double"), F.sum("nd").cast("double")).alias("discount")))
+    returned = lines.filter(F.col("has_return")).select("entity_id", "ts").distinct()
     return {"header": header, "lines": line_tot, "returned": returned}
 
 
