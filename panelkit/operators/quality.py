@@ -181,8 +181,10 @@ def violations(df: DataFrame, rules: Sequence[Rule], id_cols: Sequence[str],
                          F.lit(None).cast("string").alias("field"),
                          F.lit(None).cast("string").alias("rule"),
                          F.lit(None).cast("string").alias("value")).limit(0)
-    arr = F.filter(F.array(*exprs), lambda x: x.isNotNull())
-    return (df.select(*id_cols, F.explode(arr).alias("v"))
+    # explode + a plain null filter stay inside whole-stage codegen (a
+    # higher-order ``filter`` over the array would be interpreted per row)
+    return (df.select(*id_cols, F.explode(F.array(*exprs)).alias("v"))
+              .filter(F.col("v").isNotNull())
               .select(F.lit(sheet).alias("sheet"), *id_cols, "v.field", "v.rule", "v.value"))
 
 
