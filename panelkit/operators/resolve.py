@@ -37,9 +37,10 @@ _EPS = 1e-9
 def clean_sorted(c: str | Column) -> Column:
     """Token-sort processing of a name (NULL stays NULL)."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    toks = F.filter(F.split(F.trim(s), " "), lambda x: x != "")
-    return F.array_join(F.array_sort(toks), " ")
+    # every run of non-alphanumerics became one space, so after trim the
+    # tokens are non-empty (an empty name gives [""], which joins to "")
+    s = F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
+    return F.array_join(F.array_sort(F.split(s, " ")), " ")
 
 
 def _shl1(n: Column) -> Column:
