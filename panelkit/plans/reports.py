@@ -275,12 +275,14 @@ def report_missing(panel: DataFrame, cfg: Mapping, joined: DataFrame) -> DataFra
     df = apply_filters(df, None, cfg.get("filter_col"), cfg.get("filter_values"))
     have = df.filter(F.col(YEAR) == int(cfg["year"])).select(ENTITY)
     miss = df.join(have, ENTITY, "left_anti").dropna(subset=[ENTITY, "entity_name"])
-    out = (miss.join(joined, ENTITY, "left")
-               .groupBy(ENTITY, "entity_name")
-               .agg(F.expr("min_by(email, coalesce(year, -1)) FILTER (WHERE email IS NOT NULL)")
-                    .alias("email"),
-                    joined_distinct("management_email").alias("management_email")))
-    return out
+    # one row per entity first, so the join with the (per-entity) contacts is
+    # one-to-one on reduced rows; '' when the entity has no contact e-mail
+    per_entity = (miss.groupBy(ENTITY, "entity_name")
+                      .agg(F.expr("min_by(email, coalesce(year, -1)) FILTER (WHERE email IS NOT NULL)")
+                           .alias("email")))
+    mg = joined.groupBy(ENTITY).agg(joined_distinct("management_email").alias("management_email"))
+    return (per_entity.join(mg, ENTITY, "left")
+                      .withColumn("management_email", F.coalesce("management_email", F.lit(""))))
 
 
 def missing_submissions(registry: DataFrame, fact: DataFrame, year: int,
