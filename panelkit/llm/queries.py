@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, counts
+from . import bpe, counts, pfor
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op8_pfor_files": pfor.op8_pfor_files,
     "op10_token_counts": counts.op10_token_counts,
 }
 

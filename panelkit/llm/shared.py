@@ -62,7 +62,7 @@ def add_columns(df: DataFrame, text: str, fields: str,
     carried = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([df.schema[c] for c in carried] + list(added))
     from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(added, timezone="UTC")
+    arrow = to_arrow_schema(added)
 
     def run(batches):
         fn = make()
