@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, pfor
+from . import bpe, counts, mixing, packing, pfor, sketch
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op4_best_fit_shards": packing.op4_best_fit_shards,
+    "op5_temperature_mixing": mixing.op5_temperature_mixing,
+    "op7_bottom_k_sketch": sketch.op7_bottom_k_sketch,
     "op8_pfor_files": pfor.op8_pfor_files,
     "op10_token_counts": counts.op10_token_counts,
 }
