@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, mixing, packing, pfor, sketch
+from . import bpe, counts, mixing, ngram_join, packing, pfor, sketch
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op4_best_fit_shards": packing.op4_best_fit_shards,
     "op5_temperature_mixing": mixing.op5_temperature_mixing,
+    "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_bottom_k_sketch": sketch.op7_bottom_k_sketch,
     "op8_pfor_files": pfor.op8_pfor_files,
     "op10_token_counts": counts.op10_token_counts,

@@ -3,7 +3,10 @@ Arrow passes that add columns to a frame, and gapless numbering."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +21,28 @@ from ..session import shared_path
 SLICE_CHARS = 1 << 20
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: where their search path
+    (PYTHONPATH) doesn't have it, Spark ships it to them once a session."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    top = os.path.dirname(package)
+    if top in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    context = spark.sparkContext
+    if getattr(context, "_panelkit_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="panelkit-"), "panelkit_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(full := os.path.join(folder, n), os.path.relpath(full, top))
+    context.addPyFile(path)
+    context._panelkit_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
@@ -31,6 +55,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     start from files that outlive any executor, and row positions, range
     bounds and task numbers in it are fixed."""
     spark = df.sparkSession
+    on_workers(spark)
     path = shared_path(spark, "llm", f"{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,6 +82,7 @@ def add_columns(df: DataFrame, text: str, fields: str,
 
     ``keep`` names the input columns to carry on (default: all); an input
     column named like an added one gives way to it."""
+    on_workers(df.sparkSession)
     added = T.StructType.fromDDL(fields)
     names = [f.name for f in added]
     carried = [c for c in (df.columns if keep is None else keep) if c not in names]
