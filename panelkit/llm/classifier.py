@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import add_columns, documents, labels
 from .subword import BITS, Features, WordScores, held_out, known, training_sample
@@ -119,7 +120,8 @@ def fit(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
 
 def keep_good(docs: DataFrame, marks: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
-    return scored(docs, fit(docs, marks), threshold).where("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
+    return scored(rows, fit(docs, marks), threshold, ["__row"]).where("predicted = 1").select("__row.*")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

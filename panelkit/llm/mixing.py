@@ -118,13 +118,13 @@ def _draw(*cols: Column, salt: str) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix | None, stats: DataFrame, salt: str = "mix",
           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of the mix: doc_id, source, n_tokens, epoch, block, slot.
+    """The rows of the mix: doc_id, source, tie, n_tokens, epoch, block, slot.
 
-    ``docs`` has doc_id, source, n_tokens (positive). A row is taken in an
+    ``docs`` has doc_id, source, tie, n_tokens (positive). A row is taken in an
     epoch if its source's budget is not used up where the row starts. Rows of
     equal doc_id keep together within an epoch; slots number the whole mix."""
     if mix is None:
-        return docs.select("doc_id", "source", "n_tokens", F.lit(0).alias("epoch"),
+        return docs.select("doc_id", "source", "tie", "n_tokens", F.lit(0).alias("epoch"),
                            F.lit(0).cast("long").alias("block"),
                            F.lit(0).cast("long").alias("slot")).limit(0)
     norm = stats.agg(F.sum(F.pow("tokens", F.lit(mix.exponent)))).first()[0]
@@ -147,7 +147,7 @@ def mixed(docs: DataFrame, mix: Mix | None, stats: DataFrame, salt: str = "mix",
     sums = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("bucket").alias("b"),
                        F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
     rows = rows.join(sums, F.expr("source <=> s and epoch = e and bucket = b")).drop("s", "e", "b")
-    inside = Window.partitionBy(*cell).orderBy("draw", "doc_id", "n_tokens").rowsBetween(
+    inside = Window.partitionBy(*cell).orderBy("draw", "doc_id", "tie", "n_tokens").rowsBetween(
         Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("whole") * F.col("epoch") + F.col("earlier")
                            + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
@@ -157,18 +157,18 @@ def mixed(docs: DataFrame, mix: Mix | None, stats: DataFrame, salt: str = "mix",
         F.col("start") / F.col("target") * F.lit(blocks))).cast("long"))
     rows = rows.withColumn("shuffle", _draw(F.col("block"), F.col("epoch"), F.col("doc_id"),
                                             salt=salt + "|block"))
-    rows = rows.select("doc_id", "source", "n_tokens", "epoch", "block", "shuffle")
-    out = numbered(rows, [F.col("block"), F.col("shuffle"), F.col("doc_id"), F.col("source"),
-                          F.col("epoch"), F.col("n_tokens")], "mix", number="slot")
+    rows = rows.select("doc_id", "source", "tie", "n_tokens", "epoch", "block", "shuffle")
+    out = numbered(rows, [F.col("block"), F.col("shuffle"), F.col("doc_id"), F.col("tie"),
+                          F.col("source"), F.col("epoch"), F.col("n_tokens")], "mix", number="slot")
     return out.drop("shuffle")
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, source and n_tokens: words of the whole text plus an end token
+    """doc_id, source, tie (the text's hash) and n_tokens: words of the whole text plus an end token
     (null and empty texts: the end token)."""
     text = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "[ \\t\\n\\x0B\\f\\r]+")))
-    return docs.select("doc_id", "source", (words + 1).cast("long").alias("n_tokens"))
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), (words + 1).cast("long").alias("n_tokens"))
 
 
 def temperature_mix(docs: DataFrame, target_entropy: float | None = None,
@@ -185,6 +185,19 @@ def temperature_mix(docs: DataFrame, target_entropy: float | None = None,
     return mixed(sized, mix, stats, salt, block_tokens)
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents themselves, in the order of the mix and repeated as it says,
+    with the columns of ``docs``. Rows of equal doc_id and text are repeats of
+    one document: the mix holds each, with the columns of one of them."""
+    plan = temperature_mix(docs, **settings).select(
+        F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "slot")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"),
+                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    rows = rows.dropDuplicates(["doc_id", "tie"])
+    both = rows.join(plan, F.expr("doc_id <=> __id and tie = __tie"))
+    return both.select("slot", "row").orderBy("slot").select("row.*")
+
+
 #: The mix that the query makes: no source more than twice as often as another.
 MAX_REPEATS = 2.0
 
@@ -192,4 +205,4 @@ MAX_REPEATS = 2.0
 def op5_temperature_mixing(spark, sf_dir: str) -> DataFrame:
     """``documents`` mixed as flat as two epochs of any source allow, with every
     document in it at least once."""
-    return temperature_mix(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
+    return temperature_mix(documents(spark, sf_dir), max_repeats=MAX_REPEATS).drop("tie")

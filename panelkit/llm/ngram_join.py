@@ -294,6 +294,18 @@ def similar_components(docs: DataFrame, width: int = 5, part: int = 8, whole: in
     return Join(docs, width, part, whole).documents()
 
 
+def keep_one(docs: DataFrame, width: int = 5, part: int = 8, whole: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its component, with
+    their columns: one document of each group of near duplicates. Rows that
+    share a doc_id stand or fall together, those of equal text once."""
+    least = similar_components(docs, width, part, whole).where("doc_id <=> component_id").select(
+        F.col("doc_id").alias("__id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__tie"),
+                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"))
+    rows = rows.join(least, F.expr("__doc <=> __id"), "left_semi")
+    return rows.dropDuplicates(["__doc", "__tie"]).select("__row.*")
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of ``documents`` at likeness 0.9 over three-word shingles."""
     return similar_components(documents(spark, sf_dir), width=3, part=90, whole=100)

@@ -96,6 +96,7 @@ def best_fit(sizes, capacity: int, bins: int | None = None):
 def pack(df: DataFrame, key: str, size: str, shards: int | None = None,
          capacity: int | None = None) -> DataFrame:
     """``df`` with ``shard``: rows of equal ``key`` (null is a key) stay together.
+    A column named shard gives way.
 
     Give a number of shards (each then holds about an equal part of all sizes)
     or the capacity of one (then as few shards as best fit needs). A group
@@ -104,8 +105,9 @@ def pack(df: DataFrame, key: str, size: str, shards: int | None = None,
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = df.sparkSession
+    df = df.drop("shard")
     groups = written(df.groupBy(F.col(f"`{key}`").alias("group_key"))
-                     .agg(F.sum(size).alias("group_size")), "groups")
+                     .agg(F.sum(f"`{size}`").cast("long").alias("group_size")), "groups")
     histogram = groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("n"))
     histogram = histogram.orderBy(F.desc("group_size"))
     rows = [(r[0], r[1]) for r in histogram.toLocalIterator()]
@@ -118,8 +120,9 @@ def pack(df: DataFrame, key: str, size: str, shards: int | None = None,
     ranked = numbered(groups, [F.col("group_size"), F.col("group_key").asc_nulls_first()], "ranked",
                       within=["group_size"], number="rank")
     placed = ranked.join(ranges, "group_size").where(
-        "rank >= first_rank and rank < end_rank").select("group_key", "shard")
-    return df.join(placed, df[key].eqNullSafe(placed["group_key"])).drop("group_key")
+        "rank >= first_rank and rank < end_rank").select(
+            F.col("group_key").alias("__group_key"), "shard")
+    return df.join(placed, df[key].eqNullSafe(placed["__group_key"])).drop("__group_key")
 
 
 def op4_best_fit_shards(spark, sf_dir: str) -> DataFrame:

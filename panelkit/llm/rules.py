@@ -231,7 +231,8 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. Texts don't shuffle:
     they are counted once for the estimates and once more for the verdict."""
     model = fit(written(with_counts(docs, ["lang", "source"]), "counts"))
-    return judged(with_counts(docs), model, cutoff).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text", "lang", "source")
+    return judged(with_counts(rows, ["__row", "lang", "source"]), model, cutoff).where("kept").select("__row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
