@@ -1,19 +1,21 @@
 """Report dispatch and batch runs.
 
-A batch persists the panel once, runs every config against it, writes each
-result (or counts it) and isolates failures: one failing report does not stop
+A batch writes the panel once, runs every config against it, writes each
+result and isolates failures: one failing report does not stop
 the others; failures are returned, not printed."""
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..sources.sinks import report_name, write_sections
+from ..session import shared_path
+from ..sources.sinks import output_folder, write_sections
 from . import reports as R
 
 
@@ -56,23 +58,40 @@ def run(panel: DataFrame, cfg: Mapping, ctx: Context):
 def run_batch(panel: DataFrame, configs: Sequence[Mapping], ctx: Context,
               out_dir: str | None = None, select: Sequence[str] | None = None,
               stamp: _dt.datetime | None = None):
-    """Returns (row counts per report section, failures)."""
-    stamp = stamp or _dt.datetime.now()
-    chosen = [c for c in configs if not select or c.get("name", c["type"]) in select]
-    panel = panel.persist(StorageLevel.MEMORY_AND_DISK)
-    counts, failures = [], []
-    try:
-        for cfg in chosen:
-            name = cfg.get("name", cfg["type"])
-            try:
-                res = run(panel, cfg, ctx)
-                sections = res if isinstance(res, Mapping) else {"main": res}
-                if out_dir:
-                    write_sections(sections, out_dir, report_name(cfg, stamp))
-                for sec, df in sections.items():
-                    counts.append((name, sec, df.count()))
-            except Exception as e:  # noqa: BLE001 - isolate one report's failure
-                failures.append((name, f"{type(e).__name__}: {e}"))
-    finally:
-        panel.unpersist()
-    return counts, failures
+    """({(report, section): DataFrame of the written rows}, failures).
+
+    The panel is written once to the shared folder and read by all reports;
+    every section is computed once, written, and read back. One failing report
+    is listed and the others go on. ``out_dir`` None: a new shared folder."""
+    spark, stamp = panel.sparkSession, stamp or _dt.datetime.now()
+    run_dir = shared_path(spark, "batch", uuid.uuid4().hex)
+    panel.write.parquet(f"{run_dir}/panel")
+    panel = spark.read.schema(panel.schema).parquet(f"{run_dir}/panel")
+    out_dir = out_dir or f"{run_dir}/reports"
+    written, failures = {}, []
+    for cfg in configs:
+        name = cfg.get("name", cfg["type"])
+        if select and name not in select:
+            continue
+        try:
+            res = run(panel, cfg, ctx)
+            sections = res if isinstance(res, Mapping) else {"main": res}
+            for sec, path in write_sections(sections, out_dir, output_folder(cfg, stamp)).items():
+                written[name, sec] = spark.read.schema(sections[sec].schema).parquet(path)
+        except Exception as e:  # noqa: BLE001 - isolate one report's failure
+            failures.append((name, f"{type(e).__name__}: {e}"))
+    return written, failures
+
+
+def cells(report: str, section: str, df: DataFrame) -> DataFrame:
+    """A section as rows (report, section, row_key, column_name, number, text);
+    the first column names the row."""
+    key, *rest = df.columns
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in
+               ("double", "float", "integer", "long", "short", "decimal")}
+    items = [F.struct(F.lit(c).alias("column_name"),
+                      (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
+                      (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("text"))
+             for c in (rest or [key])]
+    return df.select(F.lit(report).alias("report"), F.lit(section).alias("section"),
+                     F.col(key).cast("string").alias("row_key"), F.inline(F.array(*items)))

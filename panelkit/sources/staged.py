@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +30,9 @@ def read_sheets(spark: SparkSession, drop: str, sheets: Mapping[str, Sequence[st
             reader = reader.option("header", True).option("mode", "PERMISSIVE")
         df = reader.format(fmt).load(f"{drop.rstrip('/')}/{sheet}/")
         sub = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-        out[sheet] = df.select(sub.alias("submission_id"),
-                               F.monotonically_increasing_id().alias("row_id"), *cols)
+        df = df.select(sub.alias("submission_id"), F.monotonically_increasing_id().alias("_at"), *cols)
+        # One file is one submission's sheet: its rows are numbered as in the
+        # file, the header being row 1.
+        line = F.row_number().over(Window.partitionBy("submission_id").orderBy("_at")) + 1
+        out[sheet] = df.select("submission_id", line.cast("long").alias("row_id"), *cols)
     return out
-
-
-def register_views(tables: Mapping[str, DataFrame]) -> None:
-    """Expose tables / latest views to SQL users as temp views."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)

@@ -18,33 +18,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-_SCANS: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    try:
-        return f"{id(spark)}:{spark.sparkContext.applicationId}"
-    except Exception:  # noqa: BLE001 - e.g. a remote session without a context
-        return str(id(spark))
-
-
 class Tables:
     """Lazy, named access to one folder of Parquet tables.
 
-    The scan DataFrame of each table is built once per session and folder and
-    reused (a DataFrame is immutable), so composing a plan does not re-list
-    files and identical scans stay identical for exchange reuse."""
+    Every access lists the files anew, so rows appended meanwhile are seen."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
-            key = (_session_key(self.spark), self.root, name)
-            df = _SCANS.get(key)
-            if df is None:
-                df = _SCANS[key] = read_table(self.spark, self.root, name)
-            return df
+            return read_table(self.spark, self.root, name)
         raise AttributeError(name)
 
     @cached_property
@@ -52,17 +36,6 @@ class Tables:
         return DRIVER_TABLES
 
     def register_views(self) -> None:
-        """Expose every table as a temp view for ``spark.sql`` users."""
+        """Every table as a temp view for ``spark.sql`` users."""
         for n in DRIVER_TABLES:
             read_table(self.spark, self.root, n).createOrReplaceTempView(n)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that arrives in fewer partitions than there are cores
-    (small files with one row group) before CPU-heavy row-wise work. On large
-    inputs the scan already has at least that many splits and nothing is
-    added, so this never costs a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -1,11 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelkit.operators import quality as Q
 from panelkit.plans import runner
-from panelkit.plans.ingest import ingest
-from panelkit.sources.sinks import append_table, report_name, write_sections
+from panelkit.plans.ingest import Names, Sheet, ingest
+from panelkit.sources.sinks import append_table, output_folder, write_sections
 from panelkit.sources.staged import read_sheets
 
 
@@ -20,15 +21,44 @@ def test_dispatch_and_isolation(spark, panel):
     ctx = runner.Context({"full": {"s": "sum"}})
     with pytest.raises(ValueError, match="unknown report type"):
         runner.run(panel, {"type": "nope"}, ctx)
-    counts, failures = runner.run_batch(panel, [{"type": "totals", "name": "t"}, {"type": "nope"}], ctx)
-    assert counts == [("t", "main", 1)] and failures[0][0] == "nope"
+    written, failures = runner.run_batch(panel, [{"type": "totals", "name": "t"}, {"type": "nope"}], ctx)
+    assert list(written) == [("t", "main")] and failures[0][0] == "nope"
+    assert written["t", "main"].collect() == runner.run(panel, {"type": "totals"}, ctx).collect()
 
 
-def test_report_name_and_sections(spark, panel, tmp_path):
-    cfg = {"type": "Totals", "metric": "s", "years": [2022, 2020]}
-    assert report_name(cfg, dt.datetime(2024, 5, 6, 7, 8)) == "totals_s_2020-2022_20240506_0708"
-    paths = write_sections({"a b/c": panel}, str(tmp_path), "rep")
-    assert paths["a b/c"].endswith("rep/a_b-c") and spark.read.parquet(paths["a b/c"]).count() == 2
+def test_output_folders_and_sections(spark, panel, tmp_path):
+    at = dt.datetime(2024, 5, 6, 7, 8)
+    cfg = {"type": "totals", "metric": "a metric of a very long name indeed", "years": [2020, 2022]}
+    name = output_folder(cfg, at)
+    assert name.startswith("type=totals;metric=a_metric_of_a_very_long_name_indeed;years=2020,2022;at=20240506T0708;")
+    assert name != output_folder(dict(cfg, agg="small"), at)
+    long = ["a section whose name differs only after character 31: x", "a section whose name differs only after character 31: y"]
+    paths = write_sections({long[0]: panel, long[1]: panel.limit(1), "a b/c": panel}, str(tmp_path), name)
+    assert len(set(paths.values())) == 3 and paths["a b/c"].endswith("/a_b-c")
+    assert [spark.read.parquet(paths[s]).count() for s in long] == [2, 1]
+    with pytest.raises(ValueError, match="share a folder"):
+        write_sections({"a b": panel, "a_b": panel}, str(tmp_path), "other")
+    with pytest.raises(Exception):
+        write_sections({"a b/c": panel}, str(tmp_path), name)  # nothing is overwritten
+
+
+def test_reads_after_an_append_see_it(spark, tmp_path):
+    from panelkit.sources.tables import Tables
+    rows = spark.range(5).withColumnRenamed("id", "o_orderkey")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    assert Tables(spark, str(tmp_path)).orders.count() == 5
+    append_table(rows.limit(3), str(tmp_path), "orders.parquet")
+    assert Tables(spark, str(tmp_path)).orders.count() == 8
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from panelkit.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(
+        master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError, match="share"):
+        ensure_checkpoint_dir(fake)
 
 
 def test_whitelist_blocks_unknown_columns(spark, panel, tmp_path):
@@ -46,10 +76,39 @@ def test_staged_ingest_end_to_end(spark, tmp_path):
     (drop / "Adatok" / "sub3.csv").write_text("park_nev,arany\nŐrség park,20\n", encoding="utf-8")
     sheets = read_sheets(spark, str(drop), {"Adatok": ["park_nev", "arany"]})
     reg = spark.createDataFrame([(7, "Alfa ipari park")], "entity_id long, entity_name string")
-    out = ingest(sheets, {"Adatok": [Q.percent(["arany"])]}, {"Adatok": {"adat": ["arany"]}},
-                 {"arany": "double"}, str(tmp_path / "store"),
-                 names={"sheet": "Adatok", "column": "park_nev", "registry": reg})
+    plan = {"Adatok": Sheet(rename={"park_nev": "name"}, rules=[Q.percent(["arany"])], types={"arany": "double"},
+                            tables={"adat": ["arany"]}, names=[Names("name", reg)])}
+    out = ingest(sheets, plan, str(tmp_path / "store"))
     assert [r.submission_id for r in out["violations"].collect()] == ["sub2"]
     got = sorted((r.submission_id, r.entity_id, r.arany)
                  for r in spark.read.parquet(out["written"]["adat"]).collect())
     assert got == [("sub1", 7, 50.0), ("sub3", 8, 20.0)]
+
+
+def test_ingest_keeps_names_apart_and_recodes(spark, tmp_path):
+    sheet = spark.createDataFrame(
+        [("s1", 1, "Alfa Park", "igen", "a, b"), ("s1", 2, "Beta Park", " NEM", "c"), ("s2", 3, "ALFA, park", "talan", None)],
+        "submission_id string, row_id long, park string, flag string, tags string")
+    reg = spark.createDataFrame([(7, "Alfa park")], "entity_id long, entity_name string")
+    plan = {"x": Sheet(rename={"park": "name"}, yes_no=["flag"], types={"flag": "int"}, defaults={"year": F.lit(2020)},
+                       names=[Names("name", reg)], tables={"t": ["flag", "year"]}, lists={"tag": "tags"})}
+    out = ingest({"x": sheet}, plan, str(tmp_path / "a"))
+    got = sorted((r.submission_id, r.row_id, r.entity_id, r.flag, r.year)
+                 for r in spark.read.parquet(out["written"]["t"]).collect())
+    assert got == [("s1", 1, 7, 1, 2020), ("s1", 2, 8, 0, 2020), ("s2", 3, 7, None, 2020)]
+    assert sorted((r.row_id, r["pos"], r.item) for r in spark.read.parquet(out["written"]["tag"]).collect()) == [
+        (1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
+    strict = {"x": Sheet(rules=[Q.yes_no(["flag"])], tables={"t": ["flag"]})}
+    out = ingest({"x": sheet}, strict, str(tmp_path / "b"), strict=True)
+    assert out["blocked"] == "all" and not out["written"] and out["violations"].count() == 1
+    out = ingest({"x": sheet}, strict, str(tmp_path / "c"))
+    assert {r.submission_id for r in spark.read.parquet(out["written"]["t"]).collect()} == {"s1"}
+
+
+def test_staged_rows_have_their_line_numbers(spark, tmp_path):
+    (tmp_path / "S").mkdir()
+    for n in ("a", "b"):
+        (tmp_path / "S" / f"{n}.csv").write_text("x\n" + "".join(f"{n}{i}\n" for i in range(5)), encoding="utf-8")
+    rows = read_sheets(spark, str(tmp_path), {"S": ["x"]})["S"].collect()
+    assert sorted((r.submission_id, r.row_id, r.x) for r in rows) == [
+        (n, i + 2, f"{n}{i}") for n in "ab" for i in range(5)]
