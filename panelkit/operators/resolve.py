@@ -1,35 +1,34 @@
 """Entity-name resolution against a registry.
 
-Score = token-sort similarity: clean both names (non-alphanumerics -> space,
-lower case, trim), sort the tokens, join with one space, then
-``100 * (1 - indel / (la + lb))`` with ``indel = la + lb - 2 * LCS``, rounded
-half-even to an integer. LCS is computed natively with the bit-parallel
-recurrence on a BIGINT (pattern up to 62 characters); longer pairs use an
-Arrow-batched pandas UDF with the same recurrence on Python integers.
-
-Scale: names are deduplicated on both sides first; candidate pairs come from
-an equi-join on rare character keys (prefix filtering over multiset
-character keys ordered by global frequency), which is lossless: every pair
-that can reach the threshold shares a key in both prefixes. There is no
-cross join and no cap on candidates; every candidate is scored exactly.
+Score = token-sort similarity: clean both names (what is neither letter nor
+digit, underscores included -> space, lower case, trim), sort the tokens, join
+with one space, then ``100 * (1 - indel / (la + lb))`` with
+``indel = la + lb - 2 * LCS``, rounded half-even to an integer. LCS is the
+bit-parallel recurrence, run over all pairs of an Arrow batch at once.
+
+Scale: names are deduplicated on both sides first, and names that are equal
+after cleaning are matched by an equi-join. For the rest, a pair that reaches
+the threshold is at most D insertions and deletions apart; a registry name cut
+into D + 1 segments then has one that stands unchanged in the other name, at a
+place shifted by what those operations allow. Candidates come from an equi-join
+on (length, segments, number, text), which loses no pair; every candidate is
+scored exactly. There is no cross join and no cap.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:  # ship this module's Python helpers by value, so executors need no install
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: executors import the package
-    pass
+# Ship this module's Python helpers by value, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NATIVE_MAX = 62          # bits available for the bit-parallel LCS on a BIGINT
 _EPS = 1e-9
 
 
@@ -43,54 +42,51 @@ def clean_sorted(c: str | Column) -> Column:
     return F.array_join(F.array_sort(F.split(s, " ")), " ")
 
 
-def _shl1(n: Column) -> Column:
-    """1L << n for a column ``n``."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
-
-
-def with_lcs_native(df: DataFrame, a: str, b: str, out: str = "_lcs") -> DataFrame:
-    """Add the LCS length of columns ``a`` (at most 62 characters) and ``b``.
-
-    The per-character masks of ``a`` and the bit mask are materialised as
-    columns first, so the fold over ``b`` only reads them."""
-    df = df.withColumn("_ca", F.split(F.col(a), ""))
-    ca, m = F.col("_ca"), F.length(a)
-    distinct = F.array_distinct(ca)
-    masks = F.map_from_arrays(distinct, F.transform(distinct, lambda ch: F.aggregate(
-        F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.element_at(ca, i + 1) == ch),
-        F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(_shl1(i)))))
-    df = df.withColumns({"_masks": masks, "_full": _shl1(m) - 1}).drop("_ca")
-    full, mks = F.col("_full"), F.col("_masks")
-
-    def step(v, ch):
-        mk = F.coalesce(F.try_element_at(mks, ch), F.lit(0).cast("long"))
-        u = v.bitwiseAND(mk)
-        return (v + u).bitwiseOR(v.bitwiseAND(F.bitwise_not(mk))).bitwiseAND(full)
-
-    v = F.aggregate(F.split(F.col(b), ""), full, step)
-    return (df.withColumn(out, F.bit_count(full.bitwiseAND(F.bitwise_not(v))).cast("int"))
-              .drop("_masks", "_full"))
-
-
-def _lcs_py(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for ch in b:
-        mk = masks.get(ch, 0)
-        u = v & mk
-        v = ((v + u) | (v & ~mk)) & full
-    return bin(full & ~v).count("1")
+def _codes(names: list[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(names), width), pad, np.int32)
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    flat = np.frombuffer("".join(names).encode("utf-32-le"), np.int32)
+    row = np.repeat(np.arange(len(names)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS length of each pair: the bit-parallel recurrence over 64-bit words,
+    one step a character of the longer names, all pairs of a step at once."""
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    words = np.fromiter(((len(x) + 63) // 64 for x in short), np.int64, len(short))
+    size = np.fromiter(map(len, long), np.int64, len(long))
+    out = np.zeros(len(short), np.int32)
+    order = np.lexsort((size, words))
+    for at in range(0, len(order), 2048):
+        rows = order[at:at + 2048]
+        w = int(words[rows].max())
+        if not w:
+            continue
+        x = _codes([short[i] for i in rows], 64 * w, -1)
+        y = _codes([long[i] for i in rows], int(size[rows].max()), -2)
+        v = np.full((len(rows), w), ~np.uint64(0))
+        for j in range(y.shape[1]):
+            hit = np.packbits(x == y[:, j:j + 1], axis=1, bitorder="little").view("<u8")
+            carry = np.zeros(len(rows), np.uint64)
+            for k in range(w):
+                m, u = hit[:, k], v[:, k] & hit[:, k]
+                total = v[:, k] + u
+                over = total < u
+                total = total + carry
+                over |= total < carry
+                v[:, k] = total | (v[:, k] & ~m)
+                carry = over.astype(np.uint64)
+        out[rows] = np.bitwise_count(~v).sum(1)
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS length of each pair in an Arrow batch (any length)."""
-    return pd.Series([_lcs_py(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(lcs_lengths(a.tolist(), b.tolist()))
 
 
 def score_expr(la: Column, lb: Column, lcs: Column) -> Column:
@@ -99,78 +95,69 @@ def score_expr(la: Column, lb: Column, lcs: Column) -> Column:
     return F.when(lsum > 0, F.bround(raw, 0)).otherwise(F.lit(0.0)).cast("int")
 
 
-def score_pairs(pairs: DataFrame, a: str = "qs", b: str = "rs", native: bool = False) -> DataFrame:
-    """Add ``score`` to a frame of cleaned name pairs.
-
-    Default: the LCS comes from the Arrow-batched ``lcs_batch`` UDF (a short
-    loop per pair on Python integers). ``native=True`` uses the pure-SQL
-    bit-parallel form instead (no Python workers, but Spark interprets
-    higher-order functions row by row: measured ~40x slower per pair)."""
-    if native:
-        la, lb = F.length(a), F.length(b)
-        pairs = pairs.withColumns({"_s": F.when(la <= lb, F.col(a)).otherwise(F.col(b)),
-                                   "_l": F.when(la <= lb, F.col(b)).otherwise(F.col(a))})
-        fits = F.length("_s") <= NATIVE_MAX
-        nat = with_lcs_native(pairs.filter(fits), "_s", "_l")
-        slow = pairs.filter(~fits).withColumn("_lcs", lcs_batch(F.col(a), F.col(b)))
-        both = nat.unionByName(slow).drop("_s", "_l")
-    else:
-        both = pairs.withColumn("_lcs", lcs_batch(F.col(a), F.col(b)))
+def score_pairs(pairs: DataFrame, a: str = "qs", b: str = "rs") -> DataFrame:
+    """Add ``score`` to a frame of cleaned name pairs."""
+    both = pairs.withColumn("_lcs", lcs_batch(F.col(a), F.col(b)))
     return both.withColumn("score", score_expr(F.length(a), F.length(b), F.col("_lcs"))).drop("_lcs")
 
 
 # ------------------------------------------------------ candidate generation
-def _bounds(threshold: float):
-    t = threshold - 0.5 - _EPS            # rounded score >= t  =>  raw >= t - 0.5
+def _reach(threshold: float) -> float:
+    """Least unrounded score / 100 that rounds to the threshold. Below two
+    thirds a name could lose all its segments, so every pair would qualify."""
+    t = (threshold - 0.5 - _EPS) / 100.0
+    if t < 2 / 3:
+        raise ValueError("thresholds below 68 leave every pair of names a candidate")
     return t
 
 
-def _min_partner(length: Column, t: float) -> Column:
-    return F.ceil(length * F.lit(t / (200.0 - t)) - F.lit(_EPS))
+def _partner_lengths(n: Column, t: float) -> tuple[Column, Column]:
+    """Shortest and longest partner of a name of length n."""
+    return (F.greatest(F.lit(1), F.ceil(n * F.lit(t / (2 - t)) - F.lit(_EPS))).cast("int"),
+            F.floor(n * F.lit((2 - t) / t) + F.lit(_EPS)).cast("int"))
 
 
-def _prefix_len(length: Column, t: float) -> Column:
-    alpha = F.ceil((length + _min_partner(length, t)) * F.lit(t / 200.0) - F.lit(_EPS))
-    return F.greatest(F.lit(1), length - alpha + 1)
+def _apart(a: Column, b: Column, t: float) -> Column:
+    """Most insertions and deletions between names of these lengths."""
+    return F.floor((a + b) * F.lit(1 - t) + F.lit(_EPS)).cast("int")
 
 
-def _keys(names: DataFrame, col: str) -> DataFrame:
-    """Multiset character keys: (name, char + occurrence number). In the
-    sorted character array the occurrence number is the distance to the
-    first position of the same character."""
-    arr = names.select(F.col(col).alias("s"), F.array_sort(F.split(F.col(col), "")).alias("_c"))
-    chars = F.col("_c")
-    keyed = F.transform(chars, lambda ch, i: F.concat(
-        ch, F.lit("\u0001"), (i - F.array_position(chars, ch) + 2).cast("string")))
-    return arr.select("s", F.explode(keyed).alias("key"))
+def _segments(df: DataFrame) -> DataFrame:
+    """One row for each segment ``i`` of a registry name of length ``lr`` cut in
+    ``m``: its first place (from 0) and size; the last ones take the rest."""
+    df = df.withColumn("i", F.explode(F.expr("sequence(0, m - 1)")))
+    return df.withColumns({"first": F.expr("i * (lr div m) + greatest(0, i - (m - lr % m))").cast("int"),
+                           "size": F.expr("lr div m + int(i >= m - lr % m)").cast("int")})
 
 
 def candidates(q: DataFrame, r: DataFrame, threshold: float) -> DataFrame:
     """Distinct cleaned pairs (qs, rs) that can reach ``threshold``.
 
     ``q``/``r`` hold one distinct non-empty cleaned name per row in ``qs`` /
-    ``rs``. Keys are ordered globally by (frequency, key); each name indexes
-    only its prefix of ``len - alpha + 1`` keys, where ``alpha`` is the least
-    character overlap any partner in the length window must share."""
-    t = _bounds(threshold)
-    kq, kr = _keys(q, "qs"), _keys(r, "rs")
-    freq = kq.unionByName(kr).groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
-
-    def prefix(k: DataFrame) -> DataFrame:
-        w = Window.partitionBy("s").orderBy("freq", "key")
-        ranked = k.join(freq, "key").withColumn("_rk", F.row_number().over(w))
-        return ranked.filter(F.col("_rk") <= _prefix_len(F.length("s"), t)).select("s", "key")
-
-    pq = prefix(kq).withColumnRenamed("s", "qs")
-    pr = prefix(kr).withColumnRenamed("s", "rs")
-    pairs = pq.join(pr, "key").select("qs", "rs").distinct()
-    la, lb = F.length("qs"), F.length("rs")
-    lo_q = _min_partner(la, t)
-    lo_r = _min_partner(lb, t)
-    return pairs.filter((lb >= lo_q) & (la >= lo_r))
+    ``rs``."""
+    t = _reach(threshold)
+    low, high = _partner_lengths(F.col("lr"), t)
+    reg = r.select("rs", F.length("rs").alias("lr")).withColumn("m", F.explode(F.sequence(
+        _apart(F.col("lr"), low, t) + 1, _apart(F.col("lr"), high, t) + 1)))
+    reg = _segments(reg).select("rs", "lr", "m", "i", F.expr("substring(rs, first + 1, size)").alias("text"))
+    low, high = _partner_lengths(F.col("lq"), t)
+    que = q.select("qs", F.length("qs").alias("lq")).where(low <= high)
+    que = que.withColumn("lr", F.explode(F.sequence(low, high)))
+    que = que.withColumn("d", _apart(F.col("lq"), F.col("lr"), t)).where(F.expr("abs(lq - lr) <= d"))
+    que = _segments(que.withColumn("m", F.col("d") + 1))
+    que = que.withColumns({
+        "from": F.expr("greatest(0, first - (d - (lq - lr)) div 2)").cast("int"),
+        "to": F.expr("least(lq - size, first + (d + (lq - lr)) div 2)").cast("int")}).where("from <= to")
+    que = que.withColumn("at", F.explode(F.sequence("from", "to"))).select(
+        "qs", "lr", "m", "i", F.expr("substring(qs, at + 1, size)").alias("text")).distinct()
+    return que.join(reg, ["lr", "m", "i", "text"]).select("qs", "rs").distinct()
 
 
 # ----------------------------------------------------------------- matching
+#: From this length on, names that differ can score 100 after rounding.
+LONG_NAME = 99
+
+
 def _prepare(queries: DataFrame, registry: DataFrame, qid: str, qname: str,
              rid: str, rname: str):
     qc = queries.select(F.col(qid).alias("query_id"), F.col(qname).alias("query_name"),
@@ -193,7 +180,13 @@ def best_match(queries: DataFrame, registry: DataFrame, threshold: float = 85,
                qid="query_id", qname="name", rid="entity_id", rname="entity_name") -> DataFrame:
     """Per query row the best registry id with score >= threshold (ties:
     smallest id), else NULL."""
-    qc, rc, sc = scored_names(queries, registry, threshold, qid, qname, rid, rname)
+    qc, rc, uq, ur = _prepare(queries, registry, qid, qname, rid, rname)
+    # Equal names score 100. Only for long names can another one round to 100
+    # too, so the short ones need no other candidates.
+    same = uq.join(ur, F.col("qs") == F.col("rs")).withColumn("score", F.lit(100))
+    settled = same.where(F.length("qs") < LONG_NAME).select("qs")
+    others = candidates(uq.join(settled, "qs", "left_anti"), ur, threshold).where("qs <> rs")
+    sc = same.unionByName(score_pairs(others).filter(F.col("score") >= threshold))
     first_id = rc.groupBy("rs").agg(F.min("candidate_id").alias("candidate_id"))
     w = Window.partitionBy("qs").orderBy(F.col("score").desc(), F.col("candidate_id"))
     best = (sc.join(first_id, "rs").withColumn("_rk", F.row_number().over(w))
@@ -205,8 +198,9 @@ def best_match(queries: DataFrame, registry: DataFrame, threshold: float = 85,
 def top_k_review(queries: DataFrame, registry: DataFrame, threshold: float = 70, k: int = 3,
                  qid="query_id", qname="name", rid="entity_id", rname="entity_name") -> DataFrame:
     """J2 + O4: up to ``k`` candidates per query (score desc, id asc) with
-    ``decision``: 'exact' when the best score is 100, 'review' otherwise,
-    'new' (one row, no candidate) when nothing reaches the threshold."""
+    ``decision``: 'exact' (the winner alone) when the best score is 100,
+    'review' otherwise, 'new' (one row, no candidate) when nothing reaches the
+    threshold."""
     qc, rc, sc = scored_names(queries, registry, threshold, qid, qname, rid, rname)
     wr = Window.partitionBy("rs").orderBy("candidate_id")
     rk_ids = rc.withColumn("_r", F.row_number().over(wr)).filter(F.col("_r") <= k).drop("_r")
@@ -214,6 +208,7 @@ def top_k_review(queries: DataFrame, registry: DataFrame, threshold: float = 70,
     top = (sc.join(rk_ids, "rs").withColumn("rank", F.row_number().over(w))
              .filter(F.col("rank") <= k)
              .withColumn("_best", F.max("score").over(Window.partitionBy("qs")))
+             .filter((F.col("_best") < 100) | (F.col("rank") == 1))
              .withColumn("decision", F.when(F.col("_best") == 100, F.lit("exact"))
                          .otherwise(F.lit("review")))
              .select("qs", "candidate_id", "candidate_name", "score", "rank", "decision"))
@@ -222,17 +217,58 @@ def top_k_review(queries: DataFrame, registry: DataFrame, threshold: float = 70,
                       "rank", F.coalesce("decision", F.lit("new")).alias("decision"))
 
 
-def dense_ids(df: DataFrame, order_col: str, start: Column | int, id_col: str = "new_id",
-              num_partitions: int | None = None) -> DataFrame:
-    """Consecutive ids ``start + 1, start + 2, ...`` in ``order_col`` order
+def apply_decisions(review: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The answers joined back. ``decisions`` has one row per reviewed
+    query_id: candidate_id, the accepted candidate, or NULL for a new name.
+
+    Returns per query_id: query_name, candidate_id and state: 'matched', 'new'
+    or 'open' (no answer yet, or one that names none of its candidates)."""
+    d = decisions.select("query_id", F.col("candidate_id").alias("accepted"), F.lit(True).alias("answered"))
+    rows = review.join(d, "query_id", "left")
+    exact, new = F.col("decision") == "exact", F.col("decision") == "new"
+    taken = exact | (F.col("answered") & (F.col("accepted") == F.col("candidate_id")))
+    out = rows.groupBy("query_id").agg(
+        F.first("query_name").alias("query_name"), F.max(F.when(taken, F.col("candidate_id"))).alias("candidate_id"),
+        F.max(new | (F.coalesce("answered", F.lit(False)) & F.col("accepted").isNull())).alias("_new"))
+    return out.withColumn("state", F.when(F.col("candidate_id").isNotNull(), "matched").when(
+        F.col("_new"), "new").otherwise("open")).drop("_new")
+
+
+def lead_names(names: DataFrame, threshold: float) -> DataFrame:
+    """Each cleaned name (``qs``) and its ``leader``, as if the names had been
+    registered one after the other in order: a name joins the best-scoring
+    leader before it (ties: the first) or becomes one itself.
+
+    Rounds: an undecided name leads if no undecided smaller name is similar;
+    what is similar to a leader follows. Each round is checkpointed."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(names.sparkSession)
+    pairs = score_pairs(candidates(names, names.select(F.col("qs").alias("rs")), threshold))
+    near = pairs.where((F.col("score") >= threshold) & (F.col("rs") < F.col("qs"))).checkpoint()
+    leads, rest = None, names.select("qs")
+    while True:
+        blocked = near.join(rest.select(F.col("qs").alias("rs")), "rs", "left_semi").select("qs").distinct()
+        now = rest.join(blocked, "qs", "left_anti").checkpoint()
+        leads = now if leads is None else leads.union(now)
+        follow = near.join(now.select(F.col("qs").alias("rs")), "rs", "left_semi").select("qs").distinct()
+        rest = rest.join(now.union(follow), "qs", "left_anti").checkpoint()
+        if rest.isEmpty():
+            break
+    own = leads.select("qs", F.col("qs").alias("leader"))
+    best = near.join(leads.select(F.col("qs").alias("rs")), "rs", "left_semi").join(leads, "qs", "left_anti")
+    best = best.groupBy("qs").agg(F.min(F.struct((-F.col("score")).alias("s"), "rs")).alias("b"))
+    return own.union(best.select("qs", F.col("b.rs").alias("leader")))
+
+
+def dense_ids(df: DataFrame, order: list[str], start: Column | int, id_col: str = "new_id") -> DataFrame:
+    """Consecutive ids ``start + 1, start + 2, ...`` in the order of the columns
     without a single-partition window: range-partition and sort, count rows
     per partition (one row per partition), turn counts into offsets, add the
     index within the partition. The sorted frame is checkpointed to the shared
     checkpoint folder so both uses see the same rows after an executor loss."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = (ranged.withColumn("_pid", F.spark_partition_id())
                     .withColumn("_mono", F.monotonically_increasing_id())
                     .checkpoint(eager=True))
@@ -249,27 +285,30 @@ def dense_ids(df: DataFrame, order_col: str, start: Column | int, id_col: str =
 
 def resolve_or_register(queries: DataFrame, registry: DataFrame, threshold: float = 90,
                         qid="query_id", qname="name", rid="entity_id", rname="entity_name"):
-    """Matched id, else a new id for each distinct unmatched name,
-    numbered after the registry's largest id in name order. Returns
-    (resolution per query row, new registry rows)."""
+    """Matched id, else a new id, numbered after the registry's largest in
+    the order of cleaned names. Spellings that are equal after cleaning, or
+    that reach the threshold among themselves, share one id; the new entry has
+    the smallest spelling of the leading name. Names without a letter or digit
+    stay without an id. Returns (resolution per query row, new registry rows)."""
     best = best_match(queries, registry, threshold, qid, qname, rid, rname)
-    new_names = best.filter(F.col("matched_id").isNull()).select(
-        F.col("query_name").alias(rname)).dropna().distinct()
+    best = best.withColumn("qs", clean_sorted("query_name"))
+    new = best.filter(F.col("matched_id").isNull() & (F.length("qs") > 0))
+    spelling = new.groupBy("qs").agg(F.min("query_name").alias(rname))
+    lead = lead_names(spelling.select("qs"), threshold)
     max_id = registry.agg(F.coalesce(F.max(rid), F.lit(0)).alias("m")).first()["m"]
-    new_rows = dense_ids(new_names, rname, int(max_id), rid)
-    res = (best.join(new_rows.withColumnRenamed(rname, "query_name"), "query_name", "left")
-               .select("query_id", "query_name",
-                       F.coalesce("matched_id", rid).alias("resolved_id"),
-                       F.col("matched_id").isNull().alias("is_new")))
-    return res, new_rows.select(rid, rname)
+    leaders = lead.where("qs = leader").select("leader")
+    new_rows = dense_ids(leaders, ["leader"], int(max_id), rid)
+    ids = lead.join(new_rows, "leader").select("qs", rid)
+    res = best.join(ids, "qs", "left").select(
+        "query_id", "query_name", F.coalesce("matched_id", rid).alias("resolved_id"),
+        F.col("matched_id").isNull().alias("is_new"))
+    return res, new_rows.join(spelling, F.col("leader") == F.col("qs")).select(rid, rname)
 
 
 def new_dictionary_rows(batch: DataFrame, dictionary: DataFrame, keys: list[str],
                         id_col: str) -> DataFrame:
     """Distinct natural keys of the batch missing from the dictionary,
-    with new ids after the largest existing id (key order)."""
+    with new ids after the largest existing id (in key order)."""
     fresh = batch.select(*keys).dropna().distinct().join(dictionary.select(*keys), keys, "left_anti")
     max_id = dictionary.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
-    order = "_k"
-    fresh = fresh.withColumn(order, F.concat_ws("\u0001", *keys))
-    return dense_ids(fresh, order, int(max_id), id_col).drop(order)
+    return dense_ids(fresh, keys, int(max_id), id_col)

@@ -19,16 +19,13 @@ def rand_name(rnd, alphabet="abcdeőűáé xyz"):
     return "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40)))
 
 
-def test_native_lcs_matches_dp(spark):
+def test_lcs_of_a_batch_matches_dp():
     rnd = random.Random(3)
-    pairs = [(rand_name(rnd), rand_name(rnd)) for _ in range(300)]
-    pairs += [("a" * 62, "a" * 70), ("ab" * 31, "ba" * 40)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    df = df.withColumns({"s": F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")),
-                         "l": F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))})
-    got = RS.with_lcs_native(df, "s", "l", "x").collect()
-    assert all(r.x == lcs_dp(r.a, r.b) for r in got)
-    assert RS._lcs_py("ab" * 40, "ba" * 50) == lcs_dp("ab" * 40, "ba" * 50)
+    pairs = [(rand_name(rnd), rand_name(rnd)) for _ in range(400)]
+    pairs += [("a" * 62, "a" * 70), ("ab" * 31, "ba" * 40), ("ab" * 70, "ba" * 90), ("", "a"), ("", "")]
+    pairs += [(rand_name(rnd) * 5, rand_name(rnd) * 6) for _ in range(40)]
+    a, b = map(list, zip(*pairs))
+    assert RS.lcs_lengths(a, b).tolist() == [lcs_dp(x, y) for x, y in pairs]
 
 
 def _score(a, b):
@@ -80,7 +77,15 @@ def test_best_match_and_topk(spark):
     top = RS.top_k_review(q, reg, 70, k=3).collect()
     dec = {r.query_id: r.decision for r in top}
     assert dec == {10: "exact", 11: "new", 12: "review"}
-    assert sorted(r.candidate_id for r in top if r.query_id == 10) == [1, 2]
+    assert [r.candidate_id for r in top if r.query_id == 10] == [1]  # the winner alone
+    answers = spark.createDataFrame([(12, 3)], "query_id long, candidate_id long")
+    done = {r.query_id: (r.candidate_id, r.state) for r in RS.apply_decisions(
+        RS.top_k_review(q, reg, 70, k=3), answers).collect()}
+    assert done == {10: (1, "matched"), 11: (None, "new"), 12: (3, "matched")}
+    none = spark.createDataFrame([(12, None)], "query_id long, candidate_id long")
+    review = RS.top_k_review(q, reg, 70, k=3)
+    assert {r.state for r in RS.apply_decisions(review, none).collect() if r.query_id == 12} == {"new"}
+    assert {r.state for r in RS.apply_decisions(review, none.limit(0)).collect() if r.query_id == 12} == {"open"}
 
 
 def test_resolve_or_register_dense_ids(spark):
@@ -91,3 +96,45 @@ def test_resolve_or_register_dense_ids(spark):
     got = {r.query_id: (r.resolved_id, r.is_new) for r in res.collect()}
     assert got == {1: (5, False), 2: (7, True), 3: (6, True), 4: (7, True)}
     assert sorted((r.entity_id, r.entity_name) for r in new.collect()) == [(6, "beta"), (7, "zeta")]
+
+
+def test_one_id_for_all_spellings_of_a_new_name(spark):
+    reg = spark.createDataFrame([(10, "something else")], "entity_id long, entity_name string")
+    q = spark.createDataFrame([(1, "Alpha Park"), (2, "ALPHA, PARK"), (3, "Park alpha"), (4, "alpha parkk"),
+                               (5, "zeta"), (6, "--"), (7, None)], "query_id long, name string")
+    res, new = RS.resolve_or_register(q, reg, 90)
+    got = {r.query_id: r.resolved_id for r in res.collect()}
+    assert got == {1: 11, 2: 11, 3: 11, 4: 11, 5: 12, 6: None, 7: None}
+    assert sorted((r.entity_id, r.entity_name) for r in new.collect()) == [(11, "ALPHA, PARK"), (12, "zeta")]
+
+
+def test_leaders_equal_one_after_the_other(spark):
+    rnd = random.Random(5)
+    names = set()
+    for base in ("kovacs es tarsa kft", "alfa ipari park", "gamma zrt budapest"):
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                t.insert(rnd.randrange(len(t)), rnd.choice("abcx"))
+            names.add("".join(t))
+    leaders, want = [], {}
+    for n in sorted(names):
+        best = min(((-_score(n, x), x) for x in leaders if _score(n, x) >= 90), default=None)
+        want[n] = best[1] if best else n
+        leaders += [] if best else [n]
+    df = spark.createDataFrame([(n,) for n in names], "qs string")
+    assert {r.qs: r.leader for r in RS.lead_names(df, 90).collect()} == want
+
+
+def test_candidates_stay_few_while_names_grow(spark):
+    rnd = random.Random(7)
+    syl = ["ba", "ko", "ri", "ten", "mo", "sza", "lu", "per", "vik", "dor", "na", "gel", "tu", "fi", "hor"]
+    def name():
+        return " ".join("".join(rnd.choice(syl) for _ in range(3)) for _ in range(3))
+    per_name = {}
+    for n in (400, 4000):
+        reg = [name() for _ in range(n)]
+        r = spark.createDataFrame([(x,) for x in set(reg)], "rs string")
+        q = spark.createDataFrame([(x[:-1],) for x in reg[:200]], "qs string").distinct()
+        per_name[n] = RS.candidates(q, r, 90).count() / 200
+    assert per_name[4000] < 0.02 * 4000
