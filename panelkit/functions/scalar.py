@@ -24,14 +24,17 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
 
 
 def round_even(c: str | Column, scale: int = 2) -> Column:
-    """Half-even rounding like pandas/numpy ``round``."""
-    return F.bround(col(c), scale)
+    """Rounding as numpy does it (F3): scale up, to the nearest whole number
+    (halves to even), scale down. 0.0 is added so that -0.0 becomes 0.0."""
+    if scale == 0:
+        return F.rint(col(c)) + F.lit(0.0)
+    return F.rint(col(c) * F.lit(10.0 ** scale)) / F.lit(10.0 ** scale) + F.lit(0.0)
 
 
 def round_by_kind(value: str | Column, kind: str | Column) -> Column:
     """Sum metrics to whole numbers, mean metrics to two places."""
     v, k = col(value), col(kind)
-    return F.when(k == "sum", F.bround(v, 0)).otherwise(F.bround(v, 2))
+    return F.when(k == "sum", round_even(v, 0)).otherwise(round_even(v, 2))
 
 
 # Fixed value: the characters Python's str.strip() removes (Unicode White_Space
@@ -50,31 +53,48 @@ def to_number(c: str | Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def money_sum(c: str | Column) -> Column:
-    """Order-independent sum of two-decimal money values, as double."""
-    return F.sum(col(c).cast("decimal(18,2)")).cast("double")
+def exact_sum(c: str | Column, scale: int) -> Column:
+    """Sum (as double) that does not depend on the order of rows: values are
+    added as decimals of the declared ``scale``. A value that has more places,
+    or is too large, fails the job; nothing is rounded."""
+    v = col(c).cast("double")
+    v = F.when(~F.isnan(v), v)
+    d = v.try_cast(f"decimal(28,{scale})")
+    bad = F.raise_error(F.concat(F.lit(f"value does not fit {scale} decimal places: "),
+                                 v.cast("string"))).cast(f"decimal(28,{scale})")
+    return F.sum(F.when(v.isNull() | (d.cast("double") == v), d).otherwise(bad)).cast("double")
 
 
-def sum_or_zero(c: str | Column) -> Column:
-    """pandas ``sum``: all-missing gives 0 (A2)."""
-    return F.coalesce(money_sum(c), F.lit(0.0))
+def plain_sum(c: str | Column, scale: int | None = None) -> Column:
+    """Sum of the values as they are, or exactly at a declared scale; NaN and
+    NULL are skipped; nothing gives NULL."""
+    if scale is not None:
+        return exact_sum(c, scale)
+    v = col(c).cast("double")
+    return F.sum(F.when(~F.isnan(v), v))
 
 
-def exact_mean(c: str | Column) -> Column:
-    """Mean skipping NULLs, all-missing -> NULL (A3), summed exactly."""
-    return F.try_divide(money_sum(c), F.count(col(c)).cast("double"))
+def sum_or_zero(c: str | Column, scale: int | None = None) -> Column:
+    """pandas ``sum``: all-missing gives 0 (A2)."""
+    return F.coalesce(plain_sum(c, scale), F.lit(0.0))
 
 
-def year_of(c: str | Column) -> Column:
-    return F.year(col(c)).cast("int")
+def mean(c: str | Column, scale: int | None = None) -> Column:
+    """Mean skipping missing values, all-missing -> NULL (A3)."""
+    v = col(c).cast("double")
+    return F.try_divide(plain_sum(c, scale), F.count(F.when(~F.isnan(v), v)).cast("double"))
 
 
 def integral_year(c: str | Column) -> Column:
-    """Integer year from text/number: NULL unless an integral number."""
-    d = col(c).cast("string").try_cast("double")
-    return F.when(d == F.floor(d), d.cast("int"))
+    """Integer year from a date cell, text or number (F6, P8): the year of text
+    that starts as an ISO date, else the number if it is integral, else NULL."""
+    t = F.trim(col(c).cast("string"))
+    day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})([T ]|$)", 1).try_cast("date")
+    n = t.try_cast("double")
+    return F.coalesce(F.year(day), F.when(n == F.floor(n), n.try_cast("int")))
 
 
-def sanitize_name(name: str, limit: int = 31) -> str:
-    """Output/section name: spaces -> '_', '/' -> '-', cut to ``limit``."""
+def sanitize_name(name: str, limit: int | None = 31) -> str:
+    """Name made safe: spaces -> '_', '/' -> '-' (F10). Labels are cut to
+    ``limit``; folder names (None) never are."""
     return re.sub(r"\s", "_", str(name)).replace("/", "-")[:limit]

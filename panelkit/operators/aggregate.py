@@ -2,22 +2,34 @@
 long form ``(group..., year, metric, kind, value)`` every report is built on.
 
 Kinds follow pandas: ``sum`` of nothing is 0 (A2), ``mean`` skips missing
-values and is missing when all are (A3). Money is summed as decimal(18,2) so
-the result does not depend on partition order.
+values and is missing when all are (A3). Values are added as they are; a
+kind made by ``exact`` declares how many decimal places its metric has, and the
+sum then does not depend on the order of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import exact_mean, sum_or_zero
+from ..functions.scalar import mean, sum_or_zero
 
 KINDS = ("sum", "mean")
 
 
+class exact(str):
+    """A kind whose metric has at most ``scale`` decimal places."""
+
+    scale: int
+
+    def __new__(cls, kind: str, scale: int):
+        out = super().__new__(cls, kind)
+        out.scale = scale
+        return out
+
+
 def check_metrics(spec: Mapping[str, str], df: DataFrame | None = None) -> None:
     for m, k in spec.items():
         if k not in KINDS:
@@ -43,7 +55,8 @@ def choose_metrics(spec: Mapping[str, str], metric: str | None = None,
 
 def metric_expr(name: str, kind: str, src: str | Column | None = None) -> Column:
     c = F.col(name) if src is None else (F.col(src) if isinstance(src, str) else src)
-    return (sum_or_zero(c) if kind == "sum" else exact_mean(c)).alias(name)
+    scale = getattr(kind, "scale", None)
+    return (sum_or_zero(c, scale) if kind == "sum" else mean(c, scale)).alias(name)
 
 
 def agg_exprs(spec: Mapping[str, str]) -> list[Column]:
@@ -66,20 +79,12 @@ def group_agg(df: DataFrame, group_cols: Sequence[str], spec: Mapping[str, str],
 def to_long(df: DataFrame, ids: Sequence[str], spec: Mapping[str, str],
             metric_col: str = "metric", value_col: str = "value") -> DataFrame:
     """Wide metric columns -> rows ``(ids..., metric, kind, value)``."""
-    kinds = F.create_map(*[x for m, k in spec.items() for x in (F.lit(m), F.lit(k))])
+    kinds = F.create_map(*[x for m, k in spec.items() for x in (F.lit(m), F.lit(str(k)))])
     long = df.unpivot(list(ids), [F.col(m).cast("double").alias(m) for m in spec],
                       metric_col, value_col)
     return long.withColumn("kind", kinds[F.col(metric_col)])
 
 
-def long_agg(df: DataFrame, group_cols: Sequence[str], spec: Mapping[str, str],
-             entity_col: str | None = None) -> DataFrame:
-    """Aggregate by ``group_cols`` then go long: one row per group x metric."""
-    g = group_agg(df, group_cols, spec, entity_col)
-    ids = list(group_cols) + (["n_entities"] if entity_col else [])
-    return to_long(g, ids, spec)
-
-
 def first_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    value_cols: Sequence[str]) -> DataFrame:
     """A4/A5: per key, the first non-null value of each column under an
@@ -101,18 +106,15 @@ def distinct_list(df: DataFrame, c: str) -> DataFrame:
     return df.select(c).dropna().distinct().orderBy(c)
 
 
-def present_years(df: DataFrame, year_col: str = "year",
-                  candidates: Sequence[int] | None = None) -> list[int]:
-    """The sorted set of years present. These become pivot columns, so
-    the collect is bounded like Spark's own pivot-value discovery: more than
-    ``spark.sql.pivotMaxValues`` distinct years is an error, not a larger
-    driver result."""
-    if candidates is not None:
-        df = df.filter(F.col(year_col).isin(list(candidates)))
-    cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = (df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct()
-              .limit(cap + 1).collect())
-    if len(rows) > cap:
-        raise ValueError(f"more than {cap} distinct values in {year_col!r} (spark.sql.pivotMaxValues); "
-                         "pass the years explicitly")
+def present_years(df: DataFrame, year_col: str = "year") -> list[int]:
+    """The sorted years present, which become pivot columns."""
+    rows = df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct().collect()
     return sorted(r.y for r in rows)
+
+
+def with_year_span(cells: DataFrame, year_col: str = "year", metric_col: str = "metric") -> DataFrame:
+    """``cells`` (aggregated rows of group x year x metric) with the first and
+    last year that any group has (O5): where no year list is exhaustive, change
+    runs between these."""
+    w = Window.partitionBy(metric_col)
+    return cells.withColumns({"first_year": F.min(year_col).over(w), "last_year": F.max(year_col).over(w)})

@@ -24,19 +24,13 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
     return out
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-              pre_partition: Sequence[str] | None = None) -> DataFrame:
+def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per ``keys``: the first under ``order`` (give DESC columns).
 
     ``order`` must end in a unique column (the ingest sequence or primary
-    key), otherwise ties make the pick arbitrary. ``pre_partition`` hashes on
-    a subset of the keys first so that a later join on that subset reuses the
-    partitioning; it ships raw rows (the partial WindowGroupLimit then runs
-    after the shuffle), so use it only where keys cannot be hot."""
+    key), otherwise ties make the pick arbitrary."""
     if not order:
         raise ValueError("latest_by needs an explicit order ending in a unique column")
-    if pre_partition:
-        df = df.repartition(*pre_partition)
     w = Window.partitionBy(*keys).orderBy(*_order(order))
     return (df.withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") == 1).drop("_rn"))

@@ -10,6 +10,7 @@ filtered and exploded into a ``violations`` DataFrame. No Python runs per row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -181,9 +182,10 @@ def violations(df: DataFrame, rules: Sequence[Rule], id_cols: Sequence[str],
                          F.lit(None).cast("string").alias("field"),
                          F.lit(None).cast("string").alias("rule"),
                          F.lit(None).cast("string").alias("value")).limit(0)
-    # explode + a plain null filter stay inside whole-stage codegen (a
-    # higher-order ``filter`` over the array would be interpreted per row)
-    return (df.select(*id_cols, F.explode(F.array(*exprs)).alias("v"))
+    # Clean rows go before the array is built; explode + a plain null filter stay
+    # inside whole-stage codegen (a higher-order ``filter`` would not).
+    broken = reduce(lambda x, y: x | y, [e.isNotNull() for e in exprs])
+    return (df.filter(broken).select(*id_cols, F.explode(F.array(*exprs)).alias("v"))
               .filter(F.col("v").isNotNull())
               .select(F.lit(sheet).alias("sheet"), *id_cols, "v.field", "v.rule", "v.value"))
 
@@ -200,9 +202,11 @@ def audit_pk(df: DataFrame, key: Sequence[str]) -> DataFrame:              # C23
 
 def audit_fk(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
              name: str) -> DataFrame:                                       # C24
+    """Orphan keys and how many child rows hold each."""
     c = child.select(F.col(child_key).alias("key")).filter(F.col("key").isNotNull())
+    c = c.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
     p = parent.select(F.col(parent_key).alias("key"))
-    return c.join(p, "key", "left_anti").select(F.lit(name).alias("fk"), "key")
+    return c.join(p, "key", "left_anti").select(F.lit(name).alias("fk"), "key", "n_rows")
 
 
 def audit_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:        # C26

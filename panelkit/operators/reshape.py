@@ -32,11 +32,12 @@ def split(df: DataFrame, tables: Mapping[str, Sequence[str]],
 
 
 def recode_yes_no(c: str | Column) -> Column:
-    """P3: 'igen' -> 1, 'nem' -> 0, case- and blank-insensitive; other
-    values -> NULL (flags are stored as integers, see the survey's M6)."""
+    """P3: 'igen' -> '1', 'nem' -> '0', case- and blank-insensitive; other values
+    stay as they are (the rules report them, a cast to a number drops them)."""
+    c = F.col(c) if isinstance(c, str) else c
     v = F.lower(strip_ws(c))
     yes, no = YES_NO
-    return F.when(v == yes, F.lit(1)).when(v == no, F.lit(0))
+    return F.when(v == yes, F.lit("1")).when(v == no, F.lit("0")).otherwise(c)
 
 
 def recode_map(c: str | Column, mapping: Mapping[str, str]) -> Column:

@@ -16,30 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import exact_sum
+from ..operators.aggregate import exact
 from ..operators.latest import latest_by
 from ..operators.panel import assemble_panel, entity_base, reduce_fact
-from ..sources.tables import Tables, _session_key, spread
-
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def memo(fn):
-    """Build a bound DataFrame once per session and folder. Only the lazy
-    plan object is reused (it is immutable); no data is cached."""
-    def wrapper(t: Tables) -> DataFrame:
-        key = (_session_key(t.spark), t.root, fn.__name__)
-        df = _PLANS.get(key)
-        if df is None:
-            df = _PLANS[key] = fn(t)
-        return df
-    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
-    return wrapper
+from ..sources.tables import Tables
 
 # Aggregation config of the bound panel (metric -> kind), in the
-# shape of the reference's "small" and "full" sets.
-AGG_SMALL = {"total_price": "sum", "quantity": "sum", "discount": "mean"}
-AGG_FULL = {"total_price": "sum", "quantity": "sum", "discount": "mean",
-            "extended_price": "sum", "status_price": "sum", "tax": "mean"}
+# shape of the reference's "small" and "full" sets. The bound tables hold money,
+# quantities and rates with two places; a value with more fails the report.
+PLACES = 2
+_SUM, _MEAN = exact("sum", PLACES), exact("mean", PLACES)
+AGG_SMALL = {"total_price": _SUM, "quantity": _SUM, "discount": _MEAN}
+AGG_FULL = {"total_price": _SUM, "quantity": _SUM, "discount": _MEAN,
+            "extended_price": _SUM, "status_price": _SUM, "tax": _MEAN}
 AGG = {"small": AGG_SMALL, "full": AGG_FULL}
 
 EMAIL_SQL = ("concat(lower(replace(c_name, '#', CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE '.' END)),"
@@ -52,7 +42,6 @@ LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppke
               "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@memo
 def registry(t: Tables) -> DataFrame:
     """Entity registry with its dimension attributes (nation/region are
     fixed-size dimensions; Spark broadcasts them by its size estimate)."""
@@ -69,45 +58,41 @@ def registry(t: Tables) -> DataFrame:
                     F.expr(EMAIL_SQL).alias("email"))
 
 
-@memo
 def orders_versions(t: Tables) -> DataFrame:
-    o = spread(t.orders)
+    o = t.orders
     return o.select(F.col("o_custkey").alias("entity_id"),
                     F.year("o_orderdate").cast("int").alias("year"),
                     "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice",
                     "o_orderpriority")
 
 
-@memo
 def orders_latest(t: Tables) -> DataFrame:
-    """W1 on the yearly master data: newest order per (customer, year).
+    """W1 on the yearly master data: newest order per (customer, year), taken
+    from the newest per (customer, year, status), so that both read one scan.
     No pre-partitioning: the partial WindowGroupLimit before the shuffle keeps
     one row per key and map task, so a hot customer never ships its raw rows
     to a single task."""
-    return latest_by(orders_versions(t), ["entity_id", "year"],
+    return latest_by(status_latest(t), ["entity_id", "year"],
                      [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
-@memo
 def base(t: Tables) -> DataFrame:
     """Registry LEFT JOIN latest master data."""
     return entity_base(registry(t), orders_latest(t))
 
 
-@memo
 def fact_orders(t: Tables) -> DataFrame:
     return orders_latest(t).select(
         "entity_id", "year", F.col("o_totalprice").alias("total_price"),
         F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"))
 
 
-@memo
 def fact_lines(t: Tables) -> DataFrame:
     """Newest line per (customer, ship year). Lines are first reduced to the
     newest per (order, ship year) -- map-side, by the partial WindowGroupLimit
     -- so only those rows cross the join with orders; a hot order key is cut
     to one row per map task before any shuffle."""
-    li = spread(t.lineitem).withColumn("year", F.year("l_shipdate").cast("int"))
+    li = t.lineitem.withColumn("year", F.year("l_shipdate").cast("int"))
     order = [F.col(c).desc() for c in LINE_ORDER]
     per_order = latest_by(li, ["l_orderkey", "year"], order)
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"),
@@ -121,7 +106,6 @@ def fact_lines(t: Tables) -> DataFrame:
                          F.expr("nullif(l_tax, 0)").alias("tax"))
 
 
-@memo
 def status_latest(t: Tables) -> DataFrame:
     """W1 with a three-column key (map-side partial limit, then the
     first-non-null reduction to (entity, year) with partial aggregation)."""
@@ -129,7 +113,6 @@ def status_latest(t: Tables) -> DataFrame:
                      [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
-@memo
 def fact_status(t: Tables) -> DataFrame:
     s = status_latest(t).select(
         "entity_id", "year", "o_orderstatus",
@@ -139,7 +122,6 @@ def fact_status(t: Tables) -> DataFrame:
                        ["status_price", "status_priority"])
 
 
-@memo
 def panel(t: Tables) -> DataFrame:
     """The (entity, year) panel all reports read.
 
@@ -150,7 +132,6 @@ def panel(t: Tables) -> DataFrame:
     return assemble_panel(b, [fact_lines(t), fact_status(t)], numeric=list(AGG_FULL))
 
 
-@memo
 def management_latest(t: Tables) -> DataFrame:
     """W1 with a non-year key: newest contact row per (entity, contact)."""
     e = t.events.select(F.col("user_id").alias("entity_id"), "event_type", "ts",
@@ -159,7 +140,6 @@ def management_latest(t: Tables) -> DataFrame:
                      [F.col("ts").desc(), F.col("event_id").desc()])
 
 
-@memo
 def management_emails(t: Tables) -> DataFrame:
     """One row per entity, its contact e-mails sorted and '; '-joined."""
     from ..operators.aggregate import joined_distinct
@@ -171,39 +151,38 @@ def management_emails(t: Tables) -> DataFrame:
 
 def submissions(t: Tables) -> dict[str, DataFrame]:
     """Tables written by one submission share (entity, timestamp): order
-    headers and line totals per (customer, order date), plus the fan-out
-    table of returned lines. Used by the exact-timestamp join (J11)."""
+    headers and line totals per (customer, order date), with a flag for those
+    with returned lines. Used by the exact-timestamp join (J11)."""
     o = t.orders
     header = (o.groupBy(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts"))
                .agg(F.count(F.lit(1)).alias("n_orders"),
-                    F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price")))
-    # Lines are summed per order first (exact decimal sums; partial
-    # aggregation cuts a hot order to one row per map task), so the join with
-    # orders is one-to-one and raw lines never cross it.
+                    exact_sum("o_totalprice", PLACES).alias("total_price")))
+    # Lines are summed per order first (partial aggregation cuts a hot order to
+    # one row per map task), so the join with orders is one-to-one and raw
+    # lines never cross it.
     per_order = (t.lineitem.groupBy("l_orderkey")
-                 .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"),
-                      F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("x"),
-                      F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("d"),
+                 .agg(exact_sum("l_quantity", PLACES).alias("q"),
+                      exact_sum("l_extendedprice", PLACES).alias("x"),
+                      exact_sum("l_discount", PLACES).alias("d"),
                       F.count("l_discount").alias("nd"),
                       F.max(F.col("l_returnflag") == "R").alias("has_return")))
     lines = per_order.join(o.select(F.col("o_orderkey").alias("l_orderkey"),
                                     F.col("o_custkey").alias("entity_id"),
                                     F.col("o_orderdate").alias("ts")), "l_orderkey")
     line_tot = (lines.groupBy("entity_id", "ts")
-                .agg(F.sum("q").cast("double").alias("quantity"),
-                     F.sum("x").cast("double").alias("extended_price"),
-                     F.try_divide(F.sum("d").cast("double"), F.sum("nd").cast("double")).alias("discount")))
-    returned = lines.filter(F.col("has_return")).select("entity_id", "ts").distinct()
-    return {"header": header, "lines": line_tot, "returned": returned}
+                .agg(exact_sum("q", PLACES).alias("quantity"),
+                     exact_sum("x", PLACES).alias("extended_price"),
+                     F.try_divide(exact_sum("d", PLACES), F.sum("nd").cast("double")).alias("discount"),
+                     F.max("has_return").alias("has_return")))
+    return {"header": header, "lines": line_tot}
 
 
-@memo
 def exact_ts_join(t: Tables) -> DataFrame:
-    """Inner joins on (entity, exact timestamp); the fan-out table only
-    restricts (left_semi), it does not multiply rows."""
+    """Inner join on (entity, exact timestamp), restricted to submissions
+    with a returned line."""
     s = submissions(t)
     j = s["header"].join(s["lines"], ["entity_id", "ts"], "inner")
-    j = j.join(s["returned"], ["entity_id", "ts"], "left_semi")
+    j = j.filter("has_return").drop("has_return")
     return j.withColumn("year", F.year("ts").cast("int"))
 
 
@@ -219,13 +198,11 @@ PERTURB_SQL = """CASE p_partkey % 4
 END"""
 
 
-@memo
 def name_registry(t: Tables) -> DataFrame:
     """Registry for name resolution: one id (smallest part key) per part name."""
     return t.part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
 
 
-@memo
 def name_queries(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("query_id"), F.expr(PERTURB_SQL).alias("name"))
 
@@ -233,7 +210,6 @@ def name_queries(t: Tables) -> DataFrame:
 DICT_KEYS = ["p_type", "p_brand", "p_size"]
 
 
-@memo
 def known_dictionary(t: Tables) -> DataFrame:
     """Dictionary built by earlier batches: the (type, brand, size) of parts
     shipped before 1995-04-01, numbered in key order."""
@@ -241,6 +217,4 @@ def known_dictionary(t: Tables) -> DataFrame:
     early = (t.lineitem.filter(F.col("l_shipdate") < F.lit("1995-04-01").cast("timestamp_ntz"))
              .select(F.col("l_partkey").alias("p_partkey")).distinct())
     keys = t.part.join(early, "p_partkey", "left_semi").select(*DICT_KEYS).distinct()
-    keys = keys.withColumn("_k", F.concat_ws("\u0001", "p_type", "p_brand",
-                                             F.lpad(F.col("p_size").cast("string"), 10, "0")))
-    return dense_ids(keys, "_k", 0, "dict_id").drop("_k")
+    return dense_ids(keys, DICT_KEYS, 0, "dict_id")

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import money_sum, round_by_kind, round_even, safe_pct, safe_ratio, sum_or_zero
-from ..operators.aggregate import distinct_list, first_non_null, group_agg, joined_distinct, to_long
+from ..functions.scalar import round_by_kind, round_even, safe_pct, safe_ratio, sum_or_zero
+from ..operators.aggregate import distinct_list, exact, first_non_null, group_agg, joined_distinct, to_long
 from ..operators.latest import latest_by
 from ..operators.latest import latest_max_by as max_row_by
 from ..operators.panel import duplicate_keys
@@ -101,7 +101,7 @@ def group_year_agg(spark, d):
 def sum_null_zero(spark, d):
     li = T(spark, d).lineitem.withColumn("zero_discount", (F.col("l_discount") == 0).cast("int"))
     return (li.groupBy("l_returnflag", "l_linestatus", "zero_discount")
-              .agg(sum_or_zero(F.expr("nullif(l_discount, 0)")).alias("sum_discount"),
+              .agg(sum_or_zero(F.expr("nullif(l_discount, 0)"), B.PLACES).alias("sum_discount"),
                    F.count(F.lit(1)).alias("n_rows")))
 
 
@@ -217,6 +217,35 @@ def report_totals(spark, d):
     return R.report_totals(B.panel(T(spark, d)), TOTALS_CFG, B.AGG_FULL)
 
 
+ABSENT = 2031  # no order has this year
+
+
+@query
+def report_growth_absent_year(spark, d):
+    """Change runs between the first and last year present, not requested."""
+    return R.report_regional_growth(B.panel(T(spark, d)), dict(GROWTH_CFG, years=[1996, 1998, ABSENT]), B.AGG_SMALL)
+
+
+@query
+def report_totals_absent_year(spark, d):
+    return R.report_totals(B.panel(T(spark, d)), dict(TOTALS_CFG, years=[1996, 1997, ABSENT]), B.AGG_FULL)
+
+
+@query
+def report_single_absent_year(spark, d):
+    return R.report_single_metric(B.panel(T(spark, d)), dict(SINGLE_CFG, years=[1995, 1997, ABSENT]), B.AGG_FULL)
+
+
+@query
+def event_value_totals(spark, d):
+    """A1-A3 on values with more than two places, summed as they are."""
+    spec = {"value": exact("sum", 6)}
+    e = T(spark, d).events.withColumn("value", F.col("value") / 8)
+    total = group_agg(e, ["event_type"], spec).withColumnRenamed("value", "total")
+    avg = group_agg(e, ["event_type"], {"value": exact("mean", 6)}).withColumnRenamed("value", "average")
+    return total.join(avg, "event_type")
+
+
 @query
 def report_all_entities(spark, d):
     return R.report_all_entities(B.panel(T(spark, d)), ALL_ENT_CFG, B.AGG_SMALL)
@@ -258,7 +287,7 @@ def yoy_pct(spark, d):
     from ..operators.pivot import pivot_labels
     years = [1995, 1996, 1997, 1998, 1999]
     p = R.apply_filters(B.panel(T(spark, d)), years)
-    cells = group_agg(p, ["region", "year"], {"total_price": "sum"}).select(
+    cells = group_agg(p, ["region", "year"], {"total_price": B.AGG_SMALL["total_price"]}).select(
         "region", F.concat(F.lit("y"), F.col("year").cast("string")).alias("label"),
         F.col("total_price").alias("value"))
     wide = pivot_labels(cells, ["region"], "label", [f"y{y}" for y in years], fill=0.0)
@@ -280,7 +309,7 @@ def exact_ts_join(spark, d):
 
 
 def _summary(t):
-    s = R.yearly_summary(_yearly_rows(t), ["total_price", "quantity", "extended_price"], ["discount"])
+    s = R.yearly_summary(_yearly_rows(t), ["total_price", "quantity", "extended_price"], ["discount"], B.PLACES)
     return s.withColumn("avg_discount", round_even("avg_discount", 6))
 
 
@@ -329,7 +358,7 @@ def contacts_all(spark, d):
 @query
 def missing_panel(spark, d):
     t = T(spark, d)
-    return R.report_missing(B.panel(t), MISSING_CFG, B.management_emails(t))
+    return R.report_missing(B.base(t), MISSING_CFG, B.management_emails(t))
 
 
 def _missing_sub(t):
@@ -494,7 +523,9 @@ def audit_fk(spark, d):
              (t.lineitem, "l_suppkey", t.supplier, "s_suppkey", "lineitem.l_suppkey"),
              (t.orders, "o_custkey", t.customer, "c_custkey", "orders.o_custkey"),
              (t.labels, "doc_id", t.documents, "doc_id", "labels.doc_id"),
-             (t.events, "user_id", t.customer, "c_custkey", "events.user_id")]
+             (t.events, "user_id", t.customer, "c_custkey", "events.user_id"),
+             (t.customer, "c_custkey", t.orders, "o_custkey", "customer.c_custkey"),
+             (t.documents, "doc_id", t.labels, "doc_id", "documents.doc_id")]
     out = None
     for c, ck, p, pk, name in pairs:
         a = Q.audit_fk(c, ck, p, pk, name).withColumn("key", F.col("key").cast("long"))
@@ -531,6 +562,16 @@ def fuzzy_topk_review(spark, d):
     return out.withColumn("rank", F.col("rank").cast("int"))
 
 
+@query
+def review_decisions(spark, d):
+    """J2 answers: of the reviewed names, every third is accepted as the first
+    candidate, every third is declared new, the others stay open."""
+    review = fuzzy_topk_review(spark, d)
+    answers = review.where("decision = 'review' and rank = 1 and query_id % 3 < 2").select(
+        "query_id", F.when(F.col("query_id") % 3 == 0, F.col("candidate_id")).alias("candidate_id"))
+    return RS.apply_decisions(review, answers)
+
+
 @query
 def resolve_or_register(spark, d):
     t = T(spark, d)
@@ -541,13 +582,7 @@ def resolve_or_register(spark, d):
 @query
 def new_dictionary_rows(spark, d):
     t = T(spark, d)
-    known = B.known_dictionary(t)
-    batch = t.part.select(*B.DICT_KEYS)
-    fresh = batch.dropna().distinct().join(known.select(*B.DICT_KEYS), B.DICT_KEYS, "left_anti")
-    max_id = known.agg(F.coalesce(F.max("dict_id"), F.lit(0)).alias("m")).first()["m"]
-    fresh = fresh.withColumn("_k", F.concat_ws("\u0001", "p_type", "p_brand",
-                                               F.lpad(F.col("p_size").cast("string"), 10, "0")))
-    return RS.dense_ids(fresh, "_k", int(max_id), "dict_id").drop("_k")
+    return RS.new_dictionary_rows(t.part.select(*B.DICT_KEYS), B.known_dictionary(t), B.DICT_KEYS, "dict_id")
 
 
 @query
@@ -578,6 +613,18 @@ def rename_split(spark, d):
     return RP.split(wide, ORDER_TABLES, keep=["submission_id"])["flags"]
 
 
+@query
+def rename_split_header(spark, d):
+    wide = RP.rename(T(spark, d).orders, ORDER_HEADERS)
+    return RP.split(wide, ORDER_TABLES, keep=["submission_id"])["header"]
+
+
+@query
+def rename_split_money(spark, d):
+    wide = RP.rename(T(spark, d).orders, ORDER_HEADERS)
+    return RP.split(wide, ORDER_TABLES, keep=["submission_id"])["money"]
+
+
 @query
 def recode_yes_no(spark, d):
     o = S.orders(T(spark, d))
@@ -592,8 +639,7 @@ def recode_map(spark, d):
 
 @query
 def explode_list(spark, d):
-    from ..sources.tables import spread
-    return RP.explode_list(spread(T(spark, d).documents), "text", ["doc_id"])
+    return RP.explode_list(T(spark, d).documents, "text", ["doc_id"])
 
 
 @query
@@ -605,26 +651,74 @@ def defaults(spark, d):
 
 
 # ===================================================== step 11: ingest, runner
-LINE_TABLES = {"lines": {"line_money": ["quantity", "discount"], "line_rates": ["tax"]}}
-LINE_TYPES = {"quantity": "double", "discount": "double", "tax": "double"}
+LINE_SHEET = dict(tables={"line_money": ["quantity", "discount"], "line_rates": ["tax"]},
+                  types={"quantity": "double", "discount": "double", "tax": "double"})
 LINE_WHITELIST = {"line_money": ["submission_id", "row_id", "quantity", "discount"],
                   "line_rates": ["submission_id", "row_id", "tax"]}
 
 
-@query
-def ingest_append_roundtrip(spark, d):
-    """R17 + S6: validate the staged lines, hold back offending orders, cast,
-    split and append to a fresh folder under the shared checkpoint folder;
-    the result is the appended table read back."""
+def _ingested(spark, sheets, plan, whitelist=None):
     import uuid
 
     from ..session import shared_path
     from .ingest import ingest
+    return ingest(sheets, plan, shared_path(spark, "ingest", uuid.uuid4().hex), whitelist)
+
+
+def _ingest_lines(spark, d, table):
+    """R17 + S6: validate the staged lines, hold back offending orders, cast,
+    split and append to a fresh folder; the result is one table read back."""
+    from .ingest import Sheet
+    out = _ingested(spark, {"lines": S.lines(T(spark, d))},
+                    {"lines": Sheet(rules=[Q.percent(["tax_pct"])], **LINE_SHEET)}, LINE_WHITELIST)
+    return spark.read.parquet(out["written"][table])
+
+
+@query
+def ingest_append_roundtrip(spark, d):
+    return _ingest_lines(spark, d, "line_money")
+
+
+@query
+def ingest_line_rates(spark, d):
+    return _ingest_lines(spark, d, "line_rates")
+
+
+# Headers of the bound part questionnaire.
+PART_HEADERS = {"Park neve": "name", "Jogcim": "holder", "Tipus": "p_type", "Marka": "p_brand",
+                "Meret": "p_size", "Cimkek": "tags", "Aktiv": "flag"}
+
+
+def _ingest_parts(spark, d):
+    """R17 with every step: two sheets under one gate (a part is held back for
+    a bad size of its own or a bad share in any of its lines), headers renamed,
+    flags recoded, a default year, part and holder names resolved, dictionary
+    ids, and the tags exploded."""
+    from .ingest import Dictionary, Names, Sheet
     t = T(spark, d)
-    root = shared_path(spark, "ingest", uuid.uuid4().hex)
-    out = ingest({"lines": S.lines(t)}, {"lines": [Q.percent(["tax_pct"])]}, LINE_TABLES, LINE_TYPES,
-                 root, LINE_WHITELIST)
-    return spark.read.parquet(out["written"]["line_money"])
+    holders = t.nation.select(F.col("n_nationkey").cast("long").alias("entity_id"),
+                              F.col("n_name").alias("entity_name")).where("n_nationkey < 10")
+    plan = {
+        "parts": Sheet(rename=PART_HEADERS, rules=[Q.nonneg_int(["p_size"]), Q.yes_no(["flag"])],
+                       yes_no=["flag"], defaults={"year": F.lit(S.AS_OF_YEAR - 1)},
+                       types={"p_size": "int", "flag": "int"},
+                       names=[Names("name", B.name_registry(t).where("entity_id % 2 = 0")),
+                              Names("holder", holders, "holder_id", "holder_new")],
+                       dictionaries=[Dictionary(B.DICT_KEYS, B.known_dictionary(t), "dict_id", "dictionary_new")],
+                       tables={"part": ["year", "flag", "dict_id"]}, lists={"part_tag": "tags"}),
+        "shares": Sheet(rules=[Q.percent(["share"])], types={"share": "double"}, tables={"part_share": ["share"]})}
+    return _ingested(spark, {"parts": S.part_forms(t), "shares": S.part_shares(t)}, plan)
+
+
+def _ingest_table(table):
+    def run(spark, d):
+        out = _ingest_parts(spark, d)
+        return out["violations"] if table == "violations" else spark.read.parquet(out["written"][table])
+    QUERIES[f"ingest_{table}"] = run
+
+
+for _table in ("part", "part_tag", "part_share", "registry_new", "holder_new", "dictionary_new", "violations"):
+    _ingest_table(_table)
 
 
 BATCH = [dict(TOTALS_CFG, name="totals", agg="full"), dict(GROWTH_CFG, name="growth", agg="small"),
@@ -634,14 +728,18 @@ BATCH = [dict(TOTALS_CFG, name="totals", agg="full"), dict(GROWTH_CFG, name="gro
 
 @query
 def run_batch(spark, d):
-    """One persisted panel, several reports, failures isolated; the
-    result lists the row count of every report section."""
-    from .runner import Context, run_batch as _run
+    """One written panel, several reports, failures isolated; the result
+    holds every cell of every section, and a row for each failed report."""
+    from .runner import Context, cells, run_batch as _run
     t = T(spark, d)
     ctx = Context(B.AGG, B.management_latest(t), B.management_emails(t))
-    counts, failures = _run(B.panel(t), BATCH, ctx)
-    rows = counts + [(name, "failed", -1) for name, _ in failures]
-    return spark.createDataFrame(rows, "report string, section string, n_rows long")
+    sections, failures = _run(B.panel(t), BATCH, ctx)
+    out = spark.createDataFrame([(name, "failed", name, "error", None, None) for name, _ in failures],
+                                "report string, section string, row_key string, column_name string, "
+                                "number double, text string")
+    for (report, section), df in sections.items():
+        out = out.unionByName(cells(report, section, df))
+    return out
 
 
 # Names used by the build plan for two of the queries above.

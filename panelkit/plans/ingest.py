@@ -1,22 +1,68 @@
-"""Full ingest (R17): validate -> gate per submission -> resolve names ->
-recode and split -> append, for every submission of a drop in one job per
-table (the reference loads one workbook per run)."""
+"""Full ingest (R17) for every submission of a drop at once: rename -> validate
+-> gate per submission -> recode, defaults -> resolve names -> dictionary ids
+-> split and explode -> append.
+
+What later steps share is written once: the violations, the held-back
+submissions, the resolved names and dictionary ids, and each clean sheet. Tables
+are then plain projections of a written sheet."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import reshape as RP
-from ..operators.resolve import resolve_or_register
+from ..operators.resolve import new_dictionary_rows, resolve_or_register
+from ..session import shared_path
 from ..sources.sinks import append_table
 
+IDS = ("submission_id", "row_id")
+
+
+@dataclass(frozen=True)
+class Names:
+    """A name column resolved against a registry (id, name columns); the id is
+    stamped into ``stamp`` and unknown names are appended to ``table``."""
+    column: str
+    registry: DataFrame
+    stamp: str = "entity_id"
+    table: str = "registry_new"
+    id: str = "entity_id"
+    name: str = "entity_name"
+    threshold: float = 90
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Natural keys looked up in a dictionary; new ones are appended to ``table``."""
+    keys: Sequence[str]
+    known: DataFrame
+    id: str
+    table: str
+
+
+@dataclass(frozen=True)
+class Sheet:
+    """How one sheet is loaded. Rules see the renamed columns."""
+    tables: Mapping[str, Sequence[str]]
+    rules: Sequence[Q.Rule] = ()
+    rename: Mapping[str, str] = field(default_factory=dict)
+    yes_no: Sequence[str] = ()
+    recode: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
+    defaults: Mapping[str, Column] = field(default_factory=dict)
+    types: Mapping[str, str] = field(default_factory=dict)
+    names: Sequence[Names] = ()
+    dictionaries: Sequence[Dictionary] = ()
+    lists: Mapping[str, str] = field(default_factory=dict)  # table -> column of separated items
+
 
 def validate(sheets: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Q.Rule]],
-             ids: Sequence[str] = ("submission_id", "row_id")) -> DataFrame:
+             ids: Sequence[str] = IDS) -> DataFrame:
     """C1-C22 over every sheet: one violations frame."""
     out = None
     for sheet, df in sheets.items():
@@ -25,34 +71,49 @@ def validate(sheets: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Q.Rul
     return out
 
 
-def ingest(sheets: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Q.Rule]],
-           tables: Mapping[str, Mapping[str, Sequence[str]]], types: Mapping[str, str],
-           root: str, whitelist: Mapping[str, Sequence[str]] | None = None,
-           names: Mapping | None = None, strict: bool = False) -> dict:
-    """Run the whole load. ``tables`` maps sheet -> {table: columns};
-    ``names`` optionally resolves one name column against a registry:
-    ``{"sheet", "column", "registry", "id", "name", "threshold"}``. With
-    ``strict`` any violation blocks the whole drop (the reference's gate);
-    otherwise only the offending submissions are held back."""
-    viol = validate(sheets, rules)
-    bad = viol.select("submission_id").distinct()
+def ingest(sheets: Mapping[str, DataFrame], plan: Mapping[str, Sheet], root: str,
+           whitelist: Mapping[str, Sequence[str]] | None = None, strict: bool = False) -> dict:
+    """Run the whole load. With ``strict`` any violation blocks the drop;
+    otherwise the submissions that have one, in any sheet, are held back.
+
+    Returns violations, written ({table: path}) and blocked. A name is resolved
+    by itself, so a submission with several names keeps its rows apart."""
+    spark = next(iter(sheets.values())).sparkSession
+    run = shared_path(spark, "ingest-runs", uuid.uuid4().hex)
+
+    def once(df: DataFrame, what: str) -> DataFrame:
+        df.write.parquet(f"{run}/{what}")
+        return spark.read.schema(df.schema).parquet(f"{run}/{what}")
+
+    renamed = {s: RP.rename(df, plan[s].rename) for s, df in sheets.items()}
+    viol = once(validate(renamed, {s: p.rules for s, p in plan.items()}), "violations")
     written: dict[str, str] = {}
-    if strict and viol.limit(1).count() > 0:
+    if strict and not viol.isEmpty():
         return {"violations": viol, "written": written, "blocked": "all"}
-    clean = {s: Q.gate(df, bad, ["submission_id"]) for s, df in sheets.items()}
-    if names:
-        s, col = names["sheet"], names["column"]
-        q = clean[s].select(F.col("submission_id").alias("query_id"), F.col(col).alias("name")).distinct()
-        res, new_rows = resolve_or_register(q, names["registry"], names.get("threshold", 90),
-                                            rid=names.get("id", "entity_id"),
-                                            rname=names.get("name", "entity_name"))
-        written["registry_new"] = append_table(new_rows, root, "registry_new")
-        ids = res.select(F.col("query_id").alias("submission_id"), F.col("resolved_id").alias("entity_id"))
-        clean = {k: v.join(ids, "submission_id", "left") for k, v in clean.items()}
-    for sheet, split_spec in tables.items():
-        typed = RP.typed(clean[sheet], types)
-        parts = RP.split(typed, split_spec, keep=["submission_id", "row_id"] +
-                         (["entity_id"] if names else []))
-        for table, df in parts.items():
-            written[table] = append_table(df, root, table, whitelist)
+    bad = once(viol.select("submission_id").distinct(), "held_back")
+    for s, p in plan.items():
+        df = Q.gate(renamed[s], bad, ["submission_id"])
+        df = df.withColumns({c: RP.recode_yes_no(c) for c in p.yes_no})
+        df = df.withColumns({c: RP.recode_map(c, m) for c, m in p.recode.items()})
+        df = once(RP.typed(RP.with_defaults(df, p.defaults), p.types), f"clean-{s}")
+        for n in p.names:
+            asked = df.select(F.col(n.column).alias("query_id"), F.col(n.column).alias("name")).dropna().distinct()
+            res, new = resolve_or_register(asked, n.registry, n.threshold, rid=n.id, rname=n.name)
+            written[n.table] = append_table(new, root, n.table, whitelist)
+            ids = once(res.select(F.col("query_id").alias(n.column), F.col("resolved_id").alias(n.stamp)),
+                       f"names-{s}-{n.column}")
+            df = df.join(ids, n.column, "left")
+        for d in p.dictionaries:
+            new = once(new_dictionary_rows(df, d.known, list(d.keys), d.id), f"dictionary-{s}-{d.id}")
+            written[d.table] = append_table(new, root, d.table, whitelist)
+            ids = d.known.select(*d.keys, d.id).unionByName(new.select(*d.keys, d.id))
+            df = df.join(ids, list(d.keys), "left")
+        stamps = [*IDS, *[n.stamp for n in p.names]]
+        if p.names or p.dictionaries:
+            df = once(df, f"stamped-{s}")
+        for table, part in RP.split(df, p.tables, keep=stamps).items():
+            written[table] = append_table(part, root, table, whitelist)
+        for table, column in p.lists.items():
+            items = RP.explode_list(df, column, stamps).where("item <> ''")
+            written[table] = append_table(items, root, table, whitelist)
     return {"violations": viol, "written": written, "blocked": None}

@@ -36,12 +36,12 @@ def sql_ratio(n: str, d: str) -> str:
 
 
 def re2(x: str) -> str:
-    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's bround gives
-    return f"(round_even({x}, 2) + 0.0)"
+    # numpy's rounding: scale, nearest whole number, scale back; -0.0 -> 0.0
+    return f"(round_even(({x}) * 100.0::DOUBLE, 0) / 100.0::DOUBLE + 0.0::DOUBLE)"
 
 
 def rk(x: str) -> str:
-    return f"(CASE WHEN kind = 'sum' THEN round_even({x}, 0) ELSE round_even({x}, 2) END + 0.0)"
+    return f"(CASE WHEN kind = 'sum' THEN round_even({x}, 0) + 0.0::DOUBLE ELSE {re2(x)} END)"
 
 
 def metrics_sql(spec: dict) -> str:
@@ -223,7 +223,7 @@ UNION ALL {_dups('status_versions', 'status_v')}"""
 def _pivot_sql(group, years, spec, src_where):
     """Group x <m>_<y>, filled with 0, rounded."""
     cols = ", ".join(
-        f"{re2(f'coalesce(max(CASE WHEN year = {y} THEN {m} END), 0)')} AS {m}_{y}"
+        f"coalesce(max(CASE WHEN year = {y} THEN {m} END), 0) AS {m}_{y}"
         for m in sorted(spec) for y in years)
     return f"""WITH {CTE_PANEL},
 cells AS (SELECT {group}, year, {metrics_sql(spec)} FROM panel
@@ -245,8 +245,8 @@ long AS (SELECT *, value / nullif(n, 0) AS pe FROM ({long_sql('g', ['year', 'n']
 def _transpose_totals():
     ys = C.TOTALS_PLAIN_CFG["years"]
     cols = ", ".join(
-        f"{re2(f'max(CASE WHEN year = {y} THEN value END)')} AS y{y}_total, "
-        f"{re2(f'max(CASE WHEN year = {y} THEN pe END)')} AS y{y}_per_entity" for y in ys)
+        f"max(CASE WHEN year = {y} THEN value END) AS y{y}_total, "
+        f"max(CASE WHEN year = {y} THEN pe END) AS y{y}_per_entity" for y in ys)
     return _year_totals_sql(ys, B.AGG_SMALL) + f"\nSELECT metric, {cols} FROM long GROUP BY metric"
 
 
@@ -294,27 +294,40 @@ ORACLE["first_last_change"] = _entity_sql(C.ENTITY_CFG, B.AGG_FULL, fill=False)
 ORACLE["report_all_entities"] = _entity_sql(C.ALL_ENT_CFG, B.AGG_SMALL, fill=True, keys=["county"])
 
 
-def _single():
-    cfg = C.SINGLE_CFG
+def _at(col, ys, which):
+    """The column of the first or last year present."""
+    return "CASE " + " ".join(f"WHEN {which} = {y} THEN {col(y)}" for y in ys) + " END"
+
+
+def _present_change(col, ys, diff, pct, finish=lambda x: x):
+    f_, l_ = _at(col, ys, "first_year"), _at(col, ys, "last_year")
+    d = f"({l_}) - ({f_})"
+    return [f"CASE WHEN first_year < last_year THEN {finish(d)} END AS {diff}",
+            f"CASE WHEN first_year < last_year THEN {finish(sql_pct(d, f_))} END AS {pct}"]
+
+
+SPAN = "(SELECT min(year) AS first_year, max(year) AS last_year FROM {}) span"
+
+
+def _single(cfg=C.SINGLE_CFG, where=""):
     ys, g, m = sorted(cfg["years"]), cfg["group_col"], cfg["metric"]
     w = ", ".join(f"coalesce(max(CASE WHEN year = {y} THEN v END), 0) AS y{y}" for y in ys)
-    cols = [f"{re2(f'y{y}')} AS y{y}" for y in ys]
+    cols = [f"y{y}" for y in ys]
     for py, y in zip(ys, ys[1:]):
-        cols += [f"{re2(f'y{y} - y{py}')} AS diff_{y}", f"{re2(sql_pct(f'y{y} - y{py}', f'y{py}'))} AS pct_{y}"]
-    f_, l_ = ys[0], ys[-1]
-    cols += [f"{re2(f'y{l_} - y{f_}')} AS total_diff", f"{re2(sql_pct(f'y{l_} - y{f_}', f'y{f_}'))} AS total_pct"]
+        cols += [f"y{y} - y{py} AS diff_{y}", f"{sql_pct(f'y{y} - y{py}', f'y{py}')} AS pct_{y}"]
+    cols += _present_change(lambda y: f"y{y}", ys, "total_diff", "total_pct")
     return f"""WITH {CTE_PANEL},
 cells AS (SELECT {g}, year, {sql_metric('v', B.AGG_FULL[m], m)} FROM panel
-          WHERE year IN ({yin(ys)}) AND {g} IS NOT NULL GROUP BY {g}, year),
+          WHERE year IN ({yin(ys)}) AND {g} IS NOT NULL {where} GROUP BY {g}, year),
 w AS (SELECT {g}, {w} FROM cells GROUP BY {g})
-SELECT {g}, {', '.join(cols)} FROM w"""
+SELECT {g}, {', '.join(cols)} FROM w, {SPAN.format('cells')}"""
 
 
+ORACLE["report_single_absent_year"] = _single(dict(C.SINGLE_CFG, years=[1995, 1997, C.ABSENT]))
 ORACLE["yoy_diff"] = _single()
 
 
-def _growth():
-    cfg = C.GROWTH_CFG
+def _growth(cfg=C.GROWTH_CFG):
     ys, g = sorted(cfg["years"]), cfg["group_col"]
     spec = {m: B.AGG_SMALL[m] for m in cfg["metrics"]}
     w = []
@@ -325,24 +338,22 @@ def _growth():
             w.append(f"coalesce(max(CASE WHEN year = {y} THEN {pe} END), 0) AS {m}_{y}_pe")
     cols = [f"{re2(f'{m}_{y}')} AS {m}_{y}, {re2(f'{m}_{y}_pe')} AS {m}_{y}_per_entity"
             for m in spec for y in ys]
-    f_, l_ = ys[0], ys[-1]
     for m in spec:
-        d = f"{m}_{l_}_pe - {m}_{f_}_pe"
-        cols += [f"{re2(d)} AS {m}_change_per_entity",
-                 f"{re2(sql_pct(d, f'{m}_{f_}_pe'))} AS {m}_change_pct_per_entity"]
+        cols += _present_change(lambda y, m=m: f"{m}_{y}_pe", ys, f"{m}_change_per_entity",
+                                f"{m}_change_pct_per_entity", re2)
     return f"""WITH {CTE_PANEL},
 f AS (SELECT * FROM panel WHERE year IN ({yin(ys)}) AND {g} IS NOT NULL),
 cells AS (SELECT {g}, year, {metrics_sql(spec)} FROM f GROUP BY {g}, year),
 cnt AS (SELECT {g}, count(DISTINCT entity_id) AS n FROM f GROUP BY {g}),
 w AS (SELECT c.{g}, {', '.join(w)} FROM cells c JOIN cnt ON c.{g} = cnt.{g} GROUP BY c.{g})
-SELECT {g}, {', '.join(cols)} FROM w"""
+SELECT {g}, {', '.join(cols)} FROM w, {SPAN.format('cells')}"""
 
 
 ORACLE["report_regional_growth"] = _growth()
+ORACLE["report_growth_absent_year"] = _growth(dict(C.GROWTH_CFG, years=[1996, 1998, C.ABSENT]))
 
 
-def _totals():
-    cfg = C.TOTALS_CFG
+def _totals(cfg=C.TOTALS_CFG):
     ys = sorted(cfg["years"])
     vals = ", ".join(f"'{v}'" for v in cfg["filter_values"])
     w = []
@@ -351,36 +362,25 @@ def _totals():
         w.append(f"max(CASE WHEN year = {y} THEN CASE WHEN kind = 'sum' THEN "
                  f"{sql_ratio('value', 'n')} ELSE value END END) AS a{y}")
     cols = [f"{re2(f'y{y}')} AS y{y}, {re2(f'a{y}')} AS y{y}_avg" for y in ys]
-    f_, l_ = ys[0], ys[-1]
-    cols += [f"{re2(f'a{l_} - a{f_}')} AS growth",
-             f"{re2(sql_pct(f'a{l_} - a{f_}', f'a{f_}'))} AS growth_pct"]
+    cols += _present_change(lambda y: f"a{y}", ys, "growth", "growth_pct", re2)
     return (_year_totals_sql(ys, B.AGG_FULL, f"AND {cfg['filter_col']} IN ({vals})")
             + f",\nw AS (SELECT metric, {', '.join(w)} FROM long GROUP BY metric)\n"
-            + f"SELECT metric, {', '.join(cols)} FROM w")
+            + f"SELECT metric, {', '.join(cols)} FROM w, {SPAN.format('long')}")
 
 
 ORACLE["report_totals"] = _totals()
+ORACLE["report_totals_absent_year"] = _totals(dict(C.TOTALS_CFG, years=[1996, 1997, C.ABSENT]))
 
+ORACLE["event_value_totals"] = """SELECT event_type,
+       coalesce(CAST(sum(CAST(value / 8 AS DECIMAL(28,6))) AS DOUBLE), 0) AS total,
+       CAST(sum(CAST(value / 8 AS DECIMAL(28,6))) AS DOUBLE) / count(value) AS average
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
 
 
 
 
-def _single_cfg(cfg, where):
-    ys, g, m = sorted(cfg["years"]), cfg["group_col"], cfg["metric"]
-    w = ", ".join(f"coalesce(max(CASE WHEN year = {y} THEN v END), 0) AS y{y}" for y in ys)
-    cols = [f"{re2(f'y{y}')} AS y{y}" for y in ys]
-    for py, y in zip(ys, ys[1:]):
-        cols += [f"{re2(f'y{y} - y{py}')} AS diff_{y}", f"{re2(sql_pct(f'y{y} - y{py}', f'y{py}'))} AS pct_{y}"]
-    f_, l_ = ys[0], ys[-1]
-    cols += [f"{re2(f'y{l_} - y{f_}')} AS total_diff", f"{re2(sql_pct(f'y{l_} - y{f_}', f'y{f_}'))} AS total_pct"]
-    return f"""WITH {CTE_PANEL},
-cells AS (SELECT {g}, year, {sql_metric('v', B.AGG_FULL[m], m)} FROM panel
-          WHERE year IN ({yin(ys)}) AND {g} IS NOT NULL {where} GROUP BY {g}, year),
-w AS (SELECT {g}, {w} FROM cells GROUP BY {g})
-SELECT {g}, {', '.join(cols)} FROM w"""
 
-
-ORACLE["report_single_metric"] = _single_cfg(
+ORACLE["report_single_metric"] = _single(
     {"group_col": "region", "metric": "quantity", "years": [1998, 1999, 2000]},
     "AND region IN ('ASIA', 'AMERICA', 'EUROPE')")
 
@@ -390,8 +390,8 @@ ORACLE["report_entity"] = _entity_sql(
 
 def _plain(ys, spec):
     cols = ", ".join(
-        f"{re2(f'max(CASE WHEN year = {y} THEN value END)')} AS y{y}_total, "
-        f"{re2(f'max(CASE WHEN year = {y} THEN pe END)')} AS y{y}_per_entity" for y in ys)
+        f"max(CASE WHEN year = {y} THEN value END) AS y{y}_total, "
+        f"max(CASE WHEN year = {y} THEN pe END) AS y{y}_per_entity" for y in ys)
     return _year_totals_sql(ys, spec) + f"\nSELECT metric, {cols} FROM long GROUP BY metric"
 
 
@@ -450,7 +450,7 @@ summary AS (SELECT year, count(entity_id) AS n_entities,
                    CAST(sum(CAST(total_price AS DECIMAL(18,2))) AS DOUBLE) AS sum_total_price,
                    CAST(sum(CAST(quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_quantity,
                    CAST(sum(CAST(extended_price AS DECIMAL(18,2))) AS DOUBLE) AS sum_extended_price,
-                   round_even(avg(discount), 6) + 0.0 AS avg_discount
+                   round_even(avg(discount) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0::DOUBLE AS avg_discount
             FROM yr GROUP BY year)"""
 
 ORACLE["exact_ts_join"] = f"WITH {CTE_SUB} SELECT * FROM j"
@@ -626,10 +626,12 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
 
 _FK = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
        ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-       ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+       ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey"),
+       ("customer", "c_custkey", "orders", "o_custkey"), ("documents", "doc_id", "labels", "doc_id")]
 ORACLE["audit_fk"] = "\nUNION ALL ".join(
-    f"SELECT '{c}.{ck}' AS fk, CAST(x.{ck} AS BIGINT) AS key FROM {c} x WHERE x.{ck} IS NOT NULL "
-    f"AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})" for c, ck, p, pk in _FK)
+    f"SELECT '{c}.{ck}' AS fk, CAST(x.{ck} AS BIGINT) AS key, count(*) AS n_rows FROM {c} x "
+    f"WHERE x.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck}) GROUP BY x.{ck}"
+    for c, ck, p, pk in _FK)
 
 _NN = ["year", "total_price", "priority", "quantity", "tax", "status_priority"]
 ORACLE["audit_not_null"] = f"""WITH {CTE_PANEL},
@@ -685,18 +687,47 @@ rk_ids AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY rs ORDER BY
 top AS (SELECT sc.qs, r.candidate_id, r.candidate_name, sc.score,
                CAST(row_number() OVER (PARTITION BY sc.qs ORDER BY sc.score DESC, r.candidate_id) AS INTEGER) AS rank
         FROM sc JOIN rk_ids r ON sc.rs = r.rs WHERE sc.score >= 70 QUALIFY rank <= 3),
-top2 AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY qs) = 100 THEN 'exact' ELSE 'review' END AS decision FROM top)
+top2 AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY qs) = 100 THEN 'exact' ELSE 'review' END AS decision FROM top
+         QUALIFY rank = 1 OR max(score) OVER (PARTITION BY qs) < 100)
 SELECT qc.query_id, qc.query_name, t.candidate_id, t.candidate_name, t.score, t.rank,
        coalesce(t.decision, 'new') AS decision
 FROM qc LEFT JOIN top2 t ON qc.qs = t.qs"""
 
-ORACLE["resolve_or_register"] = f"""WITH {CTE_NAMES}, {_best(90)},
-res AS (SELECT qc.query_id, qc.query_name, b.candidate_id AS matched_id FROM qc LEFT JOIN best b ON qc.qs = b.qs),
-newn AS (SELECT DISTINCT query_name FROM res WHERE matched_id IS NULL AND query_name IS NOT NULL),
-newids AS (SELECT query_name, (SELECT coalesce(max(entity_id), 0) FROM reg) + row_number() OVER (ORDER BY query_name) AS new_id
-           FROM newn)
+ORACLE["review_decisions"] = f"""WITH review AS ({ORACLE['fuzzy_topk_review']})
+SELECT query_id, any_value(query_name) AS query_name,
+       max(CASE WHEN decision = 'exact' OR (decision = 'review' AND query_id % 3 = 0 AND rank = 1)
+                THEN candidate_id END) AS candidate_id,
+       CASE WHEN max(decision) = 'new' OR (max(decision) = 'review' AND query_id % 3 = 1) THEN 'new'
+            WHEN max(decision) = 'exact' OR query_id % 3 = 0 THEN 'matched' ELSE 'open' END AS state
+FROM review GROUP BY query_id"""
+
+# New names one after the other, in order: each joins the best leader so far or
+# becomes one.
+ORACLE["resolve_or_register"] = f"""WITH RECURSIVE {CTE_NAMES}, {_best(90)},
+res AS (SELECT qc.query_id, qc.query_name, qc.qs, b.candidate_id AS matched_id FROM qc LEFT JOIN best b ON qc.qs = b.qs),
+newn AS (SELECT qs, row_number() OVER (ORDER BY qs) AS i
+         FROM (SELECT DISTINCT qs FROM res WHERE matched_id IS NULL AND length(qs) > 0)),
+npairs AS (SELECT x.qs, y.qs AS rs, CASE WHEN length(x.qs) <= length(y.qs) THEN x.qs ELSE y.qs END AS a,
+                  CASE WHEN length(x.qs) <= length(y.qs) THEN y.qs ELSE x.qs END AS b FROM newn x, newn y WHERE y.qs < x.qs),
+nlcs AS (SELECT qs, rs, CAST(length(qs) + length(rs) AS DOUBLE) AS lsum, CAST({LCS_SQL} AS DOUBLE) AS l FROM npairs),
+nsc AS (SELECT qs, rs, CAST(round_even((1.0::DOUBLE - (lsum - 2.0::DOUBLE * l) / lsum) * 100.0::DOUBLE, 0) AS INTEGER)
+               AS score FROM nlcs),
+near AS (SELECT qs, list(rs) AS before FROM nsc WHERE score >= 90 GROUP BY qs),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS leaders
+         UNION ALL
+         SELECT w.i + 1, CASE WHEN n.before IS NOT NULL AND list_has_any(n.before, w.leaders) THEN w.leaders
+                              ELSE list_append(w.leaders, m.qs) END
+         FROM walk w JOIN newn m ON m.i = w.i + 1 LEFT JOIN near n ON n.qs = m.qs),
+lead AS (SELECT unnest(leaders) AS leader FROM walk WHERE i = (SELECT max(i) FROM walk)),
+ids AS (SELECT leader, (SELECT coalesce(max(entity_id), 0) FROM reg) + row_number() OVER (ORDER BY leader) AS new_id
+        FROM lead),
+follow AS (SELECT leader AS qs, leader FROM lead
+           UNION ALL
+           SELECT s.qs, arg_min(s.rs, (-s.score, s.rs)) AS leader FROM nsc s
+           WHERE s.score >= 90 AND s.rs IN (SELECT leader FROM lead) AND s.qs NOT IN (SELECT leader FROM lead)
+           GROUP BY s.qs)
 SELECT r.query_id, r.query_name, coalesce(r.matched_id, n.new_id) AS resolved_id, r.matched_id IS NULL AS is_new
-FROM res r LEFT JOIN newids n ON r.query_name = n.query_name"""
+FROM res r LEFT JOIN follow f ON r.qs = f.qs LEFT JOIN ids n ON f.leader = n.leader"""
 
 CTE_DICT = """early AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-04-01'),
 known AS (SELECT p_type, p_brand, p_size,
@@ -722,8 +753,8 @@ ORACLE["rename_split"] = "SELECT o_orderkey AS submission_id, o_orderstatus AS s
 
 ORACLE["recode_yes_no"] = f"""WITH {CTE_SHEETS}
 SELECT submission_id, flag,
-       CASE WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'igen' THEN 1
-            WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'nem' THEN 0 END AS flag_code
+       CASE WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'igen' THEN '1'
+            WHEN lower(regexp_replace(flag, '\\A{WS_RE2}+|{WS_RE2}+\\z', '', 'g')) = 'nem' THEN '0' ELSE flag END AS flag_code
 FROM os"""
 
 ORACLE["recode_map"] = """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high'
@@ -745,15 +776,119 @@ SELECT submission_id, row_id, TRY_CAST(quantity AS DOUBLE) AS quantity, TRY_CAST
 FROM ls l WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.submission_id = l.submission_id)"""
 
 
-def _count(report, section, key):
-    return f"SELECT '{report}' AS report, '{section}' AS section, CAST(count(*) AS BIGINT) AS n_rows FROM ({ORACLE[key]})"
-
-
+ORACLE["ingest_line_rates"] = f"""WITH {CTE_SHEETS},
+bad AS (SELECT DISTINCT submission_id FROM ls WHERE tax_pct IS NOT NULL AND ({RULE_PRED['percent']('tax_pct')}))
+SELECT submission_id, row_id, TRY_CAST(tax AS DOUBLE) AS tax
+FROM ls l WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.submission_id = l.submission_id)"""
+ORACLE["rename_split_header"] = "SELECT o_orderkey AS submission_id, o_custkey AS entity_id, o_orderdate AS datum FROM orders"
+ORACLE["rename_split_money"] = "SELECT o_orderkey AS submission_id, o_totalprice AS total_price FROM orders"
+
+CTE_FORMS = f"""forms AS (SELECT p_partkey AS submission_id, p_partkey AS row_id, {B.PERTURB_SQL} AS name,
+       concat(CASE WHEN p_partkey % 12 < 10 THEN 'nation ' ELSE 'land ' END, CAST(p_partkey % 12 AS VARCHAR)) AS holder, p_type, p_brand, p_size,
+       concat(replace(p_type, ' ', ' , '), ',') AS tags,
+       CASE WHEN p_partkey % 97 = 0 THEN 'talan' WHEN p_partkey % 2 = 0 THEN 'Igen' ELSE 'nem' END AS flag FROM part),
+shares AS (SELECT l_partkey AS submission_id, l_orderkey * 10 + l_linenumber AS row_id,
+       CAST(CAST(l_quantity * CASE WHEN l_linenumber >= 7 THEN 2.02 ELSE 2 END AS DECIMAL(18,2)) AS VARCHAR) AS share
+       FROM lineitem),
+viol AS (SELECT 'parts' AS sheet, submission_id, row_id, 'p_size' AS field, 'nonneg_int' AS rule,
+                CAST(p_size AS VARCHAR) AS value FROM forms WHERE p_size < 0
+         UNION ALL
+         SELECT 'parts', submission_id, row_id, 'flag', 'yes_no', flag FROM forms
+         WHERE lower(trim(flag)) NOT IN ('igen', 'nem')
+         UNION ALL
+         SELECT 'shares', submission_id, row_id, 'share', 'percent', share FROM shares
+         WHERE CAST(share AS DOUBLE) < 0 OR CAST(share AS DOUBLE) > 100),
+clean AS (SELECT * FROM forms WHERE submission_id NOT IN (SELECT submission_id FROM viol)),
+cdict AS (SELECT * FROM known UNION ALL
+  SELECT p_type, p_brand, p_size, (SELECT coalesce(max(dict_id), 0) FROM known) + row_number() OVER (ORDER BY p_type, p_brand, p_size)
+  FROM (SELECT DISTINCT p_type, p_brand, p_size FROM clean
+        WHERE p_type IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL
+        EXCEPT SELECT p_type, p_brand, p_size FROM known))"""
+
+
+def _resolved(prefix, names_sql, registry_sql, threshold=90):
+    """CTEs that resolve names one after the other against a registry:
+    <prefix>_id (name, id) and <prefix>_new (entity_id, entity_name)."""
+    p = prefix
+    score = f"""CAST(round_even((1.0::DOUBLE - (length(a) + length(b) - 2.0::DOUBLE * CAST({LCS_SQL} AS DOUBLE))
+                / (length(a) + length(b))) * 100.0::DOUBLE, 0) AS INTEGER)"""
+
+    def pairs(left, right, more=""):
+        return (f"SELECT x, y, {score} AS score FROM (SELECT l.q AS x, r.q AS y, "
+                "CASE WHEN length(l.q) <= length(r.q) THEN l.q ELSE r.q END AS a, "
+                "CASE WHEN length(l.q) <= length(r.q) THEN r.q ELSE l.q END AS b "
+                f"FROM {left} l, {right} r {more})")
+    return f"""{p}_reg AS ({registry_sql}),
+{p}_names AS (SELECT name, {clean_sql('name')} AS q FROM (SELECT DISTINCT name FROM ({names_sql}) WHERE name IS NOT NULL)),
+{p}_r AS (SELECT {clean_sql('entity_name')} AS q, min(entity_id) AS entity_id FROM {p}_reg GROUP BY 1),
+{p}_u AS (SELECT DISTINCT q FROM {p}_names WHERE length(q) > 0),
+{p}_hit AS (SELECT x AS q, arg_min(r.entity_id, (-score, r.entity_id)) AS entity_id
+            FROM ({pairs(f'{p}_u', f'{p}_r')}) s JOIN {p}_r r ON s.y = r.q WHERE score >= {threshold} GROUP BY x),
+{p}_rest AS (SELECT q, row_number() OVER (ORDER BY q) AS i FROM {p}_u WHERE q NOT IN (SELECT q FROM {p}_hit)),
+{p}_near AS MATERIALIZED (SELECT * FROM ({pairs(f'{p}_rest', f'{p}_rest', 'WHERE r.q < l.q')}) WHERE score >= {threshold}),
+{p}_walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS leaders
+  UNION ALL
+  SELECT w.i + 1, CASE WHEN n.before IS NOT NULL AND list_has_any(n.before, w.leaders) THEN w.leaders
+                       ELSE list_append(w.leaders, m.q) END
+  FROM {p}_walk w JOIN {p}_rest m ON m.i = w.i + 1
+  LEFT JOIN (SELECT x, list(y) AS before FROM {p}_near GROUP BY x) n ON n.x = m.q),
+{p}_lead AS (SELECT leader, (SELECT coalesce(max(entity_id), 0) FROM {p}_reg) + row_number() OVER (ORDER BY leader) AS entity_id
+  FROM (SELECT unnest(leaders) AS leader FROM {p}_walk WHERE i = (SELECT max(i) FROM {p}_walk))),
+{p}_of AS (SELECT q, entity_id FROM {p}_hit
+  UNION ALL SELECT leader, entity_id FROM {p}_lead
+  UNION ALL SELECT n.x, arg_min(l.entity_id, (-n.score, n.y)) FROM {p}_near n JOIN {p}_lead l ON n.y = l.leader
+  WHERE n.x NOT IN (SELECT leader FROM {p}_lead) GROUP BY n.x),
+{p}_id AS (SELECT n.name, o.entity_id FROM {p}_names n LEFT JOIN {p}_of o ON n.q = o.q),
+{p}_new AS (SELECT l.entity_id, min(n.name) AS entity_name FROM {p}_lead l JOIN {p}_names n ON n.q = l.leader GROUP BY l.entity_id)"""
+
+
+CTE_INGEST = f"""WITH RECURSIVE {CTE_DICT}, {CTE_FORMS},
+{_resolved('pn', 'SELECT name FROM clean', "SELECT * FROM (SELECT min(p_partkey) AS entity_id, p_name AS entity_name FROM part GROUP BY p_name) WHERE entity_id % 2 = 0")},
+{_resolved('hn', 'SELECT holder AS name FROM clean', 'SELECT CAST(n_nationkey AS BIGINT) AS entity_id, n_name AS entity_name FROM nation WHERE n_nationkey < 10')}"""
+ORACLE["ingest_part"] = CTE_INGEST + """
+SELECT c.submission_id, c.row_id, p.entity_id, h.entity_id AS holder_id, 2023 AS year,
+       CASE WHEN lower(trim(c.flag)) = 'igen' THEN 1 ELSE 0 END AS flag, d.dict_id
+FROM clean c LEFT JOIN pn_id p ON c.name = p.name LEFT JOIN hn_id h ON c.holder = h.name
+LEFT JOIN cdict d ON c.p_type = d.p_type AND c.p_brand = d.p_brand AND c.p_size = d.p_size"""
+ORACLE["ingest_part_tag"] = CTE_INGEST + """
+SELECT submission_id, row_id, entity_id, holder_id, CAST(pos AS INTEGER) AS pos, trim(raw) AS item
+FROM (SELECT c.submission_id, c.row_id, p.entity_id, h.entity_id AS holder_id,
+             unnest(range(len(string_split(tags, ',')))) AS pos, unnest(string_split(tags, ',')) AS raw
+      FROM clean c LEFT JOIN pn_id p ON c.name = p.name LEFT JOIN hn_id h ON c.holder = h.name)
+WHERE trim(raw) <> ''"""
+ORACLE["ingest_part_share"] = f"""WITH {CTE_DICT}, {CTE_FORMS}
+SELECT submission_id, row_id, CAST(share AS DOUBLE) AS share FROM shares
+WHERE submission_id NOT IN (SELECT submission_id FROM viol)"""
+ORACLE["ingest_registry_new"] = CTE_INGEST + "\nSELECT entity_id, entity_name FROM pn_new"
+ORACLE["ingest_holder_new"] = CTE_INGEST + "\nSELECT entity_id, entity_name FROM hn_new"
+ORACLE["ingest_dictionary_new"] = f"""WITH {CTE_DICT}, {CTE_FORMS}
+SELECT p_type, p_brand, p_size, dict_id FROM cdict WHERE dict_id > (SELECT coalesce(max(dict_id), 0) FROM known)"""
+ORACLE["ingest_violations"] = f"WITH {CTE_DICT}, {CTE_FORMS} SELECT * FROM viol"
+
+
+def _cells(report, section, key, row, numbers=(), texts=()):
+    """Every cell of a section, as rows."""
+    return "\nUNION ALL ".join(
+        f"SELECT '{report}' AS report, '{section}' AS section, CAST({row} AS VARCHAR) AS row_key, '{c}' AS column_name, "
+        + (f"CAST({c} AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text" if c in numbers else
+           f"CAST(NULL AS DOUBLE) AS number, CAST({c} AS VARCHAR) AS text") + f" FROM ({ORACLE[key]})"
+        for c in [*numbers, *texts])
+
+
+_YS = C.TOTALS_CFG["years"]
+_GROWTH_COLUMNS = [f"{m}_{y}{w}" for m in C.GROWTH_CFG["metrics"] for y in C.GROWTH_CFG["years"]
+                   for w in ("", "_per_entity")]
+_GROWTH_COLUMNS += [f"{m}_change{w}_per_entity" for m in C.GROWTH_CFG["metrics"] for w in ("", "_pct")]
+_WHO = ["entity_name", "email", "management_email"]
 ORACLE["run_batch"] = "\nUNION ALL ".join([
-    _count("totals", "main", "report_totals"), _count("growth", "main", "report_regional_growth"),
-    _count("emails", "email_list", "contact_list"), _count("emails", "details", "contact_details"),
-    _count("missing", "missing", "missing_panel"),
-    "SELECT 'broken' AS report, 'failed' AS section, CAST(-1 AS BIGINT) AS n_rows"])
+    _cells("totals", "main", "report_totals", "metric",
+           [f"y{y}{w}" for y in _YS for w in ("", "_avg")] + ["growth", "growth_pct"]),
+    _cells("growth", "main", "report_regional_growth", "region", _GROWTH_COLUMNS),
+    _cells("emails", "email_list", "contact_list", "email", [], ["email"]),
+    _cells("emails", "details", "contact_details", "entity_id", [], _WHO),
+    _cells("missing", "missing", "missing_panel", "entity_id", [], _WHO),
+    "SELECT 'broken' AS report, 'failed' AS section, 'broken' AS row_key, 'error' AS column_name, "
+    "CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text"])
 
 ORACLE["safe_pct"] = ORACLE["safe_pct_query"]
 ORACLE["round_by_kind"] = ORACLE["round_by_kind_query"]

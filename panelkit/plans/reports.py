@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_by_kind, round_even, safe_pct, safe_ratio
-from ..operators.aggregate import (choose_metrics, distinct_list, group_agg, joined_distinct,
-                                   present_years, to_long)
-from ..operators.change import add_first_last, add_yoy
+from ..functions.scalar import plain_sum, round_by_kind, round_even, safe_ratio
+from ..operators.aggregate import (choose_metrics, distinct_list, group_agg, present_years, to_long, with_year_span)
+from ..operators.change import add_first_last, add_present_change, add_yoy
 from ..operators.pivot import pivot_labels
 
 ENTITY = "entity_id"
@@ -59,10 +58,6 @@ def _numeric_round(df: DataFrame, keep: Sequence[str], scale: int = 2) -> DataFr
     return df.select(*cols)
 
 
-def _kinds(spec: Mapping[str, str]):
-    return F.create_map(*[x for m, k in spec.items() for x in (F.lit(m), F.lit(k))])
-
-
 # ------------------------------------------------------------------ R1
 def report_regional_growth(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
     """rows = group, columns ``<m>_<y>``, ``<m>_<y>_per_entity``,
@@ -73,26 +68,31 @@ def report_regional_growth(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull() & F.col(g).isNotNull())
     years = _years(df, cfg)
-    cells = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
-    counts = df.groupBy(g).agg(F.count_distinct(ENTITY).alias("_n"))
+    long = with_year_span(_cells_and_divisor(df, g, spec))
     per = F.when(F.col("kind") == "sum", safe_ratio("value", "_n")).otherwise(F.col("value"))
-    long = (cells.join(counts, g)
-            .select(g, F.explode(F.array(
+    long = (long.select(g, "first_year", "last_year", F.explode(F.array(
                 F.struct(F.concat_ws("_", "metric", F.col(YEAR).cast("string")).alias("label"),
                          F.col("value").alias("v")),
                 F.struct(F.concat_ws("_", "metric", F.col(YEAR).cast("string"),
                                      F.lit("per_entity")).alias("label"),
                          per.alias("v")))).alias("c"))
-            .select(g, "c.label", "c.v"))
+            .select(g, "first_year", "last_year", "c.label", "c.v"))
     labels = [f"{m}_{y}" for m in sorted(spec) for y in years]
     labels += [f"{m}_{y}_per_entity" for m in spec for y in years]
-    wide = pivot_labels(long, [g], "label", labels, "v", fill=0.0)
+    wide = pivot_labels(long, [g, "first_year", "last_year"], "label", labels, "v", fill=0.0)
     if len(years) >= 2:
-        y1, y2 = years[0], years[-1]
         for m in spec:
-            wide = add_first_last(wide, f"{m}_{y1}_per_entity", f"{m}_{y2}_per_entity",
-                                  f"{m}_change_per_entity", f"{m}_change_pct_per_entity")
-    return _numeric_round(wide, [g])
+            wide = add_present_change(wide, [(y, f"{m}_{y}_per_entity") for y in years],
+                                      f"{m}_change_per_entity", f"{m}_change_pct_per_entity", drop=False)
+    return _numeric_round(wide.drop("first_year", "last_year"), [g])
+
+
+def _cells_and_divisor(df: DataFrame, g: str, spec: Mapping[str, str]) -> DataFrame:
+    """Long cells (group, year, metric, kind, value) and ``_n``, the group's
+    distinct entities over all its years."""
+    cells = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
+    counts = df.groupBy(g).agg(F.count_distinct(ENTITY).alias("_n"))
+    return cells.join(counts, g)
 
 
 # ------------------------------------------------------------------ R2
@@ -103,48 +103,49 @@ def report_totals(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> Dat
     df = apply_filters(panel, cfg.get("years"), cfg.get("filter_col"), cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
     years = _years(df, cfg)
-    long = to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec)
+    long = with_year_span(to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec))
     avg = F.when(F.col("kind") == "sum", safe_ratio("value", "n_entities")).otherwise(F.col("value"))
-    stacked = long.select("metric", F.explode(F.array(
+    stacked = long.select("metric", "first_year", "last_year", F.explode(F.array(
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"),
                  F.col("value").alias("v")),
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string"), F.lit("_avg")).alias("label"),
-                 avg.alias("v")))).alias("c")).select("metric", "c.label", "c.v")
+                 avg.alias("v")))).alias("c")).select("metric", "first_year", "last_year", "c.label", "c.v")
     labels = [f"y{y}" for y in years] + [f"y{y}_avg" for y in years]
-    wide = pivot_labels(stacked, ["metric"], "label", labels, "v")
+    wide = pivot_labels(stacked, ["metric", "first_year", "last_year"], "label", labels, "v")
     if len(years) >= 2:
-        wide = add_first_last(wide, f"y{years[0]}_avg", f"y{years[-1]}_avg", "growth", "growth_pct")
-    return _numeric_round(wide, ["metric"])
+        wide = add_present_change(wide, [(y, f"y{y}_avg") for y in years], "growth", "growth_pct", drop=False)
+    return _numeric_round(wide.drop("first_year", "last_year"), ["metric"])
 
 
 # ------------------------------------------------------------------ R5
 def report_single_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
     """One metric by group x year, every year-on-year step (diff, pct)
-    and first -> last (``total_diff``, ``total_pct``)."""
+    and first -> last year present (``total_diff``, ``total_pct``). Not rounded."""
     g, m = cfg["group_col"], cfg["metric"]
     spec = choose_metrics(agg, metric=m)
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
     years = _years(df, cfg)
-    cells = group_agg(df, [g, YEAR], spec).select(
-        g, F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"), F.col(m).alias("v"))
-    wide = pivot_labels(cells, [g], "label", [f"y{y}" for y in years], "v", fill=0.0)
+    cells = with_year_span(to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)).select(
+        g, "first_year", "last_year",
+        F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"), F.col("value").alias("v"))
+    wide = pivot_labels(cells, [g, "first_year", "last_year"], "label", [f"y{y}" for y in years], "v", fill=0.0)
     if len(years) >= 2:
-        wide = add_yoy(wide, [(y, f"y{y}") for y in years])
-        wide = add_first_last(wide, f"y{years[0]}", f"y{years[-1]}")
-    return _numeric_round(wide, [g])
+        by_year = [(y, f"y{y}") for y in years]
+        wide = add_present_change(add_yoy(wide, by_year), by_year, "total_diff", "total_pct", drop=False)
+    return wide.drop("first_year", "last_year")
 
 
 # ------------------------------------------------------------------ R6
 def report_multi_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
-    """Every configured metric by group, columns ``<m>_<y>`` (fill 0)."""
+    """Every configured metric by group, columns ``<m>_<y>`` (fill 0). Not rounded."""
     g, spec = cfg["group_col"], dict(agg)
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull())
     years = _years(df, cfg)
     long = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
     long = long.select(g, F.concat_ws("_", "metric", F.col(YEAR).cast("string")).alias("label"), "value")
     labels = [f"{m}_{y}" for m in sorted(spec) for y in years]
-    return _numeric_round(pivot_labels(long, [g], "label", labels, "value", fill=0.0), [g])
+    return pivot_labels(long, [g], "label", labels, "value", fill=0.0)
 
 
 # ------------------------------------------------------------------ R7 / R8
@@ -185,8 +186,7 @@ def report_entity(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> Dat
 
 
 def _no_entity(panel: DataFrame, g: str, entity) -> None:
-    valid = [r[0] for r in distinct_list(panel, g).limit(50).collect()]
-    raise ValueError(f"no data for {g} = {entity!r}; some valid values: {valid}")
+    raise ValueError(f"no data for {g} = {entity!r}; distinct_list(panel, {g!r}) lists the valid values")
 
 
 def report_all_entities(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
@@ -210,7 +210,7 @@ def _year_totals(panel: DataFrame, cfg: Mapping, spec: Mapping[str, str]):
 
 def report_totals_plain(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
     """Per year the total and total / distinct entities (means divided
-    too, as the class engine does)."""
+    too, as the class engine does). Not rounded."""
     long, years = _year_totals(panel, cfg, dict(agg))
     st = long.select("metric", F.explode(F.array(
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string"), F.lit("_total")).alias("label"),
@@ -218,7 +218,7 @@ def report_totals_plain(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string"), F.lit("_per_entity")).alias("label"),
                  F.col("per_entity").alias("v")))).alias("c")).select("metric", "c.label", "c.v")
     labels = [f"y{y}_{w}" for y in years for w in ("total", "per_entity")]
-    return _numeric_round(pivot_labels(st, ["metric"], "label", labels, "v"), ["metric"])
+    return pivot_labels(st, ["metric"], "label", labels, "v")
 
 
 def report_totals_change(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
@@ -268,37 +268,39 @@ def report_emails(panel: DataFrame, cfg: Mapping, contacts: DataFrame, joined: D
 
 
 # ------------------------------------------------------------------ R4 / R12
-def report_missing(panel: DataFrame, cfg: Mapping, joined: DataFrame) -> DataFrame:
-    """Active entities with no panel row for ``year``: one row each with
-    its e-mail and its '; '-joined contact e-mails ('' when none)."""
-    df = panel.filter(F.col("active") == 1)
+def report_missing(rows: DataFrame, cfg: Mapping, joined: DataFrame) -> DataFrame:
+    """Active entities with no row for ``year``: one row each with its
+    e-mail and its '; '-joined contact e-mails ('' when none; ``joined`` has one
+    row per entity). Needs no more of the panel than its base view: one
+    aggregate per entity tells whether the year is there."""
+    df = rows.filter(F.col("active") == 1)
     df = apply_filters(df, None, cfg.get("filter_col"), cfg.get("filter_values"))
-    have = df.filter(F.col(YEAR) == int(cfg["year"])).select(ENTITY)
-    miss = df.join(have, ENTITY, "left_anti").dropna(subset=[ENTITY, "entity_name"])
-    # one row per entity first, so the join with the (per-entity) contacts is
-    # one-to-one on reduced rows; '' when the entity has no contact e-mail
-    per_entity = (miss.groupBy(ENTITY, "entity_name")
-                      .agg(F.expr("min_by(email, coalesce(year, -1)) FILTER (WHERE email IS NOT NULL)")
-                           .alias("email")))
-    mg = joined.groupBy(ENTITY).agg(joined_distinct("management_email").alias("management_email"))
-    return (per_entity.join(mg, ENTITY, "left")
-                      .withColumn("management_email", F.coalesce("management_email", F.lit(""))))
+    df = df.dropna(subset=[ENTITY, "entity_name"])
+    per_entity = df.groupBy(ENTITY, "entity_name").agg(
+        F.expr("min_by(email, coalesce(year, -1)) FILTER (WHERE email IS NOT NULL)").alias("email"),
+        F.max(F.coalesce(F.col(YEAR) == int(cfg["year"]), F.lit(False))).alias("_has"))
+    # An entity under several names has the year if any of them has.
+    miss = per_entity.withColumn("_has", F.max("_has").over(Window.partitionBy(ENTITY))).filter(~F.col("_has"))
+    return (miss.drop("_has").join(joined, ENTITY, "left")
+                .withColumn("management_email", F.coalesce("management_email", F.lit(""))))
 
 
 def missing_submissions(registry: DataFrame, fact: DataFrame, year: int,
                         joined: DataFrame) -> DataFrame:
     """Registered entities with no row of ``fact`` for ``year``."""
-    sub = fact.filter(F.col(YEAR) == int(year)).select(ENTITY)
+    sub = fact.filter(F.col(YEAR) == int(year)).select(ENTITY).distinct()
     miss = registry.join(sub, ENTITY, "left_anti")
     return miss.join(joined, ENTITY, "left").select(ENTITY, "entity_name", "email", "management_email")
 
 
 # ------------------------------------------------------------------ R13 / R14
-def yearly_summary(latest_rows: DataFrame, sums: Sequence[str], means: Sequence[str]) -> DataFrame:
-    """R13 outer aggregate (A14): per year the entity count, sums and means."""
+def yearly_summary(latest_rows: DataFrame, sums: Sequence[str], means: Sequence[str],
+                   scale: int | None = None) -> DataFrame:
+    """R13 outer aggregate (A14): per year the entity count, sums (exact at a
+    declared scale) and means."""
     return (latest_rows.groupBy(YEAR)
             .agg(F.count(ENTITY).alias("n_entities"),
-                 *[F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(f"sum_{c}") for c in sums],
+                 *[plain_sum(c, scale).alias(f"sum_{c}") for c in sums],
                  *[F.avg(F.col(c)).alias(f"avg_{c}") for c in means]))
 
 

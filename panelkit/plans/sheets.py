@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Tables, spread
-from .bindings import EMAIL_SQL, PHONE_SQL
+from ..sources.tables import Tables
+from .bindings import EMAIL_SQL, PERTURB_SQL, PHONE_SQL
 
 # The reference-year bounds of the rule bindings (as_of is a
 # parameter, never read from the clock).
@@ -25,7 +25,7 @@ def dec_text(expr: str, scale: int = 2) -> F.Column:
 
 
 def customers(t: Tables) -> DataFrame:
-    return spread(t.customer).select(
+    return t.customer.select(
         F.col("c_custkey").alias("submission_id"), F.col("c_custkey").alias("row_id"),
         F.col("c_name").alias("name"), F.expr(EMAIL_SQL).alias("email"),
         F.expr(PHONE_SQL).alias("phone"), dec_text("c_acctbal").alias("balance"),
@@ -34,7 +34,7 @@ def customers(t: Tables) -> DataFrame:
 
 
 def orders(t: Tables) -> DataFrame:
-    return spread(t.orders).select(
+    return t.orders.select(
         F.col("o_orderkey").alias("submission_id"), F.col("o_orderkey").alias("row_id"),
         F.expr("concat(CAST(year(o_orderdate) AS STRING), '-', "
                "lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', "
@@ -46,7 +46,7 @@ def orders(t: Tables) -> DataFrame:
 
 
 def lines(t: Tables) -> DataFrame:
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").cast("long").alias("row_id"),
         dec_text("l_discount * 100").alias("discount_pct"), dec_text("l_tax * 1500").alias("tax_pct"),
         dec_text("l_discount").alias("discount"), dec_text("l_tax").alias("tax"),
@@ -54,10 +54,33 @@ def lines(t: Tables) -> DataFrame:
 
 
 def parts(t: Tables) -> DataFrame:
-    return spread(t.part).select(F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"),
+    return t.part.select(F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"),
                          F.col("p_size").cast("string").alias("size"), "p_name", "p_type", "p_brand")
 
 
 def documents(t: Tables) -> DataFrame:
-    return spread(t.documents).select(F.col("doc_id").alias("submission_id"), F.col("doc_id").alias("row_id"),
+    return t.documents.select(F.col("doc_id").alias("submission_id"), F.col("doc_id").alias("row_id"),
                               "text")
+
+
+def part_forms(t: Tables) -> DataFrame:
+    """One form per part under the questionnaire's own headers: a part name as
+    someone might type it, a holder, natural dictionary keys, a list of tags and
+    a yes/no flag; every 97th flag is a third answer."""
+    return t.part.select(
+        F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"),
+        F.expr(PERTURB_SQL).alias("Park neve"),
+        F.expr("concat(IF(p_partkey % 12 < 10, 'nation ', 'land '), CAST(p_partkey % 12 AS STRING))").alias("Jogcim"),
+        F.col("p_type").alias("Tipus"), F.col("p_brand").alias("Marka"),
+        F.col("p_size").cast("string").alias("Meret"),
+        F.expr("concat(replace(p_type, ' ', ' , '), ',')").alias("Cimkek"),
+        F.expr("CASE WHEN p_partkey % 97 = 0 THEN 'talan' WHEN p_partkey % 2 = 0 THEN 'Igen' "
+               "ELSE 'nem' END").alias("Aktiv"))
+
+
+def part_shares(t: Tables) -> DataFrame:
+    """Shares reported with each part's order lines; a few exceed 100."""
+    return t.lineitem.select(
+        F.col("l_partkey").alias("submission_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_id"),
+        dec_text("l_quantity * CASE WHEN l_linenumber >= 7 THEN 2.02 ELSE 2 END").alias("share"))

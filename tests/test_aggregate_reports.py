@@ -83,18 +83,49 @@ def test_missing_report(panel, spark):
     assert set(out) == {4} and out[4].email == "d@x.hu" and out[4].management_email == ""
 
 
-def test_present_years_is_bounded_by_pivot_max_values(spark):
+def test_present_years(spark):
     from panelkit.operators.aggregate import present_years
     df = spark.range(0, 40).select((F.col("id") % 12 + 2000).cast("int").alias("year"))
     assert present_years(df) == list(range(2000, 2012))
-    old = spark.conf.get("spark.sql.pivotMaxValues")
-    spark.conf.set("spark.sql.pivotMaxValues", "5")
-    try:
-        with pytest.raises(ValueError, match="pivotMaxValues"):
-            present_years(df)
-        assert present_years(df, candidates=[2000, 2003, 2030]) == [2000, 2003]
-    finally:
-        spark.conf.set("spark.sql.pivotMaxValues", old)
+
+
+def test_sums_keep_all_places(spark):
+    from panelkit.operators.aggregate import exact, group_agg
+    df = spark.createDataFrame([("a", v) for v in (0.004, 0.004, 12.3456)] + [("b", 1e17), ("b", None)], "g string, v double")
+    got = {r.g: r.v for r in group_agg(df, ["g"], {"v": "sum"}).collect()}
+    assert got["a"] == pytest.approx(12.3536) and got["b"] == 1e17
+    mean = {r.g: r.v for r in group_agg(df, ["g"], {"v": "mean"}).collect()}
+    assert mean["a"] == pytest.approx(4.117866666) and mean["b"] == 1e17
+    fits = df.where("g = 'a'")
+    assert group_agg(fits, ["g"], {"v": exact("sum", 4)}).first().v == 12.3536
+    with pytest.raises(Exception, match="does not fit 2 decimal places"):
+        group_agg(fits, ["g"], {"v": exact("sum", 2)}).collect()
+
+
+def test_rounding_is_that_of_numpy(spark):
+    import numpy as np
+    values = [8.345, 10.075, 2.345, 2.675, 1.005, -0.004, 0.125, 1e6 + 0.005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(round_even("v")).collect()] == [float(np.round(v, 2)) + 0.0 for v in values]
+
+
+def test_change_runs_between_years_present(spark):
+    panel = spark.createDataFrame([(1, 2020, "N", 10.0), (1, 2021, "N", 15.0), (2, 2021, "S", 4.0)],
+                                  "entity_id int, year int, region string, s double")
+    cfg = {"group_col": "region", "metric": "s", "years": [2019, 2020, 2021, 2030]}
+    got = {r.region: r for r in R.report_single_metric(panel, cfg, {"s": "sum"}).collect()}
+    assert got["N"].total_diff == 5.0 and got["N"].total_pct == 50.0 and got["N"].y2030 == 0.0
+    assert got["S"].total_diff == 4.0 and got["S"].total_pct == 0.0
+    one = R.report_totals(panel, {"years": [2021, 2030]}, {"s": "sum"}).first()
+    assert one.growth is None and one.growth_pct is None
+
+
+def test_years_of_cells(spark):
+    from panelkit.functions.scalar import integral_year
+    cells = ["2021", "2021.0", "2021.5", " 2020-05-06 ", "2020-05-06 00:00:00", "2020-13-01", "x", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r[0] for r in df.select(integral_year("c")).collect()] == [
+        2021, 2021, None, 2020, 2020, None, None, None]
 
 
 def test_compare_years_difference_row_and_missing_year(spark):
