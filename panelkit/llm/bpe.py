@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytebpe import ByteBPE, code_points, gather, load, word_starts
+from .bytebpe import ByteBPE, Interned, code_points, gather, load, word_starts
 from .shared import add_columns, documents
 
 #: Distinct words remembered per Python worker, and bytes of them.
@@ -23,19 +23,6 @@ REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
 LONG = 40
 
 
-class _Words(dict):
-    """Word -> its number; new words are listed in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class Encoder:
     """Texts to ids and back, for one vocabulary."""
 
@@ -45,7 +32,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.bytes = _Words(), 0
+        self.words, self.bytes = Interned(), 0
         self.flat = np.empty(1 << 16, np.int32)
         self.used = 0
         self.at, self.len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)

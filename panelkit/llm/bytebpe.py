@@ -392,6 +392,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+class Interned(dict):
+    """Word -> its number from 0; words met for the first time are listed in
+    ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 def gather(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs flat[at[i] : at[i] + length[i]], end to end."""
     total = int(length.sum())
