@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle at sf0.01 (same
+"""Every query of the reporting part against its DuckDB oracle at sf0.01 (same
 comparison as the driver: sorted column names, row count, values)."""
 import math
 import os
@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from panelkit.plans.catalog import QUERIES
+from panelkit.plans.oracle import ORACLE
 
 
 def _norm(v):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 
-import __spark_entry__ as E
 from panelkit.operators.latest import latest_by
 from panelkit.plans import bindings as B
 from panelkit.plans import reports as R
+from panelkit.plans.catalog import QUERIES
 from panelkit.sources.tables import Tables
 
 
@@ -28,7 +28,7 @@ def no_aqe(spark):
 
 def test_no_registered_query_plans_all_pairs_or_row_udfs(spark):
     bad = {}
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         p = plan(q(spark, SF001))
         hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
                 if op in p]
@@ -60,3 +60,20 @@ def test_exact_ts_join_sums_lines_before_joining_orders(no_aqe):
     p = plan(B.exact_ts_join(Tables(no_aqe, SF001)))
     assert "keys=[l_orderkey" in p and "functions=[partial_sum" in p
     assert "CartesianProduct" not in p
+
+
+def scans(df, table: str) -> int:
+    return plan(df).count(f"{table}.parquet")
+
+
+def test_reports_scan_no_more_than_they_need(no_aqe):
+    assert scans(QUERIES["missing_panel"](no_aqe, SF001), "lineitem") == 0
+    assert scans(QUERIES["yearly_summary"](no_aqe, SF001), "lineitem") == 1
+    assert scans(QUERIES["panel_wide"](no_aqe, SF001), "lineitem") == 1
+
+
+def test_orphan_audit_joins_distinct_keys(no_aqe):
+    from panelkit.operators import quality as Q
+    child = no_aqe.range(100).select((F.col("id") % 5).alias("k"))
+    p = plan(Q.audit_fk(child, "k", no_aqe.range(3), "id", "fk"))
+    assert p.index("LeftAnti") < p.index("HashAggregate")  # the aggregate runs below the join

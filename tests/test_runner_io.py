@@ -87,7 +87,7 @@ def test_staged_ingest_end_to_end(spark, tmp_path):
 
 def test_ingest_keeps_names_apart_and_recodes(spark, tmp_path):
     sheet = spark.createDataFrame(
-        [("s1", 1, "Alfa Park", "igen", "a, b"), ("s1", 2, "Beta Park", " NEM", "c"), ("s2", 3, "ALFA, park", "talan", None)],
+        [("s1", 1, "Alfa Park", "igen", "a, b"), ("s1", 2, "Beta Park", "NEM", "c"), ("s2", 3, "ALFA, park", "talan", None)],
         "submission_id string, row_id long, park string, flag string, tags string")
     reg = spark.createDataFrame([(7, "Alfa park")], "entity_id long, entity_name string")
     plan = {"x": Sheet(rename={"park": "name"}, yes_no=["flag"], types={"flag": "int"}, defaults={"year": F.lit(2020)},
