@@ -7,15 +7,20 @@ sets with Jaccard likeness t or more must share an n-gram within their first
 n - ceil(t n) + 1 (the prefix), so classes meet on prefix n-grams only.
 
 Candidate pairs pass length, positional and suffix filters and are then verified
-once, on whole sets. Components need no pair within what is already linked, so
-round one verifies, for each prefix n-gram, its classes against the least of
-them; round two verifies the remaining pairs of classes that share a prefix
-n-gram but are in different components. No link is lost and a family of copies
-is never expanded into all its pairs."""
+once, on whole sets. The suffix filter bounds the symmetric difference of two
+sets from below: n-grams are dealt to 512 (then 2048) parts, a set keeps the parity
+of each part's count, and parts of unlike parity hold a difference each.
+
+Components need no pair within what is already linked. Round one verifies, for
+each prefix n-gram, its classes against the least of them, round two those in
+another component against one picked at random for each n-gram, and round three
+all remaining pairs of classes that share a prefix n-gram but no component. No
+link is lost and a family of copies is never expanded into all its pairs."""
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -25,12 +30,20 @@ from pyspark.sql import functions as F
 
 from .shared import documents, slices, written
 
-#: Buckets (power of two) of the frequency histogram and of a bitmap: both are
-#: broadcast, 2^18 rows of 16 bytes at most, whatever the input.
-RARITY_BITS, BITMAP_WORDS = 18, 18
+#: Buckets (powers of two) of the frequency histogram (2 bytes each) and words
+#: of a bitmap (16 bytes a row): both are broadcast, 8 and 4 MB whatever the input.
+RARITY_BITS, BITMAP_WORDS = 22, 18
+
+#: Buckets of the histogram that travel together, compressed.
+CHUNK = 1 << 14
 
-#: Parts that the suffix filter counts an n-gram set in.
-PARTS = 8
+#: Parts whose parities the suffix filter compares: first few, then, for the
+#: pairs that pass, many (long sets differ in too many n-grams for few parts).
+PARTS, FINE = 512, 2048
+ODD = [f"o{i}" for i in range(PARTS // 64)]
+
+#: Rounds against picked classes, before all remaining pairs.
+PICKS = 2
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -73,65 +86,83 @@ def _texts(batch: pa.RecordBatch, column: int):
 
 
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """How often n-grams of each histogram bucket occur in all texts."""
+    """How often n-grams of each histogram bucket occur in all texts (65535:
+    that often or more). Tasks count, then one task a few chunks adds up."""
     bits = RARITY_BITS
 
+    def rows(total: np.ndarray, chunks) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(chunks), pa.int32()),
+             pa.array([zlib.compress(total[c].astype("<u4").tobytes(), 1) for c in chunks], pa.binary())],
+            names=["chunk", "counts"])
+
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for _, texts in _texts(b, 0):
-                sets = [ngram_set(t, width) for t in texts]
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64),
-                                     minlength=1 << bits)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])],
-                                         names=["bucket", "n"])
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long")
-    got = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+                sets = np.concatenate([ngram_set(t, width) for t in texts])
+                bucket, n = np.unique((sets >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                total[bucket] += n.astype(np.uint32)
+        yield rows(total.reshape(-1, CHUNK), range((1 << bits) // CHUNK))
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.uint64)
+                total[chunk] = total[chunk] + n if chunk in total else n
+        for chunk, n in total.items():
+            yield rows({chunk: np.minimum(n, 65535)}, [chunk])
+
+    schema = "chunk int, counts binary"
+    got = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint16)
+    for r in got.collect():  # one row a chunk
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
+    return out.ravel()
 
 
 def prefixes(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     """Per document: doc_id, n (set size), cid and twin (two halves of the
-    class's 128-bit digest; null for an empty set), s0 and s1 (the suffix
-    filter's counts), keys (48-bit prefix n-grams, rarest first; only the first
+    class's 128-bit digest; null for an empty set), o0 to o7 and fine (the
+    suffix filter's parities), keys (48-bit prefix n-grams, rarest first; only the first
     document of a class in a task has them)."""
-    from_histogram = docs.sparkSession.sparkContext.broadcast(
-        np.minimum(rarity(docs, width), (1 << 31) - 1).astype(np.int32))
+    from_histogram = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
     bits = RARITY_BITS
 
     def run(batches):
         freq, seen = from_histogram.value, set()
         for b in batches:
             for at, texts in _texts(b, 1):
-                out = {k: [] for k in ("n", "cid", "twin", "s0", "s1", "keys")}
+                out = {k: [] for k in ("n", "cid", "twin", *ODD, "fine", "keys")}
                 for t in texts:
                     s = ngram_set(t, width)
                     n = len(s)
-                    row = [n, None, None, None, None, None]
+                    row = [n, None, None, *[None] * len(ODD), None, None]
                     if n:
                         d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
-                        count = np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=PARTS)
-                        sig = np.minimum(count, 65535).astype("<u2").view("<i8")
-                        row[1:5] = int(d[0]), int(d[1]), int(sig[0]), int(sig[1])
+                        count = np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                        fine = np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<i8")
+                        # equal places of every PARTS parities make one coarse part
+                        odd = np.bitwise_xor.reduce(fine.reshape(-1, len(ODD)))
+                        row[1:-1] = [int(d[0]), int(d[1]), *odd.tolist(), fine]
                         if (row[1], row[2]) not in seen:
                             seen.add((row[1], row[2]))
                             p = n + (-part * n // whole) + 1
                             f = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
                             # ascending hashes, so a stable sort breaks ties by hash
                             rare = np.argsort(f, kind="stable")[:p]
-                            row[5] = (s[rare] >> np.uint64(16)).astype(np.int64)
+                            row[-1] = (s[rare] >> np.uint64(16)).astype(np.int64)
                     for k, v in zip(out, row):
                         out[k].append(v)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), pa.array(out["n"], pa.int64()),
-                     *[pa.array(out[k], pa.int64()) for k in ("cid", "twin", "s0", "s1")],
-                     pa.array(out["keys"], pa.list_(pa.int64()))],
+                     *[pa.array(out[k], pa.int64()) for k in ("cid", "twin", *ODD)],
+                     *[pa.array(out[k], pa.list_(pa.int64())) for k in ("fine", "keys")]],
                     names=["doc_id", *out])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, cid long, twin long, s0 long, s1 long, keys array<long>")
+        run, "doc_id long, n long, cid long, twin long, " + ", ".join(f"{o} long" for o in ODD)
+        + ", fine array<long>, keys array<long>")
 
 
 def bitmap(df: DataFrame, of: Column) -> DataFrame:
@@ -181,6 +212,14 @@ def _needed(part: int, whole: int, n1: str, n2: str) -> str:
     return f"(({part} * ({n1} + {n2}) + {part + whole - 1}) div {part + whole})"
 
 
+def _fits(part: int, whole: int, a: str, b: str) -> str:
+    """SQL for the length and suffix filters on columns n and o0.. of a and b."""
+    apart = " + ".join(f"bit_count({a.format(o)} ^ {b.format(o)})" for o in ODD)
+    n1, n2 = a.format("n"), b.format("n")
+    return (f"{whole} * least({n1}, {n2}) >= {part} * greatest({n1}, {n2}) and "
+            f"{apart} <= {n1} + {n2} - 2 * {_needed(part, whole, n1, n2)}")
+
+
 class Join:
     """One join over a table of documents (doc_id, text)."""
 
@@ -189,24 +228,30 @@ class Join:
         self.width, self.part, self.whole = width, part, whole
         self.members = written(prefixes(self.docs, width, part, whole), "prefixes")
         self.classes = written(self.members.where("cid is not null").groupBy("cid", "twin").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("s0").alias("s0"),
-            F.first("s1").alias("s1")), "classes")
+            F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in ("n", *ODD)],
+            F.first("fine").alias("fine")), "classes")
         self.entries = self.members.where("keys is not null").select(
             "cid", "n", F.posexplode("keys").alias("pos", "key"))
 
-    def _similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (c1, c2) that are links: length and suffix filters, then
-        whole sets, made from the text of one document a class."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (c1, c2) that pass the length and first suffix filter, with
+        their sizes n_1 and n_2."""
         part, whole = self.part, self.whole
-        info = self.classes.select("cid", "n", "s0", "s1")
+        info = self.classes.select("cid", "n", *ODD)
         for k in (1, 2):
             pairs = pairs.join(info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]),
                                F.expr(f"c{k} = cid_{k}")).drop(f"cid_{k}")
-        apart = " + ".join(
-            f"abs((shiftrightunsigned({s}_1, {16 * k}) & 65535) - (shiftrightunsigned({s}_2, {16 * k})"
-            " & 65535))" for s in ("s0", "s1") for k in range(4))
-        pairs = pairs.where(f"{whole} * least(n_1, n_2) >= {part} * greatest(n_1, n_2)").where(
-            f"({apart}) <= n_1 + n_2 - 2 * {_needed(part, whole, 'n_1', 'n_2')}")
+        return written(pairs.where(_fits(part, whole, "{}_1", "{}_2")).select("c1", "c2", "n_1", "n_2"), "near")
+
+    def _similar(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs that ``_near`` gives, the links: second suffix filter,
+        then whole sets, made from the text of one document a class."""
+        part, whole = self.part, self.whole
+        for k in (1, 2):
+            pairs = pairs.join(self.classes.select(F.col("cid").alias("cid_k"), F.col("fine").alias(f"fine_{k}")),
+                               F.expr(f"c{k} = cid_k")).drop("cid_k")
+        pairs = pairs.where("aggregate(zip_with(fine_1, fine_2, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+                            f" <= n_1 + n_2 - 2 * {_needed(part, whole, 'n_1', 'n_2')}")
         pairs = written(pairs.select("c1", "c2").distinct(), "pairs")
         ids = pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct()
         first = written(self.classes.join(ids, "cid", "left_semi").select("first_id"), "first")
@@ -237,35 +282,46 @@ class Join:
         """Links between classes (a spanning part of each component), and the
         components (id, comp) of the classes that have any."""
         keys = self.entries.groupBy("key").agg(
-            F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("k"))
-        keys = written(keys.where("least <> most"), "keys")
+            F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("k"),
+            F.min_by("n", "cid").alias("n1"), F.max_by("n", "cid").alias("n2"))
+        near = f"{self.whole} * least({{0}}, {{1}}) >= {self.part} * greatest({{0}}, {{1}})"
+        keys = written(keys.where("least <> most and (k > 2 or " + near.format("n1", "n2") + ")"), "keys")
         # A key that two entries share needs nothing else; longer lists are read
         # again, each member to be held against the least.
-        lists = keys.where("k > 2").select("key", "least")
-        wide = written(through(self.entries, F.col("key"), bitmap(lists, F.col("key")))
-                       .join(lists, "key"), "wide")
+        lists = keys.where("k > 2").select("key", "least", "n1")
+        wide = through(self.entries, F.col("key"), bitmap(lists, F.col("key"))).join(lists, "key")
+        wide = written(wide.join(self.classes.select("cid", *ODD).dropDuplicates(["cid"]), "cid").select(
+            "key", "cid", "n", "pos", "least", "n1", *ODD).distinct(), "wide")
         first = keys.where("k = 2").select(F.col("least").alias("c1"), F.col("most").alias("c2"))
-        first = first.union(wide.where("cid <> least").select("least", "cid")).distinct()
-        links = self._similar(first)
+        first = first.union(wide.where("cid <> least and " + near.format("n", "n1")).select(
+            "least", "cid")).distinct()
+        links = self._similar(self._near(first))
         comps = components(links, "c1", "c2")
-        # Round two: what shares a key but no component.
-        rows = wide.join(comps, wide["cid"] == comps["id"], "left").select(
-            "key", "cid", "n", "pos", "least", F.coalesce("comp", "cid").alias("comp")).distinct()
-        rows = written(rows, "wide")
-        split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-            "lo <> hi").select("key")
-        open_ = rows.join(split, "key", "left_semi")
-        need = _needed(self.part, self.whole, "a.n", "b.n")
-        rest = open_.alias("a").join(open_.alias("b"), F.expr(
-            "a.key = b.key and a.cid < b.cid and a.comp <> b.comp and a.least <> a.cid and "
-            f"{self.whole} * least(a.n, b.n) >= {self.part} * greatest(a.n, b.n) and "
-            f"least(a.n - a.pos, b.n - b.pos) >= {need}")).select(
-                F.col("a.cid").alias("c1"), F.col("b.cid").alias("c2")).distinct()
-        rest = written(rest, "rest")
-        if not rest.isEmpty():
-            more = self._similar(rest)
-            links = links.union(more)
-            comps = components(links, "c1", "c2")
+        for turn in range(PICKS + 1):
+            # What shares a key but no component.
+            rows = wide.join(comps, wide["cid"] == comps["id"], "left").select(
+                *wide.columns, F.coalesce("comp", "cid").alias("comp"))
+            split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            open_ = written(rows.join(split.where("lo <> hi").select("key"), "key", "left_semi"), "open")
+            if open_.isEmpty():
+                break
+            other = open_
+            if turn < PICKS:
+                draw = F.xxhash64("cid", "key", F.lit(turn))
+                other = open_.groupBy("key").agg(F.min_by(F.struct(
+                    *[c for c in open_.columns if c != "key"]), draw).alias("pick")).select("key", "pick.*")
+            order = "a.cid <> b.cid" if turn < PICKS else "a.cid < b.cid and a.least <> a.cid"
+            rest = open_.alias("b").join(other.alias("a"), F.expr(
+                f"a.key = b.key and a.comp <> b.comp and {order} and "
+                + _fits(self.part, self.whole, "a.{}", "b.{}")
+                + " and least(a.n - a.pos, b.n - b.pos) >= " + _needed(self.part, self.whole, "a.n", "b.n")))
+            rest = written(rest.select(F.least("a.cid", "b.cid").alias("c1"),
+                                       F.greatest("a.cid", "b.cid").alias("c2"),
+                                       F.least("a.n", "b.n").alias("n_1"),
+                                       F.greatest("a.n", "b.n").alias("n_2")).distinct(), "rest")
+            if not rest.isEmpty():
+                links = links.union(self._similar(rest))
+                comps = components(links, "c1", "c2")
         return links, comps
 
     def documents(self) -> DataFrame:

@@ -331,3 +331,21 @@ def test_fingerprints_of_awkward_and_empty_tables(spark):
     assert by[None]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
     assert sketch.edited_fingerprints(awkward.empty(spark)).count() == 0
     assert sketch.fingerprints(df).count() == len(rows)
+
+
+def test_native_operators_run_no_python(spark):
+    for query in (mixing.op5_temperature_mixing, sketch.op7_bottom_k_sketch):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_parities_bound_the_difference_of_sets():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    for n, away in ((5, 1), (300, 30), (5000, 900)):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[away:], rng.integers(0, 2**63, away).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        for parts in (ngram_join.PARTS, ngram_join.FINE):
+            odd = [np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1 for s in (a, b)]
+            assert (odd[0] ^ odd[1]).sum() <= apart
