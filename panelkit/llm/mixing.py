@@ -189,12 +189,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents themselves, in the order of the mix and repeated as it says,
     with the columns of ``docs``. Rows of equal doc_id and text are repeats of
     one document: the mix holds each, with the columns of one of them."""
-    plan = temperature_mix(docs, **settings).select(
-        F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "slot")
+    # Keys without nulls, so that the texts shuffle once for both steps.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "tie"]
+    plan = temperature_mix(docs, **settings).select(*key, "slot")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"),
-                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    rows = rows.dropDuplicates(["doc_id", "tie"])
-    both = rows.join(plan, F.expr("doc_id <=> __id and tie = __tie"))
+                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")).select(*key, "row")
+    both = rows.dropDuplicates(["id", "no_id", "tie"]).join(plan, ["id", "no_id", "tie"])
     return both.select("slot", "row").orderBy("slot").select("row.*")
 
 

@@ -354,12 +354,13 @@ def keep_one(docs: DataFrame, width: int = 5, part: int = 8, whole: int = 10) ->
     """The rows of ``docs`` whose doc_id is the least of its component, with
     their columns: one document of each group of near duplicates. Rows that
     share a doc_id stand or fall together, those of equal text once."""
-    least = similar_components(docs, width, part, whole).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__tie"),
-                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"))
-    rows = rows.join(least, F.expr("__doc <=> __id"), "left_semi")
-    return rows.dropDuplicates(["__doc", "__tie"]).select("__row.*")
+    # Keys without nulls, so that the texts shuffle once for both steps.
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    least = similar_components(docs, width, part, whole).where("doc_id <=> component_id").select(*key).distinct()
+    rows = docs.select(*key, F.xxhash64("text").alias("tie"),
+                       F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    rows = rows.join(least, ["id", "no_id"], "left_semi")
+    return rows.dropDuplicates(["id", "no_id", "tie"]).select("row.*")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
