@@ -131,8 +131,10 @@ class RunEncoder:
     normaliser lower-cases and whose pre-tokeniser drops white space and parts
     letters from signs: no token, special string, composed character or
     lower-casing reaches across white space, nor from a letter to a full stop
-    or comma that ends its run. So A-Z are lower-cased (but beside what could
-    be a special string) and such stops set apart first, and runs repeat more."""
+    or comma that ends its run. So such stops are set apart first, and runs of
+    ASCII lower-cased (but beside what could be a special string), so that runs
+    repeat more. A-Z in other runs are left to the library, which composes before
+    it lower-cases: some letters compose with a mark only when small."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,7 +151,9 @@ class RunEncoder:
 
     @staticmethod
     def _runs(raw: bytes) -> list[bytes]:
-        raw = raw if b"<|" in raw else raw.lower()
+        if b"<|" not in raw:
+            raw = raw.lower() if raw.isascii() else b" ".join(
+                [w.lower() if w.isascii() else w for w in raw.split()])
         return _STOP.sub(rb" \g<0>", raw).split()
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -136,6 +136,17 @@ def test_runs_equal_whole_texts():
             assert own.tolist() == [*ref.ids, 2]
 
 
+def test_letters_compose_with_marks_before_they_are_lower_cased():
+    library, enc = Tokenizer.from_file(WORD), pfor.RunEncoder(WORD)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = [f"The {a}{m}. And x{a}{m}y END." for a in letters for m in marks]
+    ids, n = enc.encode(texts, 2)
+    for text, own, ref in zip(texts, np.split(ids, np.cumsum(n)[:-1]),
+                              library.encode_batch(texts, add_special_tokens=False)):
+        assert own.tolist() == [*ref.ids, 2], text
+
+
 def test_files_of_an_awkward_table(spark, monkeypatch):
     monkeypatch.setattr(pfor, "FILE_IDS", 200)
     library, df = Tokenizer.from_file(WORD), awkward.table(spark)
