@@ -132,8 +132,13 @@ def mixed(docs: DataFrame, mix: Mix | None, stats: DataFrame, salt: str = "mix",
     buckets, width = max(1, -(-count // TOGETHER)), 1 << 60
     share = stats.select(F.col("source").alias("of"), F.col("tokens").alias("whole"), (
         F.pow("tokens", F.lit(mix.exponent)) * F.lit(mix.budget / norm)).alias("target"))
+    # A target that is a whole number of epochs up to rounding is one, in tokens,
+    # so that the last rows of its permutations are read whatever their size.
+    turns = F.round(F.col("target") / F.col("whole"))
+    share = share.withColumn("target", F.when(
+        (turns >= 1) & (F.abs(F.col("target") / F.col("whole") - turns) <= 1e-9),
+        turns * F.col("whole")).otherwise(F.col("target")))
     rows = docs.join(share, F.expr("source <=> of")).drop("of")
-    # A target that is a whole number of epochs up to rounding is one.
     epochs = F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("whole") - F.lit(1e-6))).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     rows = rows.withColumn("draw", _draw(F.col("source"), F.col("epoch"), F.col("doc_id"), salt=salt))
@@ -151,7 +156,7 @@ def mixed(docs: DataFrame, mix: Mix | None, stats: DataFrame, salt: str = "mix",
         Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("whole") * F.col("epoch") + F.col("earlier")
                            + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    rows = rows.where(F.col("start") < F.col("target") * F.lit(1 - 1e-9))
+    rows = rows.where(F.col("start") < F.col("target"))
     blocks = max(1, math.ceil(mix.budget / block_tokens))
     rows = rows.withColumn("block", F.least(F.lit(blocks - 1), F.floor(
         F.col("start") / F.col("target") * F.lit(blocks))).cast("long"))

@@ -185,6 +185,22 @@ def test_mix_against_brute_force(spark, monkeypatch):
             (b, d, s, e, n) for b, _, d, s, e, n in want]
 
 
+@pytest.mark.parametrize("turns", [None, 2])
+def test_last_small_documents_of_a_huge_source_are_read(spark, turns):
+    sizes = [("hot", 10**11)] * 29 + [("hot", 1)] * 300 + [("cold", 10**10)] * 10
+    docs = spark.createDataFrame([(i, s, i, n) for i, (s, n) in enumerate(sizes)],
+                                 "doc_id long, source string, tie long, n_tokens long")
+    stats = mixing.source_stats(docs)
+    # flattest mix with the hot source read once, or all sources exactly twice
+    settings = dict(budget=2.0 * sum(n for _, n in sizes)) if turns else dict(max_repeats=2.0)
+    rows = mixing.mixed(docs, mixing.find_mix(stats, **settings), stats, block_tokens=1 << 40).collect()
+    read = collections.Counter((r["doc_id"], r["epoch"]) for r in rows)
+    assert set(read.values()) == {1}
+    for epoch in range(turns or 1):
+        assert {d for d, e in read if e == epoch} == set(range(len(sizes)))
+    assert max(e for _, e in read) == 1
+
+
 def test_mix_of_awkward_and_empty_tables(spark):
     df = awkward.table(spark)
     rows = mixing.temperature_mix(df, max_repeats=2.0).collect()
