@@ -2,11 +2,12 @@
 
 One Arrow pass turns every whole text into a few counts. Their transforms form
 a vector; for every language and source its minimum-covariance-determinant
-estimate (the mean and covariance of the tightest three quarters of the rows)
-is found by concentration steps, each of them one aggregation over all rows:
-rows of a group are summed into bins of their distance to the last estimate,
-and the nearest bins that make up three quarters give the next. Vectors too far
-from their group's estimate by Mahalanobis distance are rejected."""
+estimate (the mean and covariance of the tightest half of the rows) is found by
+concentration steps, each of them one aggregation over all rows: rows of a group
+are summed into bins of their distance to the last estimate, and the nearest
+bins that make up a half give the next. Several starts take the first steps, the
+tightest goes on. Vectors too far from their group's estimate by Mahalanobis
+distance are rejected."""
 
 from __future__ import annotations
 
@@ -21,9 +22,15 @@ from .shared import add_columns, documents, written
 #: Base rules: fewest words, and the largest share (percent) of repeated words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
-#: Share of a group's rows that its estimate is made from; concentration steps;
-#: rows below which a group takes its language's estimate (or that of all).
-SHARE, STEPS, LEAST_ROWS = 0.75, 6, 60
+#: Share of a group's rows that its estimate is made from (junk up to the rest of
+#: them can't hide itself); concentration steps; rows below which a group takes
+#: its language's estimate (or that of all).
+SHARE, STEPS, LEAST_ROWS = 0.5, 12, 60
+
+#: Steps that every start takes, and by how much another start's log_det must be
+#: less than that of the first (medians and quartiles) to replace it: less apart
+#: are two halves of the same clean rows, junk in a half costs a multiple.
+TRIED, CLEARLY = 3, 0.25
 
 #: Squared distance beyond which a vector is rejected. Statistics of texts have
 #: heavy tails, so this lies far beyond the chi-square quantiles.
@@ -114,7 +121,7 @@ def consistency(share: float, dof: int) -> float:
 
 
 GROUP = ["level", "g_lang", "g_source"]
-_MODEL = ("level int, g_lang string, g_source string, n_rows long, log_det double, "
+_MODEL = ("level int, g_lang string, g_source string, start int, n_rows long, log_det double, "
           + ", ".join(f"m_{x} double" for x in X) + ", "
           + ", ".join(f"w_{i}_{j} double" for i, j in PAIRS))
 
@@ -132,7 +139,7 @@ def _solve(factor: float):
                 cov[:, i, j] = cov[:, j, i] = f[f"p_{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
             cov = np.maximum(factor, 1.0) * cov + np.diag(floors ** 2)
             inverse = np.linalg.inv(cov)
-            out = f[[*GROUP, "n_rows"]].copy()
+            out = f[[*GROUP, "start", "n_rows"]].copy()
             out["log_det"] = np.linalg.slogdet(cov)[1]
             for i, x in enumerate(X):
                 out[f"m_{x}"] = mean[:, i]
@@ -157,6 +164,29 @@ def _of_group(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFram
         "_l", "_g", "_s")
 
 
+def _starts(quartiles: DataFrame) -> DataFrame:
+    """The first estimates of each group: medians with spreads from quartiles,
+    then medians, lower and upper quartiles with the least spreads (which junk
+    can't widen)."""
+    least = {x: F.lit(FLOORS[x]) for x in X}
+    spread = {x: F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, least[x]) for x in X}
+    starts = [F.struct(
+        F.lit(k).alias("start"), F.lit(0.0).alias("log_det"),
+        *[F.col(f"q_{x}")[at].alias(f"m_{x}") for x in X],
+        *[(1 / (s[X[i]] * s[X[i]]) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i, j in PAIRS])
+        for k, (at, s) in enumerate([(1, spread), (1, least), (0, least), (2, least)])]
+    return quartiles.select(*GROUP, "n_rows", F.explode(F.array(*starts)).alias("e")).select(
+        *GROUP, "n_rows", "e.*")
+
+
+def _tightest(model: DataFrame) -> DataFrame:
+    """One start of each group: that of the least log_det, the first one where
+    no other is clearly less."""
+    rest = [c for c in model.columns if c not in GROUP]
+    rank = F.struct(F.col("log_det") - F.when(F.col("start") == 0, CLEARLY).otherwise(0.0), F.col("start"))
+    return model.groupBy(*GROUP).agg(F.min_by(F.struct(*rest), rank).alias("e")).select(*GROUP, "e.*")
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """Estimates of every language and source (level 2), language (1) and of all
     (0), from every row that passes the base rules.
@@ -168,32 +198,28 @@ def fit(stats: DataFrame) -> DataFrame:
         "lang", "source", *X, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level"))
     rows = rows.select("level", F.when(F.col("level") > 0, F.col("lang")).otherwise(none).alias("g_lang"),
                        F.when(F.col("level") > 1, F.col("source")).otherwise(none).alias("g_source"), *X)
-    # Start: medians, and spreads from quartiles.
-    start = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows"), *[
+    quartiles = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows"), *[
         F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in X])
-    spread = {x: F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, F.lit(FLOORS[x]))
-              for x in X}
-    model = start.select(*GROUP, "n_rows", F.lit(0.0).alias("log_det"),
-                         *[F.col(f"q_{x}")[1].alias(f"m_{x}") for x in X],
-                         *[(1 / (spread[X[i]] * spread[X[i]]) if i == j else F.lit(0.0))
-                           .alias(f"w_{i}_{j}") for i, j in PAIRS])
-    model = written(model, "estimates")
+    model = written(_starts(quartiles), "estimates")
     factor = consistency(SHARE, len(X))
-    near = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(STEPS):
+    each = [*GROUP, "start", "n_rows"]
+    near = Window.partitionBy(*GROUP, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    for step in range(STEPS):
+        if step == TRIED:
+            model = written(_tightest(model), "estimates")
         at = _of_group(rows, model).withColumn(
             "bin", F.floor(16 * F.log2(1 + distance())).cast("int"))
-        cells = at.groupBy(*GROUP, "n_rows", "bin").agg(
+        cells = at.groupBy(*each, "bin").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X],
             *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p_{i}_{j}") for i, j in PAIRS])
         # The nearest bins up to SHARE of the rows; the last counts in part.
         left = F.ceil(F.col("n_rows") * SHARE) - F.coalesce(F.sum("n").over(near), F.lit(0))
         cells = cells.withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("n"))))
         sums = ["n", *[f"s_{x}" for x in X], *[f"p_{i}_{j}" for i, j in PAIRS]]
-        moments = cells.where("part > 0").groupBy(*GROUP, "n_rows").agg(
+        moments = cells.where("part > 0").groupBy(*each).agg(
             *[F.sum(F.col(c) * F.col("part")).alias(c) for c in sums])
         model = written(moments.mapInPandas(_solve(factor), _MODEL), "estimates")
-    return model
+    return model.drop("start")
 
 
 def judged(rows: DataFrame, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -103,6 +103,31 @@ def test_consistency_of_normal_rows():
     assert 1 / near.var() == pytest.approx(rules.consistency(0.75, 5), rel=0.01)
 
 
+@pytest.mark.parametrize("share", [0.24, 0.35, 0.45])
+def test_junk_of_less_than_half_a_source_does_not_hide_itself(spark, share):
+    stats = rules.with_counts(documents(spark, SF), ["doc_id", "lang"]).where("not base_failed")
+    local = stats.join(labels(spark, SF), "doc_id").orderBy("doc_id").toPandas()
+    rng, many = np.random.default_rng(0), round(600 * share / (1 - share))
+    clean = local[(local["lang"] == "en") & (local["quality"] == 1)].sample(600, replace=True, random_state=rng)
+    junk = local[local["quality"] == 0].sample(many, replace=True, random_state=rng)
+    rows = [("en", "hot", False, int(q), *map(float, x)) for part in (clean, junk)
+            for q, x in zip(part["quality"], part[rules.X].to_numpy())]
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, quality int, "
+                               + ", ".join(f"{x} double" for x in rules.X))
+    got = collections.Counter((r["quality"], r["kept"]) for r in rules.judged(df, rules.fit(df)).collect())
+    assert got == {(1, True): 600, (0, False): many}
+
+
+def test_the_tightest_start_goes_on(spark):
+    def row(group, start, log_det):
+        return (2, "en", group, start, 100, log_det, *[float(start)] * (len(rules.X) + len(rules.PAIRS)))
+    model = spark.createDataFrame([row("a", 0, -20.0), row("a", 1, -21.0), row("a", 2, -27.0),
+                                   row("b", 0, -27.0), row("b", 1, -27.1), row(None, 0, -27.0), row(None, 3, -28.0)],
+                                  rules._MODEL)
+    got = {r["g_source"]: r for r in rules._tightest(model).collect()}
+    assert {k: (r["start"], r["m_x_lines"]) for k, r in got.items()} == {"a": (2, 2.0), "b": (0, 0.0), None: (3, 3.0)}
+
+
 def test_rules_on_awkward_and_empty_tables(spark):
     df = awkward.table(spark)
     for r in rules.quality_rules(df).collect():
