@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bpe, classifier, counts, mixing, ngram_join, packing, pfor, rules, sketch,
+from . import (anchors, bpe, classifier, counts, mixing, ngram_join, packing, pfor, rules, sketch,
                toxicity)
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_pfor_files": pfor.op8_pfor_files,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": counts.op10_token_counts,
+    "op11_substring_dedup": anchors.op11_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_substring_dedup": anchors.ORACLE,
+}
