@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (anchors, bpe, classifier, counts, mixing, ngram_join, packing, pfor, rules, sketch,
-               toxicity)
+from . import (anchors, bpe, classifier, counts, merkle, mixing, ngram_join, packing, pfor, rules,
+               sketch, toxicity)
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -17,8 +17,10 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": counts.op10_token_counts,
     "op11_substring_dedup": anchors.op11_substring_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op11_substring_dedup": anchors.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
