@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (anchors, bpe, classifier, counts, merkle, mixing, ngram_join, packing, pfor, rules,
-               sketch, toxicity)
+from . import (anchors, bpe, classifier, counts, divergence, merkle, mixing, ngram_join, packing,
+               pfor, rules, sketch, toxicity)
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -18,9 +18,11 @@ QUERIES = {
     "op10_token_counts": counts.op10_token_counts,
     "op11_substring_dedup": anchors.op11_substring_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op11_substring_dedup": anchors.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
