@@ -18,6 +18,7 @@ scored exactly. There is no cross join and no cap.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -283,21 +284,29 @@ def dense_ids(df: DataFrame, order: list[str], start: Column | int, id_col: str
                   .drop("_pid", "_mono", "_off"))
 
 
+def _last_id(known: DataFrame, id_col: str, fresh: DataFrame, claim: Callable[[int, int], int] | None) -> int:
+    """The id that new ones are numbered after: the largest known one, or what
+    ``claim(how many, largest known)`` gives."""
+    last = int(known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"])
+    return last if claim is None else claim(fresh.count(), last)
+
+
 def resolve_or_register(queries: DataFrame, registry: DataFrame, threshold: float = 90,
-                        qid="query_id", qname="name", rid="entity_id", rname="entity_name"):
-    """Matched id, else a new id, numbered after the registry's largest in
-    the order of cleaned names. Spellings that are equal after cleaning, or
-    that reach the threshold among themselves, share one id; the new entry has
-    the smallest spelling of the leading name. Names without a letter or digit
-    stay without an id. Returns (resolution per query row, new registry rows)."""
+                        qid="query_id", qname="name", rid="entity_id", rname="entity_name",
+                        claim: Callable[[int, int], int] | None = None):
+    """Matched id, else a new id, numbered after the registry's largest (or
+    after the range that ``claim`` gives) in the order of cleaned names.
+    Spellings that are equal after cleaning, or that reach the threshold among
+    themselves, share one id; the new entry has the smallest spelling of the
+    leading name. Names without a letter or digit stay without an id. Returns
+    (resolution per query row, new registry rows)."""
     best = best_match(queries, registry, threshold, qid, qname, rid, rname)
     best = best.withColumn("qs", clean_sorted("query_name"))
     new = best.filter(F.col("matched_id").isNull() & (F.length("qs") > 0))
     spelling = new.groupBy("qs").agg(F.min("query_name").alias(rname))
     lead = lead_names(spelling.select("qs"), threshold)
-    max_id = registry.agg(F.coalesce(F.max(rid), F.lit(0)).alias("m")).first()["m"]
     leaders = lead.where("qs = leader").select("leader")
-    new_rows = dense_ids(leaders, ["leader"], int(max_id), rid)
+    new_rows = dense_ids(leaders, ["leader"], _last_id(registry, rid, leaders, claim), rid)
     ids = lead.join(new_rows, "leader").select("qs", rid)
     res = best.join(ids, "qs", "left").select(
         "query_id", "query_name", F.coalesce("matched_id", rid).alias("resolved_id"),
@@ -306,9 +315,9 @@ def resolve_or_register(queries: DataFrame, registry: DataFrame, threshold: floa
 
 
 def new_dictionary_rows(batch: DataFrame, dictionary: DataFrame, keys: list[str],
-                        id_col: str) -> DataFrame:
-    """Distinct natural keys of the batch missing from the dictionary,
-    with new ids after the largest existing id (in key order)."""
+                        id_col: str, claim: Callable[[int, int], int] | None = None) -> DataFrame:
+    """Distinct natural keys of the batch missing from the dictionary, with
+    new ids after the largest existing id, or after the range that ``claim``
+    gives (in key order)."""
     fresh = batch.select(*keys).dropna().distinct().join(dictionary.select(*keys), keys, "left_anti")
-    max_id = dictionary.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
-    return dense_ids(fresh, keys, int(max_id), id_col)
+    return dense_ids(fresh, keys, _last_id(dictionary, id_col, fresh, claim), id_col)

@@ -203,6 +203,19 @@ def name_registry(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
 
 
+#: The first days of shipping: what had been shipped by then is known already.
+FIRST_DAYS = "1995-01-03"
+
+
+def known_names(t: Tables) -> DataFrame:
+    """Registry built by earlier batches: the names of parts shipped in the
+    first days."""
+    early = (t.lineitem.filter(F.col("l_shipdate") < F.lit(FIRST_DAYS).cast("timestamp_ntz"))
+             .select(F.col("l_partkey").alias("p_partkey")).distinct())
+    return (t.part.join(early, "p_partkey", "left_semi").groupBy(F.col("p_name").alias("entity_name"))
+            .agg(F.min("p_partkey").alias("entity_id")))
+
+
 def name_queries(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("query_id"), F.expr(PERTURB_SQL).alias("name"))
 

@@ -653,8 +653,8 @@ def defaults(spark, d):
 # ===================================================== step 11: ingest, runner
 LINE_SHEET = dict(tables={"line_money": ["quantity", "discount"], "line_rates": ["tax"]},
                   types={"quantity": "double", "discount": "double", "tax": "double"})
-LINE_WHITELIST = {"line_money": ["submission_id", "row_id", "quantity", "discount"],
-                  "line_rates": ["submission_id", "row_id", "tax"]}
+LINE_WHITELIST = {"line_money": ["submission_id", "row_id", "ingest_seq", "quantity", "discount"],
+                  "line_rates": ["submission_id", "row_id", "ingest_seq", "tax"]}
 
 
 def _ingested(spark, sheets, plan, whitelist=None):
@@ -671,7 +671,7 @@ def _ingest_lines(spark, d, table):
     from .ingest import Sheet
     out = _ingested(spark, {"lines": S.lines(T(spark, d))},
                     {"lines": Sheet(rules=[Q.percent(["tax_pct"])], **LINE_SHEET)}, LINE_WHITELIST)
-    return spark.read.parquet(out["written"][table])
+    return spark.read.parquet(out["written"][table]).drop("ingest_seq")
 
 
 @query
@@ -696,13 +696,12 @@ def _ingest_parts(spark, d):
     ids, and the tags exploded."""
     from .ingest import Dictionary, Names, Sheet
     t = T(spark, d)
-    holders = t.nation.select(F.col("n_nationkey").cast("long").alias("entity_id"),
-                              F.col("n_name").alias("entity_name")).where("n_nationkey < 10")
+    holders = t.nation.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("entity_name"))
     plan = {
         "parts": Sheet(rename=PART_HEADERS, rules=[Q.nonneg_int(["p_size"]), Q.yes_no(["flag"])],
                        yes_no=["flag"], defaults={"year": F.lit(S.AS_OF_YEAR - 1)},
                        types={"p_size": "int", "flag": "int"},
-                       names=[Names("name", B.name_registry(t).where("entity_id % 2 = 0")),
+                       names=[Names("name", B.known_names(t)),
                               Names("holder", holders, "holder_id", "holder_new")],
                        dictionaries=[Dictionary(B.DICT_KEYS, B.known_dictionary(t), "dict_id", "dictionary_new")],
                        tables={"part": ["year", "flag", "dict_id"]}, lists={"part_tag": "tags"}),
@@ -713,7 +712,7 @@ def _ingest_parts(spark, d):
 def _ingest_table(table):
     def run(spark, d):
         out = _ingest_parts(spark, d)
-        return out["violations"] if table == "violations" else spark.read.parquet(out["written"][table])
+        return out["violations"] if table == "violations" else spark.read.parquet(out["written"][table]).drop("ingest_seq")
     QUERIES[f"ingest_{table}"] = run
 
 
@@ -721,6 +720,71 @@ for _table in ("part", "part_tag", "part_share", "registry_new", "holder_new", "
     _ingest_table(_table)
 
 
+# ------------------------------------------------ several drops, one after the other
+def _order_drops(t):
+    """Order sheets as two deliveries: finished and pending orders, then open ones."""
+    o = t.orders.select(F.col("o_orderkey").alias("submission_id"), F.col("o_orderkey").alias("row_id"),
+                        F.col("o_custkey").cast("string").alias("entity_id"),
+                        F.col("o_orderdate").cast("string").alias("datum"),
+                        S.dec_text("o_totalprice").alias("total_price"), "o_orderstatus")
+    return {"first": o.where("o_orderstatus <> 'O'").drop("o_orderstatus"),
+            "second": o.where("o_orderstatus = 'O'").drop("o_orderstatus")}
+
+
+ORDER_SHEET = dict(types={"entity_id": "long", "datum": "timestamp_ntz", "total_price": "double"},
+                   tables={"master": ["entity_id", "datum", "total_price"]})
+
+
+def _order_store(spark, d):
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.drops import DropStore
+    from .ingest import Sheet, ingest
+    root = shared_path(spark, "ingest", uuid.uuid4().hex)
+    for name, sheet in _order_drops(T(spark, d)).items():
+        yield DropStore(spark, root), ingest({"orders": sheet}, {"orders": Sheet(**ORDER_SHEET)}, root, drop=name)
+
+
+@query
+def ingest_sequence(spark, d):
+    """Every appended row with its place in the order of ingest, over two drops."""
+    store = [s for s, _ in _order_store(spark, d)][-1]
+    return store.read("master").select("submission_id", "ingest_seq", "entity_id", "total_price")
+
+
+@query
+def ingest_latest(spark, d):
+    """S6 + W1: the newest row per entity and day over what two drops appended,
+    kept up to date drop by drop (only the parts that a drop touches)."""
+    from ..sources.drops import LatestTable
+    for store, _ in _order_store(spark, d):
+        latest = LatestTable(store, "master", ["entity_id"], ["datum", "ingest_seq"], parts=16)
+        latest.fold()
+    return latest.read().select("entity_id", "datum", "ingest_seq", "submission_id", "total_price")
+
+
+@query
+def ingest_drops_dictionary(spark, d):
+    """J4 over two drops: what the first one added is known to the second, and
+    its ids go on where the first one's ended."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.drops import DropStore
+    from .ingest import Dictionary, Sheet, ingest
+    t = T(spark, d)
+    root = shared_path(spark, "ingest", uuid.uuid4().hex)
+    sheet = Sheet(rename=PART_HEADERS, types={"p_size": "int"}, tables={"part": ["dict_id"]},
+                  dictionaries=[Dictionary(B.DICT_KEYS, B.known_dictionary(t), "dict_id", "dictionary_new")])
+    forms = S.part_forms(t)
+    for name, some in (("small", "cast(Meret as int) <= 25"), ("large", "cast(Meret as int) > 25"),
+                       ("again", "cast(Meret as int) > 10")):
+        ingest({"parts": forms.where(some)}, {"parts": sheet}, root, drop=name)
+    return DropStore(spark, root).read("part").groupBy("submission_id").agg(
+        F.max("dict_id").alias("dict_id"), F.count_distinct("dict_id").alias("n_ids"), F.count(F.lit(1)).alias("n_rows"))
+
+
 BATCH = [dict(TOTALS_CFG, name="totals", agg="full"), dict(GROWTH_CFG, name="growth", agg="small"),
          dict(EMAIL_CFG, name="emails"), dict(MISSING_CFG, name="missing"),
          {"type": "no_such_report", "name": "broken"}]

@@ -4,7 +4,7 @@
 
 What later steps share is written once: the violations, the held-back
 submissions, the resolved names and dictionary ids, and each clean sheet. Tables
-are then plain projections of a written sheet."""
+are then plain projections of a written sheet, appended as one drop."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import reshape as RP
-from ..operators.resolve import new_dictionary_rows, resolve_or_register
+from ..operators.resolve import dense_ids, new_dictionary_rows, resolve_or_register
 from ..session import shared_path
-from ..sources.sinks import append_table
+from ..sources.drops import DropStore
 
 IDS = ("submission_id", "row_id")
 
@@ -59,6 +59,7 @@ class Sheet:
     names: Sequence[Names] = ()
     dictionaries: Sequence[Dictionary] = ()
     lists: Mapping[str, str] = field(default_factory=dict)  # table -> column of separated items
+    required: Mapping[str, Sequence[str]] = field(default_factory=dict)  # table -> details that each of its rows must have
 
 
 def validate(sheets: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Q.Rule]],
@@ -71,49 +72,85 @@ def validate(sheets: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Q.Rul
     return out
 
 
+#: The column that orders rows as they came in, over all drops.
+SEQUENCE = "ingest_seq"
+
+
 def ingest(sheets: Mapping[str, DataFrame], plan: Mapping[str, Sheet], root: str,
-           whitelist: Mapping[str, Sequence[str]] | None = None, strict: bool = False) -> dict:
-    """Run the whole load. With ``strict`` any violation blocks the drop;
+           whitelist: Mapping[str, Sequence[str]] | None = None, strict: bool = False,
+           drop: str | None = None, found: DataFrame | None = None) -> dict:
+    """Run the whole load of one drop. With ``strict`` any violation blocks it;
     otherwise the submissions that have one, in any sheet, are held back.
+    ``found`` adds violations met while reading (submission_id, ...).
+
+    Every row gets ``ingest_seq``, its place among all rows of its sheet over all
+    drops (submission and row order within one). Names and dictionary keys that
+    earlier drops registered are known. Readers (``DropStore(root).read``) see a
+    drop when all its tables are written; a drop that is tried again under its id
+    uses the numbers it had, and does nothing where it is finished.
 
-    Returns violations, written ({table: path}) and blocked. A name is resolved
-    by itself, so a submission with several names keeps its rows apart."""
+    Returns violations, written ({table: path}), blocked and the drop's number. A
+    name is resolved by itself, so a submission with several names keeps its rows
+    apart."""
     spark = next(iter(sheets.values())).sparkSession
+    store = DropStore(spark, root)
+    number = store.claim(drop or uuid.uuid4().hex)
+    if (tables := store.done(number)) is not None:
+        paths = {t: f"{store.root}/{t}/drop={number}" for t in tables if t}
+        viol = paths.pop("violations", None)
+        return {"violations": spark.read.parquet(viol), "written": paths, "blocked": None, "drop": number}
     run = shared_path(spark, "ingest-runs", uuid.uuid4().hex)
 
     def once(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(f"{run}/{what}")
         return spark.read.schema(df.schema).parquet(f"{run}/{what}")
 
+    def claim(kind: str):
+        return lambda count, last: store.range(kind, number, count, last)
+
+    def known(df: DataFrame, table: str) -> DataFrame:
+        """A registry or dictionary with what earlier drops have added."""
+        earlier = store.read(table, drops=[n for n in store.drops(table) if n < number])
+        return df if earlier is None else df.unionByName(earlier.select(*df.columns))
+
     renamed = {s: RP.rename(df, plan[s].rename) for s, df in sheets.items()}
-    viol = once(validate(renamed, {s: p.rules for s, p in plan.items()}), "violations")
+    viol = validate(renamed, {s: p.rules for s, p in plan.items()})
+    viol = once(viol if found is None else viol.unionByName(found), "violations")
     written: dict[str, str] = {}
     if strict and not viol.isEmpty():
-        return {"violations": viol, "written": written, "blocked": "all"}
+        return {"violations": viol, "written": written, "blocked": "all", "drop": number}
     bad = once(viol.select("submission_id").distinct(), "held_back")
     for s, p in plan.items():
         df = Q.gate(renamed[s], bad, ["submission_id"])
         df = df.withColumns({c: RP.recode_yes_no(c) for c in p.yes_no})
         df = df.withColumns({c: RP.recode_map(c, m) for c, m in p.recode.items()})
-        df = once(RP.typed(RP.with_defaults(df, p.defaults), p.types), f"clean-{s}")
+        df = RP.typed(RP.with_defaults(df, p.defaults), p.types)
+        df = once(dense_ids(df, list(IDS), 0, SEQUENCE), f"clean-{s}")
+        before = store.range(f"{SEQUENCE}-{s}", number, df.count())
+        df = df.withColumn(SEQUENCE, F.col(SEQUENCE) + before)
         for n in p.names:
             asked = df.select(F.col(n.column).alias("query_id"), F.col(n.column).alias("name")).dropna().distinct()
-            res, new = resolve_or_register(asked, n.registry, n.threshold, rid=n.id, rname=n.name)
-            written[n.table] = append_table(new, root, n.table, whitelist)
+            registry = known(n.registry.select(n.id, n.name), n.table)
+            res, new = resolve_or_register(asked, registry, n.threshold, rid=n.id, rname=n.name, claim=claim(n.table))
+            written[n.table] = store.append(new, n.table, number, whitelist)
             ids = once(res.select(F.col("query_id").alias(n.column), F.col("resolved_id").alias(n.stamp)),
                        f"names-{s}-{n.column}")
             df = df.join(ids, n.column, "left")
         for d in p.dictionaries:
-            new = once(new_dictionary_rows(df, d.known, list(d.keys), d.id), f"dictionary-{s}-{d.id}")
-            written[d.table] = append_table(new, root, d.table, whitelist)
-            ids = d.known.select(*d.keys, d.id).unionByName(new.select(*d.keys, d.id))
-            df = df.join(ids, list(d.keys), "left")
-        stamps = [*IDS, *[n.stamp for n in p.names]]
+            have = known(d.known.select(*d.keys, d.id), d.table)
+            new = once(new_dictionary_rows(df, have, list(d.keys), d.id, claim(d.table)), f"dictionary-{s}-{d.id}")
+            written[d.table] = store.append(new, d.table, number, whitelist)
+            df = df.join(have.unionByName(new.select(*d.keys, d.id)), list(d.keys), "left")
+        stamps = [*IDS, SEQUENCE, *[n.stamp for n in p.names]]
         if p.names or p.dictionaries:
             df = once(df, f"stamped-{s}")
         for table, part in RP.split(df, p.tables, keep=stamps).items():
-            written[table] = append_table(part, root, table, whitelist)
+            if table in p.required:
+                part = part.dropna("any", subset=list(p.required[table]))
+            written[table] = store.append(part, table, number, whitelist)
         for table, column in p.lists.items():
             items = RP.explode_list(df, column, stamps).where("item <> ''")
-            written[table] = append_table(items, root, table, whitelist)
-    return {"violations": viol, "written": written, "blocked": None}
+            written[table] = store.append(items, table, number, whitelist)
+    store.append(viol, "violations", number)
+    store.finish(number, ["violations", *written])
+    return {"violations": viol, "written": written, "blocked": None, "drop": number}

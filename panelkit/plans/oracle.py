@@ -785,7 +785,7 @@ ORACLE["rename_split_money"] = "SELECT o_orderkey AS submission_id, o_totalprice
 
 CTE_FORMS = f"""forms AS (SELECT p_partkey AS submission_id, p_partkey AS row_id, {B.PERTURB_SQL} AS name,
        concat(CASE WHEN p_partkey % 12 < 10 THEN 'nation ' ELSE 'land ' END, CAST(p_partkey % 12 AS VARCHAR)) AS holder, p_type, p_brand, p_size,
-       concat(replace(p_type, ' ', ' , '), ',') AS tags,
+       concat(p_type, ' , ', replace(p_name, ' ', ' ,'), ',') AS tags,
        CASE WHEN p_partkey % 97 = 0 THEN 'talan' WHEN p_partkey % 2 = 0 THEN 'Igen' ELSE 'nem' END AS flag FROM part),
 shares AS (SELECT l_partkey AS submission_id, l_orderkey * 10 + l_linenumber AS row_id,
        CAST(CAST(l_quantity * CASE WHEN l_linenumber >= 7 THEN 2.02 ELSE 2 END AS DECIMAL(18,2)) AS VARCHAR) AS share
@@ -842,9 +842,27 @@ def _resolved(prefix, names_sql, registry_sql, threshold=90):
 {p}_new AS (SELECT l.entity_id, min(n.name) AS entity_name FROM {p}_lead l JOIN {p}_names n ON n.q = l.leader GROUP BY l.entity_id)"""
 
 
+CTE_DROPS = """seq AS (
+  SELECT o_orderkey AS submission_id, o_custkey AS entity_id, o_orderdate AS datum, o_totalprice AS total_price,
+         row_number() OVER (ORDER BY o_orderstatus = 'O', o_orderkey) AS ingest_seq FROM orders)"""
+ORACLE["ingest_sequence"] = f"WITH {CTE_DROPS} SELECT submission_id, ingest_seq, entity_id, total_price FROM seq"
+ORACLE["ingest_latest"] = f"""WITH {CTE_DROPS}
+SELECT entity_id, datum, ingest_seq, submission_id, total_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY datum DESC, ingest_seq DESC) AS rn FROM seq) WHERE rn = 1"""
+ORACLE["ingest_drops_dictionary"] = f"""WITH {CTE_DICT},
+fresh AS (SELECT DISTINCT p_type, p_brand, p_size, p_size > 25 AS late FROM part
+          EXCEPT SELECT p_type, p_brand, p_size, p_size > 25 FROM known),
+all_ids AS (SELECT * FROM known UNION ALL
+  SELECT p_type, p_brand, p_size, (SELECT coalesce(max(dict_id), 0) FROM known)
+         + row_number() OVER (ORDER BY late, p_type, p_brand, p_size) FROM fresh)
+SELECT p_partkey AS submission_id, dict_id, CAST(1 AS BIGINT) AS n_ids,
+       CAST(CASE WHEN p.p_size > 10 THEN 2 ELSE 1 END AS BIGINT) AS n_rows
+FROM part p JOIN all_ids a ON p.p_type = a.p_type AND p.p_brand = a.p_brand AND p.p_size = a.p_size"""
+
 CTE_INGEST = f"""WITH RECURSIVE {CTE_DICT}, {CTE_FORMS},
-{_resolved('pn', 'SELECT name FROM clean', "SELECT * FROM (SELECT min(p_partkey) AS entity_id, p_name AS entity_name FROM part GROUP BY p_name) WHERE entity_id % 2 = 0")},
-{_resolved('hn', 'SELECT holder AS name FROM clean', 'SELECT CAST(n_nationkey AS BIGINT) AS entity_id, n_name AS entity_name FROM nation WHERE n_nationkey < 10')}"""
+{_resolved('pn', 'SELECT name FROM clean', f"""SELECT min(p_partkey) AS entity_id, p_name AS entity_name FROM part WHERE p_partkey IN
+    (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '{B.FIRST_DAYS}') GROUP BY p_name""")},
+{_resolved('hn', 'SELECT holder AS name FROM clean', 'SELECT CAST(n_nationkey AS BIGINT) AS entity_id, n_name AS entity_name FROM nation')}"""
 ORACLE["ingest_part"] = CTE_INGEST + """
 SELECT c.submission_id, c.row_id, p.entity_id, h.entity_id AS holder_id, 2023 AS year,
        CASE WHEN lower(trim(c.flag)) = 'igen' THEN 1 ELSE 0 END AS flag, d.dict_id
@@ -889,6 +907,5 @@ ORACLE["run_batch"] = "\nUNION ALL ".join([
     _cells("missing", "missing", "missing_panel", "entity_id", [], _WHO),
     "SELECT 'broken' AS report, 'failed' AS section, 'broken' AS row_key, 'error' AS column_name, "
     "CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text"])
-
 ORACLE["safe_pct"] = ORACLE["safe_pct_query"]
 ORACLE["round_by_kind"] = ORACLE["round_by_kind_query"]

@@ -73,7 +73,7 @@ def part_forms(t: Tables) -> DataFrame:
         F.expr("concat(IF(p_partkey % 12 < 10, 'nation ', 'land '), CAST(p_partkey % 12 AS STRING))").alias("Jogcim"),
         F.col("p_type").alias("Tipus"), F.col("p_brand").alias("Marka"),
         F.col("p_size").cast("string").alias("Meret"),
-        F.expr("concat(replace(p_type, ' ', ' , '), ',')").alias("Cimkek"),
+        F.expr("concat(p_type, ' , ', replace(p_name, ' ', ' ,'), ',')").alias("Cimkek"),
         F.expr("CASE WHEN p_partkey % 97 = 0 THEN 'talan' WHEN p_partkey % 2 = 0 THEN 'Igen' "
                "ELSE 'nem' END").alias("Aktiv"))
 

@@ -75,5 +75,10 @@ def test_reports_scan_no_more_than_they_need(no_aqe):
 def test_orphan_audit_joins_distinct_keys(no_aqe):
     from panelkit.operators import quality as Q
     child = no_aqe.range(100).select((F.col("id") % 5).alias("k"))
-    p = plan(Q.audit_fk(child, "k", no_aqe.range(3), "id", "fk"))
+    old = no_aqe.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that are no longer tiny
+    try:
+        p = plan(Q.audit_fk(child, "k", no_aqe.range(3), "id", "fk"))
+    finally:
+        no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert p.index("LeftAnti") < p.index("HashAggregate")  # the aggregate runs below the join

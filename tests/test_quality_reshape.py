@@ -39,7 +39,9 @@ def test_recode_and_explode(spark):
     df = spark.createDataFrame([(1, " Igen ", "a, b , c ,"), (2, "NEM", None), (3, "x", "")],
                                "id int, f string, t string")
     codes = {r.id: r.c for r in df.select("id", RP.recode_yes_no("f").alias("c")).collect()}
-    assert codes == {1: 1, 2: 0, 3: None}
+    assert codes == {1: "1", 2: "0", 3: "x"}  # what is neither stays, for the rules to report
+    typed = RP.typed(df.withColumn("f", RP.recode_yes_no("f")), {"f": "int"})  # as the ingest does next
+    assert {r.id: r.f for r in typed.collect()} == {1: 1, 2: 0, 3: None}
     parts = [(r.id, r.pos, r.item) for r in RP.explode_list(df, "t", ["id"]).orderBy("id", "pos").collect()]
     assert parts == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, ""), (3, 0, "")]
 
