@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .bytebpe import Interned, gather
+from .bytebpe import Interned, byte_letters, gather
 from .shared import documents, slices
 
 BLOCK, PERCENTILE = 512, 0.95
@@ -36,8 +36,8 @@ MAGIC = b"PFOR0001"
 #: Ids a file holds about (whole documents, one at least).
 FILE_IDS = 1 << 20
 
-#: Distinct runs of text whose ids a Python worker remembers.
-REMEMBERED = 700_000
+#: Distinct runs of text whose ids a Python worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 700_000, 48 << 20
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -121,8 +121,24 @@ def decode_file(data: bytes, begin: int = 0, end: int | None = None) -> np.ndarr
     return out.ravel()[begin - lo * block:end - lo * block]
 
 
-#: A full stop or comma between an ASCII letter and white space.
-_STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \t\n\r\x0b\x0c]|\Z)")
+#: A full stop or comma between a letter (a-z, or one of Latin-1) and white space.
+#: The sign comes first, so that the search runs from sign to sign.
+_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n\r\x0b\x0c]|\Z)")
+
+#: Small letters only: a word as it stands, which no normaliser changes.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+
+#: A capital that a mark may follow.
+_MARKED = re.compile(rb"[A-Z](?=[\x80-\xff])")
+
+
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x``, or a larger array that begins like it, with room for ``more``."""
+    if used + more <= len(x):
+        return x
+    out = np.empty(max(2 * len(x), used + more), x.dtype)
+    out[:used] = x[:used]
+    return out
 
 
 class RunEncoder:
@@ -131,10 +147,15 @@ class RunEncoder:
     normaliser lower-cases and whose pre-tokeniser drops white space and parts
     letters from signs: no token, special string, composed character or
     lower-casing reaches across white space, nor from a letter to a full stop
-    or comma that ends its run. So such stops are set apart first, and runs of
-    ASCII lower-cased (but beside what could be a special string), so that runs
-    repeat more. A-Z in other runs are left to the library, which composes before
-    it lower-cases: some letters compose with a mark only when small."""
+    or comma that ends its run. So such stops are set apart first, and A-Z
+    lower-cased (but beside what could be a special string), so that runs repeat
+    more. Only A-Z directly before a character that isn't ASCII are left to the
+    library, which composes before it lower-cases: some letters compose with a
+    mark only when small, and a mark that composes with a letter follows it with
+    nothing but marks between.
+
+    Runs of small letters are one word that the normaliser leaves alone: they go
+    straight to the library's model, as the letters that stand for their bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,39 +163,57 @@ class RunEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model, self.letters = self.library.model, dict(enumerate(byte_letters()))
         self._forget()
 
     def _forget(self) -> None:
-        self.runs = Interned()
+        self.runs, self.bytes, self.learnt = Interned(), 0, 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.len = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at, self.len = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of runs met for the first time."""
+        found: list = [None] * len(new)
+        others = []
+        for k, w in enumerate(new):
+            if _WORD.fullmatch(w):
+                found[k] = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.letters))]
+            else:
+                others.append(k)
+        for k, e in zip(others, self.library.encode_batch_fast(
+                [new[k].decode() for k in others], add_special_tokens=False)):
+            found[k] = e.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        self.flat = _room(self.flat, self.used, len(ids))
+        self.at, self.len = (_room(x, self.learnt, len(new)) for x in (self.at, self.len))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.at[self.learnt:self.learnt + len(new)] = self.used + np.cumsum(size) - size
+        self.len[self.learnt:self.learnt + len(new)] = size
+        self.used, self.learnt = self.used + len(ids), self.learnt + len(new)
+        self.bytes += sum(map(len, new)) + 4 * len(ids)
 
     @staticmethod
     def _runs(raw: bytes) -> list[bytes]:
         if b"<|" not in raw:
-            raw = raw.lower() if raw.isascii() else b" ".join(
-                [w.lower() if w.isascii() else w for w in raw.split()])
+            low = raw.lower()
+            if not raw.isascii() and (kept := [m.start() for m in _MARKED.finditer(raw)]):
+                low = bytearray(low)
+                for i in kept:
+                    low[i] = raw[i]
+                low = bytes(low)
+            raw = low
         return _STOP.sub(rb" \g<0>", raw).split()
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end, each text's followed by ``end``, and their numbers."""
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
         cut = [self._runs(t.encode()) for t in texts]
         number = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(cut)), np.int64)
         new, self.runs.new = self.runs.new, []
         if new:
-            found = [e.ids for e in self.library.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat[:self.used], np.empty(
-                    max(len(self.flat), 2 * len(ids)), np.uint32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.at = np.append(self.at, self.used + np.cumsum(size) - size)
-            self.len = np.append(self.len, size)
-            self.used += len(ids)
+            self._learn(new)
         size = self.len[number]
         ids = gather(self.flat, self.at[number], size)
         done = np.concatenate([[0], np.cumsum(size)])
