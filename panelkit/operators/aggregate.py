@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import mean, sum_or_zero
+from ..session import ensure_checkpoint_dir
 
 KINDS = ("sum", "mean")
 
@@ -64,13 +65,13 @@ def agg_exprs(spec: Mapping[str, str]) -> list[Column]:
 
 
 def group_agg(df: DataFrame, group_cols: Sequence[str], spec: Mapping[str, str],
-              entity_col: str | None = None, count_name: str = "n_entities") -> DataFrame:
+              entity_col: str | None = None, count_name: str = "n_entities", more: Sequence[Column] = ()) -> DataFrame:
     """A1 (+A7): ``groupBy(group_cols)`` with the configured sum/mean and,
-    optionally, the distinct entity count in the same aggregate. NULL group
-    keys are dropped first, as pandas ``groupby`` does (D2)."""
+    optionally, the distinct entity count and ``more`` in the same aggregate.
+    NULL group keys are dropped first, as pandas ``groupby`` does (D2)."""
     check_metrics(spec)
     df = df.dropna(subset=list(group_cols))
-    exprs = agg_exprs(spec)
+    exprs = [*agg_exprs(spec), *more]
     if entity_col:
         exprs.append(F.count_distinct(entity_col).alias(count_name))
     return df.groupBy(*group_cols).agg(*exprs)
@@ -107,14 +108,31 @@ def distinct_list(df: DataFrame, c: str) -> DataFrame:
 
 
 def present_years(df: DataFrame, year_col: str = "year") -> list[int]:
-    """The sorted years present, which become pivot columns."""
-    rows = df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct().collect()
+    """The sorted years present, which become pivot columns. More than
+    ``spark.sql.pivotMaxValues`` of them are refused, none is left out."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = df.select(F.col(year_col).cast("int").alias("y")).dropna().distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{year_col} has more than {most} values; ask for the years wanted")
     return sorted(r.y for r in rows)
 
 
-def with_year_span(cells: DataFrame, year_col: str = "year", metric_col: str = "metric") -> DataFrame:
-    """``cells`` (aggregated rows of group x year x metric) with the first and
-    last year that any group has (O5): where no year list is exhaustive, change
-    runs between these."""
-    w = Window.partitionBy(metric_col)
-    return cells.withColumns({"first_year": F.min(year_col).over(w), "last_year": F.max(year_col).over(w)})
+def settle(cells: DataFrame, year_col: str = "year") -> tuple[DataFrame, list[int]]:
+    """Aggregated cells, computed once and kept in the checkpoint folder, and the
+    years that any of them has (O5): where no year list is exhaustive, change
+    runs between the first and the last of these. What the cells come from is
+    not read again, and no window or task sees all of them."""
+    ensure_checkpoint_dir(cells.sparkSession)
+    cells = cells.checkpoint()
+    return cells, present_years(cells, year_col)
+
+
+def first_of_entity(df: DataFrame, group_cols: Sequence[str], entity_col: str, year_col: str = "year",
+                    out: str = "_first") -> DataFrame:
+    """``df`` with 1 in ``out`` on one row of each entity in its group, else 0.
+    Their sums add up to distinct entities over any years (A8): one aggregate by
+    group and year then gives the metrics and, summed over a group's few cells,
+    the group's entities."""
+    w = Window.partitionBy(*group_cols, entity_col).orderBy(year_col)
+    first = (F.row_number().over(w) == 1) & F.col(entity_col).isNotNull()
+    return df.withColumn(out, first.cast("long"))

@@ -37,16 +37,14 @@ def add_first_last(df: DataFrame, first: str | Column, last: str | Column,
     return df.withColumns({diff_name: l_ - f, pct_name: safe_pct(l_ - f, f)})
 
 
-def add_present_change(df: DataFrame, by_year: Sequence[tuple[int, str]], diff_name: str, pct_name: str,
-                       drop: bool = True) -> DataFrame:
-    """W4 between the first and the last year present (columns first_year and
-    last_year of ``with_year_span``); NULL where only one year is."""
-    def at(year: str) -> Column:
-        return F.coalesce(*[F.when(F.col(year) == y, F.col(c)) for y, c in by_year])
-    two = F.col("first_year") < F.col("last_year")
-    f, l_ = at("first_year"), at("last_year")
-    out = df.withColumns({diff_name: F.when(two, l_ - f), pct_name: F.when(two, safe_pct(l_ - f, f))})
-    return out.drop("first_year", "last_year") if drop else out
+def add_present_change(df: DataFrame, by_year: Sequence[tuple[int, str]], present: Sequence[int],
+                       diff_name: str, pct_name: str) -> DataFrame:
+    """W4 between the first and the last of the years ``present`` (O5); NULL
+    where only one year is."""
+    cols = [c for y, c in sorted(by_year) if y in set(present)]
+    if len(cols) < 2:
+        return df.withColumns({n: F.lit(None).cast("double") for n in (diff_name, pct_name)})
+    return add_first_last(df, cols[0], cols[-1], diff_name, pct_name)
 
 
 def yoy_long(long: DataFrame, part: Sequence[str], year_col: str = "year",

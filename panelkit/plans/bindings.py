@@ -67,12 +67,11 @@ def orders_versions(t: Tables) -> DataFrame:
 
 
 def orders_latest(t: Tables) -> DataFrame:
-    """W1 on the yearly master data: newest order per (customer, year), taken
-    from the newest per (customer, year, status), so that both read one scan.
-    No pre-partitioning: the partial WindowGroupLimit before the shuffle keeps
-    one row per key and map task, so a hot customer never ships its raw rows
-    to a single task."""
-    return latest_by(status_latest(t), ["entity_id", "year"],
+    """W1 on the yearly master data: newest order per (customer, year). No
+    pre-partitioning: the partial WindowGroupLimit before the shuffle keeps one
+    row per key and map task, so a hot customer never ships its raw rows to a
+    single task."""
+    return latest_by(orders_versions(t), ["entity_id", "year"],
                      [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 

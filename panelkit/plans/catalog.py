@@ -720,6 +720,33 @@ for _table in ("part", "part_tag", "part_share", "registry_new", "holder_new", "
     _ingest_table(_table)
 
 
+# ------------------------------------------------ staged files, columns by header
+def _staged_orders(spark, d):
+    """The orders as CSV files of three makes: columns in one order, in another,
+    and without the priority but with a note."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.staged import read_drop
+    drop = shared_path(spark, "drops", uuid.uuid4().hex)
+    o = T(spark, d).orders.select(F.col("o_orderkey").alias("key"), S.dec_text("o_totalprice").alias("price"),
+                                  F.col("o_orderpriority").alias("priority"), F.lit("-").alias("note"), "o_orderstatus")
+    for status, cols in (("F", ["key", "price", "priority"]), ("O", ["priority", "key", "price"]),
+                         ("P", ["note", "price", "key"])):
+        o.where(F.col("o_orderstatus") == status).select(*cols).write.mode("append").option("header", True).csv(f"{drop}/orders")
+    return read_drop(spark, drop, {"orders": ["key", "price", "priority"]})
+
+
+@query
+def staged_by_header(spark, d):
+    return _staged_orders(spark, d)[0]["orders"].select("key", "price", "priority")
+
+
+@query
+def staged_header_violations(spark, d):
+    return _staged_orders(spark, d)[1].select("sheet", "field", "rule").distinct()
+
+
 # ------------------------------------------------ several drops, one after the other
 def _order_drops(t):
     """Order sheets as two deliveries: finished and pending orders, then open ones."""

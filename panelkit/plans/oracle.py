@@ -842,6 +842,13 @@ def _resolved(prefix, names_sql, registry_sql, threshold=90):
 {p}_new AS (SELECT l.entity_id, min(n.name) AS entity_name FROM {p}_lead l JOIN {p}_names n ON n.q = l.leader GROUP BY l.entity_id)"""
 
 
+ORACLE["staged_by_header"] = """SELECT CAST(o_orderkey AS VARCHAR) AS key,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price,
+       CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderpriority END AS priority
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"""
+ORACLE["staged_header_violations"] = """SELECT DISTINCT 'orders' AS sheet, v.field, v.rule FROM orders,
+  (VALUES ('priority', 'missing_header'), ('note', 'unknown_header')) v(field, rule) WHERE o_orderstatus = 'P'"""
+
 CTE_DROPS = """seq AS (
   SELECT o_orderkey AS submission_id, o_custkey AS entity_id, o_orderdate AS datum, o_totalprice AS total_price,
          row_number() OVER (ORDER BY o_orderstatus = 'O', o_orderkey) AS ingest_seq FROM orders)"""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import plain_sum, round_by_kind, round_even, safe_ratio
-from ..operators.aggregate import (choose_metrics, distinct_list, group_agg, present_years, to_long, with_year_span)
+from ..operators.aggregate import (choose_metrics, distinct_list, first_of_entity, group_agg, settle, to_long)
 from ..operators.change import add_first_last, add_present_change, add_yoy
 from ..operators.pivot import pivot_labels
 
@@ -38,12 +38,16 @@ def apply_filters(df: DataFrame, years: Sequence[int] | None = None,
     return df
 
 
-def _years(df: DataFrame, cfg: Mapping) -> list[int]:
-    """The requested years when given (no extra job; a requested year
-    without data gives an empty/0 column), else the years present."""
-    if cfg.get("years"):
-        return sorted(int(y) for y in cfg["years"])
-    return present_years(df)
+def _asked(cfg: Mapping) -> list[int]:
+    return sorted(int(y) for y in cfg.get("years") or ())
+
+
+def _cells(cells: DataFrame, cfg: Mapping) -> tuple[DataFrame, list[int]]:
+    """Cells and the years of the report (O5): the requested ones (a requested
+    year without data gives an empty/0 column), else those that the cells have."""
+    if asked := _asked(cfg):
+        return cells, asked
+    return settle(cells)
 
 
 def _numeric_round(df: DataFrame, keep: Sequence[str], scale: int = 2) -> DataFrame:
@@ -67,32 +71,33 @@ def report_regional_growth(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str
     spec = choose_metrics(agg, cfg.get("metric"), cfg.get("metrics"))
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull() & F.col(g).isNotNull())
-    years = _years(df, cfg)
-    long = with_year_span(_cells_and_divisor(df, g, spec))
+    cells, present = settle(growth_cells(df, g, spec))
+    years = _asked(cfg) or present
+    # A group's cells are its few years: they sum up to its distinct entities.
+    cells = cells.withColumn("_n", F.sum("_first").over(Window.partitionBy(g)))
+    long = to_long(cells, [g, YEAR, "_n"], spec)
     per = F.when(F.col("kind") == "sum", safe_ratio("value", "_n")).otherwise(F.col("value"))
-    long = (long.select(g, "first_year", "last_year", F.explode(F.array(
+    long = (long.select(g, F.explode(F.array(
                 F.struct(F.concat_ws("_", "metric", F.col(YEAR).cast("string")).alias("label"),
                          F.col("value").alias("v")),
                 F.struct(F.concat_ws("_", "metric", F.col(YEAR).cast("string"),
                                      F.lit("per_entity")).alias("label"),
                          per.alias("v")))).alias("c"))
-            .select(g, "first_year", "last_year", "c.label", "c.v"))
+            .select(g, "c.label", "c.v"))
     labels = [f"{m}_{y}" for m in sorted(spec) for y in years]
     labels += [f"{m}_{y}_per_entity" for m in spec for y in years]
-    wide = pivot_labels(long, [g, "first_year", "last_year"], "label", labels, "v", fill=0.0)
+    wide = pivot_labels(long, [g], "label", labels, "v", fill=0.0)
     if len(years) >= 2:
         for m in spec:
-            wide = add_present_change(wide, [(y, f"{m}_{y}_per_entity") for y in years],
-                                      f"{m}_change_per_entity", f"{m}_change_pct_per_entity", drop=False)
-    return _numeric_round(wide.drop("first_year", "last_year"), [g])
+            wide = add_present_change(wide, [(y, f"{m}_{y}_per_entity") for y in years], present,
+                                      f"{m}_change_per_entity", f"{m}_change_pct_per_entity")
+    return _numeric_round(wide, [g])
 
 
-def _cells_and_divisor(df: DataFrame, g: str, spec: Mapping[str, str]) -> DataFrame:
-    """Long cells (group, year, metric, kind, value) and ``_n``, the group's
-    distinct entities over all its years."""
-    cells = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
-    counts = df.groupBy(g).agg(F.count_distinct(ENTITY).alias("_n"))
-    return cells.join(counts, g)
+def growth_cells(df: DataFrame, g: str, spec: Mapping[str, str]) -> DataFrame:
+    """J12 in one pass: cells (group, year, metrics, _first), where _first sums up
+    over a group's cells to its distinct entities."""
+    return group_agg(first_of_entity(df, [g], ENTITY), [g, YEAR], spec, more=[F.sum("_first").alias("_first")])
 
 
 # ------------------------------------------------------------------ R2
@@ -102,19 +107,20 @@ def report_totals(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> Dat
     spec = dict(agg)
     df = apply_filters(panel, cfg.get("years"), cfg.get("filter_col"), cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
-    years = _years(df, cfg)
-    long = with_year_span(to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec))
+    cells, present = settle(group_agg(df, [YEAR], spec, ENTITY))
+    years = _asked(cfg) or present
+    long = to_long(cells, [YEAR, "n_entities"], spec)
     avg = F.when(F.col("kind") == "sum", safe_ratio("value", "n_entities")).otherwise(F.col("value"))
-    stacked = long.select("metric", "first_year", "last_year", F.explode(F.array(
+    stacked = long.select("metric", F.explode(F.array(
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"),
                  F.col("value").alias("v")),
         F.struct(F.concat(F.lit("y"), F.col(YEAR).cast("string"), F.lit("_avg")).alias("label"),
-                 avg.alias("v")))).alias("c")).select("metric", "first_year", "last_year", "c.label", "c.v")
+                 avg.alias("v")))).alias("c")).select("metric", "c.label", "c.v")
     labels = [f"y{y}" for y in years] + [f"y{y}_avg" for y in years]
-    wide = pivot_labels(stacked, ["metric", "first_year", "last_year"], "label", labels, "v")
+    wide = pivot_labels(stacked, ["metric"], "label", labels, "v")
     if len(years) >= 2:
-        wide = add_present_change(wide, [(y, f"y{y}_avg") for y in years], "growth", "growth_pct", drop=False)
-    return _numeric_round(wide.drop("first_year", "last_year"), ["metric"])
+        wide = add_present_change(wide, [(y, f"y{y}_avg") for y in years], present, "growth", "growth_pct")
+    return _numeric_round(wide, ["metric"])
 
 
 # ------------------------------------------------------------------ R5
@@ -125,15 +131,15 @@ def report_single_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
     spec = choose_metrics(agg, metric=m)
     df = apply_filters(panel, cfg.get("years"), g, cfg.get("filter_values"))
     df = df.filter(F.col(YEAR).isNotNull())
-    years = _years(df, cfg)
-    cells = with_year_span(to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)).select(
-        g, "first_year", "last_year",
-        F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"), F.col("value").alias("v"))
-    wide = pivot_labels(cells, [g, "first_year", "last_year"], "label", [f"y{y}" for y in years], "v", fill=0.0)
+    cells, present = settle(group_agg(df, [g, YEAR], spec))
+    years = _asked(cfg) or present
+    cells = cells.select(g, F.concat(F.lit("y"), F.col(YEAR).cast("string")).alias("label"),
+                         F.col(m).cast("double").alias("v"))
+    wide = pivot_labels(cells, [g], "label", [f"y{y}" for y in years], "v", fill=0.0)
     if len(years) >= 2:
         by_year = [(y, f"y{y}") for y in years]
-        wide = add_present_change(add_yoy(wide, by_year), by_year, "total_diff", "total_pct", drop=False)
-    return wide.drop("first_year", "last_year")
+        wide = add_present_change(add_yoy(wide, by_year), by_year, present, "total_diff", "total_pct")
+    return wide
 
 
 # ------------------------------------------------------------------ R6
@@ -141,18 +147,14 @@ def report_multi_metric(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
     """Every configured metric by group, columns ``<m>_<y>`` (fill 0). Not rounded."""
     g, spec = cfg["group_col"], dict(agg)
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull())
-    years = _years(df, cfg)
-    long = to_long(group_agg(df, [g, YEAR], spec), [g, YEAR], spec)
+    cells, years = _cells(group_agg(df, [g, YEAR], spec), cfg)
+    long = to_long(cells, [g, YEAR], spec)
     long = long.select(g, F.concat_ws("_", "metric", F.col(YEAR).cast("string")).alias("label"), "value")
     labels = [f"{m}_{y}" for m in sorted(spec) for y in years]
     return pivot_labels(long, [g], "label", labels, "value", fill=0.0)
 
 
 # ------------------------------------------------------------------ R7 / R8
-def _entity_long(df: DataFrame, keys: Sequence[str], spec: Mapping[str, str]) -> DataFrame:
-    return to_long(group_agg(df, [*keys, YEAR], spec), [*keys, YEAR], spec)
-
-
 def _entity_wide(long: DataFrame, keys: Sequence[str], years: Sequence[int],
                  fill: float | None) -> DataFrame:
     lab = long.withColumn("label", F.concat(F.lit("y"), F.col(YEAR).cast("string")))
@@ -172,21 +174,11 @@ def report_entity(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> Dat
     g, entity, spec = cfg["group_col"], cfg["entity"], dict(agg)
     df = apply_filters(panel.filter(F.col(g) == F.lit(entity)), cfg.get("years"))
     df = df.filter(F.col(YEAR).isNotNull())
-    if cfg.get("reindex") and cfg.get("years"):
-        years = sorted(int(y) for y in cfg["years"])
-        if not df.take(1):
-            _no_entity(panel, g, entity)
-        fill = 0.0
-    else:
-        years = present_years(df)
-        if not years:
-            _no_entity(panel, g, entity)
-        fill = None
-    return _entity_wide(_entity_long(df, [], spec), [], years, fill)
-
-
-def _no_entity(panel: DataFrame, g: str, entity) -> None:
-    raise ValueError(f"no data for {g} = {entity!r}; distinct_list(panel, {g!r}) lists the valid values")
+    cells, present = settle(group_agg(df, [YEAR], spec))
+    if not present:
+        raise ValueError(f"no data for {g} = {entity!r}; distinct_list(panel, {g!r}) lists the valid values")
+    reindex = cfg.get("reindex") and cfg.get("years")
+    return _entity_wide(to_long(cells, [YEAR], spec), [], _asked(cfg) if reindex else present, 0.0 if reindex else None)
 
 
 def report_all_entities(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str]) -> DataFrame:
@@ -195,15 +187,15 @@ def report_all_entities(panel: DataFrame, cfg: Mapping, agg: Mapping[str, str])
     ones (reindexed with 0) or, without a list, all years present."""
     g, spec = cfg["group_col"], dict(agg)
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull() & F.col(g).isNotNull())
-    years = sorted(int(y) for y in cfg["years"]) if cfg.get("years") else present_years(df)
-    return _entity_wide(_entity_long(df, [g], spec), [g], years, 0.0)
+    cells, years = _cells(group_agg(df, [g, YEAR], spec), cfg)
+    return _entity_wide(to_long(cells, [g, YEAR], spec), [g], years, 0.0)
 
 
 # ------------------------------------------------------------------ R9 / R10
 def _year_totals(panel: DataFrame, cfg: Mapping, spec: Mapping[str, str]):
     df = apply_filters(panel, cfg.get("years")).filter(F.col(YEAR).isNotNull())
-    years = _years(df, cfg)
-    long = to_long(group_agg(df, [YEAR], spec, ENTITY), [YEAR, "n_entities"], spec)
+    cells, years = _cells(group_agg(df, [YEAR], spec, ENTITY), cfg)
+    long = to_long(cells, [YEAR, "n_entities"], spec)
     long = long.withColumn("per_entity", F.try_divide(F.col("value"), F.col("n_entities")))
     return long, years
 

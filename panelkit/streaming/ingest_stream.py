@@ -1,11 +1,12 @@
 """Continuous ingest (R17 on arrival) with Structured Streaming.
 
 New submission files landing in ``<drop>/<sheet>/`` are picked up by the file
-source; every micro-batch is validated, offending submissions are held back
-(their violations appended to a violations table) and the clean rows are
-typed, split and appended. The stream's checkpoint lives under the shared
-checkpoint folder, so a restarted job resumes where it stopped and a lost
-executor only re-runs its tasks (appends are idempotent per batch id)."""
+source; every micro-batch reads its files by their own headers, is validated,
+offending submissions are held back (their violations appended to a violations
+table) and the clean rows are typed, split and appended. The stream's checkpoint
+lives under the shared checkpoint folder, so a restarted job resumes where it
+stopped and a lost executor only re-runs its tasks (appends are idempotent per
+batch id)."""
 
 from __future__ import annotations
 
@@ -17,17 +18,17 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import reshape as RP
 from ..session import shared_path
-from ..sources.staged import text_schema
+from ..sources.staged import read_csv
 
+#: Files of a micro-batch: their names come to the driver.
+MOST_FILES = 1000
 
-def sheet_stream(spark: SparkSession, drop: str, sheet: str, columns: Sequence[str],
-                 fmt: str = "csv") -> DataFrame:
-    reader = spark.readStream.schema(text_schema(columns)).option("maxFilesPerTrigger", 1000)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    df = reader.format(fmt).load(f"{drop.rstrip('/')}/{sheet}/")
-    sub = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    return df.select(sub.alias("submission_id"), *columns)
+
+def file_stream(spark: SparkSession, drop: str, sheet: str) -> DataFrame:
+    """The paths of new files (their contents are not read here)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"  # of this source
+    return (spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", MOST_FILES)
+            .load(f"{drop.rstrip('/')}/{sheet}/").select("path"))
 
 
 def start_ingest(spark: SparkSession, drop: str, sheet: str, columns: Sequence[str],
@@ -38,11 +39,15 @@ def start_ingest(spark: SparkSession, drop: str, sheet: str, columns: Sequence[s
     checkpoint = checkpoint or shared_path(spark, "streams", f"ingest_{sheet}")
     root = root.rstrip("/")
 
-    def batch(df: DataFrame, batch_id: int) -> None:
+    def batch(new: DataFrame, batch_id: int) -> None:
+        paths = [r.path for r in new.collect()]
+        if not paths:
+            return
+        df, found = read_csv(spark, paths, columns, sheet)
         # row ids are given per micro-batch (not available on the stream itself)
-        df = df.withColumns({"row_id": F.monotonically_increasing_id(), "batch_id": F.lit(batch_id)})
-        viol = Q.violations(df, rules, ["submission_id", "row_id"], sheet).withColumn(
-            "batch_id", F.lit(batch_id))
+        df = df.drop("_at").withColumns({"row_id": F.monotonically_increasing_id(), "batch_id": F.lit(batch_id)})
+        viol = Q.violations(df, rules, ["submission_id", "row_id"], sheet).unionByName(found)
+        viol = viol.withColumn("batch_id", F.lit(batch_id))
         bad = viol.select("submission_id").distinct()
         clean = RP.typed(Q.gate(df, bad, ["submission_id"]), types)
         # a retried batch id overwrites its own partition: idempotent appends
@@ -52,7 +57,7 @@ def start_ingest(spark: SparkSession, drop: str, sheet: str, columns: Sequence[s
             df_t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
                 .partitionBy("batch_id").parquet(f"{root}/{table}")
 
-    w = (sheet_stream(spark, drop, sheet, columns).writeStream
+    w = (file_stream(spark, drop, sheet).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
