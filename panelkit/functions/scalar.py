@@ -85,15 +85,6 @@ def mean(c: str | Column, scale: int | None = None) -> Column:
     return F.try_divide(plain_sum(c, scale), F.count(F.when(~F.isnan(v), v)).cast("double"))
 
 
-def integral_year(c: str | Column) -> Column:
-    """Integer year from a date cell, text or number (F6, P8): the year of text
-    that starts as an ISO date, else the number if it is integral, else NULL."""
-    t = F.trim(col(c).cast("string"))
-    day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})([T ]|$)", 1).try_cast("date")
-    n = t.try_cast("double")
-    return F.coalesce(F.year(day), F.when(n == F.floor(n), n.try_cast("int")))
-
-
 def sanitize_name(name: str, limit: int | None = 31) -> str:
     """Name made safe: spaces -> '_', '/' -> '-' (F10). Labels are cut to
     ``limit``; folder names (None) never are."""

@@ -9,7 +9,7 @@ joins are one-to-one by construction and the whole chain clusters on the same
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,35 @@ def assemble_panel(base: DataFrame, facts: Sequence[DataFrame],
     return out
 
 
+def exact_join(tables: Mapping[str, DataFrame], keys: Sequence[str], rows_of: Sequence[str] = ()) -> DataFrame:
+    """The inner join of tables on the whole key, by one union and one
+    exchange: each table's rows carry its bit, rows of a key meet in one
+    aggregate (partial before the shuffle), and a key is kept if it has all bits.
+
+    Columns beside the keys must differ between tables, and a table has one row a
+    key; one that has more fails the job. Tables named in ``rows_of`` may have any
+    number of rows a key: they only say that the key is there, as in a join whose
+    fan-out is grouped away again. NULL keys join nothing."""
+    union, values, single = None, [], []
+    for i, (name, df) in enumerate(tables.items()):
+        cols = [] if name in rows_of else [c for c in df.columns if c not in keys]
+        if clash := set(cols) & set(values):
+            raise ValueError(f"columns {sorted(clash)} are in two tables")
+        values += cols
+        if cols:
+            single.append((name, i))
+        part = df.dropna(subset=list(keys)).select(*keys, F.lit(1 << i).cast("long").alias("_bit"), *cols)
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    counts = [F.count_if(F.col("_bit") == 1 << i).alias(f"_n{i}") for _, i in single]
+    out = union.groupBy(*keys).agg(F.bit_or("_bit").alias("_bits"), *counts, *[F.max(c).alias(c) for c in values])
+    out = out.where(F.col("_bits") == (1 << len(tables)) - 1)
+    repeated = F.lit(False)
+    for _, i in single:
+        repeated = repeated | (F.col(f"_n{i}") > 1)
+    failed = F.raise_error(F.lit(f"a key has two rows in one of {[n for n, _ in single]}")).cast("boolean")
+    return out.where(F.when(repeated, failed).otherwise(True)).select(*keys, *values)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     """Keys held by more than one row, with their multiplicity."""
     return (df.groupBy(*keys).count().filter(F.col("count") > 1)

@@ -10,12 +10,12 @@ filtered and exploded into a ``violations`` DataFrame. No Python runs per row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import FORMATS, Format, integral_year, is_date
 from ..functions.scalar import strip_ws
 
 # The yes/no words accepted by the questionnaire (case-insensitive).
@@ -79,25 +79,22 @@ def max_length(cols: Sequence[str], n: int) -> Rule:                       # C1,
     return Rule(f"max_length_{n}", tuple(cols), lambda c: F.length(c) > n)
 
 
-def not_date(cols: Sequence[str], formats: Sequence[str] = ("yyyy-MM-dd",)) -> Rule:  # C3
-    def v(c):
-        s = c.cast("string")
-        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-        return parsed.isNull()
-    return Rule("not_date", tuple(cols), v)
+def not_date(cols: Sequence[str], formats: Sequence[Format] = FORMATS) -> Rule:  # C3
+    return Rule("not_date", tuple(cols), lambda c: ~is_date(c, formats))
 
 
 def year_range(cols: Sequence[str], lo: int, hi: int) -> Rule:            # C4
+    """A whole number, or the year of a date cell, outside lo..hi."""
     def v(c):
-        d = _num(c)
-        return d.isNull() | (d != F.floor(d)) | (d < lo) | (d > hi)
+        y = integral_year(c)
+        return y.isNull() | (y < lo) | (y > hi)
     return Rule("year_range", tuple(cols), v)
 
 
 def year_not_before(cols: Sequence[str], as_of_year: int) -> Rule:         # C5
     def v(c):
-        d = _num(c)
-        return d.isNull() | (d != F.floor(d)) | (d < as_of_year)
+        y = integral_year(c)
+        return y.isNull() | (y < as_of_year)
     return Rule("year_not_before", tuple(cols), v)
 
 
@@ -138,6 +135,22 @@ def one_of(cols: Sequence[str], values: Sequence[str], normalize: bool = False,
     return Rule(name, tuple(cols), lambda c: ~c.isin(*list(values)))
 
 
+def county(cols: Sequence[str]) -> Rule:                                  # C11
+    return one_of(cols, COUNTIES, name="county")
+
+
+def region(cols: Sequence[str]) -> Rule:                                  # C12
+    return one_of(cols, REGIONS, name="region")
+
+
+def provider_kind(cols: Sequence[str]) -> Rule:                           # C13
+    return one_of(cols, PROVIDER_KINDS, normalize=True, name="provider_kind")
+
+
+def condition(cols: Sequence[str]) -> Rule:                               # C14
+    return one_of(cols, CONDITIONS, normalize=True, name="condition")
+
+
 def sum_equals(cols: Sequence[str], total: float | str, name: str = "sum_equals",
                tol: float = TOL) -> Rule:                                  # C16, C20
     """Only when every part (and the total) is present, as NULL propagates."""
@@ -182,10 +195,9 @@ def violations(df: DataFrame, rules: Sequence[Rule], id_cols: Sequence[str],
                          F.lit(None).cast("string").alias("field"),
                          F.lit(None).cast("string").alias("rule"),
                          F.lit(None).cast("string").alias("value")).limit(0)
-    # Clean rows go before the array is built; explode + a plain null filter stay
-    # inside whole-stage codegen (a higher-order ``filter`` would not).
-    broken = reduce(lambda x, y: x | y, [e.isNotNull() for e in exprs])
-    return (df.filter(broken).select(*id_cols, F.explode(F.array(*exprs)).alias("v"))
+    # Every predicate once; explode and a plain null filter stay inside
+    # whole-stage codegen (a higher-order ``filter`` would not).
+    return (df.select(*id_cols, F.explode(F.array(*exprs)).alias("v"))
               .filter(F.col("v").isNotNull())
               .select(F.lit(sheet).alias("sheet"), *id_cols, "v.field", "v.rule", "v.value"))
 

@@ -176,6 +176,57 @@ def submissions(t: Tables) -> dict[str, DataFrame]:
     return {"header": header, "lines": line_tot}
 
 
+# What a submission says, by the measures of its lines (SQL over one
+# row a line, good for Spark and DuckDB) and of its orders, and the seven tables
+# that share a submission's timestamp. Amounts and rates have two places.
+LINE_SUMS = {"quantity": "l_quantity", "price": "l_extendedprice", "n_lines": "1",
+             "n_big": "CASE WHEN l_quantity >= 45 THEN 1 ELSE 0 END",
+             "discounts": "l_discount", "taxes": "l_tax",
+             **{f"qty_{f}": f"CASE WHEN l_returnflag = '{f.upper()}' THEN l_quantity ELSE 0 END" for f in "arn"},
+             **{f"price_{f}": f"CASE WHEN l_returnflag = '{f.upper()}' THEN l_extendedprice ELSE 0 END" for f in "arn"},
+             **{f"price_{f}": f"CASE WHEN l_linestatus = '{f.upper()}' THEN l_extendedprice ELSE 0 END" for f in "fo"}}
+LINE_FLAGS = {"has_returned": "l_returnflag = 'R'", "has_accepted": "l_returnflag = 'A'",
+              "has_open": "l_linestatus = 'O'", "has_big": "l_quantity >= 45"}
+ORDER_SUMS = {"total_price": "o_totalprice", "n_orders": "1",
+              **{f"n_{w}": f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END"
+                 for w, p in (("urgent", "1-URGENT"), ("high", "2-HIGH"), ("low", "5-LOW"))}}
+RATES = {"urgent_rate": ("n_urgent", "n_orders"), "high_rate": ("n_high", "n_orders"),
+         "discount_rate": ("discounts", "n_lines"), "tax_rate": ("taxes", "n_lines"),
+         "returned_rate": ("qty_r", "quantity")}
+SUBMISSION_TABLES = {
+    "header": ["total_price", "n_orders", "urgent_rate", "high_rate"],
+    "cost": ["price"],
+    "links": ["has_returned", "has_accepted", "has_open", "has_big"],
+    "area": ["quantity", "n_big", "discount_rate", "tax_rate"],
+    "firms": ["n_lines", "qty_a", "qty_r", "qty_n", "returned_rate"],
+    "sources": ["price_a", "price_r", "price_n", "price_f", "price_o", "n_urgent", "n_high", "n_low", "discounts", "taxes"],
+}
+ROWS_TABLE = "lines_returned"  # one row a returned line
+SUMMED = [c for cols in SUBMISSION_TABLES.values() for c in cols if c not in RATES]
+RATED = list(RATES)
+
+
+def submission_tables(t: Tables) -> dict[str, DataFrame]:
+    """The seven tables of all submissions, (entity, timestamp) being customer and
+    order date: six with one row a submission, one with a row for each returned
+    line. Lines are summed per order first, so raw lines never cross a join."""
+    per_order = t.lineitem.groupBy("l_orderkey").agg(
+        *[exact_sum(F.expr(x), PLACES).alias(m) for m, x in LINE_SUMS.items()],
+        *[F.max(F.expr(x).cast("int")).alias(m) for m, x in LINE_FLAGS.items()])
+    keys = [F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("ts")]
+    o = t.orders
+    lines = per_order.join(o.select(F.col("o_orderkey").alias("l_orderkey"), *keys), "l_orderkey")
+    lines = lines.groupBy("entity_id", "ts").agg(*[exact_sum(m, PLACES).alias(m) for m in LINE_SUMS],
+                                                 *[F.max(m).alias(m) for m in LINE_FLAGS])
+    head = o.groupBy(*keys).agg(*[exact_sum(F.expr(x), PLACES).alias(m) for m, x in ORDER_SUMS.items()])
+    wide = head.join(lines, ["entity_id", "ts"])
+    wide = wide.withColumns({r: F.col(a) / F.col(b) * 100 for r, (a, b) in RATES.items()})
+    returned = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").join(
+        o.select(F.col("o_orderkey").alias("l_orderkey"), *keys), "l_orderkey").drop("l_orderkey")
+    return {**{name: wide.select("entity_id", "ts", *cols) for name, cols in SUBMISSION_TABLES.items()},
+            ROWS_TABLE: returned}
+
+
 def exact_ts_join(t: Tables) -> DataFrame:
     """Inner join on (entity, exact timestamp), restricted to submissions
     with a returned line."""
@@ -215,6 +266,14 @@ def known_names(t: Tables) -> DataFrame:
             .agg(F.min("p_partkey").alias("entity_id")))
 
 
+def active_names(t: Tables) -> DataFrame:
+    """The registry of parts that are still shipped (one of their lines is
+    open); names of others are not matched."""
+    live = t.lineitem.where("l_linestatus = 'O'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return (t.part.join(live, "p_partkey", "left_semi").groupBy(F.col("p_name").alias("entity_name"))
+            .agg(F.min("p_partkey").alias("entity_id")))
+
+
 def name_queries(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("query_id"), F.expr(PERTURB_SQL).alias("name"))
 

@@ -16,7 +16,7 @@ from ..functions.scalar import round_by_kind, round_even, safe_pct, safe_ratio,
 from ..operators.aggregate import distinct_list, exact, first_non_null, group_agg, joined_distinct, to_long
 from ..operators.latest import latest_by
 from ..operators.latest import latest_max_by as max_row_by
-from ..operators.panel import duplicate_keys
+from ..operators.panel import duplicate_keys, exact_join
 from ..sources.tables import Tables
 from . import bindings as B
 from . import reports as R
@@ -325,6 +325,38 @@ def compare_years(spark, d):
                             "avg_discount"])
 
 
+def _stored(spark, tables):
+    """The tables, written once and read back."""
+    import uuid
+
+    from ..session import shared_path
+    root = shared_path(spark, "tables", uuid.uuid4().hex)
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in tables.items()}
+
+
+def _seven(spark, d):
+    return exact_join(_stored(spark, B.submission_tables(T(spark, d))), ["entity_id", "ts"], [B.ROWS_TABLE])
+
+
+@query
+def exact_ts_join_seven(spark, d):
+    """J11 over seven tables, by one union and one exchange."""
+    out = _seven(spark, d)
+    return out.select("entity_id", "ts", *B.SUMMED, *[round_even(c, 6).alias(c) for c in B.RATED])
+
+
+@query
+def yearly_summary_seven(spark, d):
+    """J11 + A15 + A14: the newest complete submission per entity and year, then
+    23 sums and 5 means by year."""
+    rows = _seven(spark, d).withColumn("year", F.year("ts").cast("int"))
+    rows = latest_by(rows, ["year", "entity_id"], [F.col("ts").desc()])
+    s = R.yearly_summary(rows, B.SUMMED, B.RATED, B.PLACES)
+    return s.withColumns({f"avg_{c}": round_even(f"avg_{c}", 6) for c in B.RATED})
+
+
 @query
 def year_pair_diff(spark, d):
     from ..operators.change import pair_diff
@@ -491,6 +523,35 @@ def rule_le(spark, d):
     return _v(S.lines(T(spark, d)), [Q.at_most("discount", "tax")], "lines")
 
 
+@query
+def parse_dates(spark, d):
+    """text of a date in many formats: the moment, its year, the format."""
+    from ..functions.dates import integral_year, parse_date
+    rows = S.order_dates(T(spark, d)).withColumn("p", parse_date("started"))
+    return rows.select("submission_id", "started", F.col("p.value").alias("value"), F.col("p.format").alias("format"),
+                       integral_year("started").alias("year"))
+
+
+@query
+def rule_dates(spark, d):
+    """C3, C4 on cells of many formats."""
+    return _v(S.order_dates(T(spark, d)), [Q.not_date(["started"]), Q.year_range(["started"], 1996, 2000)], "orders")
+
+
+@query
+def rule_fixed_lists(spark, d):
+    """C11-C14: the county, region, provider and condition lists."""
+    return _v(S.places(T(spark, d)), [Q.county(["county"]), Q.region(["region"]),
+                                      Q.provider_kind(["provider_kind"]), Q.condition(["condition"])], "places")
+
+
+@query
+def rule_sum_columns(spark, d):
+    """Sums held against another column."""
+    return _v(S.areas(T(spark, d)), [Q.sum_at_most(["built", "free"], "usable", name="built_free"),
+                                     Q.sum_equals(["own", "state"], "total", name="sources")], "areas")
+
+
 @query
 def violations_all(spark, d):
     t = T(spark, d)
@@ -515,6 +576,16 @@ def audit_pk(spark, d):
     return Q.audit_pk(T(spark, d).lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@query
+def audit_dictionary(spark, d):
+    """Natural keys that a dictionary of (type, brand, size) holds twice: the
+    known one, and the one that a second batch numbered without looking."""
+    t = T(spark, d)
+    known = B.known_dictionary(t)
+    careless = RS.dense_ids(t.part.where("p_size > 25").select(*B.DICT_KEYS).distinct(), B.DICT_KEYS, 0, "dict_id")
+    return Q.audit_pk(known.unionByName(careless), B.DICT_KEYS)
+
+
 @query
 def audit_fk(spark, d):
     t = T(spark, d)
@@ -555,6 +626,13 @@ def fuzzy_best(spark, d):
     return RS.best_match(B.name_queries(t), B.name_registry(t), threshold=85)
 
 
+@query
+def fuzzy_active(spark, d):
+    """S5 + J1: names matched against the active part of the registry only."""
+    t = T(spark, d)
+    return RS.best_match(B.name_queries(t), B.active_names(t), threshold=85)
+
+
 @query
 def fuzzy_topk_review(spark, d):
     t = T(spark, d)
@@ -720,6 +798,21 @@ for _table in ("part", "part_tag", "part_share", "registry_new", "holder_new", "
     _ingest_table(_table)
 
 
+@query
+def ingest_required_details(spark, d):
+    """J5 in the load: rows whose details are empty are not appended."""
+    from .ingest import Dictionary, Sheet
+    t = T(spark, d)
+    forms = t.part.select(F.col("p_partkey").alias("submission_id"), F.col("p_partkey").alias("row_id"), *B.DICT_KEYS,
+                          F.expr("CASE WHEN p_size > 20 THEN CAST(p_size AS STRING) END").alias("area"),
+                          F.expr("nullif(p_brand, 'Brand#11')").alias("state"))
+    sheet = Sheet(types={"area": "int"}, tables={"detail": ["dict_id", "area", "state"]},
+                  dictionaries=[Dictionary(B.DICT_KEYS, B.known_dictionary(t), "dict_id", "dictionary_new")],
+                  required={"detail": ["area", "state"]})
+    out = _ingested(spark, {"parts": forms}, {"parts": sheet})
+    return spark.read.parquet(out["written"]["detail"])
+
+
 # ------------------------------------------------ staged files, columns by header
 def _staged_orders(spark, d):
     """The orders as CSV files of three makes: columns in one order, in another,

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import integral_year, parse_date
 from ..operators import quality as Q
 from ..operators import reshape as RP
 from ..operators.resolve import dense_ids, new_dictionary_rows, resolve_or_register
@@ -56,6 +57,8 @@ class Sheet:
     recode: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     defaults: Mapping[str, Column] = field(default_factory=dict)
     types: Mapping[str, str] = field(default_factory=dict)
+    dates: Sequence[str] = ()  # columns whose text becomes a timestamp, whatever its format
+    years: Sequence[str] = ()  # columns whose number or date becomes a year
     names: Sequence[Names] = ()
     dictionaries: Sequence[Dictionary] = ()
     lists: Mapping[str, str] = field(default_factory=dict)  # table -> column of separated items
@@ -124,7 +127,10 @@ def ingest(sheets: Mapping[str, DataFrame], plan: Mapping[str, Sheet], root: str
         df = Q.gate(renamed[s], bad, ["submission_id"])
         df = df.withColumns({c: RP.recode_yes_no(c) for c in p.yes_no})
         df = df.withColumns({c: RP.recode_map(c, m) for c, m in p.recode.items()})
-        df = RP.typed(RP.with_defaults(df, p.defaults), p.types)
+        df = RP.with_defaults(df, p.defaults)
+        df = df.withColumns({c: parse_date(c)["value"] for c in p.dates if c in df.columns})
+        df = df.withColumns({c: integral_year(c) for c in p.years if c in df.columns})
+        df = RP.typed(df, p.types)
         df = once(dense_ids(df, list(IDS), 0, SEQUENCE), f"clean-{s}")
         before = store.range(f"{SEQUENCE}-{s}", number, df.count())
         df = df.withColumn(SEQUENCE, F.col(SEQUENCE) + before)

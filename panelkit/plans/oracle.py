@@ -8,8 +8,10 @@ expand per-metric / per-year column lists.
 
 from __future__ import annotations
 
+from ..operators import quality as Q
 from . import bindings as B
 from . import catalog as C
+from . import sheets as S
 
 ORACLE: dict[str, str] = {}
 
@@ -456,6 +458,31 @@ summary AS (SELECT year, count(entity_id) AS n_entities,
 ORACLE["exact_ts_join"] = f"WITH {CTE_SUB} SELECT * FROM j"
 ORACLE["yearly_summary"] = f"WITH {CTE_SUB} SELECT * FROM summary"
 
+def _sub_sql():
+    def total(x):
+        return f"CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    line = ", ".join([f"{total(x)} AS {m}" for m, x in B.LINE_SUMS.items()]
+                     + [f"max(CAST({x} AS INTEGER)) AS {m}" for m, x in B.LINE_FLAGS.items()])
+    head = ", ".join(f"{total(x)} AS {m}" for m, x in B.ORDER_SUMS.items())
+    rates = ", ".join(f"{a} / {b} * 100 AS {r}" for r, (a, b) in B.RATES.items())
+    return f"""l AS (SELECT o_custkey AS entity_id, o_orderdate AS ts, {line}
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderdate),
+h AS (SELECT o_custkey AS entity_id, o_orderdate AS ts, {head} FROM orders GROUP BY o_custkey, o_orderdate),
+seven AS (SELECT h.*, l.* EXCLUDE (entity_id, ts), {rates} FROM h JOIN l ON h.entity_id = l.entity_id AND h.ts = l.ts
+          WHERE has_returned = 1)"""
+
+
+_R6 = {c: f"round_even({c} * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0::DOUBLE" for c in B.RATED}
+ORACLE["exact_ts_join_seven"] = f"""WITH {_sub_sql()}
+SELECT entity_id, ts, {', '.join(B.SUMMED)}, {', '.join(f'{x} AS {c}' for c, x in _R6.items())} FROM seven"""
+ORACLE["yearly_summary_seven"] = f"""WITH {_sub_sql()},
+yr AS (SELECT *, CAST(year(ts) AS INTEGER) AS year FROM seven
+       QUALIFY row_number() OVER (PARTITION BY year(ts), entity_id ORDER BY ts DESC) = 1)
+SELECT year, count(entity_id) AS n_entities,
+       {', '.join(f'CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) AS sum_{c}' for c in B.SUMMED)},
+       {', '.join(f'round_even(avg({c}) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0::DOUBLE AS avg_{c}' for c in B.RATED)}
+FROM yr GROUP BY year"""
+
 _CMP = ["n_entities", "sum_total_price", "sum_quantity", "sum_extended_price", "avg_discount"]
 ORACLE["compare_years"] = f"""WITH {CTE_SUB},
 two AS (SELECT * FROM summary WHERE year IN (1997, 1998))
@@ -615,6 +642,57 @@ ORACLE["violations_all"] = rules_sql(
     ("ls", "lines", "discount_pct", "percent"), ("ls", "lines", "tax_pct", "percent"),
     ("ls", "lines", None, "sum_equals"), ("ls", "lines", None, "sum_at_most"), ("ls", "lines", None, "at_most"))
 
+_DATES = f"""od AS (SELECT o_orderkey AS submission_id, o_orderkey AS row_id,
+              {S.DATE_TEXT_SQL.replace('{s}', 'VARCHAR')} AS started FROM orders),
+dt AS (SELECT submission_id, row_id, started,
+  CASE WHEN regexp_full_match(trim(started), '\\d{{4}}-\\d\\d-\\d\\d') THEN try_strptime(trim(started), '%Y-%m-%d')
+       WHEN contains(started, 'T') THEN try_strptime(started, '%Y-%m-%dT%H:%M:%SZ')
+       WHEN contains(started, '. ') THEN try_strptime(started, '%Y. %m. %d.')
+       WHEN regexp_full_match(trim(started), '\\d{{4}}/\\d\\d/\\d\\d') THEN try_strptime(trim(started), '%Y/%m/%d')
+       WHEN contains(started, '/') THEN try_strptime(started, '%m/%d/%Y') END AS value,
+  CASE WHEN regexp_full_match(trim(started), '\\d{{4}}-\\d\\d-\\d\\d') THEN 'iso' WHEN contains(started, 'T') THEN 'iso_time'
+       WHEN contains(started, '. ') THEN 'dots' WHEN regexp_full_match(trim(started), '\\d{{4}}/\\d\\d/\\d\\d') THEN 'slashes'
+       WHEN contains(started, '/') THEN 'month_first' END AS format,
+  TRY_CAST(started AS INTEGER) AS number FROM od),
+dates AS (SELECT submission_id, row_id, started, value, CASE WHEN value IS NOT NULL THEN format END AS format,
+                 CAST(coalesce(number, year(value)) AS INTEGER) AS year FROM dt)"""
+ORACLE["parse_dates"] = f"WITH {_DATES} SELECT submission_id, started, value, format, year FROM dates"
+ORACLE["rule_dates"] = f"""WITH {_DATES}
+SELECT 'orders' AS sheet, submission_id, row_id, 'started' AS field, 'not_date' AS rule, started AS value FROM dates
+WHERE started IS NOT NULL AND value IS NULL
+UNION ALL
+SELECT 'orders', submission_id, row_id, 'started', 'year_range', started FROM dates
+WHERE started IS NOT NULL AND (year IS NULL OR year < 1996 OR year > 2000)"""
+
+
+def _in(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_PLACES = f"""pl AS (SELECT c_custkey AS submission_id, c_custkey AS row_id, {S.COUNTY_SQL} AS county, {S.REGION_SQL} AS region,
+  {S.KIND_SQL} AS provider_kind, {S.CONDITION_SQL} AS condition FROM customer)"""
+ORACLE["rule_fixed_lists"] = f"WITH {_PLACES}" + "\nUNION ALL ".join(
+    f"\nSELECT 'places' AS sheet, submission_id, row_id, '{c}' AS field, '{c}' AS rule, {c} AS value FROM pl "
+    f"WHERE {x} NOT IN ({_in(v)})" for c, x, v in (
+        ("county", "county", Q.COUNTIES), ("region", "region", Q.REGIONS),
+        ("provider_kind", "lower(trim(provider_kind))", [v.lower() for v in Q.PROVIDER_KINDS]),
+        ("condition", "lower(trim(condition))", [v.lower() for v in Q.CONDITIONS])))
+
+
+def _dec2(x):
+    return f"CAST({x} AS DECIMAL(18,2))"
+
+
+ORACLE["rule_sum_columns"] = f"""WITH ar AS (SELECT l_orderkey AS submission_id, CAST(l_linenumber AS BIGINT) AS row_id,
+  {_dec2('l_quantity')} AS built, {_dec2('l_discount * 100')} AS free, {_dec2('l_quantity + l_tax * 100')} AS usable,
+  {_dec2('l_extendedprice')} AS own, {_dec2('l_tax')} AS state,
+  {_dec2('l_extendedprice + l_tax + CASE WHEN l_linenumber >= 6 THEN 0.01::DOUBLE ELSE 0 END')} AS total FROM lineitem)
+SELECT 'areas' AS sheet, submission_id, row_id, 'built+free+usable' AS field, 'built_free' AS rule,
+       concat_ws(';', CAST(built AS VARCHAR), CAST(free AS VARCHAR), CAST(usable AS VARCHAR)) AS value FROM ar WHERE built + free > usable
+UNION ALL
+SELECT 'areas', submission_id, row_id, 'own+state+total', 'sources',
+       concat_ws(';', CAST(own AS VARCHAR), CAST(state AS VARCHAR), CAST(total AS VARCHAR)) FROM ar WHERE own + state <> total"""
+
 ORACLE["gate_clean_rows"] = f"""WITH {CTE_SHEETS},
 bad AS (SELECT submission_id FROM ls WHERE (tax_pct IS NOT NULL AND ({RULE_PRED['percent']('tax_pct')}))
         OR ({MULTI_PRED['sum_at_most'][1]}))
@@ -682,6 +760,8 @@ def _best(t):
 ORACLE["fuzzy_best"] = f"""WITH {CTE_NAMES}, {_best(85)}
 SELECT qc.query_id, qc.query_name, b.candidate_id AS matched_id, b.score FROM qc LEFT JOIN best b ON qc.qs = b.qs"""
 
+ORACLE["fuzzy_active"] = ORACLE["fuzzy_best"].replace(CTE_NAMES, CTE_NAMES.replace(
+    "FROM part GROUP BY p_name", "FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY p_name"))
 ORACLE["fuzzy_topk_review"] = f"""WITH {CTE_NAMES},
 rk_ids AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY rs ORDER BY candidate_id) <= 3),
 top AS (SELECT sc.qs, r.candidate_id, r.candidate_name, sc.score,
@@ -743,6 +823,12 @@ SELECT p_type, p_brand, p_size,
        (SELECT coalesce(max(dict_id), 0) FROM known) + row_number() OVER (ORDER BY p_type, p_brand, p_size) AS dict_id
 FROM fresh"""
 
+ORACLE["audit_dictionary"] = f"""WITH {CTE_DICT}
+SELECT p_type, p_brand, p_size, count(*) AS n_rows FROM (
+  SELECT p_type, p_brand, p_size FROM known
+  UNION ALL SELECT DISTINCT p_type, p_brand, p_size FROM part WHERE p_size > 25)
+GROUP BY p_type, p_brand, p_size HAVING count(*) > 1"""
+
 ORACLE["dictionary_lookup"] = f"""WITH {CTE_DICT}
 SELECT p.p_partkey, k.dict_id FROM part p JOIN known k
   ON p.p_type = k.p_type AND p.p_brand = k.p_brand AND p.p_size = k.p_size"""
@@ -842,6 +928,14 @@ def _resolved(prefix, names_sql, registry_sql, threshold=90):
 {p}_new AS (SELECT l.entity_id, min(n.name) AS entity_name FROM {p}_lead l JOIN {p}_names n ON n.q = l.leader GROUP BY l.entity_id)"""
 
 
+ORACLE["ingest_required_details"] = f"""WITH {CTE_DICT},
+ids AS (SELECT * FROM known UNION ALL SELECT p_type, p_brand, p_size, (SELECT coalesce(max(dict_id), 0) FROM known)
+  + row_number() OVER (ORDER BY p_type, p_brand, p_size) FROM (
+    SELECT DISTINCT p_type, p_brand, p_size FROM part EXCEPT SELECT p_type, p_brand, p_size FROM known)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS ingest_seq FROM part)
+SELECT p_partkey AS submission_id, p_partkey AS row_id, ingest_seq, i.dict_id, n.p_size AS area, n.p_brand AS state
+FROM numbered n JOIN ids i ON n.p_type = i.p_type AND n.p_brand = i.p_brand AND n.p_size = i.p_size
+WHERE n.p_size > 20 AND n.p_brand <> 'Brand#11'"""
 ORACLE["staged_by_header"] = """SELECT CAST(o_orderkey AS VARCHAR) AS key,
        CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price,
        CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderpriority END AS priority

@@ -241,13 +241,13 @@ def contact_lists(rows: DataFrame, contacts: DataFrame, joined: DataFrame,
                   entity_name: str = "entity_name", email: str = "email",
                   mgmt_email: str = "management_email") -> dict[str, DataFrame]:
     """R3/R11 core: the distinct e-mail list (entity e-mails and one row per
-    contact address, U1) and one detail row per entity with its joined
-    contact addresses."""
+    contact address, U1) in ascending order (O1), and one detail row per entity
+    with its joined contact addresses."""
     ents = rows.select(ENTITY, entity_name, email).distinct()
     own = ents.select(F.col(email).alias("email"))
     mg = (contacts.join(ents.select(ENTITY), ENTITY, "left_semi")
                   .select(F.col(mgmt_email).alias("email")))
-    emails = own.unionByName(mg).dropna().distinct()
+    emails = own.unionByName(mg).dropna().distinct().orderBy("email")
     details = ents.join(joined, ENTITY, "left").select(ENTITY, entity_name, email, mgmt_email)
     return {"email_list": emails, "details": details}
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quality as Q
 from ..sources.tables import Tables
 from .bindings import EMAIL_SQL, PERTURB_SQL, PHONE_SQL
 
@@ -84,3 +85,48 @@ def part_shares(t: Tables) -> DataFrame:
         F.col("l_partkey").alias("submission_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_id"),
         dec_text("l_quantity * CASE WHEN l_linenumber >= 7 THEN 2.02 ELSE 2 END").alias("share"))
+
+
+# Text of a date as different submitters write it, by order priority; every third
+# order has a day that may not exist. SQL good for Spark and DuckDB.
+_Y, _M, _D = ("CAST(year(o_orderdate) AS {s})", "lpad(CAST(month(o_orderdate) AS {s}), 2, '0')",
+              "lpad(CAST(day(o_orderdate) + 10 * (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS {s}), 2, '0')")
+DATE_TEXT_SQL = (f"CASE o_orderpriority WHEN '1-URGENT' THEN concat({_Y}, '-', {_M}, '-', {_D})"
+                 f" WHEN '2-HIGH' THEN concat({_Y}, '. ', {_M}, '. ', {_D}, '.')"
+                 f" WHEN '3-MEDIUM' THEN concat({_M}, '/', {_D}, '/', {_Y})"
+                 f" WHEN '4-NOT SPECIFIED' THEN concat({_Y}, '-', {_M}, '-', {_D}, 'T08:05:30Z')"
+                 f" WHEN '5-LOW' THEN {_Y} ELSE concat(' ', {_Y}, '/', {_M}, '/', {_D}) END")
+
+
+def order_dates(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("submission_id"), F.col("o_orderkey").alias("row_id"),
+                           F.expr(DATE_TEXT_SQL.replace("{s}", "STRING")).alias("started"))
+
+
+# Places and kinds as submitters write them, by key; some are in no list.
+def _case(key: str, values) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+COUNTY_SQL = _case("c_nationkey", [*Q.COUNTIES, "Pest megye", "baranya", " Zala", "Csongrád", ""])
+REGION_SQL = _case("c_custkey % 9", [*Q.REGIONS, "Dunántúl", "ÉSZAK-ALFÖLD"])
+KIND_SQL = _case("c_custkey % 5", [Q.PROVIDER_KINDS[0], " egyéb ", "BETELEPÜLT VÁLLALKOZÁS", "más", "Egyéb"])
+CONDITION_SQL = _case("c_custkey % 4", [Q.CONDITIONS[0], "bővítendő ", "romos", "FELÚJÍTANDÓ"])
+
+
+def places(t: Tables) -> DataFrame:
+    return t.customer.select(
+        F.col("c_custkey").alias("submission_id"), F.col("c_custkey").alias("row_id"),
+        F.expr(COUNTY_SQL).alias("county"), F.expr(REGION_SQL).alias("region"),
+        F.expr(KIND_SQL).alias("provider_kind"), F.expr(CONDITION_SQL).alias("condition"))
+
+
+def areas(t: Tables) -> DataFrame:
+    """Areas and sources of each order line: parts, and the total they are held
+    against (a cent too much where the line number is 6 or 7)."""
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").cast("long").alias("row_id"),
+        dec_text("l_quantity").alias("built"), dec_text("l_discount * 100").alias("free"),
+        dec_text("l_quantity + l_tax * 100").alias("usable"),
+        dec_text("l_extendedprice").alias("own"), dec_text("l_tax").alias("state"),
+        dec_text("l_extendedprice + l_tax + CASE WHEN l_linenumber >= 6 THEN 0.01 ELSE 0 END").alias("total"))

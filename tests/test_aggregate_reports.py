@@ -121,7 +121,7 @@ def test_change_runs_between_years_present(spark):
 
 
 def test_years_of_cells(spark):
-    from panelkit.functions.scalar import integral_year
+    from panelkit.functions.dates import integral_year
     cells = ["2021", "2021.0", "2021.5", " 2020-05-06 ", "2020-05-06 00:00:00", "2020-13-01", "x", None]
     df = spark.createDataFrame([(c,) for c in cells], "c string")
     assert [r[0] for r in df.select(integral_year("c")).collect()] == [
