@@ -22,11 +22,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import connected
+
 # Ship this module's Python helpers by value, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -235,32 +238,85 @@ def apply_decisions(review: DataFrame, decisions: DataFrame) -> DataFrame:
         F.col("_new"), "new").otherwise("open")).drop("_new")
 
 
-def lead_names(names: DataFrame, threshold: float) -> DataFrame:
+#: Pairs of a component, and names of a block of a larger one, that one task solves.
+TASK_PAIRS, BLOCK_NAMES = 500_000, 20_000
+
+
+def _leaders(pairs: pa.Table) -> pa.Table:
+    """The sequential rule on the pairs (qs, rs; rs < qs) of one component: names
+    in order, each a leader unless a smaller one that it resembles is."""
+    before: dict[str, list[str]] = {}
+    names = set()
+    for q, r in zip(pairs.column("qs").to_pylist(), pairs.column("rs").to_pylist()):
+        before.setdefault(q, []).append(r)
+        names.add(r)
+        names.add(q)
+    leads: set[str] = set()
+    for n in sorted(names):
+        if leads.isdisjoint(before.get(n, ())):
+            leads.add(n)
+    return pa.table({"qs": pa.array(sorted(leads), pa.string())})
+
+
+def lead_names(names: DataFrame, threshold: float, task_pairs: int = TASK_PAIRS,
+               block_names: int = BLOCK_NAMES) -> DataFrame:
     """Each cleaned name (``qs``) and its ``leader``, as if the names had been
     registered one after the other in order: a name joins the best-scoring
     leader before it (ties: the first) or becomes one itself.
 
-    Rounds: an undecided name leads if no undecided smaller name is similar;
-    what is similar to a leader follows. Each round is checkpointed."""
+    Only names that resemble each other depend on each other, so the rule is
+    solved inside connected components, each in one task. The names of a component
+    with more than ``task_pairs`` pairs are cut, in their order, into blocks of
+    ``block_names``: a name depends on smaller ones alone, so the blocks of all
+    large components are solved one number after the other. The number of jobs
+    grows with the logarithm of the longest chain and with the blocks of the
+    largest component, not with the names."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(names.sparkSession)
     pairs = score_pairs(candidates(names, names.select(F.col("qs").alias("rs")), threshold))
     near = pairs.where((F.col("score") >= threshold) & (F.col("rs") < F.col("qs"))).checkpoint()
-    leads, rest = None, names.select("qs")
-    while True:
-        blocked = near.join(rest.select(F.col("qs").alias("rs")), "rs", "left_semi").select("qs").distinct()
-        now = rest.join(blocked, "qs", "left_anti").checkpoint()
-        leads = now if leads is None else leads.union(now)
-        follow = near.join(now.select(F.col("qs").alias("rs")), "rs", "left_semi").select("qs").distinct()
-        rest = rest.join(now.union(follow), "qs", "left_anti").checkpoint()
-        if rest.isEmpty():
-            break
-    own = leads.select("qs", F.col("qs").alias("leader"))
+    leads = leading(near, task_pairs, block_names)
+    alone = names.select("qs").join(near.select("qs").union(near.select("rs")).distinct(), "qs", "left_anti")
+    own = leads.union(alone).select("qs", F.col("qs").alias("leader"))
     best = near.join(leads.select(F.col("qs").alias("rs")), "rs", "left_semi").join(leads, "qs", "left_anti")
     best = best.groupBy("qs").agg(F.min(F.struct((-F.col("score")).alias("s"), "rs")).alias("b"))
     return own.union(best.select("qs", F.col("b.rs").alias("leader")))
 
 
+def leading(near: DataFrame, task_pairs: int = TASK_PAIRS, block_names: int = BLOCK_NAMES) -> DataFrame:
+    """The leaders (``qs``) among the names of the pairs ``near`` (qs, rs, rs < qs)."""
+    roots = connected(near, "qs", "rs")
+    pairs = near.select("qs", "rs").join(roots.withColumnRenamed("node", "qs"), "qs")
+    sizes = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.join(sizes, "root").checkpoint()
+    leads = pairs.where(F.col("n") <= task_pairs).select("root", "qs", "rs").groupBy("root").applyInArrow(
+        _leaders, "qs string").checkpoint()
+    large = pairs.where(F.col("n") > task_pairs).select("root", "qs", "rs")
+    if large.isEmpty():
+        return leads
+    # Places of the names within all large components, in order; a block never
+    # holds more than block_names names, of however many components.
+    places = roots.join(large.select("root").distinct(), "root", "left_semi")
+    places = dense_ids(places, ["root", "node"], 0, "place")
+    first = places.groupBy("root").agg(F.min("place").alias("first"))
+    blocks = places.join(first, "root").select("node", F.expr(f"(place - first) div {block_names}").alias("block")).checkpoint()
+    large = (large.join(blocks.withColumnRenamed("node", "qs"), "qs")
+             .join(blocks.select(F.col("node").alias("rs"), F.col("block").alias("r_block")), "rs").checkpoint())
+    nodes = places.select("root", "node").join(blocks, "node").checkpoint()
+    for b in range(int(nodes.agg(F.max("block")).first()[0]) + 1):
+        # Followers of leaders in earlier blocks go; the rest settle among themselves.
+        settled = large.where((F.col("block") == b) & (F.col("r_block") < b)).join(
+            leads.select(F.col("qs").alias("rs")), "rs", "left_semi").select("qs").distinct()
+        open_ = nodes.where(F.col("block") == b).select("root", F.col("node").alias("qs")).join(settled, "qs", "left_anti")
+        inner = (large.where((F.col("block") == b) & (F.col("r_block") == b)).select("root", "qs", "rs")
+                 .join(open_.select("qs"), "qs", "left_semi")
+                 .join(open_.select(F.col("qs").alias("rs")), "rs", "left_semi")).select("root", "qs", "rs").checkpoint()
+        free = open_.select("qs").join(inner.select("qs").union(inner.select("rs")).distinct(), "qs", "left_anti")
+        now = inner.groupBy("root").applyInArrow(_leaders, "qs string")
+        leads = leads.union(now).union(free).checkpoint()
+    return leads
+
+
 def dense_ids(df: DataFrame, order: list[str], start: Column | int, id_col: str = "new_id") -> DataFrame:
     """Consecutive ids ``start + 1, start + 2, ...`` in the order of the columns
     without a single-partition window: range-partition and sort, count rows

@@ -126,6 +126,57 @@ def test_leaders_equal_one_after_the_other(spark):
     assert {r.qs: r.leader for r in RS.lead_names(df, 90).collect()} == want
 
 
+def one_after_the_other(pairs):
+    before, names = {}, set()
+    for q, r in pairs:
+        before.setdefault(q, set()).add(r)
+        names |= {q, r}
+    leads = set()
+    for n in sorted(names):
+        if not before.get(n, set()) & leads:
+            leads.add(n)
+    return leads
+
+
+def test_leading_in_components_and_blocks(spark):
+    rnd = random.Random(9)
+    pairs = {tuple(sorted(rnd.sample(range(300), 2), reverse=True)) for _ in range(330)}
+    pairs = {(f"n{q:04}", f"n{r:04}") for q, r in pairs}
+    df = spark.createDataFrame(sorted(pairs), "qs string, rs string")
+    want = one_after_the_other(pairs)
+    assert {r.qs for r in RS.leading(df).collect()} == want
+    assert {r.qs for r in RS.leading(df, task_pairs=20, block_names=30).collect()} == want  # cut into blocks
+    assert RS.leading(df.limit(0)).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    n = 10_000
+    df = spark.range(1, n).selectExpr("format_string('n%06d', id) AS qs", "format_string('n%06d', id - 1) AS rs")
+    rounds = []
+    checkpoint = type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **k: rounds.append(1) or checkpoint(self, *a, **k))
+    got = {r.qs for r in RS.leading(df).collect()}
+    assert got == {f"n{i:06}" for i in range(0, n, 2)}
+    assert len(rounds) < 30
+
+
+def test_connected_components(spark):
+    from panelkit.operators.graph import connected
+    rnd = random.Random(4)
+    for _ in range(3):
+        edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)]
+        root = {x: x for e in edges for x in e}
+        while True:
+            new = dict(root)
+            for a, b in edges:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == root:
+                break
+            root = new
+        got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+        assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_candidates_stay_few_while_names_grow(spark):
     rnd = random.Random(7)
     syl = ["ba", "ko", "ri", "ten", "mo", "sza", "lu", "per", "vik", "dor", "na", "gel", "tu", "fi", "hor"]
