@@ -9,6 +9,7 @@ joins are one-to-one by construction and the whole chain clusters on the same
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -47,6 +48,19 @@ def assemble_panel(base: DataFrame, facts: Sequence[DataFrame],
     return out
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """``df`` written to ``path`` in ``buckets`` by ``keys``, each one sorted file,
+    and read back: joins and aggregates on these keys between frames of as many
+    buckets need no exchange. The catalog forgets the table again, the files stay."""
+    spark, name = df.sparkSession, f"panelkit_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    out = spark.table(name)
+    out.schema  # resolved while the catalog knows it
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def exact_join(tables: Mapping[str, DataFrame], keys: Sequence[str], rows_of: Sequence[str] = ()) -> DataFrame:
     """The inner join of tables on the whole key, by one union and one
     exchange: each table's rows carry its bit, rows of a key meet in one

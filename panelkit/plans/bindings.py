@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import exact_sum
 from ..operators.aggregate import exact
 from ..operators.latest import latest_by
-from ..operators.panel import assemble_panel, entity_base, reduce_fact
+from ..operators.panel import assemble_panel, bucketed, entity_base, reduce_fact
 from ..sources.tables import Tables
 
 # Aggregation config of the bound panel (metric -> kind), in the
@@ -131,6 +131,40 @@ def panel(t: Tables) -> DataFrame:
     return assemble_panel(b, [fact_lines(t), fact_status(t)], numeric=list(AGG_FULL))
 
 
+def event_versions(t: Tables) -> DataFrame:
+    """Events as yearly facts: all of them are of one month, so the day of the
+    month stands for one of the years that orders have."""
+    return t.events.select(F.col("user_id").alias("entity_id"), F.expr("1995 + day(ts) % 7").alias("year"),
+                           "event_type", "ts", "event_id", "value")
+
+
+def fact_events(t: Tables) -> DataFrame:
+    """A two-key fact: the newest event per (entity, year)."""
+    e = latest_by(event_versions(t), ["entity_id", "year"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return e.select("entity_id", "year", F.col("value").alias("event_value"), F.col("event_type").alias("event_kind"))
+
+
+def fact_event_kinds(t: Tables) -> DataFrame:
+    """A three-key fact (entity, year, kind), reduced to the first non-null."""
+    e = latest_by(event_versions(t), ["entity_id", "year", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+    e = e.select("entity_id", "year", "event_type", F.expr("CASE WHEN value >= 50 THEN value END").alias("large_value"),
+                 F.expr("CASE WHEN value < 50 THEN value END").alias("small_value"))
+    return reduce_fact(e, ["entity_id", "year"], ["event_type"], ["large_value", "small_value"])
+
+
+PANEL_KEYS = ("entity_id", "year")
+
+
+def panel_five(t: Tables, root: str, buckets: int = 16) -> DataFrame:
+    """J6 with base and five facts of both key shapes, kept under ``root`` in
+    buckets of (entity, year): the panel joins them without an exchange. On a
+    cluster choose the buckets by the size of the largest (128 MB each)."""
+    sides = {"base": base(t), "orders": fact_orders(t), "lines": fact_lines(t), "status": fact_status(t),
+             "events": fact_events(t), "kinds": fact_event_kinds(t)}
+    kept = {n: bucketed(df, PANEL_KEYS, buckets, f"{root}/{n}") for n, df in sides.items()}
+    return assemble_panel(kept.pop("base"), list(kept.values()), numeric=[*AGG_FULL, "event_value", "large_value", "small_value"])
+
+
 def management_latest(t: Tables) -> DataFrame:
     """W1 with a non-year key: newest contact row per (entity, contact)."""
     e = t.events.select(F.col("user_id").alias("entity_id"), "event_type", "ts",

@@ -160,6 +160,15 @@ def panel_wide(spark, d):
     return B.panel(T(spark, d))
 
 
+@query
+def panel_five(spark, d):
+    """Base LEFT JOIN five facts, all in buckets of (entity, year)."""
+    import uuid
+
+    from ..session import shared_path
+    return B.panel_five(T(spark, d), shared_path(spark, "buckets", uuid.uuid4().hex))
+
+
 @query
 def panel_cardinality(spark, d):
     t = T(spark, d)

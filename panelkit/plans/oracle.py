@@ -207,6 +207,20 @@ ORACLE["panel_first_nonnull"] = f"""WITH {CTE_STATUS} SELECT * FROM status_first
 
 ORACLE["panel_wide"] = f"""WITH {CTE_PANEL} SELECT * FROM panel"""
 
+ORACLE["panel_five"] = f"""WITH {CTE_PANEL},
+ev AS (SELECT user_id AS entity_id, 1995 + day(ts) % 7 AS year, event_type, ts, event_id, value FROM events),
+e2 AS (SELECT entity_id, year, value AS event_value, event_type AS event_kind FROM ev
+       QUALIFY row_number() OVER (PARTITION BY entity_id, year ORDER BY ts DESC, event_id DESC) = 1),
+e3 AS (SELECT entity_id, year,
+              arg_min(value, event_type) FILTER (WHERE value >= 50) AS large_value,
+              arg_min(value, event_type) FILTER (WHERE value < 50) AS small_value
+       FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY entity_id, year, event_type
+                                                         ORDER BY ts DESC, event_id DESC) = 1)
+       GROUP BY entity_id, year)
+SELECT p.*, e2.event_value, e2.event_kind, e3.large_value, e3.small_value FROM panel p
+LEFT JOIN e2 ON p.entity_id = e2.entity_id AND p.year = e2.year
+LEFT JOIN e3 ON p.entity_id = e3.entity_id AND p.year = e3.year"""
+
 
 def _dups(side, src):
     return (f"SELECT '{side}' AS side, count(*) AS dup_keys FROM (SELECT entity_id, year FROM {src} "

@@ -82,3 +82,45 @@ def test_orphan_audit_joins_distinct_keys(no_aqe):
     finally:
         no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert p.index("LeftAnti") < p.index("HashAggregate")  # the aggregate runs below the join
+
+
+@pytest.fixture()
+def no_broadcast(no_aqe):
+    old = no_aqe.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield no_aqe
+    no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_panel_of_bucketed_facts_joins_without_an_exchange(no_broadcast, tmp_path):
+    p = plan(B.panel_five(Tables(no_broadcast, SF001), str(tmp_path), buckets=4))
+    assert p.count("SortMergeJoin") == 5 and "Exchange" not in p
+
+
+def test_exact_join_of_seven_tables_is_one_exchange(no_broadcast):
+    from panelkit.operators.panel import exact_join
+    tables = {f"t{i}": no_broadcast.range(50).select((F.col("id") % 9).alias("k"), F.col("id").alias("ts"),
+                                                     F.col("id").alias(f"v{i}")) for i in range(7)}
+    p = plan(exact_join(tables, ["k", "ts"], ["t6"]))
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_growth_reads_each_table_once_per_fact_and_counts_in_the_same_aggregate(no_aqe):
+    t = Tables(no_aqe, SF001)
+    df = R.apply_filters(B.panel(t), [1996, 1997]).where("year is not null and region is not null")
+    p = plan(R.growth_cells(df, "region", B.AGG_SMALL))
+    assert p.count("customer.parquet") == 1
+    assert "partial_sum(_first" in p and "count(distinct" not in p
+
+
+def test_reports_have_no_window_over_all_cells(spark):
+    panel = spark.createDataFrame([(i, 2020 + i % 3, i % 500, float(i)) for i in range(1500)],
+                                  "entity_id int, year int, g int, s double")
+    for df in (R.report_single_metric(panel, {"group_col": "g", "metric": "s"}, {"s": "sum"}),
+               R.report_regional_growth(panel, {"group_col": "g"}, {"s": "sum"}),
+               R.report_totals(panel, {}, {"s": "sum"})):
+        p = plan(df)
+        assert "SinglePartition" not in p
+        for line in p.splitlines():
+            if "Window [" in line:
+                assert "[g#" in line.split("],")[1]
