@@ -225,3 +225,103 @@ def test_classifiers_on_awkward_and_empty_tables(spark):
         assert module.scored(awkward.empty(spark), model, 0.5).count() == 0
     kept = classifier.keep_good(df, df.select("doc_id", F.lit(1).alias("quality")))
     assert kept.columns == df.columns and kept.count() == df.count()
+
+
+# ------------------------------------------- scores and steps, one at a time
+def bucket_values(features, word, values):
+    ids, size = features.of([word])
+    return [values[i] for i in ids.tolist()], int(size[0])
+
+
+def test_quality_score_is_the_average_of_its_features():
+    rng = np.random.default_rng(4)
+    values, bias = rng.normal(0, 1, 1 << subword.BITS), 0.3
+    texts = ["one two two three", "", "a", "b b b b", "Ä ö ö, x" * 3]
+    got = classifier.score_texts(texts, subword.WordScores(classifier.FEATURES, values), bias)
+    for text, score in zip(texts, got):
+        words = text.encode().split()
+        total = n = 0.0
+        for w in [*words, *[classifier.AGAIN for x, y in zip(words, words[1:]) if x == y]]:
+            v, size = bucket_values(classifier.FEATURES, w, values)
+            total, n = total + sum(v), n + size
+        z = [0.0, bias + total / (n + classifier.NEUTRAL)]  # softmax over the two classes
+        assert score == pytest.approx(math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1])), rel=1e-9)
+
+
+def test_quality_step_is_the_gradient(monkeypatch):
+    for name, v in (("EPOCHS", 1), ("BATCH", 100), ("RATE", 2.0)):
+        monkeypatch.setattr(classifier, name, v)
+    texts, y = ["good fine words here", "bad bad bad", "some other text", "bad junk"], np.array([1, 0, 1, 0])
+    value, bias = classifier.train(texts, y, seed=3)
+    vectors = np.random.default_rng(3).normal(0, 1 / classifier.DIM, (1 << subword.BITS, classifier.DIM)).astype(np.float32)
+    means = []
+    for t in texts:
+        words = t.encode().split()
+        rows, n = np.zeros(classifier.DIM), 0
+        for w in [*words, *[classifier.AGAIN for a, b in zip(words, words[1:]) if a == b]]:
+            ids, size = classifier.FEATURES.of([w])
+            rows, n = rows + vectors[ids].sum(0), n + int(size[0])
+        means.append(rows / (n + classifier.NEUTRAL))
+
+    def loss(p):
+        out, b = p[:-2].reshape(classifier.DIM, 2), p[-2:]
+        z = np.array(means) @ out + b
+        return float(np.mean([np.log(np.exp(r).sum()) - r[k] for r, k in zip(z, y)]))
+    start = np.zeros(2 * classifier.DIM + 2)  # as many of each label: the prior is 0
+    step = 1e-5
+    grad = np.array([(loss(start + step * e) - loss(start - step * e)) / (2 * step) for e in np.eye(len(start))])
+    end = start - classifier.RATE * grad
+    out = end[:-2].reshape(classifier.DIM, 2)
+    assert bias == pytest.approx(end[-1] - end[-2], abs=1e-5)
+    used = np.unique(np.concatenate([classifier.FEATURES.of(t.encode().split())[0] for t in texts]))
+    assert np.allclose(value[used], (vectors @ (out[:, 1] - out[:, 0]))[used], atol=1e-5)
+
+
+def noisy_or(text, values, bias):
+    """1 - the product over distinct words of 1 - p."""
+    none = 1.0
+    for w in dict.fromkeys(toxicity.FEATURES.words(text)):
+        v, size = bucket_values(toxicity.FEATURES, w, values)
+        none *= 1 - 1 / (1 + math.exp(-(sum(v) / math.sqrt(size) + bias)))
+    return 1 - none
+
+
+def test_toxicity_score_is_a_noisy_or():
+    values = np.random.default_rng(5).normal(0, 2, 1 << subword.BITS)
+    texts = ["You idiot, you", "", "harmless words. many of them, here", "!!!", "Ünsinn ünsinn"]
+    got = toxicity.score_texts(texts, subword.WordScores(toxicity.FEATURES, values), -5.0)
+    assert got.tolist() == pytest.approx([noisy_or(t, values, -5.0) for t in texts], rel=1e-7, abs=1e-12)
+
+
+def test_toxicity_steps_follow_the_gradient(monkeypatch):
+    """Two passes over one batch: the first step from zero, the second where the
+    penalty on swapped terms counts."""
+    texts, y = ["muslims are awful scum", "nice muslims live here", "scum scum", "a plain sentence"], np.array([1, 0, 1, 0])
+    for name, v in (("EPOCHS", 2), ("BATCH", 100), ("RATE", 0.3)):
+        monkeypatch.setattr(toxicity, name, v)
+    got, bias = toxicity.train(texts, y, seed=1)
+    rng = np.random.default_rng(1)
+    kinds = [np.array([t.encode() for t in v.split()], object) for v in toxicity.IDENTITY_TERMS.values()]
+    swaps = [toxicity.swaps(t, rng, {t: k for k in kinds for t in k}, kinds) for t in texts]
+    words = {w for t in texts for w in toxicity.FEATURES.words(t)} | {w for s in swaps for p in s for w in p}
+    ids = {w: toxicity.FEATURES.of([w])[0] for w in words}
+    used = np.unique(np.concatenate(list(ids.values())))
+    place = {b: k for k, b in enumerate(used.tolist())}
+
+    def loss(v):
+        def energy(w):
+            z = sum(v[place[b]] for b in ids[w].tolist()) / math.sqrt(len(ids[w])) + bias
+            return math.log1p(math.exp(z))
+        out = 0.0
+        for t, k, pairs in zip(texts, y, swaps):
+            total = sum(energy(w) for w in dict.fromkeys(toxicity.FEATURES.words(t)))
+            out += -math.log(-math.expm1(-total)) if k else total
+            out += toxicity.FAIR * sum((energy(a) - energy(b)) ** 2 for a, b in pairs)
+        return out
+    v, grown = np.zeros(len(used)), np.full(len(used), 1e-8)
+    for step in range(2):
+        h = 1e-4
+        grad = np.array([(loss(v + h * e) - loss(v - h * e)) / (2 * h) for e in np.eye(len(used))]) + toxicity.DECAY * v
+        grown += grad * grad
+        v = v - toxicity.RATE * (1 - step / 2) * grad / np.sqrt(grown)
+    assert np.allclose(got[used], v, atol=2e-3) and np.abs(v).max() > 0.1
