@@ -260,6 +260,19 @@ def report_all_entities(spark, d):
     return R.report_all_entities(B.panel(T(spark, d)), ALL_ENT_CFG, B.AGG_SMALL)
 
 
+@query
+def report_entity_sections(spark, d):
+    """R8 with a section (a folder) for every entity of the group column, written
+    in one job; the sections are read back."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.sinks import read_each, write_each
+    path = shared_path(spark, "sections", uuid.uuid4().hex)
+    write_each(R.report_all_entities(B.panel(T(spark, d)), ALL_ENT_CFG, B.AGG_SMALL), "county", path)
+    return read_each(spark, path)
+
+
 @query
 def report_multi_metric(spark, d):
     return R.report_multi_metric(B.panel(T(spark, d)), MULTI_CFG, B.AGG_FULL)

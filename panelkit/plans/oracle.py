@@ -310,6 +310,9 @@ ORACLE["first_last_change"] = _entity_sql(C.ENTITY_CFG, B.AGG_FULL, fill=False)
 ORACLE["report_all_entities"] = _entity_sql(C.ALL_ENT_CFG, B.AGG_SMALL, fill=True, keys=["county"])
 
 
+ORACLE["report_entity_sections"] = f"SELECT * RENAME (county AS section) FROM ({ORACLE['report_all_entities']})"
+
+
 def _at(col, ys, which):
     """The column of the first or last year present."""
     return "CASE " + " ".join(f"WHEN {which} = {y} THEN {col(y)}" for y in ys) + " END"

@@ -11,7 +11,8 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scalar import sanitize_name
 from ..operators.quality import check_whitelist
@@ -54,6 +55,45 @@ def write_sections(result: DataFrame | Mapping[str, DataFrame], out_dir: str, na
     return paths
 
 
+#: Rows of a section's file at most (a section with more has several files).
+FILE_ROWS = 1_000_000
+
+
+def write_each(df: DataFrame, by: str, path: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """S9 for very many sections: one folder under ``path`` for each value of
+    ``by``, in one job. Rows are rebalanced by the value, so a small section is one
+    file and a section that holds much of all rows is cut over several tasks and
+    files; nothing passes one task whole. A row without a value is an error.
+
+    Returns the manifest, read back from what was written: (section, folder,
+    n_files, n_rows). A folder is named as Spark names partitions, which escapes
+    whatever a file name can't hold, so no two values share one."""
+    value = F.coalesce(F.col(f"`{by}`").cast("string"), F.raise_error(F.lit(f"a row has no {by}")).cast("string"))
+    out = df.withColumn("section", value).drop(by).hint("rebalance", "section")
+    (out.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).partitionBy("section").parquet(path))
+    return sections_manifest(df.sparkSession, path)
+
+
+def read_each(spark: SparkSession, path: str) -> DataFrame:
+    """All sections that ``write_each`` wrote, with their value (``section``)."""
+    kept = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}  # "007" stays text
+    old = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        return spark.read.parquet(path)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def sections_manifest(spark: SparkSession, path: str) -> DataFrame:
+    rows = read_each(spark, path).select("section", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("section").agg(
+        F.regexp_extract(F.first("file"), r"([^/]+)/[^/]+$", 1).alias("folder"),
+        F.count_distinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"))
+
+
 #: What a report's folder name shows of its config, in this order.
 NAME_FIELDS = ("name", "type", "metric", "entity", "year", "years")
 

@@ -112,3 +112,40 @@ def test_staged_rows_have_their_line_numbers(spark, tmp_path):
     rows = read_sheets(spark, str(tmp_path), {"S": ["x"]})["S"].collect()
     assert sorted((r.submission_id, r.row_id, r.x) for r in rows) == [
         (n, i + 2, f"{n}{i}") for n in "ab" for i in range(5)]
+
+
+def test_a_section_for_every_value_in_one_write(spark, tmp_path):
+    from panelkit.plans import reports as R
+    from panelkit.sources.sinks import read_each, write_each
+    panel = spark.createDataFrame([(i, 2020 + i % 3, name, float(i)) for i, name in enumerate(
+        ["a/b", "a b", "007", "é=%", "x" * 40] * 6)], "entity_id int, year int, name string, s double")
+    cfg = {"group_col": "name", "years": [2020, 2021, 2022]}
+    path = str(tmp_path / "sections")
+    manifest = {r.section: r for r in write_each(R.report_all_entities(panel, cfg, {"s": "sum"}), "name", path).collect()}
+    assert set(manifest) == {"a/b", "a b", "007", "é=%", "x" * 40}
+    assert len({r.folder for r in manifest.values()}) == 5 and all(r.n_files == 1 == r.n_rows for r in manifest.values())
+    for name in manifest:  # each as the report of that entity alone
+        one = R.report_entity(panel, dict(cfg, entity=name, reindex=True), {"s": "sum"}).first()
+        got = read_each(spark, path).where(F.col("section") == name).select(*one.asDict()).first()
+        assert got == one
+    many = spark.range(100).select(F.lit("hot").alias("g"), "id")
+    r = write_each(many, "g", str(tmp_path / "hot"), file_rows=30).first()
+    assert r.n_rows == 100 and r.n_files >= 4
+    with pytest.raises(Exception, match="has no g"):
+        write_each(spark.createDataFrame([(None, 1)], "g string, x int"), "g", str(tmp_path / "null"))
+
+
+def test_raw_append_and_views(spark, tmp_path):
+    from panelkit.sources.sinks import append_raw
+    from panelkit.sources.tables import DRIVER_TABLES, Tables
+    path = append_raw(spark.range(2), str(tmp_path), "anything")  # S7: no whitelist asked
+    append_raw(spark.range(2, 5), str(tmp_path), "anything")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+    from conftest import SF001
+    Tables(spark, SF001).register_views()  # S8
+    try:
+        n = spark.sql("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey").first().n
+        assert n == Tables(spark, SF001).orders.count()
+    finally:
+        for t in DRIVER_TABLES:
+            spark.catalog.dropTempView(t)
