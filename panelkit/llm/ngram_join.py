@@ -2,8 +2,9 @@
 
 Every text is a set of word n-grams (64-bit hashes). Texts with equal sets form
 one class, whose size no later step sees. Sets are ordered rare-first, by a
-fixed-size histogram of n-gram frequencies over all texts, ties by hash. Two
-sets with Jaccard likeness t or more must share an n-gram within their first
+fixed-size estimate of n-gram frequencies over all texts (the least of several
+hashed counts, on a logarithmic scale without an end), ties by hash. Two sets with
+Jaccard likeness t or more must share an n-gram within their first
 n - ceil(t n) + 1 (the prefix), so classes meet on prefix n-grams only.
 
 Candidate pairs pass length, positional and suffix filters and are then verified
@@ -28,15 +29,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, written
+from .shared import documents, nothing_kept, slices, written
 
-#: Buckets (powers of two) of the frequency histogram (2 bytes each) and words
-#: of a bitmap (16 bytes a row): both are broadcast, 8 and 4 MB whatever the input.
-RARITY_BITS, BITMAP_WORDS = 22, 18
+#: Counts an n-gram has (its estimate is the least), buckets of each (as a power
+#: of two, one byte) and words of a bitmap (16 bytes a row): all are broadcast, 8
+#: and 4 MB whatever the input.
+ROWS, RARITY_BITS, BITMAP_WORDS = 2, 22, 18
 
-#: Buckets of the histogram that travel together, compressed.
+#: Buckets that travel together, compressed.
 CHUNK = 1 << 14
 
+#: Steps of the estimate for a doubling (a byte then holds 2^42).
+STEPS = 6
+
+#: Classes whose prefixes a task has sent, as far as it remembers.
+REMEMBERED = 100_000
+
 #: Parts whose parities the suffix filter compares: first few, then, for the
 #: pairs that pass, many (long sets differ in too many n-grams for few parts).
 PARTS, FINE = 512, 2048
@@ -85,41 +93,75 @@ def _texts(batch: pa.RecordBatch, column: int):
             yield at + lo, part[lo:hi]
 
 
+def _buckets(sets: np.ndarray, row: int) -> np.ndarray:
+    """The bucket of each n-gram in one row of counts: bits of its hash that the
+    other rows don't use."""
+    return (sets >> np.uint64(64 - RARITY_BITS * (row + 1)) & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64)
+
+
+def estimate(counts: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """How frequent n-grams are: the least of their logarithmic counts."""
+    return reduce(np.minimum, (counts[r][_buckets(sets, r)] for r in range(ROWS)))
+
+
+def logarithmic(n: np.ndarray) -> np.ndarray:
+    return np.rint(STEPS * np.log2(1.0 + n)).astype(np.uint8)
+
+
+def pieces_of(sets: list[np.ndarray]):
+    """The members of all sets, in pieces of fewer than 2^16."""
+    flat = np.concatenate(sets)
+    for at in range(0, len(flat), 65535):
+        yield flat[at:at + 65535]
+
+
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """How often n-grams of each histogram bucket occur in all texts (65535:
-    that often or more). Tasks count, then one task a few chunks adds up."""
-    bits = RARITY_BITS
+    """Rows of counts of n-grams over all texts, on a logarithmic scale. Tasks
+    count (in two bytes, sending what they have before one overflows), then one
+    task a few chunks adds up."""
+    size = 1 << RARITY_BITS
 
     def rows(total: np.ndarray, chunks) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(chunks), pa.int32()),
-             pa.array([zlib.compress(total[c].astype("<u4").tobytes(), 1) for c in chunks], pa.binary())],
-            names=["chunk", "counts"])
+        packed = []
+        for c in chunks:
+            n = total[c]
+            kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if n.max() <= np.iinfo(k).max)
+            packed.append(kind[2].encode() + zlib.compress(n.astype(kind).tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array(packed, pa.binary())],
+                                          names=["chunk", "counts"])
+
+    def numbers(counts: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(counts[1:]), f"<u{counts[:1].decode()}")
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        nothing_kept()
+        total = np.zeros((ROWS, size), np.uint16)
         for b in batches:
             for _, texts in _texts(b, 0):
-                sets = np.concatenate([ngram_set(t, width) for t in texts])
-                bucket, n = np.unique((sets >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                total[bucket] += n.astype(np.uint32)
-        yield rows(total.reshape(-1, CHUNK), range((1 << bits) // CHUNK))
+                for some in pieces_of([ngram_set(t, width) for t in texts]):
+                    found = [np.unique(_buckets(some, r), return_counts=True) for r in range(ROWS)]
+                    if any((total[r][bucket] + n > 65535).any() for r, (bucket, n) in enumerate(found)):
+                        yield rows(total.reshape(-1, CHUNK), range(ROWS * size // CHUNK))
+                        total[:] = 0
+                    for r, (bucket, n) in enumerate(found):
+                        total[r][bucket] += n.astype(np.uint16)
+        yield rows(total.reshape(-1, CHUNK), range(ROWS * size // CHUNK))
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.uint64)
+                n = numbers(counts).astype(np.uint64)
                 total[chunk] = total[chunk] + n if chunk in total else n
         for chunk, n in total.items():
-            yield rows({chunk: np.minimum(n, 65535)}, [chunk])
+            yield rows({chunk: logarithmic(n)}, [chunk])
 
     schema = "chunk int, counts binary"
     got = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint16)
+    out = np.zeros((ROWS * size // CHUNK, CHUNK), np.uint8)
     for r in got.collect():  # one row a chunk
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return out.ravel()
+        out[r["chunk"]] = numbers(r["counts"])
+    return out.reshape(ROWS, size)
 
 
 def prefixes(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
@@ -128,9 +170,9 @@ def prefixes(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     suffix filter's parities), keys (48-bit prefix n-grams, rarest first; only the first
     document of a class in a task has them)."""
     from_histogram = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
-    bits = RARITY_BITS
 
     def run(batches):
+        nothing_kept()
         freq, seen = from_histogram.value, set()
         for b in batches:
             for at, texts in _texts(b, 1):
@@ -147,11 +189,12 @@ def prefixes(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
                         odd = np.bitwise_xor.reduce(fine.reshape(-1, len(ODD)))
                         row[1:-1] = [int(d[0]), int(d[1]), *odd.tolist(), fine]
                         if (row[1], row[2]) not in seen:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()  # a class sent twice costs rows, no more
                             seen.add((row[1], row[2]))
                             p = n + (-part * n // whole) + 1
-                            f = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
                             # ascending hashes, so a stable sort breaks ties by hash
-                            rare = np.argsort(f, kind="stable")[:p]
+                            rare = np.argsort(estimate(freq, s), kind="stable")[:p]
                             row[-1] = (s[rare] >> np.uint64(16)).astype(np.int64)
                     for k, v in zip(out, row):
                         out[k].append(v)
@@ -258,6 +301,7 @@ class Join:
         width = self.width
 
         def sets(batches):
+            nothing_kept()
             for b in batches:
                 for _, texts in _texts(b, 0):
                     rows = [s for s in (ngram_set(t, width) for t in texts) if len(s)]
@@ -281,19 +325,32 @@ class Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes (a spanning part of each component), and the
         components (id, comp) of the classes that have any."""
-        keys = self.entries.groupBy("key").agg(
+        # The positional filter: sets that first meet at these places have no
+        # more than the lesser rest in common. A late entry (whose rest is too
+        # little for a set of its size or more) needs an early one of a smaller set.
+        entries = self.entries.withColumns({"early": F.expr(f"n - pos >= {_needed(self.part, self.whole, 'n', 'n')}"),
+                                            "both": F.expr("shiftleft(n, 32) | pos")})
+        keys = entries.groupBy("key").agg(
             F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("k"),
-            F.min_by("n", "cid").alias("n1"), F.max_by("n", "cid").alias("n2"))
-        near = f"{self.whole} * least({{0}}, {{1}}) >= {self.part} * greatest({{0}}, {{1}})"
-        keys = written(keys.where("least <> most and (k > 2 or " + near.format("n1", "n2") + ")"), "keys")
+            F.min_by("both", "cid").alias("a"), F.max_by("both", "cid").alias("b"),
+            F.min(F.when(F.col("early"), F.col("n"))).alias("early_n"))
+        keys = keys.select("key", "least", "most", "k", "early_n", *[F.expr(x).alias(c) for c, x in (
+            ("n1", "shiftright(a, 32)"), ("pos1", "a & 4294967295"), ("n2", "shiftright(b, 32)"), ("pos2", "b & 4294967295"))])
+
+        def near(n1: str, pos1: str, n2: str, pos2: str) -> str:
+            return (f"{self.whole} * least({n1}, {n2}) >= {self.part} * greatest({n1}, {n2}) and "
+                    f"least({n1} - {pos1}, {n2} - {pos2}) >= {_needed(self.part, self.whole, n1, n2)}")
+        keys = written(keys.where("least <> most and early_n is not null and (k > 2 or "
+                                  + near("n1", "pos1", "n2", "pos2") + ")"), "keys")
         # A key that two entries share needs nothing else; longer lists are read
         # again, each member to be held against the least.
-        lists = keys.where("k > 2").select("key", "least", "n1")
-        wide = through(self.entries, F.col("key"), bitmap(lists, F.col("key"))).join(lists, "key")
+        lists = keys.where("k > 2").select("key", "least", "n1", "pos1", "early_n")
+        wide = through(entries, F.col("key"), bitmap(lists, F.col("key"))).join(lists, "key")
+        wide = wide.where("early or early_n < n")
         wide = written(wide.join(self.classes.select("cid", *ODD).dropDuplicates(["cid"]), "cid").select(
-            "key", "cid", "n", "pos", "least", "n1", *ODD).distinct(), "wide")
+            "key", "cid", "n", "pos", "least", "n1", "pos1", *ODD).distinct(), "wide")
         first = keys.where("k = 2").select(F.col("least").alias("c1"), F.col("most").alias("c2"))
-        first = first.union(wide.where("cid <> least and " + near.format("n", "n1")).select(
+        first = first.union(wide.where("cid <> least and " + near("n", "pos", "n1", "pos1")).select(
             "least", "cid")).distinct()
         links = self._similar(self._near(first))
         comps = components(links, "c1", "c2")
@@ -366,3 +423,26 @@ def keep_one(docs: DataFrame, width: int = 5, part: int = 8, whole: int = 10) ->
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of ``documents`` at likeness 0.9 over three-word shingles."""
     return similar_components(documents(spark, sf_dir), width=3, part=90, whole=100)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 90 * (a.n + b.n - c)),
+reach AS (
+  SELECT x AS doc_id, y AS other FROM links UNION SELECT y, x FROM links
+  UNION
+  SELECT r.doc_id, CASE WHEN l.x = r.other THEN l.y ELSE l.x END FROM reach r JOIN links l ON l.x = r.other OR l.y = r.other)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(other), w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN reach r ON w.doc_id = r.doc_id
+GROUP BY w.doc_id, n.n
+"""

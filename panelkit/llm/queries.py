@@ -22,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_substring_dedup": anchors.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "op13_source_divergence": divergence.ORACLE,

@@ -41,6 +41,24 @@ def on_workers(spark: SparkSession) -> None:
     context._panelkit_shipped = True
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """``make()``, kept in this Python worker from task to task under ``key``.
+    Workers outlive stages, so only one thing is kept: what another operator
+    needed before goes when the next one asks."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def nothing_kept() -> None:
+    """For tasks that need room and keep nothing: drop what is kept."""
+    _KEPT.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_workers(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")

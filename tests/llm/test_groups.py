@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,47 @@ def test_parities_bound_the_difference_of_sets():
         for parts in (ngram_join.PARTS, ngram_join.FINE):
             odd = [np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1 for s in (a, b)]
             assert (odd[0] ^ odd[1]).sum() <= apart
+
+
+def test_frequencies_have_no_end():
+    n = np.array([0, 1, 2, 10, 60_000, 70_000, 10**6, 10**9, 10**12], np.uint64)
+    level = ngram_join.logarithmic(n)
+    assert (np.diff(level.astype(int)) > 0).all()
+
+
+def test_common_ngrams_leave_the_prefix(spark, monkeypatch):
+    """Counts far above two bytes still tell a common n-gram from a less common one."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 10)
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(20)], "doc_id long, text string")
+    grams = ngram_join.ngram_set("a b c d e f g", 3)
+    counts = np.zeros((ngram_join.ROWS, 1 << ngram_join.RARITY_BITS), np.uint64)
+    times = [10**5, 10**6, 10**7, 10**8, 10**9]
+    for r in range(ngram_join.ROWS):
+        counts[r][ngram_join._buckets(grams, r)] = times
+    counts[0][ngram_join._buckets(grams[:1], 0)] += np.uint64(10**10)  # meets another in one row only
+    found = ngram_join.estimate(ngram_join.logarithmic(counts), grams)
+    assert (np.argsort(found, kind="stable") == np.arange(5)).all()
+    monkeypatch.setattr(ngram_join, "rarity", lambda docs, width: ngram_join.logarithmic(counts))
+    keys = ngram_join.prefixes(docs, 3, 8, 10).where("keys is not null").first()["keys"]
+    assert list(keys) == [int(g >> np.uint64(16)) for g in grams[:2]]
+
+
+def test_counts_over_two_bytes_add_up(spark):
+    """Tasks count in two bytes and send before one overflows."""
+    docs = spark.range(70_000).select(F.lit("a b c").alias("text")).coalesce(1)
+    total = ngram_join.rarity(docs, 3)
+    (gram,) = ngram_join.ngram_set("a b c", 3).tolist()
+    found = ngram_join.estimate(total, np.array([gram], np.uint64))
+    assert found[0] == ngram_join.logarithmic(np.array([70_000], np.uint64))[0]
+    assert (total > 0).sum() == ngram_join.ROWS
+
+
+def test_join_equals_its_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ngram_join.ORACLE)
+    names = [d[0] for d in want.description]
+    got = ngram_join.op6_ngram_jaccard_join(spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
