@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytebpe import ByteBPE, Interned, code_points, gather, load, word_starts
-from .shared import add_columns, documents
+from .shared import add_columns, documents, kept_in_worker
 
 #: Distinct words remembered per Python worker, and bytes of them.
 REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
@@ -159,13 +159,8 @@ class Encoder:
         return raw.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load(path))
-    return _ENCODERS[path]
+    return kept_in_worker(("Encoder", path), lambda: Encoder(load(path)))
 
 
 def vocabulary() -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
 from .bytebpe import ByteBPE, load, word_starts
-from .shared import add_columns, documents
+from .shared import add_columns, documents, kept_in_worker
 
 #: Bytes a chunk has about, and at most (then it is cut inside a word).
 CHUNK, LONGEST = 256, 1024
@@ -259,13 +259,8 @@ def entry_states(maps: list[dict], chunk: np.ndarray, exit_: np.ndarray) -> np.n
     return out
 
 
-_MACHINES: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    if path not in _MACHINES:
-        _MACHINES[path] = Transducer(load(path))
-    return _MACHINES[path]
+    return kept_in_worker(("Transducer", path), lambda: Transducer(load(path)))
 
 
 def token_counts(df: DataFrame, path: str, limit: int, text: str = "text",

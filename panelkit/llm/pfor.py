@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .bytebpe import Interned, byte_letters, gather
-from .shared import documents, slices
+from .shared import documents, kept_in_worker, slices
 
 BLOCK, PERCENTILE = 512, 0.95
 MAGIC = b"PFOR0001"
@@ -223,13 +223,8 @@ class RunEncoder:
         return ids, np.diff(np.concatenate([[0], ends])) + 1
 
 
-_RUNS: dict[str, RunEncoder] = {}
-
-
 def run_encoder(path: str) -> RunEncoder:
-    if path not in _RUNS:
-        _RUNS[path] = RunEncoder(path)
-    return _RUNS[path]
+    return kept_in_worker(("RunEncoder", path), lambda: RunEncoder(path))
 
 
 FILES = ("part int, seq int, start_in_part long, n_ids long, doc_ids array<long>, "

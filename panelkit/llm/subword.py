@@ -10,14 +10,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept_in_worker
+
 #: Feature buckets (power of two): the size of a model, whatever the input.
 BITS = 17
 
 #: Bound of the training sample: labelled documents, and characters of one.
 SAMPLE_DOCS, SAMPLE_CHARS = 2500, 200_000
 
-#: Distinct words whose features a Python worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose features a Python worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 
 
 class Features:
@@ -68,17 +70,19 @@ class WordScores:
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.sum, self.size = np.empty(0), np.empty(0)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: the sum, the number of features, and the word's number
         (equal for equal words)."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
             bucket, size = self.features.of(new)
             word = np.repeat(np.arange(len(new)), size)
+            self.bytes += sum(map(len, new))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.sum = np.append(self.sum, np.bincount(word, self.values[bucket], len(new)))
             self.size = np.append(self.size, size)
@@ -86,16 +90,9 @@ class WordScores:
         return self.sum[at], self.size[at], at
 
 
-_KNOWN: dict[str, WordScores] = {}
-
-
 def known(model: str, features: Features, values: np.ndarray) -> WordScores:
-    """The word scores of a model (by name) in this Python worker; only those of
-    the last model are held, across tasks."""
-    if model not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[model] = WordScores(features, values)
-    return _KNOWN[model]
+    """The word scores of a model (by name), kept in this Python worker."""
+    return kept_in_worker(model, lambda: WordScores(features, values))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str,
