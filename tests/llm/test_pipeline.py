@@ -65,4 +65,4 @@ def test_stages_on_awkward_and_empty_tables(spark):
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
