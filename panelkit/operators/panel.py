@@ -70,24 +70,23 @@ def exact_join(tables: Mapping[str, DataFrame], keys: Sequence[str], rows_of: Se
     key; one that has more fails the job. Tables named in ``rows_of`` may have any
     number of rows a key: they only say that the key is there, as in a join whose
     fan-out is grouped away again. NULL keys join nothing."""
-    union, values, single = None, [], []
+    union, values, single = None, [], {}
     for i, (name, df) in enumerate(tables.items()):
         cols = [] if name in rows_of else [c for c in df.columns if c not in keys]
         if clash := set(cols) & set(values):
             raise ValueError(f"columns {sorted(clash)} are in two tables")
         values += cols
         if cols:
-            single.append((name, i))
+            single[name] = 1 << i
         part = df.dropna(subset=list(keys)).select(*keys, F.lit(1 << i).cast("long").alias("_bit"), *cols)
         union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    counts = [F.count_if(F.col("_bit") == 1 << i).alias(f"_n{i}") for _, i in single]
-    out = union.groupBy(*keys).agg(F.bit_or("_bit").alias("_bits"), *counts, *[F.max(c).alias(c) for c in values])
+    # A key that is kept is in every table, so it has one row in each of the single
+    # ones if it has as many rows of them as there are.
+    n_single = F.count_if(F.col("_bit").bitwiseAND(F.lit(sum(single.values()))) != 0).alias("_n")
+    out = union.groupBy(*keys).agg(F.bit_or("_bit").alias("_bits"), n_single, *[F.max(c).alias(c) for c in values])
     out = out.where(F.col("_bits") == (1 << len(tables)) - 1)
-    repeated = F.lit(False)
-    for _, i in single:
-        repeated = repeated | (F.col(f"_n{i}") > 1)
-    failed = F.raise_error(F.lit(f"a key has two rows in one of {[n for n, _ in single]}")).cast("boolean")
-    return out.where(F.when(repeated, failed).otherwise(True)).select(*keys, *values)
+    failed = F.raise_error(F.lit(f"a key has two rows in one of {list(single)}")).cast("boolean")
+    return out.where(F.when(F.col("_n") > len(single), failed).otherwise(True)).select(*keys, *values)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelkit.operators.panel import bucketed, exact_join
 
@@ -34,3 +35,46 @@ def test_bucketed_rows_are_the_rows(spark, tmp_path):
     got = bucketed(df, ["k"], 3, str(tmp_path / "b"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("panelkit_")]
+
+
+def test_submissions_are_summed_once_and_few_units_as_longs(spark):
+    """The seven tables come from one frame, and both ways of summing agree."""
+    from types import SimpleNamespace
+
+    import panelkit.plans.bindings as B
+    rnd = random.Random(4)
+
+    def tables(factor):
+        orders = [(k, k % 5, k % 3, "1-URGENT" if k % 2 else "5-LOW", round(rnd.uniform(1, 9e5), 2) * factor) for k in range(40)]
+        lines = [(k % 40, k, float(rnd.randrange(1, 50)), rnd.choice([None, round(rnd.uniform(1, 9e4), 2)]),
+                  rnd.randrange(10) / 100, rnd.randrange(8) / 100, rnd.choice("RAN"), rnd.choice("OF")) for k in range(300)]
+        o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d int, o_orderpriority string, o_totalprice double")
+        return SimpleNamespace(
+            orders=o.withColumn("o_orderdate", F.expr("timestamp_ntz'1997-01-01 00:00:00' + d * interval 1 day")).drop("d"),
+            lineitem=spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                           "l_discount double, l_tax double, l_returnflag string, l_linestatus string"))
+    t = tables(1)
+    few = B.submission_rows(t)
+    assert "decimal(28" not in few["wide"]._jdf.queryExecution().optimizedPlan().toString()
+    old, B.few_units = B.few_units, lambda *a: False
+    try:
+        exact = B.submission_rows(t)
+    finally:
+        B.few_units = old
+    assert few["wide"].schema == exact["wide"].schema
+    key = lambda r: (r.entity_id, r.ts)
+    assert sorted(few["wide"].collect(), key=key) == sorted(exact["wide"].collect(), key=key)
+    assert not B.few_units(tables(100.0).orders, ["o_totalprice"], 2)
+    out = B.submission_tables(few)
+    assert len(out) == 7 and exact_join(out, ["entity_id", "ts"], [B.ROWS_TABLE]).count() == 15
+
+
+def test_units_refuse_more_places(spark):
+    from panelkit.functions.scalar import few_units, of_units, units
+    df = spark.createDataFrame([(0.07,), (-0.0,), (None,), (21474836.45,)], "x double")
+    assert few_units(df, ["x"], 2)
+    got = df.select("x", of_units(units("x", 2), 2).alias("y")).collect()
+    assert all(r.x == r.y for r in got)
+    with pytest.raises(Exception, match="decimal places"):
+        spark.createDataFrame([(0.071,)], "x double").select(units("x", 2)).collect()
+    assert not few_units(spark.createDataFrame([(float("nan"),)], "x double"), ["x"], 2)
