@@ -190,3 +190,32 @@ def test_candidates_stay_few_while_names_grow(spark):
         q = spark.createDataFrame([(x[:-1],) for x in reg[:200]], "qs string").distinct()
         share[n] = RS.candidates(q, r, 90).count() / 200 / n
     assert share[4000] < 0.08 and share[4000] < 1.2 * share[400]
+
+
+def test_resolving_reads_names_and_registry_once(spark, tmp_path):
+    """What queries, registry and keys come from is not read again by later steps."""
+    import os
+    asked = [(n, n) for n in ("alfa park", "ALFA park", "beta ltd", "beta ltd.", "gamma", "gamma2 zrt")]
+    for what, data in (("q", asked), ("r", [(7, "alfa park")])):
+        spark.createDataFrame(data, "query_id string, name string" if what == "q" else "entity_id long, entity_name string"
+                              ).write.parquet(str(tmp_path / what))
+    res, new = RS.resolve_or_register(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "r")), 90)
+    for df in (res, new):
+        assert str(tmp_path) not in str(df.inputFiles()) and "parquet" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r.query_id: r.resolved_id for r in res.collect()} == {
+        "alfa park": 7, "ALFA park": 7, "beta ltd": 8, "beta ltd.": 8, "gamma": 9, "gamma2 zrt": 10}
+    assert sorted(map(tuple, new.collect())) == [(8, "beta ltd"), (9, "gamma"), (10, "gamma2 zrt")]
+    assert os.listdir(tmp_path / "q")
+
+
+def test_new_dictionary_rows_evaluate_the_batch_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+    batch = spark.range(30).selectExpr("id % 7 AS k").mapInArrow(count, "k long")
+    new = RS.new_dictionary_rows(batch, spark.createDataFrame([(0, 1)], "k long, id long"), ["k"], "id", lambda c, last: last)
+    assert sorted(map(tuple, new.collect())) == [(k, k + 1) for k in range(1, 7)]
+    assert n.value == 30
