@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, documents, labels
+from .shared import add_columns, documents, labels, packed, unpacked
 from .subword import BITS, Features, WordScores, held_out, known, training_sample
 
 FEATURES = Features(3, 4)
@@ -120,8 +120,8 @@ def fit(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
 
 def keep_good(docs: DataFrame, marks: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
-    return scored(rows, fit(docs, marks), threshold, ["__row"]).where("predicted = 1").select("__row.*")
+    rows = scored(packed(docs, ["text"]), fit(docs, marks), threshold, ["__row", "text"]).where("predicted = 1")
+    return unpacked(rows, docs.columns, ["text"])
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

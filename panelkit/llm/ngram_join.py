@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, nothing_kept, slices, written
+from .shared import documents, nothing_kept, slices, sparing, written
 
 #: Counts an n-gram has (its estimate is the least), buckets of each (as a power
 #: of two, one byte) and words of a bitmap (16 bytes a row): all are broadcast, 8
@@ -157,7 +157,7 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
             yield rows({chunk: logarithmic(n)}, [chunk])
 
     schema = "chunk int, counts binary"
-    got = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    got = docs.select("text").mapInArrow(sparing(count), schema).repartition("chunk").mapInArrow(sparing(add), schema)
     out = np.zeros((ROWS * size // CHUNK, CHUNK), np.uint8)
     for r in got.collect():  # one row a chunk
         out[r["chunk"]] = numbers(r["counts"])
@@ -204,7 +204,7 @@ def prefixes(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
                      *[pa.array(out[k], pa.list_(pa.int64())) for k in ("fine", "keys")]],
                     names=["doc_id", *out])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, cid long, twin long, " + ", ".join(f"{o} long" for o in ODD)
+        sparing(run), "doc_id long, n long, cid long, twin long, " + ", ".join(f"{o} long" for o in ODD)
         + ", fine array<long>, keys array<long>")
 
 
@@ -313,7 +313,7 @@ class Join:
                         names=["cid", "members"])
         docs = through(self.docs, F.col("doc_id"), bitmap(first, F.col("first_id")))
         docs = docs.join(first, F.expr("doc_id <=> first_id"), "left_semi")
-        found = docs.select("text").mapInArrow(sets, "cid long, members array<long>")
+        found = docs.select("text").mapInArrow(sparing(sets), "cid long, members array<long>")
         found = written(found, "sets")
         both = (pairs.join(found.select(F.col("cid").alias("c1"), F.col("members").alias("m1")), "c1")
                 .join(found.select(F.col("cid").alias("c2"), F.col("members").alias("m2")), "c2"))

@@ -3,7 +3,10 @@ Arrow passes that add columns to a frame, and gapless numbering."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -49,14 +52,45 @@ def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     Workers outlive stages, so only one thing is kept: what another operator
     needed before goes when the next one asks."""
     if key not in _KEPT:
-        _KEPT.clear()
+        nothing_kept()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def nothing_kept() -> None:
-    """For tasks that need room and keep nothing: drop what is kept."""
-    _KEPT.clear()
+    """For tasks that keep nothing: drop what is kept, and give its memory back,
+    which the allocators would hold as long as the worker lives."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Give the memory that nothing uses any more back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def sparing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends by giving its memory back: a worker that waits for
+    its next task then holds none beside the JVM's."""
+    def spare(batches):
+        yield from run(batches)
+        give_back()
+    return spare
+
+
+def packed(docs: DataFrame, apart: Sequence[str]) -> DataFrame:
+    """The columns ``apart`` as they are and the others in one, ``__row``, so that
+    added columns may have any names; ``unpacked`` gives ``columns`` back."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
+    return docs.select(F.struct(F.lit(True).alias("__any"), *rest).alias("__row"), *apart)
+
+
+def unpacked(rows: DataFrame, columns: Sequence[str], apart: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in apart else F.col("__row").getField(c).alias(c) for c in columns])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +141,9 @@ def add_columns(df: DataFrame, text: str, fields: str,
     schema = T.StructType([df.schema[c] for c in carried] + list(added))
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(added)
+    # The text goes to the worker once, as the last column, carried on or not.
+    sent = [*[c for c in carried if c != text], text]
+    at_sent = [sent.index(c) for c in carried]
 
     def run(batches):
         fn = make()
@@ -123,13 +160,12 @@ def add_columns(df: DataFrame, text: str, fields: str,
                     out = [_array(cols[f.name], f.type) for f in arrow]
                     rows = b.slice(at + lo, hi - lo)
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column(i) for i in range(len(carried))] + out,
+                        [rows.column(i) for i in at_sent] + out,
                         names=[*carried, *names])
                     done = hi
                 at += done
 
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(sparing(run), schema)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

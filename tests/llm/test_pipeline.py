@@ -66,3 +66,41 @@ def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
+
+
+def test_a_text_goes_to_the_worker_once_and_columns_come_back(spark):
+    from panelkit.llm import rules
+    from panelkit.llm.shared import add_columns, packed, unpacked
+    rows = [(1, "a b", None, "x", 7, 3), (2, None, "en", None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, `a.b` int")
+    apart = ["text", "lang", "source"]
+    df = rules.with_counts(packed(docs, apart), ["__row", *apart])
+    assert [tuple(r) for r in unpacked(df, docs.columns, apart).orderBy("doc_id").collect()] == rows
+    got = add_columns(docs, "text", "n int", lambda: lambda texts: {"n": list(map(len, texts))}, ["text", "doc_id"])
+    assert got.columns == ["text", "doc_id", "n"]
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [("a b", 1, 3), (None, 2, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(x for x in plan.splitlines()[::-1] if "Project" in x or "LogicalRDD" in x or "LocalRelation" in x)
+    assert sent.count("text#") == 1
+
+
+def test_rules_drop_what_a_worker_kept():
+    from panelkit.llm import rules, shared
+    shared._KEPT["other"] = bytearray(1 << 20)
+    seen = {}
+
+    class Docs:  # takes the place of a frame: only the task's side is run
+        def withColumns(self, _):
+            return self
+
+    def run(df, text, fields, make, keep):
+        seen["fn"] = make()
+        return Docs()
+    old, rules.add_columns = rules.add_columns, run
+    try:
+        rules.with_counts(None)
+    except Exception:  # columns need a session; the task's side has run
+        pass
+    finally:
+        rules.add_columns = old
+    assert seen["fn"] is rules.counts and not shared._KEPT
