@@ -18,10 +18,10 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,9 @@ MAGIC = b"PFOR0001"
 #: Ids a file holds about (whole documents, one at least).
 FILE_IDS = 1 << 20
 
+#: Characters of text encoded at once: the more, the fewer look-ups of a run.
+ENCODED_CHARS = 1 << 22
+
 #: Distinct runs of text whose ids a Python worker remembers, and their bytes.
 REMEMBERED, REMEMBERED_BYTES = 700_000, 48 << 20
 
@@ -44,7 +47,9 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values below 2^width as rows of bytes."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8)
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)).astype(np.uint8) & 1
+    size = 2 if width < 16 else 4
+    raw = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :width]
     return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
@@ -121,15 +126,20 @@ def decode_file(data: bytes, begin: int = 0, end: int | None = None) -> np.ndarr
     return out.ravel()[begin - lo * block:end - lo * block]
 
 
-#: A full stop or comma between a letter (a-z, or one of Latin-1) and white space.
-#: The sign comes first, so that the search runs from sign to sign.
-_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: Signs that end a run after a letter (a-z, or one of Latin-1); those that special
+#: strings hold are left. The sign comes first, so that the search runs from sign to sign.
+_SIGNS = rb"[!-/:;=?@\[-`{}~]"
+_STOP = re.compile(_SIGNS + rb"(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + _SIGNS
+                   + rb"*(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 #: Small letters only: a word as it stands, which no normaliser changes.
-_WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+#: A capital that a mark may follow (no letter of Latin-1 is one).
+_MARKED = re.compile(rb"[A-Z](?=[\x80-\xc2\xc4-\xff])")
 
-#: A capital that a mark may follow.
-_MARKED = re.compile(rb"[A-Z](?=[\x80-\xff])")
+#: A capital of Latin-1 that no mark follows.
+_LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\x9e](?![\x80-\xc2\xc4-\xff])")
 
 
 def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
@@ -146,24 +156,32 @@ class RunEncoder:
     between ASCII white space once. That is exact for a vocabulary whose
     normaliser lower-cases and whose pre-tokeniser drops white space and parts
     letters from signs: no token, special string, composed character or
-    lower-casing reaches across white space, nor from a letter to a full stop
-    or comma that ends its run. So such stops are set apart first, and A-Z
-    lower-cased (but beside what could be a special string), so that runs repeat
-    more. Only A-Z directly before a character that isn't ASCII are left to the
-    library, which composes before it lower-cases: some letters compose with a
-    mark only when small, and a mark that composes with a letter follows it with
-    nothing but marks between.
+    lower-casing reaches across white space, nor from a letter to the signs
+    that end its run. So such signs are set apart first, and A-Z and the
+    capitals of Latin-1 lower-cased (but beside what could be a special string),
+    so that runs repeat more. Only capitals directly before another character
+    that is neither ASCII nor of Latin-1 are left to the library, which composes
+    before it lower-cases: some letters compose with a mark only when small, and
+    a mark that composes with a letter follows it with nothing but marks between.
 
     Runs of small letters are one word that the normaliser leaves alone: they go
-    straight to the library's model, as the letters that stand for their bytes."""
+    straight to the library's model, as the letters that stand for their bytes.
+    Many go at once; the token that ends in the vocabulary's suffix ends a word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.model, self.letters = self.library.model, dict(enumerate(byte_letters()))
+        self.letters = {**dict(enumerate(byte_letters())), 32: " "}
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = self.library.get_vocab(False), self.library.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[n for t, n in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -173,52 +191,74 @@ class RunEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Ids of runs met for the first time."""
-        found: list = [None] * len(new)
-        others = []
-        for k, w in enumerate(new):
-            if _WORD.fullmatch(w):
-                found[k] = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.letters))]
-            else:
-                others.append(k)
-        for k, e in zip(others, self.library.encode_batch_fast(
-                [new[k].decode() for k in others], add_special_tokens=False)):
-            found[k] = e.ids
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        word = np.fromiter((_WORD.fullmatch(w) is not None for w in new), bool, len(new))
+        word &= self.last.any()
+        own, others = np.flatnonzero(word), np.flatnonzero(~word)
+        size = np.zeros(len(new), np.int64)
+        parts = [np.empty(0, np.uint32)]
+        if len(own):
+            # Groups of words, so that no encoding is much larger than the longest word's.
+            text = b" ".join([new[k] for k in own.tolist()]).decode("latin-1").translate(self.letters).split(" ")
+            text = [" ".join(text[k:k + 1000]) for k in range(0, len(text), 1000)]
+            for e in self.words.encode_batch_fast(text, add_special_tokens=False):
+                parts.append(np.array(e.ids, np.uint32))
+            ids = np.concatenate(parts)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(own):
+                raise ValueError("words and their last tokens differ in number")
+            size[own], parts = np.diff(ends, prepend=0), [ids]
+        for k, e in zip(others.tolist(), self.library.encode_batch_fast(
+                [new[k].decode() for k in others.tolist()], add_special_tokens=False)):
+            parts.append(np.array(e.ids, np.uint32))
+            size[k] = len(parts[-1])
+        ids, order = np.concatenate(parts), np.concatenate([own, others])
+        at = np.empty(len(new), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
         self.flat = _room(self.flat, self.used, len(ids))
         self.at, self.len = (_room(x, self.learnt, len(new)) for x in (self.at, self.len))
         self.flat[self.used:self.used + len(ids)] = ids
-        self.at[self.learnt:self.learnt + len(new)] = self.used + np.cumsum(size) - size
+        self.at[self.learnt:self.learnt + len(new)] = self.used + at
         self.len[self.learnt:self.learnt + len(new)] = size
         self.used, self.learnt = self.used + len(ids), self.learnt + len(new)
         self.bytes += sum(map(len, new)) + 4 * len(ids)
 
     @staticmethod
-    def _runs(raw: bytes) -> list[bytes]:
+    def _parted(raw: bytes) -> bytes:
+        """A text with its runs between white space."""
         if b"<|" not in raw:
             low = raw.lower()
-            if not raw.isascii() and (kept := [m.start() for m in _MARKED.finditer(raw)]):
+            if not raw.isascii():
                 low = bytearray(low)
-                for i in kept:
-                    low[i] = raw[i]
-                low = bytes(low)
+                for m in _MARKED.finditer(raw):
+                    low[m.start()] = raw[m.start()]
+                for m in _LATIN.finditer(raw):
+                    low[m.start() + 1] += 32
             raw = low
-        return _STOP.sub(rb" \g<0>", raw).split()
+        return _STOP.sub(rb" \g<0>", raw)
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all runs, end to end, and of how many each text has; each
+        distinct run is looked up once. Between two white spaces at an end of a
+        text stands an empty run, which has no ids."""
+        cut = pa.array([self._parted(t.encode()) for t in texts], pa.large_binary()).view(pa.large_string())
+        cut = pc.ascii_split_whitespace(cut)
+        runs = cut.values.dictionary_encode()
+        names = runs.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.runs.__getitem__, names), np.int64, len(names))
+        return number[runs.indices.to_numpy()], np.diff(cut.offsets.to_numpy())
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end, each text's followed by ``end``, and their numbers."""
         if len(self.runs) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
-        cut = [self._runs(t.encode()) for t in texts]
-        number = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(cut)), np.int64)
+        number, held = self._numbers(texts)
         new, self.runs.new = self.runs.new, []
         if new:
             self._learn(new)
         size = self.len[number]
         ids = gather(self.flat, self.at[number], size)
         done = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        ends = done[ends]
+        ends = done[np.cumsum(held)]
         ids = np.insert(ids, ends, end)
         return ids, np.diff(np.concatenate([[0], ends])) + 1
 
@@ -257,11 +297,11 @@ def write_ids(df: DataFrame, path: str, out: str, end: int, doc_id: str = "doc_i
 
         for b in batches:
             texts = b.column(1)
-            step = max(1, (1 << 20) * max(1, len(texts)) // max(1, texts.nbytes))
+            step = max(1, ENCODED_CHARS * max(1, len(texts)) // max(1, texts.nbytes))
             for at in range(0, b.num_rows, step):
                 part_of = [x or "" for x in texts.slice(at, step).to_pylist()]
                 own = b.column(0).slice(at, step).to_pylist()
-                for lo, hi in slices([len(x) for x in part_of]):
+                for lo, hi in slices([len(x) for x in part_of], ENCODED_CHARS):
                     flat, n = enc.encode(part_of[lo:hi], end)
                     ids.append(flat)
                     lengths.append(n)

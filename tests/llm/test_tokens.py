@@ -147,6 +147,32 @@ def test_letters_compose_with_marks_before_they_are_lower_cased():
         assert own.tolist() == [*ref.ids, 2], text
 
 
+def test_words_are_parted_from_signs_and_capitals_of_latin_1_lowered():
+    library, enc = Tokenizer.from_file(WORD), pfor.RunEncoder(WORD)
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    texts = [f"x{a}{b} {a}{b}y?! {a}{b}{c} A{a}{c}" for a in latin for b in ["", "\u0301", "\u0327", "É", "z"] for c in "!'$|>"]
+    texts += [f"so{s}{t} it{s}{t}s <|endoftext|>{s}" for s in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for t in ["", "'", ".", "|>"]]
+    ids, n = enc.encode(texts, 2)
+    for text, own, ref in zip(texts, np.split(ids, np.cumsum(n)[:-1]),
+                              library.encode_batch(texts, add_special_tokens=False)):
+        assert own.tolist() == [*ref.ids, 2], text
+
+
+def test_only_signs_go_through_the_whole_library():
+    enc, seen = pfor.RunEncoder(WORD), []
+
+    class Library:
+        def encode_batch_fast(self, runs, add_special_tokens):
+            seen.extend(runs)
+            return library.encode_batch_fast(runs, add_special_tokens=add_special_tokens)
+
+    library, enc.library = enc.library, Library()
+    ids, n = enc.encode(["Straße!! Élan.### Noël,%%% ÀÉz good*** ", "good Straße"], 2)
+    assert sorted(seen) == ["", "!!", "***", ",%%%", ".###"]
+    assert ids.tolist() == [t for x in ("straße!! élan.### noël,%%% àéz good***", "good straße")
+                            for t in [*library.encode(x, add_special_tokens=False).ids, 2]]
+
+
 def test_files_of_an_awkward_table(spark, monkeypatch):
     monkeypatch.setattr(pfor, "FILE_IDS", 200)
     library, df = Tokenizer.from_file(WORD), awkward.table(spark)
