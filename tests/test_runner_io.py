@@ -105,6 +105,50 @@ def test_ingest_keeps_names_apart_and_recodes(spark, tmp_path):
     assert {r.submission_id for r in spark.read.parquet(out["written"]["t"]).collect()} == {"s1"}
 
 
+def test_a_sheet_is_sorted_and_written_once(spark, tmp_path, monkeypatch):
+    """Its rows are never checkpointed: they are numbered from the written sheet."""
+    kept, checkpoint = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint",
+                        lambda df, *a, **k: kept.append(df.columns) or checkpoint(df, *a, **k))
+    rows = [(f"s{i % 7}", i, str(i)) for i in range(100)]
+    sheet = spark.createDataFrame(rows, "submission_id string, row_id long, v string").repartition(5)
+    out = ingest({"x": sheet}, {"x": Sheet(types={"v": "int"}, tables={"t": ["v"]})}, str(tmp_path / "a"))
+    got = sorted((r.ingest_seq, r.submission_id, r.row_id, r.v) for r in spark.read.parquet(out["written"]["t"]).collect())
+    assert got == [(n, s, i, int(v)) for n, (s, i, v) in enumerate(sorted(rows), 1)]
+    assert not [c for c in kept if "v" in c]
+
+
+def test_sheets_and_names_are_loaded_beside_each_other(spark, tmp_path, monkeypatch):
+    import threading
+
+    from panelkit.plans import ingest as module
+    both = {"dense_ids": threading.Barrier(2), "resolve_or_register": threading.Barrier(2)}
+    for name, barrier in both.items():
+        def meet(*a, fn=getattr(module, name), barrier=barrier, **k):
+            barrier.wait(120)  # broken where the other one isn't there
+            return fn(*a, **k)
+        monkeypatch.setattr(module, name, meet)
+    sheet = spark.createDataFrame([("s1", 1, "Alfa", "Beta"), ("s2", 2, "beta", "Gamma")],
+                                  "submission_id string, row_id long, a string, b string")
+    reg = spark.createDataFrame([(7, "Alfa")], "entity_id long, entity_name string")
+    names = [Names("a", reg, "a_id", "a_new"), Names("b", reg, "b_id", "b_new")]
+    out = ingest({"x": sheet, "y": sheet}, {"x": Sheet(names=names, tables={"t": ["a"]}), "y": Sheet(tables={"u": ["b"]})},
+                 str(tmp_path / "a"))
+    assert list(out["written"]) == ["a_new", "b_new", "t", "u"]
+    assert sorted(map(tuple, spark.read.parquet(out["written"]["t"]).select("row_id", "a_id", "b_id").collect())) == [
+        (1, 7, 8), (2, 8, 9)]
+    assert sorted(map(tuple, spark.read.parquet(out["written"]["u"]).select("row_id", "b").collect())) == [
+        (1, "Beta"), (2, "Gamma")]
+
+
+def test_sheets_of_one_table_wait_for_each_other(spark, tmp_path):
+    sheet = spark.createDataFrame([("s1", 1, "x")], "submission_id string, row_id long, a string")
+    other = spark.createDataFrame([("s2", 2, "y")], "submission_id string, row_id long, a string")
+    plan = {"x": Sheet(tables={"t": ["a"]}), "y": Sheet(tables={"t": ["a"]})}
+    out = ingest({"x": sheet, "y": other}, plan, str(tmp_path / "a"))
+    assert [tuple(r) for r in spark.read.parquet(out["written"]["t"]).select("submission_id", "a").collect()] == [("s2", "y")]
+
+
 def test_staged_rows_have_their_line_numbers(spark, tmp_path):
     (tmp_path / "S").mkdir()
     for n in ("a", "b"):
