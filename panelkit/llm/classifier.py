@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, documents, labels, packed, unpacked
+from .shared import add_columns, documents, give_back, labels, packed, unpacked
 from .subword import BITS, Features, WordScores, held_out, known, training_sample
 
 FEATURES = Features(3, 4)
@@ -115,7 +115,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float,
 
 
 def fit(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
-    return train(*training_sample(docs, marks, "quality"))
+    try:
+        return train(*training_sample(docs, marks, "quality"))
+    finally:
+        give_back()  # the driver lives on and needs nothing of the sample
 
 
 def keep_good(docs: DataFrame, marks: DataFrame, threshold: float = 0.3) -> DataFrame:

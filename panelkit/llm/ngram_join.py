@@ -238,10 +238,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     labels = written(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("comp"))
                      .withColumnRenamed("x", "id"), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy("x").agg(
-            F.min("comp").alias("near"))
-        new = labels.join(near, labels["id"] == near["x"]).select(
-            "id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        # A row's own label goes into the same aggregation as its neighbours'.
+        near = edges.join(labels.withColumnRenamed("id", "y"), "y").select(
+            F.col("x").alias("id"), "comp", F.lit(None).cast(labels.schema["comp"].dataType).alias("old"))
+        new = near.union(labels.select("id", "comp", F.col("comp").alias("old"))).groupBy("id").agg(
+            F.max("old").alias("old"), F.min("comp").alias("comp"))
         up = labels.select(F.col("id").alias("up"), F.col("comp").alias("above"))
         new = written(new.join(up, F.col("comp") == F.col("up")).select(
             "id", "old", F.col("above").alias("comp")), "labels")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bytebpe import gather
-from .shared import add_columns, documents, labels
+from .shared import add_columns, documents, give_back, labels
 from .subword import BITS, Features, WordScores, held_out, known, training_sample
 
 # Identity terms by kind; a swap stays within its kind.
@@ -150,7 +150,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 
 def fit(docs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
-    return train(*training_sample(docs, marks, "toxic", SAMPLE))
+    try:
+        return train(*training_sample(docs, marks, "toxic", SAMPLE))
+    finally:
+        give_back()  # the driver lives on and needs nothing of the sample
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from panelkit.llm import bpe, classifier, rules, subword
+from panelkit.llm import bpe, classifier, ngram_join, rules, subword, toxicity
 from panelkit.llm.shared import documents, labels, written
 
 from . import awkward
@@ -104,3 +104,30 @@ def test_rules_drop_what_a_worker_kept():
     finally:
         rules.add_columns = old
     assert seen["fn"] is rules.counts and not shared._KEPT
+
+
+def test_training_leaves_the_driver_no_memory(spark, monkeypatch):
+    rows = [(i, f"some words of text {i}", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    for module, label in ((classifier, "quality"), (toxicity, "toxic")):
+        done, train = [], module.train
+        monkeypatch.setattr(module, "train", lambda *a, train=train: done.append("train") or train(*a))
+        monkeypatch.setattr(module, "give_back", lambda: done.append("give back"))
+        module.fit(docs.select("doc_id", "text"), docs.select("doc_id", docs["y"].alias(label)))
+        assert done == ["train", "give back"]
+
+
+def test_a_round_of_components_joins_labels_twice(spark, monkeypatch, capsys):
+    links = [(i, i + 1) for i in range(20)] + [(100, 50), (100, 70), (71, 70)]
+    plans = []
+
+    def seen(df, what):
+        if what == "labels":
+            df.explain()
+            plans.append(capsys.readouterr().out)
+        return written(df, what)
+    monkeypatch.setattr(ngram_join, "written", seen)
+    got = ngram_join.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert {r["id"]: r["comp"] for r in got} == {
+        **dict.fromkeys(range(21), 0), **dict.fromkeys((50, 70, 71, 100), 50)}
+    assert len(plans) > 2 and all(p.count("HashJoin") + p.count("SortMergeJoin") == 2 for p in plans[1:])
